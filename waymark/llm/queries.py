@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import quality_rules, url_reputation, warc
+from waymark.llm import quality_rules, token_counts, url_reputation, warc
 from waymark.llm.staging import shared_path
 
 
@@ -22,8 +24,13 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_resolved(spark, path).drop("header_digest")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_warc_revisits, op8_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_warc_revisits, op7_token_counts, op8_url_reputation)}

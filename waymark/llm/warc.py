@@ -134,14 +134,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def read_resolved(spark: SparkSession, path: str) -> DataFrame:
     """Archived pages with their whole payload's size and digest; a revisit has those of its response."""
     rows = read(spark, path)
-    responses = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(
+    responses = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(
         F.max("page_id").alias("original"), F.max("payload_bytes").alias("original_bytes"), F.max("payload_digest").alias("original_digest")
     )
-    return rows.join(responses, "refers_to_id", "left").select(
+    # a response meets itself, so that no null key gathers them in one task
+    meets = F.coalesce("refers_to_id", "record_id") == F.col("response_id")
+    return rows.join(responses, meets, "left").select(
         "page_id",
         F.coalesce("payload_bytes", "original_bytes").alias("payload_bytes"),
         F.coalesce("payload_digest", "original_digest").alias("payload_digest"),
         "record_type",
-        F.col("original").alias("refers_to"),
+        F.when(F.col("record_type") == "revisit", F.col("original")).alias("refers_to"),
         "header_digest",
     )
