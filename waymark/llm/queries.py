@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import quality_rules, token_counts, url_reputation, warc
+from waymark.llm import packing, quality_rules, token_counts, token_store, url_reputation, warc
 from waymark.llm.staging import shared_path
 
 
@@ -18,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(warc.resolve(_table(spark, sf_dir, "pages")), path)
@@ -33,4 +37,11 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op6_warc_revisits, op7_token_counts, op8_url_reputation)}
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_lexical_packing, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store)
+}
