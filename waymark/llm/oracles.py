@@ -92,4 +92,25 @@ select page_id, host, path, rule,
 from v
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op6_warc_revisits": OP6, "op8_url_reputation": OP8}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP10 = rf"""
+with d as (select doc_id, {_ALNUM} as ws from documents),
+b as (select item_id, {_ALNUM} as ws from benchmark),
+win as (
+  select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') as g
+  from (select item_id, ws, least(13, len(ws)) as k, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) as i from b where len(ws) > 0)),
+sizes as (select distinct k from win),
+g as (select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') as g
+  from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as i from d, sizes where len(ws) >= k)),
+hit as (select doc_id, i, k, item_id from g join win using (k, g)),
+cover as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + k)) as p from hit) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids
+  from (select distinct doc_id, item_id::varchar as x from hit) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join cover using (doc_id) left join items using (doc_id)
+"""
+
+ORACLE = {"op1_quality_rules": OP1, "op6_warc_revisits": OP6, "op8_url_reputation": OP8, "op10_decontamination": OP10}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import packing, quality_rules, token_counts, token_store, url_reputation, warc
+from waymark.llm import decontamination, packing, quality_rules, token_counts, token_store, url_reputation, warc
 from waymark.llm.staging import shared_path
 
 
@@ -41,7 +41,11 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lexical_packing, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store)
+    for f in (op1_quality_rules, op2_lexical_packing, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store, op10_decontamination)
 }
