@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontamination, packing, quality_rules, token_counts, token_store, url_reputation, warc
+from waymark.llm import decontamination, near_duplicates, packing, quality_rules, token_counts, token_store, url_reputation, warc
 from waymark.llm.staging import shared_path
 
 
@@ -22,6 +22,10 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write(warc.resolve(_table(spark, sf_dir, "pages")), path)
@@ -47,5 +51,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lexical_packing, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store, op10_decontamination)
+    for f in (op1_quality_rules, op2_lexical_packing, op5_near_duplicates, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store, op10_decontamination)
 }
