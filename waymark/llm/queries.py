@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontamination, near_duplicates, packing, quality_rules, substring_dedup, token_counts, token_store, url_reputation, warc
+from waymark.llm import decontamination, near_duplicates, packing, quality_model, quality_rules, substring_dedup, token_counts, token_store, url_reputation, warc
 from waymark.llm.staging import shared_path
 
 
@@ -22,6 +22,10 @@ def op2_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.learn_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("dedup.kept_text").cast("binary"), 256)
@@ -57,5 +61,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lexical_packing, op4_substring_dedup, op5_near_duplicates, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store, op10_decontamination)
+    for f in (op1_quality_rules, op2_lexical_packing, op3_quality_model, op4_substring_dedup, op5_near_duplicates, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store, op10_decontamination)
 }
