@@ -20,13 +20,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.staging import Stage
+from waymark.llm.staging import Stage, without
 from waymark.llm.text import NOT_ALNUM, lower_ascii, pieces
 
 WINDOW = 13
 PREFIXES_INLINE, WINDOWS_BROADCAST = 20_000, 100_000
 
 
+def version(text: Column) -> Column:
+    """Tells rows that share a doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _words(text: str) -> Column:
     return F.transform(pieces(F.col(text), NOT_ALNUM), lower_ascii)
 
@@ -59,14 +64,14 @@ def prefix_index(wins: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
 
 def occurrences(docs: DataFrame, prefixes: list[str] | None, width: int) -> DataFrame:
     """row, doc_id, n_words and, for each occurrence of a prefix word, its place and the words around it."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _words("text").alias("t"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", version(F.col("text")).alias("version"), _words("text").alias("t"))
     t = F.col("t")
     places = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
     if prefixes is not None:
         places = F.filter(places, lambda i: F.get(t, i).isin(prefixes)) if prefixes else F.array().cast("array<int>")
     first = lambda i: F.greatest(i - (width - 1), F.lit(0))
     around = F.transform(places, lambda i: F.struct(i.alias("i"), F.get(t, i).alias("word"), first(i).alias("first"), F.slice(t, first(i) + 1, 2 * width - 1).alias("near")))
-    return rows.select("row", "doc_id", F.size("t").cast("long").alias("n_words"), F.explode_outer(around).alias("o"))
+    return rows.select("row", "doc_id", "version", F.size("t").cast("long").alias("n_words"), F.explode_outer(around).alias("o"))
 
 
 def _covered(spans: Column) -> Column:
@@ -80,7 +85,7 @@ def _covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and version (of the text) for every document."""
     wins = windows(benchmark, width)
     small = wins.count() <= WINDOWS_BROADCAST
     # written once: its rarity counts take a pass over all documents
@@ -89,7 +94,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     if small:
         found = [r[0] for r in index.select("word").distinct().collect()]
         prefixes = sorted(found) if len(found) <= PREFIXES_INLINE else None
-    near = occurrences(docs, prefixes, width).select("row", "doc_id", "n_words", "o.*")
+    near = occurrences(docs, prefixes, width).select("row", "doc_id", "version", "n_words", "o.*")
     start = F.col("i") - F.col("offset")
     size = F.size("w")
     bounds = (start >= 0) & (start + size <= F.col("n_words"))
@@ -97,11 +102,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     side = (F.broadcast(index) if small else index).withColumnRenamed("word", "prefix")
     hits = near.join(side, (F.col("word") == F.col("prefix")) & bounds & exact, "left")
     span = F.when(F.col("w").isNotNull(), F.struct(start.alias("start"), size.alias("len")))
-    by_doc = hits.groupBy("row", "doc_id", "n_words").agg(F.collect_set(span).alias("spans"), F.collect_set("items").alias("items"))
+    by_doc = hits.groupBy("row", "doc_id", "version", "n_words").agg(F.collect_set(span).alias("spans"), F.collect_set("items").alias("items"))
     ids = F.array_sort(F.array_distinct(F.flatten("items")))
     n_hit = _covered(F.sort_array("spans")).cast("long")
-    return by_doc.select("doc_id", "n_words", n_hit.alias("n_hit"), ids.alias("ids")).select(
+    return by_doc.select("doc_id", "version", "n_words", n_hit.alias("n_hit"), ids.alias("ids")).select(
         "doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "version",
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    found = contamination(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (version(F.col("text")) == F.col("_version"))
+    return without(docs, found, same, Stage(docs.sparkSession, "contaminated"))

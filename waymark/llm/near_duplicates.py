@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.components import components
-from waymark.llm.staging import Stage, release
+from waymark.llm.staging import Stage, release, without
 from waymark.llm.text import lower_ascii, words
 
 TREES, DEPTH, LEAST_DEPTH, FIRST_TREES = 24, 8, 4, 4
@@ -228,3 +228,16 @@ class NearDuplicates:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     return NearDuplicates(docs, width, percent).run()
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns."""
+    stage = Stage(docs.sparkSession, "near-kept")
+    judged = stage.write(near_duplicates(docs, width, percent).select("doc_id", "kept"), "judged")
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    out = without(docs, gone, F.col("doc_id").cast("long") == F.col("_id"), stage)
+    repeated = judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return out
+    # rows that share a doc_id are one node, of which one stays; rows without are kept
+    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))

@@ -52,15 +52,15 @@ def _covered(starts: Column, width: int) -> Column:
     return F.aggregate(gap, F.lit(0), lambda a, x: a + x)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements of each whole text. One narrow pass without a shuffle: repeated windows
+def measure(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to carry and the measurements of each whole text. One narrow pass without a shuffle: repeated windows
     are found inside the row, by 64-bit hashes (two windows of one text collide with probability 2^-64),
     and only texts that have any are sorted."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     at = F.col
-    first = docs.select("doc_id", text.alias("text")).select(
-        "doc_id",
+    first = docs.select(*carry, text.alias("text")).select(
+        *carry,
         words(at("text")).alias("w"),
         (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -68,7 +68,7 @@ def measure(docs: DataFrame) -> DataFrame:
         lines.alias("lines"),
     )
     first = first.select(
-        "doc_id", "word_chars", "n_symbols", "n_capitals",
+        *carry, "word_chars", "n_symbols", "n_capitals",
         F.size("w").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -90,13 +90,13 @@ def measure(docs: DataFrame) -> DataFrame:
     return fourth.withColumn("n_repeat_words", covered.cast("long")).drop("p")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The measurements and `failed`, the mask of failed rules."""
     bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(0) for name, rule in RULES]
     mask = bits[0]
     for b in bits[1:]:
         mask = mask.bitwiseOR(b)
-    return measure(docs).withColumn("failed", mask.cast("long"))
+    return measure(docs, carry).withColumn("failed", mask.cast("long"))
 
 
 def apply_policy(rows: DataFrame, policy: Policy = FULL) -> DataFrame:
@@ -132,3 +132,11 @@ def judge(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_capitals", "failed", "policy",
     )
+
+
+def keep(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
+    """The rows of docs that the policy doesn't reject, with all their columns."""
+    rows = ledger(docs.select(F.struct("*").alias("doc"), "text"), ("doc",))
+    good = F.col("failed").bitwiseAND(F.lit(policy.mask | BASE.mask)) == 0
+    # not a filter: Catalyst would push it below the measurements and compute them anew
+    return rows.select(F.explode(F.when(good, F.array("doc"))).alias("doc")).select("doc.*")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -45,3 +46,13 @@ class Stage:
     def drop(self, *names: str) -> None:
         remove(self.spark, *(self.paths.pop(n) for n in names))
         release(self.spark)
+
+
+#: Rows of a list of documents that are broadcast; a longer list is shuffled.
+ROWS_BROADCAST = 1_000_000
+
+
+def without(docs: DataFrame, listed: DataFrame, same: Column, stage: Stage) -> DataFrame:
+    """The rows of docs that match no row of listed, a short table of keys."""
+    listed = stage.write(listed, "listed")
+    return docs.join(F.broadcast(listed) if listed.count() <= ROWS_BROADCAST else listed, same, "left_anti")

@@ -249,3 +249,15 @@ class SubstringDedup:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All columns of docs, and the struct `dedup`."""
     return SubstringDedup(docs).run()
+
+
+def rewrite(docs: DataFrame) -> DataFrame:
+    """docs with the repeated passages cut out of `text` and `n_chars` counted anew; texts that lose nothing stay as
+    they are, and documents of which no word is left go."""
+    rows = remove_repeats(docs)
+    cut = F.col("dedup.n_removed") > 0
+    text = F.when(cut, F.col("dedup.kept_text")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(cut, F.length("dedup.kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    row = F.struct(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    left = ~cut | (F.col("dedup.n_words") > F.col("dedup.n_removed"))
+    return rows.select(F.explode(F.when(left, F.array(row))).alias("d")).select("d.*")
