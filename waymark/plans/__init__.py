@@ -1,4 +1,4 @@
 """Registered queries over the directory's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from waymark.plans import guides  # noqa: F401
+from waymark.plans.registry import ORACLE, QUERIES  # noqa: F401
