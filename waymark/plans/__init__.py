@@ -1,4 +1,4 @@
 """Registered queries over the directory's tables, and their SQL."""
 
-from waymark.plans import guides, linking  # noqa: F401
+from waymark.plans import guides, lifecycle, linking  # noqa: F401
 from waymark.plans.registry import ORACLE, QUERIES  # noqa: F401
