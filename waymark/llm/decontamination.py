@@ -114,6 +114,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    found = contamination(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (version(F.col("text")) == F.col("_version"))
+    found = contamination(docs, benchmark, width).filter("contaminated").select("doc_id", "version")
+    same = F.col("doc.doc_id").eqNullSafe(F.col("listed.doc_id")) & (version(F.col("doc.text")) == F.col("listed.version"))
     return without(docs, found, same, Stage(docs.sparkSession, "contaminated"))

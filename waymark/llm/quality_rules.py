@@ -87,7 +87,9 @@ def measure(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     twice = F.filter("s", lambda e, j: same(e, j - 1) | same(e, j + 1))
     fourth = third.withColumn("p", F.when(at("s").isNotNull(), F.sort_array(F.transform(twice, lambda e: e["i"])))).drop("s")
     covered = F.when(at("p").isNotNull(), _covered(at("p"), WINDOW)).otherwise(0)
-    return fourth.withColumn("n_repeat_words", covered.cast("long")).drop("p")
+    measured = fourth.withColumn("n_repeat_words", covered.cast("long")).drop("p")
+    # a row for a row: Catalyst would push a later filter below the hashes and compute them anew for each element
+    return measured.select(F.explode(F.array(F.struct("*"))).alias("m")).select("m.*")
 
 
 def ledger(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -138,5 +140,4 @@ def keep(docs: DataFrame, policy: Policy = FULL) -> DataFrame:
     """The rows of docs that the policy doesn't reject, with all their columns."""
     rows = ledger(docs.select(F.struct("*").alias("doc"), "text"), ("doc",))
     good = F.col("failed").bitwiseAND(F.lit(policy.mask | BASE.mask)) == 0
-    # not a filter: Catalyst would push it below the measurements and compute them anew
-    return rows.select(F.explode(F.when(good, F.array("doc"))).alias("doc")).select("doc.*")
+    return rows.filter(good).select("doc.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Bounds the batches that tasks exchange with Python while a job is planned and run."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 class Stage:
     """Tables written once and read many times: lineage ends at them, so a lost executor costs a
     re-read and not a recomputation. Unlike an in-memory cache they survive the executors."""
@@ -38,11 +51,16 @@ class Stage:
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = shared_path(self.spark, f"{self.tag}-{name}")
-        out = df.write.option("compression", "zstd")
-        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+        with small_batches(self.spark):
+            self._save(df, path, partition_by)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @staticmethod
+    def _save(df: DataFrame, path: str, partition_by: list[str] | None) -> None:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+
     def drop(self, *names: str) -> None:
         remove(self.spark, *(self.paths.pop(n) for n in names))
         release(self.spark)
@@ -53,6 +71,8 @@ ROWS_BROADCAST = 1_000_000
 
 
 def without(docs: DataFrame, listed: DataFrame, same: Column, stage: Stage) -> DataFrame:
-    """The rows of docs that match no row of listed, a short table of keys."""
-    listed = stage.write(listed, "listed")
-    return docs.join(F.broadcast(listed) if listed.count() <= ROWS_BROADCAST else listed, same, "left_anti")
+    """The rows of docs that match no row of listed, a short table of keys; `same` compares the structs doc and listed,
+    so that no name clashes."""
+    listed = stage.write(listed, "listed").select(F.struct("*").alias("listed"))
+    side = F.broadcast(listed) if listed.count() <= ROWS_BROADCAST else listed
+    return docs.select(F.struct("*").alias("doc")).join(side, same, "left_anti").select("doc.*")

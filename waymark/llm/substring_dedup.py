@@ -12,7 +12,8 @@ Counts are summed before the shuffle, and rows meet counts in joins whose row si
 a third of all documents is no hot task. Intermediate tables are written, and dropped when they have been read.
 
 Defined results: a null or empty text has no words; texts of fewer words than a window lose nothing; repeated rows
-are occurrences of their own, so both lose their windows; all columns of the input are kept, whatever their names.
+are occurrences of their own, so both lose their windows; all columns of the input are kept, whatever their names,
+except one called `dedup`, which is replaced.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ class SubstringDedup:
     """One run over a table with doc_id and text."""
 
     def __init__(self, docs: DataFrame):
-        self.docs, self.spark = docs, docs.sparkSession
+        self.docs, self.spark = docs.drop("dedup"), docs.sparkSession
         self.stage = Stage(self.spark, "substrings")
         # rows that share a doc_id are told apart by their texts
         version = F.hash(F.coalesce("text", F.lit("")))
