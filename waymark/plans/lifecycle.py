@@ -190,7 +190,7 @@ def a13(v):
 
 @query(
     "A14_source_health",
-    "select host, count_if(ok) as n_ok, count_if(kind = 'source') as n_unreachable, count_if(kind = 'pipeline') as n_extraction, arg_min(reason, ord) filter (not ok) as first_reason from v_fetch group by host",
+    "select host, count_if(ok)::bigint as n_ok, count_if(kind = 'source')::bigint as n_unreachable, count_if(kind = 'pipeline')::bigint as n_extraction, arg_min(reason, ord) filter (not ok) as first_reason from v_fetch group by host",
 )
 def a14(v):
     return lifecycle.source_health(v.v_fetch)
@@ -251,7 +251,7 @@ def i6(v):
     return v.v_fetch.filter("ok").groupBy("host").agg(F.max("ts").alias("latest"), F.coalesce(gate, F.lit(True)).alias("may_act"))
 
 
-@query("I7_daily_health", "select host, date_trunc('day', ts)::timestamp as day, count_if(ok) as n_ok, count(*) as n from v_fetch group by 1, 2")
+@query("I7_daily_health", "select host, date_trunc('day', ts)::timestamp as day, count_if(ok)::bigint as n_ok, count(*) as n from v_fetch group by 1, 2")
 def i7(v):
     return v.v_fetch.groupBy("host", F.window("ts", "1 day").alias("w")).agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n")).select("host", F.col("w.start").alias("day"), "n_ok", "n")
 

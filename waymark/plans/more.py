@@ -40,7 +40,7 @@ def a11(v):
 @query(
     "A17_guide_tallies",
     f"""with {_LISTED}, s as (select distinct entity_id from v_source where type in ('review', 'social'))
-    select guide_id, count_if(r.review_id is not null) as n_reviewed, coalesce(bool_or(r.rating is not null and s.entity_id is not null), false) as any_score
+    select guide_id, count_if(r.review_id is not null)::bigint as n_reviewed, coalesce(bool_or(r.rating is not null and s.entity_id is not null), false) as any_score
     from listed left join v_review r using (entity_id) left join s using (entity_id) group by guide_id""",
 )
 def a17(v):
