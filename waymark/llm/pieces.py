@@ -150,10 +150,12 @@ class Remembered:
 
     def of(self, pieces: list[str]) -> list:
         out = list(map(self.known.get, pieces))
-        if None in out:
-            new = list({p for p, v in zip(pieces, out, strict=True) if v is None})
+        missing = [i for i, v in enumerate(out) if v is None]
+        if missing:
+            new = list({pieces[i] for i in missing})
             found = dict(zip(new, self.compute(new), strict=True))
-            out = [found[p] if v is None else v for p, v in zip(pieces, out, strict=True)]
+            for i in missing:
+                out[i] = found[pieces[i]]
             if len(self.known) < MAX_PIECES:
                 self.known.update((p, v) for p, v in found.items() if len(p) <= MAX_REMEMBERED_LENGTH)
         return out
