@@ -113,4 +113,35 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join cover using (doc_id) left join items using (doc_id)
 """
 
-ORACLE = {"op1_quality_rules": OP1, "op6_warc_revisits": OP6, "op8_url_reputation": OP8, "op10_decontamination": OP10}
+OP4 = rf"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+p as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from d where len(ws) >= 35),
+g as (select doc_id, i, array_to_string(ws[i:i + 34], ' ') as g from p),
+rep as (select doc_id, i from g qualify count(*) over (partition by g) > 1),
+cover as (select doc_id, list(distinct p) as gone from (select doc_id, unnest(range(i, i + 35)) as p from rep) group by doc_id),
+kept as (
+  select doc_id, len(ws) as n, case when gone is null then ws else list_filter(ws, lambda w, i: not list_contains(gone, i)) end as ks
+  from d left join cover using (doc_id))
+select doc_id, n::bigint as n_words, (n - len(ks))::bigint as n_removed, sha256(array_to_string(ks, ' ')) as kept_sha256 from kept
+"""
+
+_LOWERED = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP5 = f"""
+with recursive d as (select doc_id, {_LOWERED} as ws from documents),
+s as (
+  select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as g
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from d where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b using (g) where a.doc_id <> b.doc_id group by all),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n + y.n - common)),
+r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+m as (select a as doc_id, min(b) as lo from r group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(lo, doc_id)) as component_id, doc_id <= coalesce(lo, doc_id) as kept
+from d left join n using (doc_id) left join m using (doc_id)
+"""
+
+ORACLE = {
+    "op1_quality_rules": OP1, "op4_substring_dedup": OP4, "op5_near_duplicates": OP5, "op6_warc_revisits": OP6, "op8_url_reputation": OP8,
+    "op10_decontamination": OP10,
+}
