@@ -20,6 +20,7 @@ CURRENCIES = "usd|thb|php|idr|myr|vnd|sgd|khr|lak|mmk|bnd|rm|rp"
 PRICE = rf"(?i)(?:{CURRENCIES}|\$|฿|₱|€|£)\s*\d|\d[\d,.]*\s*(?:{CURRENCIES}|baht|dollars?|pesos?|ringgit|rupiah|dong)\b"
 BACK = "(?i)^(that|this|these|those|it|they|there|which|both|either|such)\\b"
 SIGN_UP = r"(?i)\b(registration|registrations|register|registering|sign[- ]?ups?|entries|entrants|entry)\b"
+OWN_CHECK = r"(?i)(?:as of the last verification[^.]*|(?:last )?verified (?:as of|on|against[^.]*?as of)[^.]*?\d{4}|confidence (?:score|rating) (?:of )?\(?\d+\)?)"
 STOPWORDS = (
     "a an the is are was were be been do does did can could will would should i you it they there this that these those "
     "to of for in on at by with from and or any my your get got have has"
@@ -141,6 +142,11 @@ def word_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), ""))
 
 
+def own_check(text: Column) -> Column:
+    """Where a text states its own date of verification or confidence score; null if it doesn't."""
+    return F.nullif(F.regexp_extract(text, f"({OWN_CHECK})", 1), F.lit(""))
+
+
 def question_key(question: Column) -> Column:
     """(lead, content): the leading interrogative, and the words that matter."""
     plain = F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), r"[^a-z0-9\s]", " ")

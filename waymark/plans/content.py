@@ -154,6 +154,7 @@ def u4(v):
       union all select 'review', review_id, 'V11.ref', 'error' from v_review where regexp_matches(body, '\[\d+-\d+\]')
       union all select 'review', review_id, 'V10.entity', 'error' from v_review where entity_id not in (select entity_id from v_entity)
       union all select 'review', review_id, 'V13.year', 'warning' from v_review where not contains(body, '2024')
+      union all select 'review', review_id, 'V5.check', 'warning' from v_review where regexp_matches(body, '(?i)(last )?verified on [^.]*?\d{4}')
       union all select 'faq', concat(owner_id, ':', pos), 'V7.answer', 'warning' from v_faq where len(list_filter(regexp_split_to_array(trim(answer), '\s+'), lambda x: x <> '')) not between 30 and 80
       union all select 'entity', entity_id, 'V2.slug', 'error' from v_entity qualify row_number() over (partition by slug order by ord) > 1
       union all select 'entity', entity_id, 'V1.tags', 'error' from v_entity where len(tags) > 2

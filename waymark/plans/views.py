@@ -41,7 +41,7 @@ VIEWS = {
     "v_review": """
       select concat('r', cast(d.doc_id as string)) as review_id, concat('e', cast(d.doc_id as string)) as entity_id, d.doc_id as ord,
         concat(text, case d.doc_id % 7 when 0 then ' [1]' when 1 then ' [2, 3]' when 2 then ' [16-8]' when 3 then ' [9]'
-          when 4 then ' <cite index="1">x</cite>' when 5 then ' (85/100)' else '' end) as body,
+          when 4 then ' <cite index="1">x</cite>' when 5 then ' (85/100)' else ' Last verified on 2 May 2024.' end) as body,
         d.doc_id % 5 as n_sources, d.doc_id % 4 as n_sections, d.doc_id % 3 as n_faqs,
         case when quality is not null then quality * 60 + toxic * 20 end as rating, lang as topic,
         concat('2024-01-', lpad(cast(d.doc_id % 28 + 1 as string), 2, '0')) as published_at,
