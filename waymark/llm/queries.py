@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontamination, near_duplicates, packing, quality_model, quality_rules, substring_dedup, token_counts, token_store, url_reputation, warc
-from waymark.llm.staging import shared_path
+from waymark.llm.staging import package_on_workers, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    package_on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
