@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.pieces import trim
 from waymark.llm.staging import Stage
 from waymark.llm.token_store import encoder
 
@@ -69,6 +70,7 @@ def _encode(path: str, end_id: int):
             kinds = [pa.int64()] * 7 + [pa.binary()]
             names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "lex", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        trim()
 
     return run
 

@@ -31,7 +31,7 @@ SEPARATOR = "\x00"
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 APOSTROPHE, BLANK = 0x27, 0x20
 #: Bounds of what a Python worker remembers.
-MAX_PIECES, MAX_REMEMBERED_LENGTH, BATCH_CHARS = 500_000, 48, 1 << 21
+MAX_PIECES, MAX_REMEMBERED_LENGTH, BATCH_CHARS = 500_000, 48, 1 << 19
 
 
 def character_classes() -> np.ndarray:
@@ -130,6 +130,18 @@ class Cutter:
         return pieces, np.concatenate((np.searchsorted(starts, ends - lengths), [len(starts)]))
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: workers live on between tasks, beside each other."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if give_back:
+        give_back(0)
+
+
 def batches(texts: Sequence[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit characters, one text at least."""
     at, size = 0, 0

@@ -19,7 +19,6 @@ except one called `dedup`, which is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.llm.pieces import trim
 from waymark.llm.staging import Stage, release
 from waymark.llm.text import hashes, words
 
@@ -44,22 +44,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 to n - 1, modulo 2^64."""
-    out = []
-    for b in (BASE, INVERSE):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """BASE and its inverse to the powers 0 to n - 1 and more, modulo 2^64; one table that grows as needed."""
+    if len(_POWERS[0]) < n:
+        for k, b in enumerate((BASE, INVERSE)):
+            p = np.full(1 << n.bit_length(), b, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.multiply.accumulate(p)
+    return _POWERS
 
 
 class Hashes:
     """Hashes of any run of words of a flat array of word hashes."""
 
     def __init__(self, h: np.ndarray):
-        up, self.down = _powers(1 << max(1, int(len(h)).bit_length()))
+        up, self.down = _powers(len(h) + 1)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
 
     def of(self, first: np.ndarray, size) -> np.ndarray:
@@ -136,6 +138,7 @@ def _find_paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array((begin - own[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
                 names=["kmer", "words", "doc_id", "version", "first", "n"],
             )
+    trim()
 
 
 def _expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
