@@ -261,7 +261,7 @@ class NearDuplicates:
             old = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comp = components(old.union(found), self.stage, f"c-{tag}")
         named = members.join(comp, members["rep"] == comp["node"], "left")
-        component = F.coalesce("component", "rep", "doc_id")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
         return named.select(
             "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
         )
