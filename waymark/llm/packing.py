@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.pieces import trim
 from waymark.llm.staging import Stage
-from waymark.llm.token_store import encoder
+from waymark.llm.token_store import encoder, forget
 
 WINDOW = 2048
 SHARD_DOCS = 4096
@@ -191,6 +191,7 @@ class Packer:
 
 
 def _pack_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     packer, waiting = Packer(TaskContext.get().partitionId() << 40), []
     for batch in it:
         for doc, start, length, crc, total, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")), strict=True):
