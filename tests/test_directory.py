@@ -197,3 +197,23 @@ def test_streams_equal_their_batch_forms(spark, tmp_path):
         batch = {tuple(r) for r in make(source).collect()}
         got = {tuple(r) for r in spark.table(name).collect()}
         assert got == batch if name == "daily" else got <= batch and got
+
+
+def test_interval_duplicates_of_any_length(spark):
+    import datetime
+    import random
+
+    rng, first = random.Random(3), datetime.date(1968, 1, 1)
+    rows = []
+    for i in range(120):
+        start = first + datetime.timedelta(rng.randrange(4000))
+        rows.append((f"e{i}", rng.choice("rs"), start, start + datetime.timedelta(rng.choice([0, 0, 1, 2, 31, 45, 400, 3000])), i))
+    rows += [("late", "t", datetime.date(2024, 3, 1), datetime.date(2024, 3, 1), 200), ("season", "t", datetime.date(2024, 1, 1), datetime.date(2024, 6, 30), 201)]
+    df = spark.createDataFrame(rows, "entity_id string, region_id string, start date, end date, ord int")
+    got = {r["entity_id"]: r["duplicate_of"] for r in linking.interval_duplicates(df.filter("ord % 2 = 0"), df.filter("ord % 2 = 1")).collect()}
+    want = {}
+    for c in rows[::2]:
+        hits = [x for x in rows[1::2] if x[1] == c[1] and c[2] <= x[3] and x[2] <= c[3] and (c[3] > c[2] or x[3] > x[2])]
+        if hits:
+            want[c[0]] = min(hits, key=lambda x: x[4])[0]
+    assert got == want and got["late"] == "season"

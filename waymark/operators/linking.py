@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DAYS = 31
-
 
 def by_label(rows: DataFrame, label: str, items: DataFrame, item_id: str) -> DataFrame:
     """rows with the id of the item whose label is equal but for case and outer blanks; null without one."""
@@ -28,15 +26,34 @@ def exact_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 def interval_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     """(entity_id, duplicate_of): the first existing entity of the region whose days overlap, if either of the two
-    lasts several days. Days are the join key, so that a region's entities don't all meet; intervals are at most
-    MAX_DAYS long."""
-    days = lambda df: df.withColumn("day", F.explode(F.sequence("start", F.least("end", F.date_add("start", MAX_DAYS - 1)))))
-    a = days(candidates.select("entity_id", "region_id", "start", "end")).withColumn("long_a", F.col("end") > F.col("start"))
-    b = days(existing.select(F.col("entity_id").alias("other"), "region_id", "ord", "start", "end")).select("other", "region_id", "ord", "day", (F.col("end") > F.col("start")).alias("long_b"))
-    hit = a.join(b, ["region_id", "day"]).filter("long_a or long_b")
+    lasts several days. An interval of any length lies in at most two blocks of 2^level days, level being that of its
+    own length or a higher one; two intervals meet on the blocks of the longer one's level, so that a region's entities
+    don't all meet."""
+    a = _levelled(candidates.select("entity_id", "region_id", "start", "end"))
+    b = _levelled(existing.select(F.col("entity_id").alias("other"), "region_id", "ord", F.col("start").alias("b_start"), F.col("end").alias("b_end")), "b_start", "b_end")
+    keys = ["region_id", "level", "block"]
+    longer = _blocks(a, b.select(F.col("own").alias("level")).distinct(), "level >= own").join(_blocks(b, None), keys)
+    shorter = _blocks(a, None).join(_blocks(b, a.select(F.col("own").alias("level")).distinct(), "level > own"), keys)
+    hit = longer.unionByName(shorter).filter("start <= b_end and b_start <= end and (end > start or b_end > b_start)")
     return hit.groupBy("entity_id").agg(F.min_by("other", "ord").alias("duplicate_of"))
 
 
+def _levelled(rows: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """rows with the first and last day as numbers, and the least level whose blocks are as long as the interval."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    numbered = rows.withColumn("_lo", F.least(day(start), day(end))).withColumn("_hi", F.greatest(day(start), day(end)))
+    # n binary digits hold the length less one
+    n = F.length(F.bin((F.col("_hi") - F.col("_lo")).cast("long")))
+    return numbered.withColumn("own", F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(n))
+
+
+def _blocks(rows: DataFrame, levels: DataFrame | None, which: str = "") -> DataFrame:
+    """rows by block: of their own level, or of those levels that fit the condition."""
+    at = rows.withColumn("level", F.col("own")) if levels is None else rows.join(F.broadcast(levels), F.expr(which))
+    ends = F.array(*(F.expr(f"shiftright({c}, level)") for c in ("_lo", "_hi")))
+    return at.withColumn("block", F.explode(F.array_distinct(ends))).drop("_lo", "_hi", "own")
+
+
 def _best(pool: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k of each group, cut down before any join."""
     w = Window.partitionBy(*keys).orderBy(*order)
