@@ -217,3 +217,17 @@ def test_interval_duplicates_of_any_length(spark):
         if hits:
             want[c[0]] = min(hits, key=lambda x: x[4])[0]
     assert got == want and got["late"] == "season"
+
+
+def test_first_mentions_are_found_inside_brackets_and_quotes(spark):
+    texts = [
+        (1, "see (Boston Marathon 2024) now\nBoston Marathon", "u9"), (2, 'a "Boston Marathon" and\tParis Night Run, both', "u9"), (3, "ATMBs and xATMB", "u9"), (4, "Twin Hill Race", "u2"),
+        (5, "Twin Hill Race", "u3"), (6, "(ZZ) is\n(Q1) first; Oslo Ab!", None), (7, None, None), (8, "boston marathon", None),
+    ]
+    names = [("u1", "Boston Marathon", 1), ("u1", "ATMB", 1), ("u2", "Twin Hill Race", 2), ("u3", "Twin Hill Race", 3), ("u4", "Paris Night Run", 4), ("u5", "(Q1)", 5), ("u5", "Ab", 5), ("u6", "Z", 6), ("u7", "", 7)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string, own_url string")
+    got = {tuple(r) for r in linking.first_mentions(docs, spark.createDataFrame(names, "url string, alias string, ord int")).collect()}
+    assert got == {
+        (1, "u1", 0, "Boston Marathon"), (2, "u1", 0, "Boston Marathon"), (2, "u4", 0, "Paris Night Run"), (3, "u1", 0, "ATMB"), (4, "u3", 0, "Twin Hill Race"),
+        (5, "u2", 0, "Twin Hill Race"), (6, "u5", 1, "(Q1)"), (6, "u6", 0, "Z"),
+    }

@@ -134,7 +134,7 @@ def j15(v):
 )
 def j16(v):
     words = F.split("text", " ")
-    names = v.benchmark.filter(F.size(words) >= 3).select(F.col("item_id").alias("url"), F.array_join(F.slice(words, 1, 3), " ").alias("alias"))
+    names = v.benchmark.filter(F.size(words) >= 3).select(F.col("item_id").alias("url"), F.array_join(F.slice(words, 1, 3), " ").alias("alias"), F.col("item_id").alias("ord"))
     return linking.first_mentions(v.documents, names)
 
 
