@@ -1,11 +1,15 @@
 """Quirks of the directory's operators on hand-made records."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import pages, text
 from waymark.operators import categories, crawl, guides, hierarchy, lifecycle, linking, quality, results
+from waymark.plans import content, more
+from waymark.plans import lifecycle as lifecycle_plans
 from waymark.sources import collections, exports
 from waymark.streaming import health
 
@@ -231,3 +235,35 @@ def test_first_mentions_are_found_inside_brackets_and_quotes(spark):
         (1, "u1", 0, "Boston Marathon"), (2, "u1", 0, "Boston Marathon"), (2, "u4", 0, "Paris Night Run"), (3, "u1", 0, "ATMB"), (4, "u3", 0, "Twin Hill Race"),
         (5, "u2", 0, "Twin Hill Race"), (6, "u5", 1, "(Q1)"), (6, "u6", 0, "Z"),
     }
+
+
+def _run(spark, make, **tables):
+    """A registered query over hand-made tables, each a list of rows and a schema."""
+    return [tuple(r) for r in make(SimpleNamespace(spark=spark, **{k: spark.createDataFrame(*x) for k, x in tables.items()})).collect()]
+
+
+def test_queries_cover_their_whole_tables_and_texts(spark):
+    assert {r[0] for r in _run(spark, content.c3, orders=([(k,) for k in range(8)], "o_orderkey long"))} == set(range(8))
+    long = "first (85/100) " + "word " * 200
+    assert _run(spark, content.x6, v_review=([("r", long)], "review_id string, body string")) == [("r", "first " + ("word " * 200).strip())]
+    assert _run(spark, content.t12, documents=([(1, "ab " * 50)], "doc_id int, text string")) == [(1, "-".join(["ab"] * 50))]
+    sources = [("e", 1, "2024-05-01"), ("e", 3, "2023-01-01")]
+    assert _run(spark, lifecycle_plans.a12, v_entity=([("e", "2000-01-01")], "entity_id string, date_s string"), v_source=(sources, "entity_id string, pos int, last_checked string")) == [("e", "2024-05-01")]
+    body = '{"k": "' + "x" * 300 + '"}'
+    answers = [(0, f"Here: ```json\n{body}\n``` done"), (1, 'It is {"k": 1}.'), (2, '{"k": 2}'), (3, '{"k": 3')]
+    got = {r[0]: r[3:] for r in _run(spark, more.x16, v_response=(answers, "ord long, answer string"))}
+    assert got == {"d0": (body[:220], True), "d1": ('{"k": 1}', False), "d2": ('{"k": 2}', False)}
+
+
+def test_same_questions_meet_by_containment(spark):
+    from waymark.functions.text import near_duplicate, question_key
+
+    asked = ["How hilly is the course?", "How hilly is the long course today?", "How hilly is the course", "What hilly course?", "How hot is the course?", "How long?", "how hot, hilly is the course", "", None, "hilly course"]
+    rows = [(f"c{i}", 1, q) for i, q in enumerate(asked)] + [("c5", 2, "hot springs near start"), ("c5", 3, "hot springs start")]
+    faqs = spark.createDataFrame(rows, "owner_id string, pos int, question string")
+    got = {(r["first_owner"], r["other_owner"]) for r in quality.same_questions(faqs).collect()}
+    a, b = faqs.select("owner_id", question_key(F.col("question")).alias("a")), faqs.select(F.col("owner_id").alias("o"), question_key(F.col("question")).alias("b"))
+    pairs = a.crossJoin(b).filter(near_duplicate(F.col("a"), F.col("b")) & (F.size("a.content") <= F.size("b.content"))).filter("owner_id <> o").collect()
+    first = {"c2": "c0"}
+    assert got == {(first.get(r["owner_id"], r["owner_id"]), first.get(r["o"], r["o"])) for r in pairs}
+    assert ("c0", "c0") in got and ("c0", "c1") in got and ("c5", "c5") not in got

@@ -33,6 +33,23 @@ def near_duplicate_questions(faqs: DataFrame) -> DataFrame:
     return pairs.select("owner_id", F.col("a.pos").alias("first"), F.col("b.pos").alias("second"))
 
 
+def same_questions(faqs: DataFrame) -> DataFrame:
+    """(lead, content, n, first_owner, other, other_n, other_owner): groups of equal questions, and the groups whose
+    content lies in another's, where records differ; other is the larger content, or the same one for a group of
+    several records. Groups meet on the rarest word of the smaller content, and are then verified."""
+    keyed = faqs.select("owner_id", question_key(F.col("question")).alias("k")).filter("size(k.content) >= 2")
+    group = keyed.groupBy(F.col("k.lead").alias("lead"), F.array_sort("k.content").alias("content")).agg(
+        F.count("*").alias("n"), F.min("owner_id").alias("first_owner"), F.max("owner_id").alias("last_owner")
+    )
+    words = group.select("*", F.explode("content").alias("word"))
+    common = words.groupBy("lead", "word").agg(F.count("*").alias("df"))
+    rarest = words.join(common, ["lead", "word"]).groupBy("lead", "content", "n", "first_owner", "last_owner").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
+    larger = words.select("lead", "word", F.col("content").alias("other"), F.col("n").alias("other_n"), F.col("first_owner").alias("other_owner"), F.col("last_owner").alias("other_last"))
+    met = rarest.join(larger, ["lead", "word"]).filter(F.size(F.array_except("content", "other")) == 0)
+    differ = met.filter("not (first_owner = last_owner and other_owner = other_last and first_owner = other_owner)")
+    return differ.select("lead", F.array_join("content", " ").alias("content"), "n", "first_owner", F.array_join("other", " ").alias("other"), "other_n", "other_owner")
+
+
 def violations(v) -> DataFrame:
     """Every rule over the derived tables v."""
     reviews, entities, faqs, sources = v.v_review, v.v_entity, v.v_faq, v.v_source

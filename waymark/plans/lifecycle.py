@@ -179,7 +179,7 @@ def a5(v):
 
 @query("A12_freshness", "select e.entity_id, coalesce(max(last_checked), any_value(date_s)) as checked from v_entity e left join v_source s on s.entity_id = e.entity_id and s.pos > 2 group by e.entity_id")
 def a12(v):
-    return lifecycle.freshness(v.v_entity, v.v_source.filter("pos > 2"), "date_s")
+    return lifecycle.freshness(v.v_entity, v.v_source, "date_s")
 
 
 @query("A13_material_score", "select entity_id, len(tags) + len(numeric_facts) as score from v_entity")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.functions import text
-from waymark.operators import guides, hierarchy, lifecycle
+from waymark.functions import pages, text
+from waymark.operators import guides, hierarchy, lifecycle, quality
 from waymark.plans.guides import _LISTED, GUIDES, guide_ranking
 from waymark.plans.registry import query
 
+#: Characters of a draft's description.
+DESCRIPTION = 220
+
 
 @query(
     "A10_guide_summaries",
@@ -101,10 +104,11 @@ def x15(v):
 
 @query("X16_drafts", "select concat('d', ord) as entity_id, 'draft' as status, 50 as reliability_score, substr(answer, 1, 20) as short_description, case when length(answer) > 20 then true else false end as cut from v_response where ord % 4 = 2")
 def x16(v):
-    rows = v.v_response.filter("ord % 4 = 2")
+    """A draft of every answer that parses, described by its JSON text."""
+    rows = v.v_response.select("ord", pages.answer_json(F.col("answer")).alias("json")).filter("json is not null")
     return rows.select(
         F.concat(F.lit("d"), F.col("ord").cast("string")).alias("entity_id"), F.lit("draft").alias("status"), F.lit(50).alias("reliability_score"),
-        F.substring("answer", 1, 20).alias("short_description"), (F.length("answer") > 20).alias("cut"),
+        F.substring("json", 1, DESCRIPTION).alias("short_description"), (F.length("json") > DESCRIPTION).alias("cut"),
     )
 
 
@@ -138,11 +142,7 @@ def v15(v):
 
 @query("U5_same_questions")
 def u5(v):
-    """Questions of different records that ask the same, met on their whole content."""
-    key = text.question_key(F.col("question"))
-    keyed = v.v_faq.select("owner_id", "pos", key.alias("k")).filter("size(k.content) >= 2")
-    group = keyed.groupBy(F.col("k.lead").alias("lead"), F.array_sort("k.content").alias("content")).agg(F.count("*").alias("n"), F.min("owner_id").alias("first_owner"))
-    return group.filter("n > 1").select("lead", F.array_join("content", " ").alias("content"), "n", "first_owner")
+    return quality.same_questions(v.v_faq)
 
 
 @query("X5_scrubbed_faqs")
