@@ -267,3 +267,10 @@ def test_same_questions_meet_by_containment(spark):
     first = {"c2": "c0"}
     assert got == {(first.get(r["owner_id"], r["owner_id"]), first.get(r["o"], r["o"])) for r in pairs}
     assert ("c0", "c0") in got and ("c0", "c1") in got and ("c5", "c5") not in got
+
+
+def test_every_well_formed_source_is_kept_whole(spark):
+    urls = [f"https://example.org/a/long/path/{i}" for i in range(1, 8)]
+    rows = [("e", i, u, "news" if i % 2 else "blog") for i, u in enumerate(urls, 1)] + [("e", 8, "no url", "news"), ("e", 0, urls[0], "news")]
+    got = sorted(_run(spark, more.x13, v_source=(rows, "entity_id string, pos int, url string, type string")))
+    assert got == [("e", i, "news" if i % 2 else "other", u) for i, u in enumerate(urls, 1)]

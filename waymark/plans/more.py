@@ -86,11 +86,10 @@ def x11(v):
 
 @query("X13_normalised_sources", "select entity_id, pos, case when type in ('official', 'news', 'review', 'social') then type else 'other' end as type, substr(url, 1, 20) as url from v_source where url like 'https://%' qualify row_number() over (partition by entity_id order by pos, url) <= 3")
 def x13(v):
-    """X13 and X14: well-formed sources, unknown types as other, texts cut to their caps, at most three."""
+    """The sources of X13: all well-formed ones with their whole urls, unknown types as other."""
     known = F.when(F.col("type").isin("official", "news", "review", "social"), F.col("type")).otherwise("other")
-    rows = v.v_source.filter(F.try_parse_url("url", F.lit("HOST")).isNotNull()).select("entity_id", "pos", "url", known.alias("type"))
-    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("entity_id").orderBy("pos", "url"))).filter("rn <= 3")
-    return first.select("entity_id", "pos", "type", F.substring("url", 1, 20).alias("url"))
+    formed = (F.col("pos") > 0) & F.try_parse_url("url", F.lit("HOST")).isNotNull()
+    return v.v_source.filter(formed).select("entity_id", "pos", known.alias("type"), "url")
 
 
 @query("X15_merged_facts", "select entity_id, coalesce(case when ord % 3 = 0 then '2001-01-01' end, date_s) as date_s, case when ord % 3 = 0 then ord % 6 = 0 else true end as accepted from v_entity")
