@@ -274,3 +274,18 @@ def test_every_well_formed_source_is_kept_whole(spark):
     rows = [("e", i, u, "news" if i % 2 else "blog") for i, u in enumerate(urls, 1)] + [("e", 8, "no url", "news"), ("e", 0, urls[0], "news")]
     got = sorted(_run(spark, more.x13, v_source=(rows, "entity_id string, pos int, url string, type string")))
     assert got == [("e", i, "news" if i % 2 else "other", u) for i, u in enumerate(urls, 1)]
+
+
+def test_compound_references_are_reported_and_stripped(spark):
+    assert one(spark, text.strip_artifacts(F.col("v")), "Hilly [11-3,11-4] and hot [16-8] but [1, 2].") == "Hilly and hot but [1, 2]."
+    reviews = [("ref", "2024 Hilly [11-3,11-4]."), ("list", "2024 road · city · flat · fast"), ("two", "2024 a · b · c\nd · e"), ("none", "2024 fine [1,2]")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    views = SimpleNamespace(
+        v_review=frame([(k, "e", b) for k, b in reviews], "review_id string, entity_id string, body string"),
+        v_entity=frame([("e", "s", 1, ["t"], "active", "2024-01-01")], "entity_id string, slug string, ord int, tags array<string>, status string, date_s string"),
+        v_faq=frame([], "owner_id string, pos int, answer string"), v_source=frame([], "entity_id string, pos int, url string"),
+    )
+    got = sorted((r["key"], r["rule"], r["severity"]) for r in quality.violations(views).collect())
+    assert got == [("list", "V11.facets", "warning"), ("ref", "V11.ref", "error")]
+    had = {r[0]: r[2:] for r in _run(spark, content.x7, v_review=(reviews, "review_id string, body string"))}
+    assert had["ref"] == (True, False) and had["none"] == (False, False)

@@ -20,6 +20,7 @@ CURRENCIES = "usd|thb|php|idr|myr|vnd|sgd|khr|lak|mmk|bnd|rm|rp"
 PRICE = rf"(?i)(?:{CURRENCIES}|\$|฿|₱|€|£)\s*\d|\d[\d,.]*\s*(?:{CURRENCIES}|baht|dollars?|pesos?|ringgit|rupiah|dong)\b"
 BACK = "(?i)^(that|this|these|those|it|they|there|which|both|either|such)\\b"
 SIGN_UP = r"(?i)\b(registration|registrations|register|registering|sign[- ]?ups?|entries|entrants|entry)\b"
+CHUNK_REF = r"\[\d+-[^\]]*\]"
 OWN_CHECK = r"(?i)(?:as of the last verification[^.]*|(?:last )?verified (?:as of|on|against[^.]*?as of)[^.]*?\d{4}|confidence (?:score|rating) (?:of )?\(?\d+\)?)"
 STOPWORDS = (
     "a an the is are was were be been do does did can could will would should i you it they there this that these those "
@@ -135,7 +136,7 @@ def strip_score(text: Column) -> Column:
 
 def strip_artifacts(text: Column) -> Column:
     """Without leaked citation tags and references with a hyphen."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?i)</?cite[^>]*>", ""), r"\s*\[\d+-\d+\]", ""), r"\s{2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?i)</?cite[^>]*>", ""), r"\s*" + CHUNK_REF, ""), r"\s{2,}", " "))
 
 
 def word_count(text: Column) -> Column:

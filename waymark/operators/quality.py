@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.text import is_page, near_duplicate, own_check, question_key, word_count
+from waymark.functions.text import CHUNK_REF, is_page, near_duplicate, own_check, question_key, word_count
 
 
 def issues(rows: DataFrame, collection: str, key: Column, rules: list[tuple[str, str, Column]]) -> DataFrame:
@@ -57,7 +57,8 @@ def violations(v) -> DataFrame:
     orphans = reviews.join(entities.select("entity_id"), "entity_id", "left_anti")
     parts = [
         issues(reviews, "review", F.col("review_id"), [
-            ("V11.cite", "error", F.col("body").rlike("(?i)</?cite[^>]*>")), ("V11.ref", "error", F.col("body").rlike(r"\[\d+-\d+\]")),
+            ("V11.cite", "error", F.col("body").rlike("(?i)</?cite[^>]*>")), ("V11.ref", "error", F.col("body").rlike(CHUNK_REF)),
+            ("V11.facets", "warning", F.exists(F.split("body", "\n"), lambda p: F.regexp_count(p, F.lit(" · ")) >= 3)),
             ("V13.year", "warning", ~F.contains("body", F.lit("2024"))), ("V5.check", "warning", own_check(F.col("body")).isNotNull()),
         ]),
         orphans.select(F.lit("review").alias("collection"), F.col("review_id").alias("key"), F.lit("V10.entity").alias("rule"), F.lit("error").alias("severity")),

@@ -117,8 +117,8 @@ def x6(v):
 def x7(v):
     clean = text.strip_artifacts(F.col("body"))
     return v.v_review.select(
-        "review_id", F.col("body").rlike("(?i)</?cite[^>]*>").alias("had_tag"), F.col("body").rlike(r"\[\d+-\d+\]").alias("had_ref"),
-        (clean.rlike("(?i)<cite") | clean.rlike(r"\[\d+-\d+\]")).alias("left_over"),
+        "review_id", F.col("body").rlike("(?i)</?cite[^>]*>").alias("had_tag"), F.col("body").rlike(text.CHUNK_REF).alias("had_ref"),
+        (clean.rlike("(?i)<cite") | clean.rlike(text.CHUNK_REF)).alias("left_over"),
     )
 
 
