@@ -261,3 +261,35 @@ def test_url_rules_and_reputation(spark, pages):
 
 def test_schema_of_empty_tables(empty):
     assert isinstance(quality_rules.judge(empty).schema["n_words"].dataType, T.LongType)
+
+
+def test_packing_weighs_by_the_whole_corpus_and_looks_at_all_neighbours(spark):
+    import math
+
+    import numpy as np
+
+    from waymark.llm import packing
+
+    rng = np.random.default_rng(5)
+    docs = [(rng.zipf(1.3, rng.integers(1, 200)) % 400).astype("<u2") for _ in range(60)]
+    rows = [(d.tobytes(),) for d in docs] + [(None,)]
+    stats = packing.corpus_stats(spark.createDataFrame(rows, "ids binary").repartition(3))
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = {t: sum(t in d for d in docs) for t in range(400)}
+    assert stats.n == n and stats.mean == mean and all(stats.df[t] == df[t] for t in df)
+    assert packing.corpus_stats(spark.createDataFrame([], "ids binary")).n == 0
+
+    block = docs[:40]
+    shard = packing.Shard(block, stats)
+
+    def score(seed, i):
+        tf = {t: int((block[i] == t).sum()) for t in set(block[seed].tolist())}
+        norm = packing.K1 * (1 - packing.B + packing.B * len(block[i]) / mean)
+        return sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * (packing.K1 + 1) / (f + norm) for t, f in tf.items() if f)
+
+    for seed in range(40):
+        shard.used[seed] = True
+        scores = {i: score(seed, i) for i in range(seed + 1, 40)}
+        got = list(shard.neighbours(seed))
+        assert set(got) == {i for i, x in scores.items() if x > 0}
+        assert all(scores[x] > scores[y] - 1e-9 for x, y in zip(got, got[1:], strict=False))

@@ -2,8 +2,9 @@
 
 Full windows of a long document stand alone; what is left of each document is packed. The rests are dealt into
 shards by a min-hash of their ids, so that lexically near texts tend to share one; every shard holds an inverted
-index with BM25 weights over token ids. A seed document asks the index for its unused neighbours, which fill the
-seed's window greedily, best first; the last one is cut where the window ends and its remainder seeds the next
+index with BM25 weights over token ids, whose document frequencies and mean length are those of all rests. A seed
+document asks the index with all its ids for its unused neighbours, which fill the seed's window greedily, best first;
+neighbours outside the seed's block are not reached. The last one is cut where the window ends and its remainder seeds the next
 window. When a partition ends, its last open window is cut into windows of powers of two, so nothing is padded.
 
 A shard is a block of at most SHARD_DOCS rows of a sorted range partition: memory is bounded whatever the number
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from waymark.llm.token_store import encoder, forget
 
 WINDOW = 2048
 SHARD_DOCS = 4096
-#: Terms of a seed that ask the index, and neighbours looked at before the shard's order decides.
-QUERY_TERMS, NEIGHBOURS = 24, 16
+#: Neighbours sorted at first; the others follow if those don't fill the window.
+NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
 _ENCODED = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, lex long, ids binary"
@@ -75,44 +77,90 @@ def _encode(path: str, end_id: int):
     return run
 
 
+class Stats(NamedTuple):
+    """What BM25 asks of a corpus: how many documents, their mean length, and each id's share of them."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def _count_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n): documents by id, and at -1 and -2 all documents and their length."""
+    df, n, total = np.zeros(1 << 16, np.int64), 0, 0
+    for batch in it:
+        docs = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+        if docs:
+            lengths = np.array([len(d) for d in docs])
+            key = np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 16 | np.concatenate(docs)
+            df += np.bincount(np.unique(key) & 0xFFFF, minlength=1 << 16)
+            n, total = n + len(docs), total + int(lengths.sum())
+    terms = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((terms, [-1, -2]))), pa.array(np.concatenate((df[terms], [n, total])))], names=["term", "n"])
+
+
+def corpus_stats(encoded: DataFrame) -> Stats:
+    """Stats of all rests; ids are of 16 bits, so at most 65,538 rows reach the driver."""
+    counted = encoded.filter("ids is not null").select("ids").mapInArrow(_count_partition, "term long, n long")
+    found = dict(counted.groupBy("term").agg(F.sum("n")).collect())
+    n, total, df = found.pop(-1, 0), found.pop(-2, 0), np.zeros(1 << 16, np.int64)
+    df[list(found)] = list(found.values())
+    return Stats(n, max(1.0, total / max(1, n)), df)
+
+
 class Shard:
-    """An inverted index with BM25 weights over the ids of some documents."""
+    """An inverted index over the ids of some documents, with BM25 weights of the corpus that they belong to; without its
+    stats they are the corpus."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], stats: Stats | None = None):
         n = len(docs)
         lengths = np.array([len(d) for d in docs])
         key = np.repeat(np.arange(n, dtype=np.int64), lengths) << 16 | np.concatenate(docs)
         pairs, tf = np.unique(key, return_counts=True)
         self.term, self.doc = pairs & 0xFFFF, pairs >> 16
         self.bounds = np.searchsorted(self.doc, np.arange(n + 1))
-        df = np.bincount(self.term, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
+        stats = stats or Stats(n, max(1.0, lengths.mean()), np.bincount(self.term, minlength=1 << 16))
+        idf = np.log1p((stats.n - stats.df + 0.5) / (stats.df + 0.5))
+        norm = K1 * (1 - B + B * lengths / stats.mean)
         self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
         order = np.argsort(self.term, kind="stable")
-        self.by_doc, self.by_weight = self.doc[order], self.weight[order]
-        self.postings = np.concatenate(([0], np.cumsum(df)))
-        self.used = np.zeros(n, bool)
-
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused documents by descending score, ties by place."""
-        a, b = self.bounds[seed], self.bounds[seed + 1]
-        terms, w = self.term[a:b], self.weight[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(w, -QUERY_TERMS)[-QUERY_TERMS:]]
+        self.by_term, self.by_doc, self.by_weight = self.term[order], self.doc[order], self.weight[order]
+        self.used, self.live = np.zeros(n, bool), n
+        self._bound()
+
+    def _bound(self) -> None:
+        self.postings = np.concatenate(([0], np.cumsum(np.bincount(self.by_term, minlength=1 << 16))))
+
+    def _compact(self) -> None:
+        """Drops the postings of used documents, which no query asks for."""
+        keep = ~self.used[self.by_doc]
+        self.by_term, self.by_doc, self.by_weight = self.by_term[keep], self.by_doc[keep], self.by_weight[keep]
+        self._bound()
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """All unused documents that share an id, by descending score, ties by place."""
+        left = len(self.used) - int(np.count_nonzero(self.used))
+        if left < self.live / 2:
+            self.live = left
+            self._compact()
+        terms = self.term[self.bounds[seed] : self.bounds[seed + 1]]
         spans = [(self.postings[t], self.postings[t + 1]) for t in terms.tolist()]
         hits = np.concatenate([self.by_doc[x:y] for x, y in spans])
         score = np.bincount(hits, np.concatenate([self.by_weight[x:y] for x, y in spans]), len(self.used))
         score[self.used] = 0
-        best = np.argpartition(-score, min(NEIGHBOURS, len(score) - 1))[:NEIGHBOURS]
-        best = best[score[best] > 0]
-        return best[np.lexsort((best, -score[best]))].tolist()
+        found = np.flatnonzero(score > 0)
+        if len(found) > NEIGHBOURS:
+            least = np.partition(score[found], -NEIGHBOURS)[-NEIGHBOURS]
+            first, found = found[score[found] >= least], found[score[found] < least]
+            yield from first[np.lexsort((first, -score[first]))].tolist()
+        yield from found[np.lexsort((found, -score[found]))].tolist()
 
 
 class Packer:
     """Windows of one partition, over its shards in order."""
 
-    def __init__(self, first_id: int):
+    def __init__(self, first_id: int, stats: Stats):
+        self.stats = stats
         self.id, self.out, self.open, self.room = first_id, [], [], WINDOW
 
     def _emit(self, pieces: list[tuple], size: int) -> None:
@@ -142,7 +190,7 @@ class Packer:
         """Packs a shard's rests; the window that stays open goes on in the next shard."""
         if not pieces:
             return
-        index, used, next_up = Shard([p[2] for p in pieces]), None, 0
+        index, used, next_up = Shard([p[2] for p in pieces], self.stats), None, 0
         used = index.used
         seed = None
         while True:
@@ -190,23 +238,26 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
-def _pack_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forget()
-    packer, waiting = Packer(TaskContext.get().partitionId() << 40), []
-    for batch in it:
-        for doc, start, length, crc, total, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")), strict=True):
-            if ids is None:
-                packer.full(doc, start, length, crc, total)
-                continue
-            waiting.append((doc, start, np.frombuffer(ids, "<u2"), total))
-            if len(waiting) == SHARD_DOCS:
-                packer.shard(waiting)
-                waiting = []
-        if packer.out:
-            yield packer.drain()
-    packer.shard(waiting)
-    packer.close()
-    yield packer.drain()
+def _pack_partition(stats: Stats):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        packer, waiting = Packer(TaskContext.get().partitionId() << 40, stats), []
+        for batch in it:
+            for doc, start, length, crc, total, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")), strict=True):
+                if ids is None:
+                    packer.full(doc, start, length, crc, total)
+                    continue
+                waiting.append((doc, start, np.frombuffer(ids, "<u2"), total))
+                if len(waiting) == SHARD_DOCS:
+                    packer.shard(waiting)
+                    waiting = []
+            if packer.out:
+                yield packer.drain()
+        packer.shard(waiting)
+        packer.close()
+        yield packer.drain()
+
+    return run
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
@@ -218,4 +269,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # full windows have lex 0 and no ids; row and start break ties, so equal documents spread over partitions
     dealt = encoded.repartitionByRange(n, "lex", "row", "start").sortWithinPartitions("lex", "row", "start")
-    return dealt.mapInArrow(_pack_partition, _PACKED)
+    return dealt.mapInArrow(_pack_partition(corpus_stats(encoded)), _PACKED)
