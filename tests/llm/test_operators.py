@@ -293,3 +293,21 @@ def test_packing_weighs_by_the_whole_corpus_and_looks_at_all_neighbours(spark):
         got = list(shard.neighbours(seed))
         assert set(got) == {i for i, x in scores.items() if x > 0}
         assert all(scores[x] > scores[y] - 1e-9 for x, y in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize("damage", ["lost", "shortened", "reordered"])
+def test_store_and_read_verifies_its_manifest(spark, docs, monkeypatch, damage):
+    write = token_store.Store.write
+
+    def damaged(self, *args):
+        write(self, *args)
+        long = F.size("names") > 1
+        if damage == "lost":
+            self.recipes = self.recipes.filter(~long)
+        else:
+            names = F.slice("names", 1, F.size("names") - 1) if damage == "shortened" else F.reverse("names")
+            self.recipes = self.recipes.withColumn("names", F.when(long, names).otherwise(F.col("names")))
+
+    monkeypatch.setattr(token_store.Store, "write", damaged)
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.store_and_read(docs, WORDS, 2)

@@ -243,7 +243,7 @@ def _combine_documents(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def read_documents(chunks: DataFrame, recipes: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of 32-bit ids) of every stored document. A recipe's missing chunk
-    is an error, as is a root that its chunks don't give."""
+    is an error; the roots are checked by verify_manifest."""
     facts = chunks.mapInArrow(_check_chunks, "digest binary, n long, crc long")
     wanted = recipes.select("doc_id", "row", "start", F.posexplode("names").alias("pos", "digest"))
     found = wanted.join(facts, "digest", "left")
@@ -261,7 +261,9 @@ def verify_manifest(store: Store) -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Writes the store, then returns what is read from its files."""
+    """Writes the store, then returns what is read from its files, once its recipes give the manifest's roots."""
     store = Store(docs.sparkSession, Stage(docs.sparkSession, "tokens"))
     store.write(docs, path, end_id)
+    if bad := verify_manifest(store).select("level", "part", "at").head(5):
+        raise ValueError(f"recipes don't give the manifest's roots, as at (level, part, at) {[tuple(r) for r in bad]}")
     return read_documents(store.chunks, store.recipes)
