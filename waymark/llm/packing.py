@@ -1,14 +1,15 @@
 """Packing token ids into windows by lexical retrieval.
 
-Full windows of a long document stand alone; what is left of each document is packed. The rests are dealt into
-shards by a min-hash of their ids, so that lexically near texts tend to share one; every shard holds an inverted
-index with BM25 weights over token ids, whose document frequencies and mean length are those of all rests. A seed
-document asks the index with all its ids for its unused neighbours, which fill the seed's window greedily, best first;
-neighbours outside the seed's block are not reached. The last one is cut where the window ends and its remainder seeds the next
-window. When a partition ends, its last open window is cut into windows of powers of two, so nothing is padded.
+Full windows of a long document stand alone; what is left of each document is packed. The index is sharded by documents:
+rests are sorted by their most characteristic id (of highest BM25-like weight, an id's rank in the vocabulary standing
+for its rarity) and then by a min-hash, and each SHARD_DOCS neighbours in that order, texts on one subject and near copies,
+are a shard with an inverted index. Its BM25 weights are those of the corpus: document frequencies, the number of rests
+and their mean length are counted over all rests. A seed document asks its shard with all its ids for its unused
+neighbours, which fill the seed's window greedily, best first. The last one is cut where the window ends and its remainder
+seeds the next window. When a partition ends, its last open window is cut into windows of powers of two, so nothing is padded.
 
-A shard is a block of at most SHARD_DOCS rows of a sorted range partition: memory is bounded whatever the number
-of equal documents. Text is encoded once, into a staged table; the range partitioning samples that table.
+A shard's memory is bounded whatever the number of equal documents. Text is encoded once, into a staged table; the
+range partitioning samples that table.
 
 Defined results: a null text is empty and consists of the end id; repeated rows and null ids are packed like any
 document; other columns are ignored.
@@ -31,7 +32,7 @@ from waymark.llm.staging import Stage
 from waymark.llm.token_store import encoder, forget
 
 WINDOW = 2048
-SHARD_DOCS = 4096
+SHARD_DOCS = 1024
 #: Neighbours sorted at first; the others follow if those don't fill the window.
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
@@ -53,6 +54,18 @@ def _min_hash(ids: np.ndarray) -> int:
     return int((h ^ (h >> np.uint32(15))).min())
 
 
+#: Rarity that an id's rank in the vocabulary lets expect.
+_RARITY = np.log1p(np.arange(1 << 16))
+
+
+def _subject(ids: np.ndarray) -> int:
+    """The id that characterises a text most."""
+    s = np.sort(ids)
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    tf = np.diff(np.append(first, len(s)))
+    return int(s[first[np.argmax(_RARITY[s[first]] * tf / (tf + K1))]])
+
+
 def _encode(path: str, end_id: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = encoder(path).encode, np.array([end_id], "<u2").tobytes()
@@ -67,7 +80,7 @@ def _encode(path: str, end_id: int):
                 at = n - n % WINDOW
                 if at < n:
                     rest = ids[at:]
-                    rows.append((doc, row, at, n - at, None, n, _min_hash(rest), rest.tobytes()))
+                    rows.append((doc, row, at, n - at, None, n, _subject(rest) << 32 | _min_hash(rest), rest.tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.int64()] * 7 + [pa.binary()]
             names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "lex", "ids"]
