@@ -7,10 +7,12 @@ annotated with the change of the count, so a piece's tokens are the sum along it
 exactly one such last token rests on a property of BPE: a token sequence is an encoding if and only if each
 neighbouring pair encodes to itself.
 
-Long texts are cut into chunks of any place. A chunk's state map is the part before its first safe boundary
-(where white space follows a character that is none: every piece ends there), the tokens between its first and
-last one, and the part after; maps compose associatively, so chunks are counted in parallel and scanned in
-order for each document.
+Long texts are cut into chunks at any place, which are dealt to all tasks. A chunk's state map says what it does to
+whatever state the text before it left: it is the part before its first safe boundary (where the character class
+changes, a piece ends in every state), the tokens between its first and last one, and the part after, which is
+the state it leaves. Maps compose associatively: rounds of a parallel scan compose FAN neighbours each, so no row
+gathers a document. Only the last value of the scan is a total, so only its upward rounds are run. A map is as long as the
+text's longest run of one character class, which is a single piece that the library, too, has to see whole.
 
 Defined results: a null text is empty and has no tokens; repeated rows are counted one by one; columns other
 than doc_id and text are ignored; texts of any length are counted whole.
@@ -19,6 +21,7 @@ than doc_id and text are ignored; texts of any length are counted whole.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -27,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.pieces import Cutter, Remembered, batches, byte_letters
+from waymark.llm.pieces import APOSTROPHE, LETTER, SPACE, UNKNOWN, Cutter, Remembered, batches, byte_letters
+from waymark.llm.staging import Stage
 
 CHUNK_CHARS = 32_768
+#: Neighbouring maps composed in one round.
+FAN = 8
 #: A transducer with more states is started anew; remembered pieces stay.
 MAX_STATES = 80_000
-#: A safe boundary.
-BOUNDARY = r"(?<=\S)(?=\s)"
 
 
 class Transducer:
@@ -106,22 +110,22 @@ class Transducer:
         arc = self.arcs[state, letter] = (len(self.states) - 1, step)
         return arc
 
-    def count(self, piece: str) -> int:
-        """Tokens of a piece."""
+    def count(self, letters: str) -> int:
+        """Tokens of a piece, given as letters of the vocabulary."""
         if len(self.states) > MAX_STATES:
             self._clear()
         state, total = 0, 0
-        for letter in byte_letters(piece):
+        for letter in letters:
             arc = self.arcs.get((state, letter)) or self._compile(state, letter)
             state, total = arc[0], total + arc[1]
         return total
 
     def count_all(self, pieces: list[str]) -> list[int]:
         """In sorted order, so that pieces with a common beginning share its states."""
-        order = sorted(range(len(pieces)), key=pieces.__getitem__)
+        letters = byte_letters(pieces)
         out = [0] * len(pieces)
-        for i in order:
-            out[i] = self.count(pieces[i])
+        for i in sorted(range(len(pieces)), key=letters.__getitem__):
+            out[i] = self.count(letters[i])
         return out
 
 
@@ -135,17 +139,28 @@ class Counter:
     def cutter(self) -> Cutter:
         return Cutter(spaced=True)
 
+    @cached_property
+    def library(self):
+        """For texts with code points that Python's tables don't know."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @cached_property
     def remembered(self) -> Remembered:
         machine = Transducer.load(self.path)
-        return Remembered(machine.count_all)
+        return Remembered(lambda pieces: (np.array(machine.count_all(pieces), "<u4").view(np.uint16), [2] * len(pieces)))
 
     def counts(self, texts: list[str]) -> list[int]:
         out: list[int] = []
         for a, b in batches(texts):
-            pieces, at = self.cutter.cut(texts[a:b])
-            total = np.concatenate(([0], np.cumsum(np.array(self.remembered.of(pieces), np.int64))))
-            out += (total[at[1:]] - total[at[:-1]]).tolist()
+            cut = self.cutter.cut(texts[a:b])
+            values, at = self.remembered.runs(cut)
+            total = np.concatenate(([0], np.cumsum(values.view(np.uint32), dtype=np.int64)))
+            found = (total[at[1:] // 2] - total[at[:-1] // 2]).tolist()
+            for i in np.flatnonzero(cut.unknown).tolist():
+                found[i] = len(self.library.encode(texts[a + i], add_special_tokens=False).ids)
+            out += found
         return out
 
 
@@ -153,26 +168,25 @@ class Counter:
 Map = tuple[bool, str, int, str]
 
 
-def state_maps(counter: Counter, chunks: list[str]) -> list[Map]:
-    import regex
+def safe_boundaries(cutter: Cutter, text: str) -> np.ndarray:
+    """Places within a text where a piece ends whatever stands around it: the class changes, but not after white space,
+    of which the last may join what follows, nor between an apostrophe and a letter."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    k = cutter.table[codes]
+    a, b = k[:-1], k[1:]
+    safe = (a != b) & (a != SPACE) & (a != UNKNOWN) & (b != UNKNOWN) & ~((codes[:-1] == APOSTROPHE) & (b == LETTER))
+    return np.flatnonzero(safe) + 1
+
 
-    pattern = regex.compile(BOUNDARY)
+def state_maps(counter: Counter, chunks: list[str]) -> list[Map]:
     parts, middles = [], []
     for text in chunks:
-        first = pattern.search(text)
-        if first is None:
+        at = safe_boundaries(counter.cutter, text)
+        if not len(at):
             parts.append((True, text, ""))
             continue
-        # the last boundary lies before the last run of white space that follows something else
-        cut = max(len(text) - 4096, first.start())
-        last = first.start()
-        for hit in pattern.finditer(text, cut):
-            last = hit.start()
-        if last == first.start() and cut > last:
-            for hit in pattern.finditer(text, last):
-                last = hit.start()
-        parts.append((False, text[: first.start()], text[last:]))
-        middles.append(text[first.start() : last])
+        parts.append((False, text[: at[0]], text[at[-1] :]))
+        middles.append(text[at[0] : at[-1]])
     found = iter(counter.counts(middles))
     return [(True, h, 0, "") if o else (False, h, next(found), t) for o, h, t in parts]
 
@@ -201,64 +215,93 @@ def _counter(path: str) -> Counter:
     return _COUNTERS.setdefault(path, Counter(path))
 
 
+KEYS, MAP = ("row", "doc_id", "n_bytes", "segment", "part"), ("open", "head", "count", "tail")
+_MAPS = "row long, doc_id long, n_bytes long, segment int, part int, open boolean, head string, count long, tail string"
+
+
+def _with_maps(batch: pa.RecordBatch, maps: list[Map]) -> pa.RecordBatch:
+    columns = list(zip(*maps, strict=True)) or [()] * 4
+    kinds = (pa.bool_(), pa.string(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([batch.column(k) for k in KEYS] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[*KEYS, *MAP])
+
+
 def _map_chunks(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in it:
-            texts, whole = batch.column("chunk").to_pylist(), batch.column("whole").to_pylist()
-            alone = [i for i, w in enumerate(whole) if w]
-            maps: list = [None] * len(texts)
-            for i, n in zip(alone, counter.counts([texts[i] for i in alone]), strict=True):
-                maps[i] = (False, "", n, "")
-            rest = [i for i, w in enumerate(whole) if not w]
-            for i, m in zip(rest, state_maps(counter, [texts[i] for i in rest]), strict=True):
-                maps[i] = m
-            cols = list(zip(*maps, strict=True)) or [(), (), (), ()]
-            kinds = (pa.bool_(), pa.string(), pa.int64(), pa.string())
-            keep = [batch.column(n) for n in ("row", "doc_id", "n_bytes", "segment", "part")]
-            yield pa.RecordBatch.from_arrays(keep + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             names=["row", "doc_id", "n_bytes", "segment", "part", "open", "head", "count", "tail"])
+            yield _with_maps(batch, state_maps(counter, batch.column("chunk").to_pylist()))
 
     return run
 
 
-def _scan_maps(path: str):
+def _compose_maps(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in it:
-            totals = []
+            out = []
             for maps in batch.column("maps").to_pylist():
-                total, now, segment = 0, None, None
-                for m in maps:
-                    one = (m["open"], m["head"], m["count"], m["tail"])
-                    if m["segment"] != segment:
-                        total += finish(counter, now) if now else 0
-                        now, segment = one, m["segment"]
-                    else:
-                        now = compose(counter, now, one)
-                totals.append(total + finish(counter, now) + segment)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+                now, *others = [tuple(m[k] for k in MAP) for m in maps]
+                for m in others:
+                    now = compose(counter, now, m)
+                out.append(now)
+            yield _with_maps(batch, out)
+
+    return run
+
+
+def _finish_maps(path: str):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path)
+        for batch in it:
+            maps = zip(*(batch.column(k).to_pylist() for k in MAP), strict=True)
+            totals = pa.array([finish(counter, m) for m in maps], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in KEYS[:3]] + [totals], names=[*KEYS[:3], "n"])
+
+    return run
+
+
+def _count_whole(path: str):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(path)
+        for batch in it:
+            totals = pa.array(counter.counts(batch.column("text").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), totals], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, special: str = "<|endoftext|>") -> DataFrame:
-    """doc_id, n_bytes and n_tokens of every whole text. special is cut out first and counts one token each
-    time. A document's maps, a few for each 32,768 characters, are gathered to scan them."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    literal = "".join("\\" + c if not c.isalnum() else c for c in special)
-    segments = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
-                           F.posexplode(F.split("text", literal)).alias("segment", "segment_text"))
-    n = F.greatest(F.ceil(F.length("segment_text") / CHUNK_CHARS), F.lit(1)).cast("int")
-    chunk = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("segment_text"), i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)))
-    chunks = segments.withColumn("n", n).select(
-        "row", "doc_id", "n_bytes", "segment", (F.col("n") == 1).alias("whole"),
-        F.posexplode(F.when(F.col("n") == 1, F.array("segment_text")).otherwise(chunk)).alias("part", "chunk"),
-    )
-    maps = chunks.mapInArrow(
-        _map_chunks(path), "row long, doc_id long, n_bytes long, segment int, part int, open boolean, head string, count long, tail string"
-    )
-    item = F.struct("segment", "part", "open", "head", "count", "tail")
-    by_doc = maps.groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(item)).alias("maps"))
-    return by_doc.select("doc_id", "n_bytes", "maps").mapInArrow(_scan_maps(path), "doc_id long, n_bytes long, n_tokens long")
+def special_pattern(path: str) -> str:
+    """A pattern of the special strings that the vocabulary's file lists; the longest first."""
+    with open(path, encoding="utf-8") as f:
+        found = sorted((t["content"] for t in json.load(f)["added_tokens"]), key=len, reverse=True)
+    return "|".join(map(re.escape, found)) or "(?!)"
+
+
+def scanned(maps: DataFrame, parts: int, path: str) -> DataFrame:
+    """One map for each segment, by rounds that compose FAN neighbours; parts: chunks of the longest segment."""
+    while parts > 1:
+        group = maps.groupBy("row", "doc_id", "n_bytes", "segment", F.floor(F.col("part") / FAN).cast("int").alias("part"))
+        lists = group.agg(F.sort_array(F.collect_list(F.struct(F.col("part").alias("at"), *MAP))).alias("maps"))
+        maps, parts = lists.mapInArrow(_compose_maps(path), _MAPS), -(-parts // FAN)
+    return maps
+
+
+def count_tokens(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_bytes and n_tokens of every whole text. The special strings of the vocabulary count one token each
+    time. Short texts are counted where they are read; only the chunks of long ones are shuffled."""
+    special, whole = special_pattern(path), F.coalesce("text", F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"))
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    plain = (F.length("text") <= CHUNK_CHARS) & ~F.col("text").rlike(special)
+    short = rows.filter(plain).select("doc_id", "n_bytes", "text").mapInArrow(_count_whole(path), "doc_id long, n_bytes long, n_tokens long")
+    segments = rows.filter(~plain).select("row", "doc_id", "n_bytes", F.posexplode(F.split("text", special)).alias("segment", "t"))
+    chunks = segments.select("row", "doc_id", "n_bytes", "segment", F.posexplode_outer(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), 0)).alias("part", "chunk"))
+    chunks = chunks.withColumns({"part": F.coalesce("part", F.lit(0)), "chunk": F.coalesce("chunk", F.lit(""))})
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(n, "row", "segment", "part")
+    maps = Stage(docs.sparkSession, "token-counts").write(dealt.mapInArrow(_map_chunks(path), _MAPS), "maps")
+    longest = maps.agg(F.max("part")).first()[0]
+    one = scanned(maps, (longest or 0) + 1, path).mapInArrow(_finish_maps(path), "row long, doc_id long, n_bytes long, n long")
+    # each special string stands between two segments and is one token
+    long = one.groupBy("row", "doc_id", "n_bytes").agg((F.sum("n") + F.count("*") - 1).alias("n_tokens"))
+    return short.unionByName(long.drop("row"))

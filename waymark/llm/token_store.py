@@ -143,17 +143,6 @@ def _chunk_documents(path: str, end_id: int):
     return run
 
 
-def _drop_repeats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the first of neighbouring chunks with one name; recipes pass."""
-    last = None
-    for batch in it:
-        keep = []
-        for d in batch.column("digest").to_pylist():
-            keep.append(d is None or d != last)
-            last = d if d is not None else last
-        yield batch.filter(pa.array(keep))
-
-
 def _folded(names: str):
     """SHA-256 over an array of names, in order."""
     return F.unhex(F.sha2(F.unhex(F.array_join(F.transform(names, lambda d: F.hex(d)), "")), 256))
@@ -171,8 +160,10 @@ class Store:
         )
         made = rows.mapInArrow(_chunk_documents(path, end_id), _CHUNKED)
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = made.repartition(n, F.coalesce(F.xxhash64("digest", "row"), F.lit(0))).sortWithinPartitions("digest")
-        both = self.stage.write(dealt.mapInArrow(_drop_repeats, _CHUNKED), "both", ["kind"])
+        # a recipe has a key of its own, so it passes
+        dealt = made.withColumn("key", F.coalesce("digest", F.col("row").cast("string").cast("binary"))).repartition(n, "key")
+        once = F.row_number().over(Window.partitionBy("key").orderBy("kind")) == 1
+        both = self.stage.write(dealt.withColumn("once", once).filter("once").drop("key", "once"), "both", ["kind"])
         release(self.spark)
         self.chunks = both.filter("kind = 'chunk'").select("digest", "data")
         loose = both.filter("kind = 'recipe'").select("doc_id", "row", "names", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens"))
