@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,11 +23,12 @@ BACK = "(?i)^(that|this|these|those|it|they|there|which|both|either|such)\\b"
 SIGN_UP = r"(?i)\b(registration|registrations|register|registering|sign[- ]?ups?|entries|entrants|entry)\b"
 CHUNK_REF = r"\[\d+-[^\]]*\]"
 OWN_CHECK = r"(?i)(?:as of the last verification[^.]*|(?:last )?verified (?:as of|on|against[^.]*?as of)[^.]*?\d{4}|confidence (?:score|rating) (?:of )?\(?\d+\)?)"
-STOPWORDS = (
-    "a an the is are was were be been do does did can could will would should i you it they there this that these those "
-    "to of for in on at by with from and or any my your get got have has"
-).split()
-INTERROGATIVES = "what when where who which why how is are do does can will should".split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "do", "does", "did", "can", "could", "will", "would", "should",
+    "i", "you", "it", "they", "there", "this", "that", "these", "those", "to", "of", "for", "in", "on", "at", "by", "with",
+    "from", "and", "or", "any", "my", "your", "get", "got", "have", "has",
+]
+INTERROGATIVES = ["what", "when", "where", "who", "which", "why", "how", "is", "are", "do", "does", "can", "will", "should"]
 
 
 def _month_of(day: Column, pattern: str) -> Column:
@@ -171,11 +173,23 @@ def dedupe_faqs(faqs: Column) -> Column:
     return F.aggregate(keyed, F.slice(keyed, 1, 0), step, lambda a: F.transform(a, lambda x: x["faq"]))
 
 
+def without_marks(text: Column) -> Column:
+    """Text decomposed (NFKD) and without its accents. The built-in functions can't decompose, so texts with other
+    characters than ASCII go through one Arrow function; the others don't leave the JVM."""
+
+    @F.pandas_udf("string")
+    def decomposed(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not "\u0300" <= c <= "\u036f"), na_action="ignore")
+
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, text).otherwise(decomposed(F.when(~plain, text)))
+
+
 def slugify(text: Column) -> Column:
-    """Lower case, accents off, other characters as single hyphens. Latin letters are folded by a table; the rest of
-    Unicode has no decomposition among the built-in functions and becomes a hyphen."""
-    accents, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), accents, plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower case, accents off, other characters as single hyphens."""
+    return F.regexp_replace(F.regexp_replace(F.lower(without_marks(text)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def is_page(url: Column) -> Column:

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 10
 
-
-def closure(regions: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(regions: DataFrame) -> DataFrame:
     """(region_id, anc, depth): each region with itself and its ancestors, nearest first. A parent that is no region
-    is kept and ends the walk; a cycle ends where it meets itself. Each step is one join on the parent, and the
-    steps are bounded by the depth of a hierarchy, not by its size."""
+    is kept and ends the walk; a cycle ends where it meets itself. Each step is one join on the parent, and steps are
+    taken until no path grows: as many as the hierarchy is deep, not as it is large."""
     up = regions.select(F.col("region_id").alias("_id"), F.col("parent_region_id").alias("_up"))
-    step = regions.select("region_id", F.array("region_id").alias("path"))
-    for _ in range(max_depth):
+    step = regions.select("region_id", F.array("region_id").alias("path"), F.lit(True).alias("_open"))
+    while not step.filter("_open").isEmpty():
         at = F.element_at("path", -1)
-        more = F.col("_up").isNotNull() & ~F.array_contains("path", F.col("_up"))
+        more = F.col("_open") & F.col("_up").isNotNull() & ~F.array_contains("path", F.col("_up"))
         step = step.join(up, at == F.col("_id"), "left").select(
-            "region_id", F.when(more, F.concat("path", F.array("_up"))).otherwise(F.col("path")).alias("path")
+            "region_id", F.when(more, F.concat("path", F.array("_up"))).otherwise(F.col("path")).alias("path"), F.coalesce(more, F.lit(False)).alias("_open")
         )
     return step.select("region_id", F.posexplode("path").alias("depth", "anc"))
 
@@ -48,4 +46,9 @@ def counts(entities: DataFrame, regions: DataFrame) -> DataFrame:
 def members(entities: DataFrame, regions: DataFrame, hub: Column | str) -> DataFrame:
     """Entities whose closure holds a region."""
     inside = closure(regions).filter(F.col("anc") == hub).select("region_id")
-    return entities.join(F.broadcast(inside), "region_id", "left_semi")
+    return entities.join(inside, "region_id", "left_semi")
+
+
+def by_range(categories: DataFrame, low: str, label: str) -> DataFrame:
+    """categories, a configured list, with their place: the highest lower bound first, those without a range last."""
+    return categories.withColumn("place", F.row_number().over(Window.orderBy(F.col(low).desc_nulls_last(), label)))

@@ -66,11 +66,11 @@ def related(targets: DataFrame, pool: DataFrame, order: list[Column], k: int, ke
     """(entity_id, other, place): pinned ones first in pool order, then same category and region, same category, same
     region, each best first, until k are listed; pins may be more. pool has key, entity_id, category_id, region_id and
     ord. Three joins on equality over pruned groups, in place of one on either key."""
-    tiers, n = [], k + 1  # one more, for the target itself
+    tiers = []
     for tier, keys in enumerate((["category_id", "region_id"], ["category_id"], ["region_id"]), 1):
-        # a pool row of the target's own entity doesn't count; other kinds of pool may hold several such rows
-        extra = n if key == "entity_id" else 2 * n
-        best = _best(pool, keys, order, extra).select(*keys, F.col(key).alias("other"), F.col("entity_id").alias("_e"), "ord", "score")
+        # rows of the target's own entity don't count. With at most k rows of one entity, the first 2k of a group hold k others
+        one = pool if key == "entity_id" else _best(pool, [*keys, "entity_id"], order, k)
+        best = _best(one, keys, order, k + 1 if key == "entity_id" else 2 * k).select(*keys, F.col(key).alias("other"), F.col("entity_id").alias("_e"), "ord", "score")
         tiers.append(targets.select("entity_id", *keys).join(best, keys).select("entity_id", "other", "_e", "ord", "score", F.lit(tier).alias("tier")))
     found = tiers[0].union(tiers[1]).union(tiers[2]).filter("entity_id <> _e")
     if pins is not None:
@@ -94,12 +94,16 @@ def successors(entities: DataFrame) -> DataFrame:
     return known.join(after, ["series", "year"]).filter("next_year is not null").select("entity_id", near.alias("successor"))
 
 
+# fixed values
+CODE, EDITION, LAST_BRACKET = r"\(([A-Z0-9]{2,12})\)", r"(?i)\s*\(\d+(?:st|nd|rd|th)\s+ed\.?\)\s*", r"\s*\([^)]*\)\s*$"
+
+
 def aliases(name: Column) -> Column:
-    """Names a text may use: the whole one, a code in brackets, the name without its edition year, and without a
+    """Names a text may use: the whole one, a code of capitals in brackets, the name without its edition, and without a
     bracket at its end; of at least three characters."""
-    code = F.regexp_extract(name, r"\(([A-Z][A-Z0-9]{1,11})\)", 1)
-    plain = F.trim(F.regexp_replace(name, r"\s+\d{4}$", ""))
-    bare = F.trim(F.regexp_replace(plain, r"\s*\([^)]*\)$", ""))
+    code = F.regexp_extract(name, CODE, 1)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(name, EDITION, " "), r"\s{2,}", " "))
+    bare = F.trim(F.regexp_replace(name, LAST_BRACKET, ""))
     return F.filter(F.array_distinct(F.array(name, code, plain, bare)), lambda a: F.length(a) >= 3)
 
 

@@ -49,7 +49,10 @@ def j1(v):
     return hierarchy.closure(v.v_region)
 
 
-@query("J2_root", "select region_id, 'root' as root from v_region")
+_ROOT = "select region_id, arg_max(anc, depth) as root from (select cl.region_id, anc, depth from cl join (select region_id as anc from v_region) using (anc)) group by region_id"
+
+
+@query("J2_root", f"with {_CLOSURE} {_ROOT}")
 def j2(v):
     return hierarchy.roots(v.v_region)
 
@@ -197,11 +200,11 @@ def u2(v):
     return keys.join(covered, "filter_key", "left_anti")
 
 
-@query("W2_category_order", "select category_id, row_number() over (order by min_v desc nulls last, label) as place from v_category")
+@query("W2_category_order", "with c as (select p_brand as label, nullif(min(p_size), 1) as min_v from part group by p_brand) select label, row_number() over (order by min_v desc nulls last, label) as place from c")
 def w2(v):
-    from pyspark.sql import Window
-
-    return v.v_category.select("category_id", F.row_number().over(Window.orderBy(F.col("min_v").desc_nulls_last(), "label")).alias("place"))
+    """Brands as categories, from their least size up; those that begin at one have no range."""
+    c = v.part.groupBy(F.col("p_brand").alias("label")).agg(F.nullif(F.min("p_size"), F.lit(1)).alias("min_v"))
+    return hierarchy.by_range(c, "min_v", "label").select("label", "place")
 
 
 @query("W5_featured", "select entity_id, reliability_score from v_entity where status in ('active', 'needs_review') order by reliability_score desc, ord limit 6")

@@ -177,7 +177,7 @@ def a5(v):
     return months.select("month", "n", F.row_number().over(Window.orderBy(F.col("month") < AS_OF[:7], "month")).alias("place"))
 
 
-@query("A12_freshness", "select e.entity_id, coalesce(max(last_checked), any_value(date_s)) as checked from v_entity e left join v_source s on s.entity_id = e.entity_id and s.pos > 2 group by e.entity_id")
+@query("A12_freshness", "select e.entity_id, coalesce(max(last_checked), any_value(date_s)) as checked from v_entity e left join v_source s on s.entity_id = e.entity_id group by e.entity_id")
 def a12(v):
     return lifecycle.freshness(v.v_entity, v.v_source, "date_s")
 

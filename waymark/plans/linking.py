@@ -113,23 +113,27 @@ def j14(v):
     return joined.select("review_id", "entity_id", href.alias("href"))
 
 
+_NAMES = """concat('Race ', cast(ord as string), case ord % 4 when 0 then concat(' (RC', cast(ord % 7 as string), ')') when 1 then ' (24th ed.) City'
+  when 2 then ' (Air)' else ' (2nd Ed)' end)"""
+
+
 @query(
     "J15_aliases",
-    """with n as (select e.entity_id, concat('Race ', e.ord, ' (RC', e.ord % 7, ') ', substr(date_s, 1, 4)) as name, e.ord from v_entity e join v_review r using (entity_id) where r.status = 'active'),
-    a as (select entity_id, unnest([name, concat('RC', ord % 7), concat('Race ', ord, ' (RC', ord % 7, ')'), concat('Race ', ord)]) as alias from n)
+    rf"""with n as (select e.entity_id, {_NAMES.replace("ord", "e.ord").replace("as string", "as varchar")} as name from v_entity e join v_review r using (entity_id) where r.status = 'active'),
+    a as (select entity_id, unnest([name, regexp_extract(name, '\(([A-Z0-9]{{2,12}})\)', 1),
+      trim(regexp_replace(regexp_replace(name, '(?i)\s*\(\d+(st|nd|rd|th)\s+ed\.?\)\s*', ' ', 'g'), '\s{{2,}}', ' ', 'g')), trim(regexp_replace(name, '\s*\([^)]*\)\s*$', ''))]) as alias from n)
     select distinct entity_id, alias from a where length(alias) >= 3""",
 )
 def j15(v):
     e = v.v_entity.join(v.v_review.filter("status = 'active'").select("entity_id"), "entity_id")
-    name = F.concat(F.lit("Race "), F.col("ord").cast("string"), F.lit(" (RC"), (F.col("ord") % 7).cast("string"), F.lit(") "), F.substring("date_s", 1, 4))
-    return e.select("entity_id", F.explode(linking.aliases(name)).alias("alias"))
+    return e.select("entity_id", F.explode(linking.aliases(F.expr(_NAMES))).alias("alias"))
 
 
 @query(
     "J16_first_mentions",
     """with a as (select item_id as url, array_to_string(string_split(text, ' ')[1:3], ' ') as alias from benchmark where len(string_split(text, ' ')) >= 3),
     p as (select doc_id, unnest(string_split(text, chr(10))) as p, unnest(range(0, len(string_split(text, chr(10))))) as paragraph from documents),
-    h as (select doc_id, url, paragraph, alias from p join a on contains(p, alias) and list_contains(string_split(p, ' '), string_split(alias, ' ')[1]))
+    h as (select doc_id, url, paragraph, alias from p join a on contains(p, alias))
     select doc_id, url, paragraph::int as paragraph, alias from h qualify row_number() over (partition by doc_id, url order by paragraph, length(alias) desc, alias) = 1""",
 )
 def j16(v):

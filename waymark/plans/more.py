@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import pages, text
 from waymark.operators import guides, hierarchy, lifecycle, quality
-from waymark.plans.guides import _LISTED, GUIDES, guide_ranking
+from waymark.plans.guides import _CLOSURE, _LISTED, _ROOT, GUIDES, guide_ranking
 from waymark.plans.registry import query
 
 #: Characters of a draft's description.
@@ -84,7 +84,7 @@ def x11(v):
     return v.v_entity.select("entity_id", F.coalesce(good, F.regexp_replace(sentence, r"\.$", ""), F.get("tags", F.lit(0))).alias("why"))
 
 
-@query("X13_normalised_sources", "select entity_id, pos, case when type in ('official', 'news', 'review', 'social') then type else 'other' end as type, substr(url, 1, 20) as url from v_source where url like 'https://%' qualify row_number() over (partition by entity_id order by pos, url) <= 3")
+@query("X13_normalised_sources", "select entity_id, pos, case when type in ('official', 'news', 'review', 'social') then type else 'other' end as type, url from v_source where pos > 0 and regexp_matches(url, '^[a-z]+://[^/]+')")
 def x13(v):
     """The sources of X13: all well-formed ones with their whole urls, unknown types as other."""
     known = F.when(F.col("type").isin("official", "news", "review", "social"), F.col("type")).otherwise("other")
@@ -101,7 +101,7 @@ def x15(v):
     return merged.select("entity_id", "date_s", (F.col("date_s").rlike(r"^\d{4}-\d{2}-\d{2}") & F.col("score").between(0, 100)).alias("accepted"))
 
 
-@query("X16_drafts", "select concat('d', ord) as entity_id, 'draft' as status, 50 as reliability_score, substr(answer, 1, 20) as short_description, case when length(answer) > 20 then true else false end as cut from v_response where ord % 4 = 2")
+@query("X16_drafts", "select concat('d', event_id) as entity_id, 'draft' as status, 50 as reliability_score, substr(props, 1, 220) as short_description, length(props) > 220 as cut from events where event_id % 4 <> 3")
 def x16(v):
     """A draft of every answer that parses, described by its JSON text."""
     rows = v.v_response.select("ord", pages.answer_json(F.col("answer")).alias("json")).filter("json is not null")
@@ -160,7 +160,7 @@ def i9(v):
     return listed.filter("rank = 1").join(todo, "guide_id").select("guide_id", F.col("entity_id").alias("pick"))
 
 
-@query("J3_root_of_region", "select region_id, 'root' as root, region_id <> 'root' as nested from v_region")
+@query("J3_root_of_region", f"with {_CLOSURE}, q as ({_ROOT}) select region_id, root, region_id <> root as nested from q")
 def j3(v):
     return hierarchy.roots(v.v_region).select("region_id", "root", (F.col("region_id") != F.col("root")).alias("nested"))
 
