@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +84,12 @@ def first_reason(gates: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*(F.when(fails, name) for name, fails in gates))
 
 
+def counters(runs: dict[str, DataFrame]) -> DataFrame:
+    """(run, outcome, n): records of each run by their `outcome`."""
+    counted = [rows.groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit(run).alias("run"), "outcome", "n") for run, rows in runs.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def source_health(fetches: DataFrame) -> DataFrame:
     """Per host: fetches that went well, were unreachable or failed in extraction, and the first failure's reason."""
     bad = ~F.col("ok")

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.text import CHUNK_REF, is_page, near_duplicate, own_check, question_key, word_count
+from waymark.functions.text import CHUNK_REF, availability, is_page, near_duplicate, own_check, question_key, word_count
+from waymark.operators.schema import ISO_DAY
 
 
 def issues(rows: DataFrame, collection: str, key: Column, rules: list[tuple[str, str, Column]]) -> DataFrame:
@@ -23,6 +24,20 @@ def repeated(rows: DataFrame, collection: str, key: str, by: str, order: str, ru
     return later.select(F.lit(collection).alias("collection"), F.col(key).alias("key"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"))
 
 
+def deadlines(entities: DataFrame, as_of: str) -> DataFrame:
+    """(entity_id, rule) of entities (date, deadline, availability) whose dates contradict their status: open though the
+    deadline has passed, a deadline after the event, open without a deadline though the event is over."""
+    iso = lambda c: F.coalesce(F.col(c).rlike(ISO_DAY), F.lit(False))
+    is_open = F.coalesce(availability(F.col("availability"), as_of) == "open", F.lit(False))
+    rules = {
+        "V4.passed": iso("deadline") & is_open & (F.col("deadline") < as_of),
+        "V4.order": iso("deadline") & iso("date") & (F.col("deadline") > F.col("date")),
+        "V4.past": ~iso("deadline") & is_open & iso("date") & (F.col("date") < as_of),
+    }
+    broken = F.array_compact(F.array(*(F.when(bad, name) for name, bad in rules.items())))
+    return entities.select("entity_id", F.explode(broken).alias("rule"))
+
+
 def near_duplicate_questions(faqs: DataFrame) -> DataFrame:
     """(owner_id, first, second) of the questions of one record that ask the same. A record's questions are compared
     inside its row."""

@@ -170,12 +170,6 @@ def a16(v):
     return found.filter("rule = 'V11.cite'").agg(F.lit("x").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_fatal"))
 
 
-@query("V16_publish_gates", "select outcome, count(*) as n from (select case when n_sections < 2 then 'thin' when n_sources = 0 then 'unsourced' when rating is null then 'unrated' else 'published' end as outcome from v_review) group by outcome")
-def v16(v):
-    gate = F.when(F.col("n_sections") < 2, "thin").when(F.col("n_sources") == 0, "unsourced").when(F.col("rating").isNull(), "unrated").otherwise("published")
-    return v.v_review.groupBy(gate.alias("outcome")).agg(F.count("*").alias("n"))
-
-
 _KNOTS = "values (5.0, 30.0), (10.0, 62.0), (20.0, 130.0), (40.0, 275.0)"
 
 

@@ -57,12 +57,6 @@ def f18(v):
     return v.v_entity.join(r, "entity_id", "left").select("entity_id", F.coalesce("rating", "reliability_score").alias("rating"))
 
 
-@query("F11_window", "select entity_id from v_entity where date_s is null or (date_s >= '2000-01-01' and date_s <= '2000-07-01')")
-def f11(v):
-    """String comparison against bounds computed by the caller; a month that overflows rolls on, as in JavaScript."""
-    return v.v_entity.filter(F.col("date_s").isNull() | F.col("date_s").between("2000-01-01", "2000-07-01")).select("entity_id")
-
-
 @query("F13_needs_enrichment", f"select entity_id from v_entity where name = '5-LOW' or (len(tags) = 0 and len(numeric_facts) = 0)")
 def f13(v):
     return v.v_entity.filter((F.col("name") == "5-LOW") | ((F.size("tags") == 0) & (F.size("numeric_facts") == 0))).select("entity_id")
@@ -256,23 +250,6 @@ def i7(v):
     return v.v_fetch.groupBy("host", F.window("ts", "1 day").alias("w")).agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n")).select("host", F.col("w.start").alias("day"), "n_ok", "n")
 
 
-@query(
-    "I10_rejections",
-    """select reason, count(*) as n from (select case when slug = '' or slug in (select slug from v_entity where status <> 'archived') then 'slug'
-      when category_id = 'xl' then 'category' when region_id in ('n1', 'n2') then 'region' when date_s < '1996-01-01' then 'window'
-      when len(list_filter(numeric_facts, lambda x: x between 1 and 10)) = 0 then 'scope' end as reason from v_entity where status = 'archived') group by reason""",
-)
-def i10(v):
-    """Rejected candidates by their first failing gate, all gates in one plan; accepted ones have none."""
-    taken = v.v_entity.filter("status <> 'archived'").select("slug").distinct().withColumn("taken", F.lit(True))
-    c = v.v_entity.filter("status = 'archived'").join(taken, "slug", "left")
-    reason = lifecycle.first_reason([
-        ("slug", (F.col("slug") == "") | F.col("taken")), ("category", F.col("category_id") == "xl"), ("region", F.col("region_id").isin("n1", "n2")),
-        ("window", F.col("date_s") < "1996-01-01"), ("scope", ~F.exists("numeric_facts", lambda x: x.between(1, 10))),
-    ])
-    return c.select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query("S4_create_only", "select entity_id from v_entity where entity_id not in (select entity_id from v_review)")
 def s4(v):
     return v.v_entity.select("entity_id").join(v.v_review.select("entity_id"), "entity_id", "left_anti")

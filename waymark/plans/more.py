@@ -101,16 +101,6 @@ def x15(v):
     return merged.select("entity_id", "date_s", (F.col("date_s").rlike(r"^\d{4}-\d{2}-\d{2}") & F.col("score").between(0, 100)).alias("accepted"))
 
 
-@query("X16_drafts", "select concat('d', event_id) as entity_id, 'draft' as status, 50 as reliability_score, substr(props, 1, 220) as short_description, length(props) > 220 as cut from events where event_id % 4 <> 3")
-def x16(v):
-    """A draft of every answer that parses, described by its JSON text."""
-    rows = v.v_response.select("ord", pages.answer_json(F.col("answer")).alias("json")).filter("json is not null")
-    return rows.select(
-        F.concat(F.lit("d"), F.col("ord").cast("string")).alias("entity_id"), F.lit("draft").alias("status"), F.lit(50).alias("reliability_score"),
-        F.substring("json", 1, DESCRIPTION).alias("short_description"), (F.length("json") > DESCRIPTION).alias("cut"),
-    )
-
-
 @query(
     "V3_V8_V9_references",
     "select 'entity' as collection, 'V3.region' as rule, count(*) as n from v_entity where region_id not in (select region_id from v_region where region_id <> 'n4')"
@@ -132,13 +122,6 @@ def v3(v):
     )
 
 
-@query("V15_summary_problems", "select ord, unnest(list_filter([case when length(answer) < 12 then 'too short' end, case when length(answer) > 30 then 'too long' end, case when not contains(answer, '}') then 'cut off' end], lambda x: x is not null)) as problem from v_response")
-def v15(v):
-    a = F.col("answer")
-    problems = F.array(F.when(F.length(a) < 12, "too short"), F.when(F.length(a) > 30, "too long"), F.when(~F.contains(a, F.lit("}")), "cut off"))
-    return v.v_response.select("ord", F.explode(F.array_compact(problems)).alias("problem"))
-
-
 @query("U5_same_questions")
 def u5(v):
     return quality.same_questions(v.v_faq)
@@ -163,8 +146,3 @@ def i9(v):
 @query("J3_root_of_region", f"with {_CLOSURE}, q as ({_ROOT}) select region_id, root, region_id <> root as nested from q")
 def j3(v):
     return hierarchy.roots(v.v_region).select("region_id", "root", (F.col("region_id") != F.col("root")).alias("nested"))
-
-
-@query("A15_run_counters", "select sum(case when outcome = 'archived' then 1 else 0 end)::bigint as archived, sum(case when outcome = 'kept' then 1 else 0 end)::bigint as kept from (select case when status in ('active', 'needs_review') and date_s < '2000-01-01' then 'archived' else 'kept' end as outcome from v_entity)")
-def a15(v):
-    return lifecycle.lapse(v.v_entity, "2000-01-01").agg(F.count_if(F.col("outcome") == "archived").alias("archived"), F.count_if(F.col("outcome") == "kept").alias("kept"))

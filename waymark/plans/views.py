@@ -56,6 +56,39 @@ VIEWS = {
         event_type <> 'error' as ok, case when event_type = 'error' then case when event_id % 3 = 0 then 'pipeline' else 'source' end end as kind,
         concat('reason ', cast(event_id % 5 as string)) as reason
       from events""",
+    "v_reply": """
+      select k as ord, concat('e', ks) as entity_id, concat('c', ks) as slug, o_orderpriority as name, concat('About ', o_orderstatus) as short_description,
+        case when k % 29 = 0 then 'no answer' else concat('{',
+          case when k % 5 = 0 then '"title":"  "' else concat('"title":" Guide ', ks, ' "') end,
+          case k % 4 when 0 then concat(',"seo_title":"', repeat('long ', 18), '"') when 1 then ',"seo_title":" Short "' else '' end,
+          case when k % 11 = 0 then '' else concat(',"verdict":"Good [16-8]  race <cite index=1>', ks, '</cite>"') end,
+          case when k % 6 = 0 then ',"rating":"n/a"' else concat(',"rating":{"overall":', cast(k % 115 as string), ',"breakdown":[{"label":" A","score":3},{"label":"","score":4},{"label":"B"}]}') end,
+          ',"sections":[{"heading":"H1 [1-2]","paragraphs":["First [1]."," ","<cite>x</cite>"]},{"heading":" ","paragraphs":["lost"]},{"heading":"H2","paragraphs":[" ",""]},{"heading":"H3"}',
+          concat(',{"heading":"H4","paragraphs":["Cites [', cast(k % 5 as string), '] and [1, 9]."]}]'),
+          case when k % 17 = 0 then '' else concat(',"sources":[{"n":1,"label":" A ","url":"https://a.org/x","type":"official","publisher":" P "},{"n":0,"label":"Z","url":"https://z.org/","type":"news"},',
+            '{"n":2,"label":"B","url":"nowhere","type":"zine"},{"n":3,"label":"C","url":"https://c.org","type":"zine"},{"n":4,"label":"D","url":"https://d.org/', ks, '"}]') end,
+          concat(',"pull_quotes":[{"quote":"Run ', repeat('far ', case when k % 3 = 0 then 30 else 3 end), '","attribution":"Ann","source_url":"https://a.org/q"},{"quote":"Two","attribution":" ","source_url":"https://a.org/q"},'),
+          '{"quote":" Three ","attribution":" Bob ","source_url":"https://b.org/q"},{"quote":"Four","attribution":"Cy","source_url":"https://c.org/q"},{"quote":"Five","attribution":"Di","source_url":"https://d.org/q"}]',
+          concat(',"faqs":[{"question":" How far is it? ","answer":"', repeat('word ', cast(k % 90 as int)), '"},{"question":"What now?","answer":"Go."},{"question":"","answer":"None."}]'),
+          concat(',"excerpt_quotes":[{"quote":"', repeat('so ', 150), '","attribution":" Eve ","source_url":"', case when k % 2 = 0 then 'https://e.org/' else 'bad' end, '"},{"quote":" ","attribution":"Flo","source_url":"https://f.org/"}]'),
+          case when k % 7 = 0 then ',"highlights":[" "],"watchouts":null' else ',"highlights":["a"," b ","","c","d","e","f"],"watchouts":["1","2","3","4","5"]' end,
+          case when k % 3 = 0 then '' else concat(',"sentiment_scores":{"overall":', cast(k % 101 as string), '},"research_confidence":"high"') end,
+          case when k % 13 = 0 then '' else ',"ai_summary":"It is long."' end,
+          concat(',"short_description":"', repeat('about ', case when k % 8 = 0 then 40 else 4 end), '"'),
+          case when k % 9 = 0 then ',"pros":[]' else ',"pros":["good"]' end, case when k % 10 = 0 then ',"cons":"none"' else ',"cons":[]' end,
+        '}') end as json
+      from (select o_orderstatus, o_orderpriority, o_orderkey as k, cast(o_orderkey as string) as ks from orders) as o""",
+    "v_listing": """
+      select ord, entity_id, case when ord % 37 = 0 then upper(slug) else slug end as slug, case when ord % 41 = 0 then '' else name end as name, category_id, region_id,
+        case when ord % 29 = 0 then repeat('about ', 40) else concat('About ', name) end as short_description, case when ord % 31 = 0 then cast(null as string) else 'It is long.' end as ai_summary,
+        case when ord % 43 = 0 then 105 when ord % 47 = 0 then -1 else reliability_score end as reliability_score, tags,
+        case when ord % 53 = 0 then 'live' else status end as status, case when ord % 59 = 0 then cast(null as string) else date_s end as last_updated,
+        case when ord % 7 = 0 then 'nowhere' else concat('https://x.org/', entity_id) end as link, case when ord % 61 = 0 then '' else 'Sign up' end as link_label,
+        date_s as date, case when ord % 4 = 0 then cast(null as string) when ord % 4 = 1 then concat('before ', date_s) else concat(substr(date_s, 1, 4), case when ord % 3 = 0 then '-05-20' else '-01-10' end) end as deadline,
+        case ord % 5 when 0 then 'open' when 1 then 'Closed' when 2 then 'registration is OPEN now' when 3 then 'not yet open' else cast(null as string) end as availability,
+        r.label as country, case when ord % 3 = 0 then cast(null as string) else n.label end as city, case when ord % 2 = 0 then concat('Org ', entity_id) end as organizer,
+        case when ord % 6 = 0 then 'THB 800' end as price_range
+      from v_entity join (select region_id, label, parent_region_id from v_region) as n using (region_id) join (select region_id as rid, label from v_region) as r on rid = n.parent_region_id""",
     "v_response": """
       select event_id as ord, concat('h', cast(user_id % 20 as string)) as source,
         case event_id % 4 when 0 then concat('Here it is: ```json', chr(10), props, chr(10), '``` done')
@@ -80,15 +113,17 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.table(name)
-        sql = _text(name, SPARK)
+        sql = _text(name, SPARK).replace("{", "{{").replace("}", "}}")  # braces of a text, not of a table
         tables = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
-        used = {t: self.table(t) for t in tables if re.search(rf"\b(from|join) {t}\b", sql)}
+        used = {t: getattr(self, t) for t in [*tables, *VIEWS] if re.search(rf"\b(from|join) {t}\b", sql)}
         return self.spark.sql(re.sub(r"\b(from|join) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in used else m[0], sql), **used)
 
 
 def with_views(sql: str) -> str:
     """DuckDB SQL with the views it names in front."""
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+    while more := [v for v in VIEWS if v not in used and any(re.search(rf"\b{v}\b", VIEWS[u]) for u in used)]:
+        used = [v for v in VIEWS if v in used or v in more]
     ctes = ",\n".join(f"{v} as ({_text(v, DUCK)})" for v in used)
     if not ctes:
         return sql
