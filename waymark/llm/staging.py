@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which every executor can read. On a local master, where driver and executors are one
+    process, a folder of its own is set if there is none; a cluster has to name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    if base is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="waymark-")
+    return base.rstrip("/")
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in spark.checkpoint.dir, which every executor can read. Where the setting is absent
-    (a bare local session) the warehouse folder stands in for it; never a machine-local temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/waymark-{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is left there goes when the driver's Python ends."""
+    path = f"{shared_folder(spark)}/waymark-{tag}-{uuid.uuid4().hex}"
+    if not _LEFT:
+        atexit.register(_remove_left, spark)
+    _LEFT.add(path)
+    return path
+
+
+#: Tables that a returned DataFrame may still read.
+_LEFT: set[str] = set()
+
+
+def _remove_left(spark: SparkSession) -> None:
+    with suppress(Exception):  # the session may have ended before
+        remove(spark, *list(_LEFT))
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes staged tables that nothing will read again."""
     for path in paths:
+        _LEFT.discard(path)
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now, not when the driver's heap next fills."""
+    """Lets Spark delete the shuffle files of finished jobs now, not when the driver's heap next fills. A workaround: a
+    driver that builds long jobs with a nearly empty heap never collects, and shuffle files pile up."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -71,18 +102,27 @@ class Stage:
         out = df.write.option("compression", "zstd")
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
+    def drop_others(self, *kept: str) -> None:
+        """Drops all tables but those that the result reads."""
+        self.drop(*(n for n in list(self.paths) if n not in kept))
+
     def drop(self, *names: str) -> None:
         remove(self.spark, *(self.paths.pop(n) for n in names))
         release(self.spark)
 
 
-#: Rows of a list of documents that are broadcast; a longer list is shuffled.
-ROWS_BROADCAST = 1_000_000
+#: Rows of a list of ids or digests that are broadcast; a longer list is shuffled. A row of two numbers takes some 60 bytes
+#: in a task's hash table, so a broadcast is bounded by 12 MB.
+ROWS_BROADCAST = 200_000
+
+
+def short(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it is short."""
+    return F.broadcast(keys) if keys.count() <= ROWS_BROADCAST else keys
 
 
 def without(docs: DataFrame, listed: DataFrame, same: Column, stage: Stage) -> DataFrame:
-    """The rows of docs that match no row of listed, a short table of keys; `same` compares the structs doc and listed,
+    """The rows of docs that match no row of listed, a table of keys; `same` compares the structs doc and listed,
     so that no name clashes."""
-    listed = stage.write(listed, "listed").select(F.struct("*").alias("listed"))
-    side = F.broadcast(listed) if listed.count() <= ROWS_BROADCAST else listed
-    return docs.select(F.struct("*").alias("doc")).join(side, same, "left_anti").select("doc.*")
+    listed = short(stage.write(listed, "listed").select(F.struct("*").alias("listed")))
+    return docs.select(F.struct("*").alias("doc")).join(listed, same, "left_anti").select("doc.*")

@@ -3,21 +3,25 @@
 The edges of the graph are the windows of WINDOW consecutive words. Neighbouring windows of a text that share
 their least k-mer (of MINIMIZER words, the leftmost of equals) form a path; equal windows always lie in paths with
 an equal k-mer, so paths, about one for every thirteen windows, stand for them in the shuffle. If all paths of a
-k-mer are equal (the graph doesn't branch there), the path is one compact edge: its windows are repeated if it
-occurs twice. Only paths of k-mers where different ones meet are expanded to windows, which are then counted
-singly. Source coordinates (document, first window, number of windows) lead back to the words that are removed.
+k-mer are equal (the graph doesn't branch there), the path is a compact edge. Compact edges that occur twice are joined
+to their neighbours: where one is always followed by the other, and the other always follows it, pointer doubling
+over Spark joins makes one long edge of the whole chain. Paths of k-mers where different ones meet are expanded to windows.
 
-A path's k-mer, its words and a window are compared by 64-bit hashes, a window always together with its k-mer.
-Counts are summed before the shuffle, and rows meet counts in joins whose row side Spark can split, so a passage in
-a third of all documents is no hot task. Intermediate tables are written, and dropped when they have been read.
+64-bit hashes only choose candidates. Source coordinates (document, first window, number of windows) lead back to the
+words: each candidate, long edge or single window, is named by the 128-bit BLAKE2 digest of its words as they stand in the
+source, and is repeated if two places give one digest.
 
-Defined results: a null or empty text has no words; texts of fewer words than a window lose nothing; repeated rows
-are occurrences of their own, so both lose their windows; all columns of the input are kept, whatever their names,
-except one called `dedup`, which is replaced.
+Counts are summed before the shuffle and written; rows meet them in joins of two plain shuffles, which Spark can split,
+so a passage in a third of all documents is no hot task. Intermediate tables are dropped when they have been read.
+
+Defined results: a null or empty text has no words; texts of fewer words than a window lose nothing; rows without
+doc_id are documents like others; repeated rows are occurrences of their own, so both lose their windows; all columns of
+the input are kept, whatever their names (remove_repeats replaces one called `dedup`).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm.pieces import trim
-from waymark.llm.staging import Stage, release
+from waymark.llm.staging import ROWS_BROADCAST, Stage, release, short
 from waymark.llm.text import hashes, words
 
 WINDOW, MINIMIZER = 35, 11
-#: Ids of documents that are broadcast to keep the other texts out of the shuffle; more go without.
-IDS_BROADCAST = 1_000_000
 #: Words of a batch that arrays are made for at once; a longer text is a batch of its own.
 BATCH_WORDS = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +123,16 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False), offsets
 
 
-_PATHS = "kmer long, words long, doc_id long, version int, first int, n int"
+_PATHS = "kmer long, words long, before long, after long, doc_id long, version long, first int, n int"
+
+
+def _neighbours(kmer: np.ndarray, doc: np.ndarray, step: int) -> pa.Array:
+    """The k-mer of the path before (-1) or after (1) in the same text, else null."""
+    other = np.roll(kmer, -step)
+    gone = np.roll(doc, -step) != doc
+    if len(gone):
+        gone[-1 if step > 0 else 0] = True
+    return pa.array(other.view(np.int64), mask=gone)
 
 
 def _find_paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,29 +145,38 @@ def _find_paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.searchsorted(own, begin, "right") - 1
             rows = pa.array(doc + a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kmer.view(np.int64)), pa.array(whole.view(np.int64)), batch.column("doc_id").take(rows), batch.column("version").take(rows),
+                [pa.array(kmer.view(np.int64)), pa.array(whole.view(np.int64)), _neighbours(kmer, doc, -1), _neighbours(kmer, doc, 1),
+                 batch.column("doc_id").take(rows), batch.column("version").take(rows),
                  pa.array((begin - own[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["kmer", "words", "doc_id", "version", "first", "n"],
+                names=["kmer", "words", "before", "after", "doc_id", "version", "first", "n"],
             )
     trim()
 
 
-def _expand(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single windows of the branching paths of each text."""
+_PLACES = "kmer long, digest binary, doc_id long, version long, first int, n int"
+
+
+def _read_source(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names the candidates of each text by their words: long edges whole, branching paths window by window."""
     for batch in it:
-        h, offsets = _flat(batch.column("h"))
-        h = h.view(np.uint64)
         firsts, at = _flat(batch.column("firsts"))
         sizes, kmers = _flat(batch.column("sizes"))[0], _flat(batch.column("kmers"))[0]
-        for i in range(batch.num_rows):
-            run = Hashes(h[offsets[i] : offsets[i + 1]])
-            f, n, k = (x[at[i] : at[i + 1]].astype(np.int64) for x in (firsts, sizes, kmers))
-            place = np.repeat(f - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            one = pa.array(np.full(len(place), i))
+        branches = batch.column("branches").values.to_numpy(zero_copy_only=False)
+        for i, text in enumerate(batch.column("text")):
+            parts = text.as_py().split()  # bytes: splits at space and tab to carriage return
+            source = memoryview(b" ".join(parts))
+            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+            f, n, k, b = (x[at[i] : at[i + 1]] for x in (firsts, sizes, kmers, branches))
+            each = np.where(b, n, 1)
+            first = np.repeat(f - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum()) if len(f) else f
+            size = np.repeat(np.where(b, 1, n), each)
+            lo, hi = ends[first] - np.fromiter((len(parts[x]) + 1 for x in first.tolist()), np.int64, len(first)), ends[first + size + WINDOW - 2] - 1
+            digests = [hashlib.blake2b(source[x:y], digest_size=16).digest() for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+            one = pa.array(np.full(len(first), i))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(k, n)), pa.array(run.of(place, WINDOW).view(np.int64)), batch.column("doc_id").take(one),
-                 batch.column("version").take(one), pa.array(place.astype(np.int32))],
-                names=["kmer", "window", "doc_id", "version", "first"],
+                [pa.array(np.repeat(k, each)), pa.array(digests, pa.binary()), batch.column("doc_id").take(one), batch.column("version").take(one),
+                 pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
+                names=["kmer", "digest", "doc_id", "version", "first", "n"],
             )
 
 
@@ -176,14 +196,19 @@ def _remove(text: pa.Array, firsts: pa.Array, sizes: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_removed", "kept_text"])
 
 
+def _same_text(a: str, b: str):
+    """A join condition on (doc_id, version); rows without id meet too."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.version") == F.col(f"{b}.version"))
+
+
 class SubstringDedup:
     """One run over a table with doc_id and text."""
 
     def __init__(self, docs: DataFrame):
-        self.docs, self.spark = docs.drop("dedup"), docs.sparkSession
+        self.docs, self.spark = docs, docs.sparkSession
         self.stage = Stage(self.spark, "substrings")
         # rows that share a doc_id are told apart by their texts
-        version = F.hash(F.coalesce("text", F.lit("")))
+        version = F.xxhash64(F.coalesce("text", F.lit("")))
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), version.alias("version"), "text")
 
     def repeated_paths(self) -> DataFrame:
@@ -191,77 +216,108 @@ class SubstringDedup:
         found = self.texts.select("doc_id", "version", hashes(words(F.col("text"))).alias("h")).mapInArrow(_find_paths, _PATHS)
         found = self.stage.write(found, "paths")
         count = found.groupBy("kmer").agg(F.count("*").alias("k"), F.min("words").alias("lo"), F.max("words").alias("hi"))
-        twice = count.filter("k > 1").select("kmer", (F.col("lo") != F.col("hi")).alias("branches"))
+        twice = self.stage.write(count.filter("k > 1").select("kmer", (F.col("lo") != F.col("hi")).alias("branches")), "twice")
         out = self.stage.write(found.drop("words").join(twice, "kmer"), "repeated")
-        self.stage.drop("paths")
+        self.stage.drop("paths", "twice")
         return out
 
+    def chains(self, compact: DataFrame) -> DataFrame:
+        """(kmer, chain, shift): the first compact edge of the chain that each is part of, and its distance in windows."""
+        sole = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+        edges = self.stage.write(compact.groupBy("kmer").agg(sole("before"), sole("after"), F.min("n").alias("n")), "edges")
+        ahead = edges.filter("after is not null").select(F.col("kmer").alias("before"), F.col("after").alias("kmer"), F.col("n").alias("shift"))
+        linked = edges.select("kmer", "before").join(ahead, ["kmer", "before"], "left")
+        at = self.stage.write(linked.select(
+            "kmer", F.when(F.col("shift").isNull(), F.col("kmer")).otherwise(F.col("before")).alias("chain"), F.coalesce("shift", F.lit(0)).cast("long").alias("shift")
+        ), "chain-0")
+        left, k = at.filter("chain <> kmer").count(), 0
+        while left:
+            up = at.select(F.col("kmer").alias("chain"), F.col("chain").alias("further"), F.col("shift").alias("more"))
+            k += 1
+            at = self.stage.write(at.join(up, "chain").select("kmer", F.col("further").alias("chain"), (F.col("shift") + F.col("more")).alias("shift")), f"chain-{k}")
+            heads = at.filter("chain = kmer").select(F.col("kmer").alias("chain"))
+            now = at.join(heads, "chain", "left_anti").count()
+            self.stage.drop(f"chain-{k - 1}")
+            if now in (0, left):  # all have come to a first edge, or only circles are left
+                break
+            left = now
+        if left and left == at.join(at.filter("chain = kmer").select(F.col("kmer").alias("chain")), "chain", "left_anti").count():
+            # circles have no first edge: their edges stay as they are
+            heads = at.filter("chain = kmer").select(F.col("kmer").alias("head"))
+            known = at.join(heads, at["chain"] == heads["head"], "left")
+            at = known.select("kmer", F.coalesce("head", "kmer").alias("chain"), F.when(F.col("head").isNotNull(), F.col("shift")).otherwise(0).alias("shift"))
+        return at
+
+    def candidates(self) -> DataFrame:
+        """(doc_id, version, first, n, kmer, branches): long edges and branching paths in their documents."""
+        repeated = self.repeated_paths()
+        compact = repeated.filter("not branches").drop("branches")
+        place = compact.join(self.chains(compact), "kmer").withColumn("start", F.col("first") - F.col("shift"))
+        # all edges of a chain stand in a row wherever one of them does
+        long = place.groupBy("doc_id", "version", "chain", "start").agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("n")).alias("end"))
+        long = long.select("doc_id", "version", "first", (F.col("end") - F.col("first")).cast("int").alias("n"), F.col("chain").alias("kmer"), F.lit(False).alias("branches"))
+        branching = repeated.filter("branches").select("doc_id", "version", "first", "n", "kmer", "branches")
+        return self.stage.write(long.unionByName(branching), "candidates")
+
     def thinned(self, ids: DataFrame) -> DataFrame:
-        """Texts of the documents ids, without moving others if the ids are few."""
-        return self.texts.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= IDS_BROADCAST else self.texts
-
-    def repeated_windows(self, branching: DataFrame) -> DataFrame:
-        """(doc_id, version, first) of the windows of branching paths that occur twice or more."""
-        lists = branching.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "n", "kmer")).alias("s"))
-        texts = self.thinned(branching.select("doc_id").distinct())
-        same = (texts["doc_id"].eqNullSafe(lists["doc_id"])) & (texts["version"] == lists["version"])
-        both = texts.join(lists, same).select(
-            texts["doc_id"], texts["version"], hashes(words(texts["text"])).alias("h"),
-            F.col("s.first").alias("firsts"), F.col("s.n").alias("sizes"), F.col("s.kmer").alias("kmers"),
+        """Texts of the documents listed; texts of others aren't moved if the list is short."""
+        ids = self.stage.write(ids, "ids")
+        if ids.count() > ROWS_BROADCAST:
+            return self.texts
+        return self.texts.alias("t").join(F.broadcast(ids.alias("i")), _same_text("t", "i"), "left_semi")
+
+    def repeated_places(self, candidates: DataFrame) -> DataFrame:
+        """(doc_id, version, first, n) of the candidates whose words stand in two places or more."""
+        item = F.struct("first", "n", "kmer", "branches")
+        lists = candidates.groupBy("doc_id", "version").agg(F.collect_set(item).alias("s"))
+        texts = self.thinned(candidates.select("doc_id", "version").distinct())
+        both = texts.alias("t").join(lists.alias("l"), _same_text("t", "l")).select(
+            "t.doc_id", "t.version", F.coalesce("t.text", F.lit("")).cast("binary").alias("text"),
+            F.col("s.first").alias("firsts"), F.col("s.n").alias("sizes"), F.col("s.kmer").alias("kmers"), F.col("s.branches").alias("branches"),
         )
-        windows = self.stage.write(both.mapInArrow(_expand, "kmer long, window long, doc_id long, version int, first int"), "windows")
+        places = self.stage.write(both.mapInArrow(_read_source, _PLACES), "places")
         release(self.spark)
-        twice = windows.groupBy("kmer", "window").agg(F.count("*").alias("k")).filter("k > 1").select("kmer", "window")
-        out = self.stage.write(windows.join(twice, ["kmer", "window"], "left_semi").select("doc_id", "version", "first"), "singles")
-        self.stage.drop("windows")
-        return out
+        twice = places.groupBy("kmer", "digest").agg(F.count("*").alias("k")).filter("k > 1").select("kmer", "digest")
+        twice = self.stage.write(twice, "twice")
+        return places.join(twice, ["kmer", "digest"], "left_semi").select("doc_id", "version", "first", "n")
 
     def runs(self) -> DataFrame:
         """(doc_id, version, firsts, sizes): the runs of repeated windows of each document that has any."""
-        repeated = self.repeated_paths()
-        singles = self.repeated_windows(repeated.filter("branches"))
-        compact = repeated.filter("not branches").select("doc_id", "version", "first", "n")
-        both = compact.union(singles.withColumn("n", F.lit(1)))
-        lists = both.groupBy("doc_id", "version").agg(F.collect_list(F.struct("first", "n")).alias("s"))
+        lists = self.repeated_places(self.candidates()).groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "n")).alias("s"))
         out = self.stage.write(lists.select("doc_id", "version", F.col("s.first").alias("firsts"), F.col("s.n").alias("sizes")), "runs")
-        self.stage.drop("repeated", "singles")
+        self.stage.drop_others("runs")
         return out
 
     def run(self) -> DataFrame:
-        """All columns of the input, and `dedup`: n_words, n_removed and kept_text."""
-        runs = self.runs().select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "firsts", "sizes").alias("r")
-        docs = self.docs.select(F.struct("*").alias("doc"))
+        """`doc`, all columns of the input, and `dedup`: n_words, n_removed and kept_text."""
+        runs = self.runs()
         text = F.coalesce("doc.text", F.lit(""))
-        same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.hash(text) == F.col("_version"))
+        docs = self.docs.select(F.struct("*").alias("doc")).withColumn("k", F.struct(F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version")))
+        same = lambda other: F.col("k.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("k.version") == F.col(f"{other}.version"))
+        ids = short(runs.select("doc_id", "version")).alias("i")
+        # only texts that lose words are shuffled, if they are few
+        rest, some = docs.join(ids, same("i"), "left_anti"), docs.join(ids, same("i"), "left_semi")
+        joined = some.join(runs.alias("r"), same("r"))
         count = F.size(words(text)).cast("long")
-        cut = _remove(text.cast("binary"), F.col("firsts"), F.col("sizes"))
-        ids = self.spark.read.parquet(self.stage.paths["runs"]).select(F.col("doc_id").alias("_with")).distinct()
-        if ids.count() <= IDS_BROADCAST:
-            # only texts that lose words are shuffled
-            has = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("_with"))
-            rest, docs = docs.join(F.broadcast(ids), has, "left_anti"), docs.join(F.broadcast(ids), has, "left_semi")
-            joined = docs.join(runs, same, "left")
-            parts = [joined.filter("firsts is not null"), joined.filter("firsts is null").select("doc").unionByName(rest)]
-        else:
-            joined = docs.join(runs, same, "left")
-            parts = [joined.filter("firsts is not null"), joined.filter("firsts is null").select("doc")]
-        changed = parts[0].withColumn("cut", cut).select("doc.*", F.struct(count.alias("n_words"), "cut.n_removed", "cut.kept_text").alias("dedup"))
+        changed = joined.withColumn("cut", _remove(text.cast("binary"), F.col("r.firsts"), F.col("r.sizes")))
+        changed = changed.select("doc", F.struct(count.alias("n_words"), "cut.n_removed", "cut.kept_text").alias("dedup"))
         whole = F.struct(count.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join(words(text), " ").alias("kept_text"))
-        return changed.unionByName(parts[1].select("doc.*", whole.alias("dedup")))
+        return changed.unionByName(rest.select("doc", whole.alias("dedup")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """All columns of docs, and the struct `dedup`."""
-    return SubstringDedup(docs).run()
+    rows = SubstringDedup(docs).run()
+    return rows.select(*(F.col(f"doc.`{c}`") for c in docs.columns if c != "dedup"), "dedup")
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """docs with the repeated passages cut out of `text` and `n_chars` counted anew; texts that lose nothing stay as
     they are, and documents of which no word is left go."""
-    rows = remove_repeats(docs)
+    rows = SubstringDedup(docs).run()
     cut = F.col("dedup.n_removed") > 0
-    text = F.when(cut, F.col("dedup.kept_text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(cut, F.length("dedup.kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    row = F.struct(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    text = F.when(cut, F.col("dedup.kept_text")).otherwise(F.col("doc.text"))
+    new = {"text": text, "n_chars": F.when(cut, F.length("dedup.kept_text").cast("long")).otherwise(F.col("doc.n_chars"))}
+    row = F.struct(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
     left = ~cut | (F.col("dedup.n_words") > F.col("dedup.n_removed"))
     return rows.select(F.explode(F.when(left, F.array(row))).alias("d")).select("d.*")
