@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values
@@ -131,6 +131,22 @@ def drop_status_faqs(faqs: Column) -> Column:
     return F.filter(clean, lambda f: f["answer"].isNull() | (F.trim(f["answer"]) != ""))
 
 
+def without_claims(entity: DataFrame) -> DataFrame:
+    """Entities without claims about a registration's status: the status itself, sentences of the summary and the description,
+    pros and cons that state one, and FAQs (X5)."""
+    kept = lambda c: F.filter(c, lambda x: ~F.coalesce(is_status_sentence(x), F.lit(False)))
+    change = {"ai_summary": scrub, "short_description": scrub, "pros": kept, "cons": kept, "faqs": drop_status_faqs}
+    return entity.withColumns({c: make(F.col(c)) for c, make in change.items() if c in entity.columns}).drop("registration_status")
+
+
+def without_claims_in_reviews(reviews: DataFrame) -> DataFrame:
+    """The same for reviews: standfirst, verdict, description, paragraphs and FAQs; a section left without a paragraph goes."""
+    clean = lambda s: F.filter(F.transform(s["paragraphs"], lambda p: scrub(p, True)), lambda p: F.trim(p) != "")
+    left = F.filter(F.transform("sections", lambda s: s.withField("paragraphs", clean(s))), lambda s: F.size(s["paragraphs"]) > 0)
+    change = {c: scrub(F.col(c)) for c in ("dek", "verdict", "meta_description")} | {"sections": left, "faqs": drop_status_faqs(F.col("faqs"))}
+    return reviews.withColumns({c: x for c, x in change.items() if c in reviews.columns})
+
+
 def strip_score(text: Column) -> Column:
     """Without inline scores such as (85/100)."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*\(\s*\d{1,3}\s*/\s*100\s*\)", ""), r"\s{2,}", " "))

@@ -96,6 +96,19 @@ def filter_key(category: Column, region: Column, tags: Column) -> Column:
     return F.concat_ws("|", F.coalesce(category, F.lit("")), F.coalesce(region, F.lit("")), F.array_join(F.array_sort(tags), ","))
 
 
+def uncovered(wanted: DataFrame, taken: DataFrame, covered: DataFrame) -> DataFrame:
+    """wanted (slug, filter_key) without those whose slug is taken or whose coverage a guide has."""
+    return wanted.join(taken, "slug", "left_anti").join(covered, "filter_key", "left_anti")
+
+
+def refreshed(stored: DataFrame, rewritten: DataFrame, named: DataFrame) -> DataFrame:
+    """stored guides (guide_id and any columns, intro and pick among them) with rewritten copy (guide_id, new_intro, new_pick); all
+    other columns are carried. A pick stays out if it names none of the guide's entries (guide_id, named)."""
+    kept = rewritten.join(named, "guide_id").filter(F.contains("new_pick", "named")).select("guide_id", F.lit(True).alias("_ok")).distinct()
+    both = stored.join(rewritten, "guide_id").join(kept, "guide_id", "left")
+    return both.withColumns({"intro": F.col("new_intro"), "pick": F.when(F.col("_ok"), F.col("new_pick"))}).drop("new_intro", "new_pick", "_ok")
+
+
 def grid(entities: DataFrame, regions: DataFrame, categories: DataFrame) -> DataFrame:
     """(category_id, root, n): published entities of each category, over all (root null) and for each top region."""
     country = closure(regions).join(regions.filter("granularity = 'country'").select(F.col("region_id").alias("anc")), "anc", "left_semi")

@@ -66,6 +66,20 @@ def preferred_source(sources: DataFrame) -> DataFrame:
     return sources.groupBy("entity_id").agg(best).select("entity_id", "b.pos", "b.url", "b.type")
 
 
+def restamped(sources: DataFrame, checked: DataFrame, as_of: str) -> DataFrame:
+    """sources with the date of the check on the one of each checked record that was looked at, its preferred source."""
+    looked = preferred_source(sources).join(checked, "entity_id", "left_semi").select("entity_id", "pos", "url", F.lit(True).alias("_looked"))
+    joined = sources.join(looked, ["entity_id", "pos", "url"], "left")
+    return joined.withColumn("last_checked", F.when(F.col("_looked"), as_of).otherwise(F.col("last_checked"))).drop("_looked")
+
+
+def recommend(entities: DataFrame, rated: DataFrame) -> DataFrame:
+    """entities (slug, estimate) with score: the rating of the review with their slug, the last one if there are several, else their
+    estimate, else -1."""
+    last = rated.groupBy("slug").agg(F.max_by("rating", "ord").alias("_rating"))
+    return entities.join(last, "slug", "left").withColumn("score", F.coalesce("_rating", "estimate", F.lit(-1))).drop("_rating")
+
+
 def freshness(entities: DataFrame, sources: DataFrame, fallback: str) -> DataFrame:
     """(entity_id, checked): the newest check of its sources, else the record's own date."""
     newest = sources.groupBy("entity_id").agg(F.max("last_checked").alias("newest"))

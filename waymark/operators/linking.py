@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.guides import published, reviewable
+from waymark.operators.hierarchy import closure
+
 
 def by_label(rows: DataFrame, label: str, items: DataFrame, item_id: str) -> DataFrame:
     """rows with the id of the item whose label is equal but for case and outer blanks; null without one."""
@@ -168,3 +171,24 @@ def dangling(rows: DataFrame, key: str, column: str, known: DataFrame, known_id:
     """Rows whose reference is no known id, as (key, rule, detail)."""
     refs = rows.filter(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).alias("detail"))
     return refs.join(known.select(F.col(known_id).alias("detail")), "detail", "left_anti").select("key", F.lit(rule).alias("rule"), "detail")
+
+
+def past_editions(entities: DataFrame, regions: DataFrame, reviews: DataFrame, k: int) -> DataFrame:
+    """(region_id, entity_id): the latest k entities that are no longer shown but have a review, of each region in which, and below
+    which, nothing is shown."""
+    up = closure(regions).select("region_id", "anc")
+    full = up.join(entities.filter(published()).select("region_id").distinct(), "region_id", "left_semi").select("anc").distinct()
+    past = entities.filter(~published() & reviewable()).join(reviews.select("entity_id"), "entity_id", "left_semi")
+    inside = past.join(up.join(full, "anc", "left_anti"), "region_id")
+    return _best(inside, ["anc"], [F.coalesce("date_s", F.lit("")).desc(), F.col("ord")], k).select(F.col("anc").alias("region_id"), "entity_id")
+
+
+def sideways(categories: DataFrame, regions: DataFrame, counts: DataFrame) -> DataFrame:
+    """(kind, id, other): related categories by stored ids that exist, each region's known parent, and its children that hold any
+    entity."""
+    known = categories.select(F.col("category_id").alias("other"))
+    related = categories.select(F.lit("category").alias("kind"), F.col("category_id").alias("id"), F.explode("related_category_ids").alias("other")).join(known, "other", "left_semi")
+    up = regions.filter("parent_region_id is not null")
+    parents = up.join(regions.select(F.col("region_id").alias("parent_region_id")), "parent_region_id", "left_semi").select(F.lit("parent"), "region_id", "parent_region_id")
+    children = up.join(counts.filter("n > 0"), "region_id", "left_semi").select(F.lit("child"), "parent_region_id", "region_id")
+    return related.select("kind", "id", "other").union(parents).union(children)

@@ -48,6 +48,32 @@ def near_duplicate_questions(faqs: DataFrame) -> DataFrame:
     return pairs.select("owner_id", F.col("a.pos").alias("first"), F.col("b.pos").alias("second"))
 
 
+def repeated_questions(reviews: DataFrame, entities: DataFrame) -> DataFrame:
+    """(review_id, n, first): how many FAQs of a review ask what its entity's do, and the first of them. Both: entity_id, pos,
+    question (reviews: review_id too). Questions meet inside one entity's row."""
+    old = entities.groupBy("entity_id").agg(F.collect_list(question_key(F.col("question"))).alias("keys"))
+    asked = reviews.join(old, "entity_id").withColumn("key", question_key(F.col("question")))
+    again = asked.filter(F.exists("keys", lambda k: near_duplicate(k, F.col("key"))))
+    return again.groupBy("review_id").agg(F.count("*").alias("n"), F.min(F.struct("pos", "question"))["question"].alias("first"))
+
+
+def unstated_years(reviews: DataFrame) -> DataFrame:
+    """review_id of those that never state the year of their event. reviews: review_id, date and prose, all texts of a review."""
+    year = F.regexp_extract("date", r"^(\d{4})", 1)
+    return reviews.filter((year != "") & ~F.contains(F.coalesce("prose", F.lit("")), year)).select("review_id")
+
+
+def baked_checks(pieces: DataFrame) -> DataFrame:
+    """(key, field, said) of the prose pieces that state their own date of verification or confidence score."""
+    return pieces.withColumn("said", own_check(F.col("text"))).filter("said is not null").select("key", "field", "said")
+
+
+def totals(found: DataFrame) -> DataFrame:
+    """(collection, n_errors, n_warnings, passed) over a table of violations."""
+    errors, warnings = F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warning")
+    return found.groupBy("collection").agg(errors.alias("n_errors"), warnings.alias("n_warnings"), (errors == 0).alias("passed"))
+
+
 def same_questions(faqs: DataFrame) -> DataFrame:
     """(lead, content, n, first_owner, other, other_n, other_owner): groups of equal questions, and the groups whose
     content lies in another's, where records differ; other is the larger content, or the same one for a group of

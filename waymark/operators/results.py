@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POWER = 1.06
@@ -21,6 +21,26 @@ def standard(rows: DataFrame, knots: DataFrame) -> DataFrame:
     return rows.withColumn("standard", F.when(x < ks[0][0], first).otherwise(out))
 
 
+def percent_of_standard(rows: DataFrame, knots: DataFrame, bands: list[tuple[float, float | None, float]]) -> DataFrame:
+    """rows with standard, the factor of their age band (one for ages in none) and percent = standard / (time x factor)."""
+    age, factor = F.col("age"), F.lit(1.0)
+    for low, high, value in bands:
+        factor = F.when((age >= low) & (F.lit(True) if high is None else age < high), value).otherwise(factor)
+    scored = standard(rows, knots).withColumn("factor", factor)
+    return scored.withColumn("percent", 100 * F.col("standard") / (F.col("time") * F.col("factor")))
+
+
+def weighted_splits(rows: DataFrame, key: str, every: float, most: int, skew: float) -> DataFrame:
+    """(key, i, part, time, running): intervals of a distance `total`, whose times are weighted from slow to fast by skew and add up
+    to `time` exactly; plans of more than `most` rows are rejected."""
+    plan = splits(rows, key, every, most).join(rows, key)
+    middle = (F.col("running") - F.col("part") / 2) / F.col("total")
+    w = Window.partitionBy(key)
+    share = F.col("part") * (1 + skew * (1 - 2 * middle))
+    out = plan.withColumn("_w", share).withColumn("split", F.col("_w") / F.sum("_w").over(w) * F.col("time"))
+    return out.withColumn("passed", F.sum("split").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).select(key, "i", "part", "split", "passed")
+
+
 def projections(rows: DataFrame, targets: list[float], base: float) -> DataFrame:
     """Each result projected to each target by the power and the linear law."""
     each = rows.withColumn("target", F.explode(F.lit(targets)))

@@ -1,4 +1,4 @@
 """Registered queries over the directory's tables, and their SQL."""
 
-from waymark.plans import content, guides, lifecycle, linking, more, records  # noqa: F401
+from waymark.plans import content, guides, lifecycle, linking, more, records, site  # noqa: F401
 from waymark.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -146,9 +146,7 @@ def u4(v):
     return merged.select("owner_id", F.size("faqs").alias("n"), text.dedupe_faqs(F.col("faqs")).alias("faqs")).select("owner_id", "n", F.size("faqs").alias("n_kept"))
 
 
-@query(
-    "V_violations",
-    r"""select * from (
+V_SQL = r"""select * from (
       select 'review' as collection, review_id as key, 'V11.cite' as rule, 'error' as severity from v_review where regexp_matches(body, '(?i)</?cite[^>]*>')
       union all select 'review', review_id, 'V11.ref', 'error' from v_review where regexp_matches(body, '\[\d+-\d+\]')
       union all select 'review', review_id, 'V10.entity', 'error' from v_review where entity_id not in (select entity_id from v_entity)
@@ -158,16 +156,12 @@ def u4(v):
       union all select 'entity', entity_id, 'V2.slug', 'error' from v_entity qualify row_number() over (partition by slug order by ord) > 1
       union all select 'entity', entity_id, 'V1.tags', 'error' from v_entity where len(tags) > 2
       union all select 'entity', entity_id, 'V4.deadline', 'warning' from v_entity where status = 'active' and date_s < '1996-06-01'
-      union all select 'source', concat(entity_id, ':', pos, ':', url), 'V14.page', 'warning' from v_source where not regexp_matches(url, '^https?://[^/?#]+/[^?#]*[^/?#]'))""",
-)
-def violations(v):
-    return quality.violations(v)
+      union all select 'source', concat(entity_id, ':', pos, ':', url), 'V14.page', 'warning' from v_source where not regexp_matches(url, '^https?://[^/?#]+/[^?#]*[^/?#]'))"""
 
 
-@query("A16_totals", "select 'x' as k, count(*) as n_fatal from v_review where regexp_matches(body, '(?i)</?cite[^>]*>')")
-def a16(v):
-    found = quality.violations(v).groupBy("collection", "severity", "rule").agg(F.count("*").alias("n"))
-    return found.filter("rule = 'V11.cite'").agg(F.lit("x").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_fatal"))
+@query("V_violations", V_SQL)
+def violations(v):
+    return quality.violations(v)
 
 
 _KNOTS = "values (5.0, 30.0), (10.0, 62.0), (20.0, 130.0), (40.0, 275.0)"
@@ -202,24 +196,7 @@ def c4(v):
     return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", results.banded(F.col("l_quantity"), bands).alias("load"))
 
 
-@query("S5_entity_json", "select entity_id, name, date_s as start from v_entity")
-def s5(v):
-    """Read back from the exported JSON."""
-    doc = exports.entity_json(v.v_entity, "https://example.org")
-    return doc.select("entity_id", F.get_json_object("json", "$.name").alias("name"), F.get_json_object("json", "$.startDate").alias("start"))
-
-
 @query("S7_faq_json", "select owner_id, count(*) as n, arg_min(question, pos) as first_question from v_faq group by owner_id")
 def s7(v):
     doc = exports.faq_json(v.v_faq)
     return doc.select("owner_id", F.json_array_length(F.get_json_object("json", "$.mainEntity")).cast("long").alias("n"), F.get_json_object("json", "$.mainEntity[0].name").alias("first_question"))
-
-
-@query(
-    "S8_sitemap",
-    """with n as (select distinct region_id from v_entity)
-    select '/' as path union all select concat('/e/', entity_id) from v_entity where status <> 'archived' union all select concat('/regions/', region_id) from n
-    union all select concat('/reviews/', review_id) from v_review where status = 'active' and entity_id not in (select entity_id from v_entity where status <> 'archived')""",
-)
-def s8(v):
-    return exports.sitemap(v.v_entity, v.v_region, v.v_review)

@@ -190,16 +190,6 @@ def a9(v):
     return now.filter(guides.stale(F.col("stored"), F.col("fingerprint"))).select("guide_id", "n")
 
 
-@query("U2_uncovered_keys", f"with {_MEMBER} select distinct concat(category_id, '|', region_id, '|') as filter_key from (select mem.category_id, region_id from mem join v_entity using (entity_id)) where category_id <> 'small' or region_id <> 'n3'")
-def u2(v):
-    """Coverage keys that no guide has."""
-    none = F.array().cast("array<string>")
-    pairs = categories.memberships(v.v_entity, v.v_category).join(v.v_entity.select("entity_id", "region_id"), "entity_id")
-    keys = pairs.select("category_id", "region_id").distinct().select(guides.filter_key(F.col("category_id"), F.col("region_id"), none).alias("filter_key"))
-    covered = v.v_region.filter("region_id = 'n3'").select(guides.filter_key(F.lit("small"), F.col("region_id"), none).alias("filter_key"))
-    return keys.join(covered, "filter_key", "left_anti")
-
-
 @query("W2_category_order", "with c as (select p_brand as label, nullif(min(p_size), 1) as min_v from part group by p_brand) select label, row_number() over (order by min_v desc nulls last, label) as place from c")
 def w2(v):
     """Brands as categories, from their least size up; those that begin at one have no range."""
@@ -216,10 +206,3 @@ def w5(v):
 def w8(v):
     found = hierarchy.counts(v.v_entity, v.v_region).join(v.v_region.filter("granularity = 'country' and region_id <> 'r0'").select("region_id"), "region_id")
     return found.filter("n > 0").orderBy(F.desc("n"), "region_id").limit(6)
-
-
-@query("J21_child_regions", f"with {_CLOSURE} select distinct r.region_id, r.parent_region_id from v_region r join cl on cl.anc = r.region_id join v_entity e on e.region_id = cl.region_id where r.parent_region_id is not null")
-def j21(v):
-    """Child regions that are not empty, with their parent."""
-    some = hierarchy.counts(v.v_entity, v.v_region).filter("n > 0")
-    return v.v_region.filter("parent_region_id is not null").join(some, "region_id", "left_semi").select("region_id", "parent_region_id")

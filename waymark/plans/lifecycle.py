@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.operators import lifecycle
+from waymark.operators import browse, lifecycle
 from waymark.operators.guides import published
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
@@ -15,57 +15,13 @@ PUB = "status in ('active', 'needs_review')"
 
 @query("F7_search", "select entity_id from v_entity e join v_region r using (region_id) where contains(lower(concat_ws(' ', name, r.label, slug)), 'urgent')")
 def f7(v):
-    e = v.v_entity.join(F.broadcast(v.v_region.select("region_id", "label")), "region_id")
-    return e.filter(F.contains(F.lower(F.concat_ws(" ", "name", "label", "slug")), F.lit("urgent"))).select("entity_id")
-
-
-@query("F8_facets", "select region_id, count(*) as n from v_entity where substr(date_s, 1, 7) = '1996-05' and category_id = 'xl' and contains(lower(name), 'low') group by region_id")
-def f8(v):
-    """Combined facets, blank ones without effect, and the groups that are left."""
-    wanted = {"month": "1996-05", "category": "xl", "country": "", "text": "low"}
-    c = F.lit(True)
-    c = c & (F.substring("date_s", 1, 7) == wanted["month"]) if wanted["month"] else c
-    c = c & (F.col("category_id") == wanted["category"]) if wanted["category"] else c
-    c = c & (F.col("region_id") == wanted["country"]) if wanted["country"] else c
-    c = c & F.contains(F.lower("name"), F.lit(wanted["text"])) if wanted["text"] else c
-    return v.v_entity.filter(c).groupBy("region_id").agg(F.count("*").alias("n"))
-
-
-@query("F9_chips", "select entity_id from v_entity where list_contains(tags, 'AF') or category_id = 'AF' or region_id = 'AF'")
-def f9(v):
-    chips = F.array_union("tags", F.array("category_id", "region_id"))
-    return v.v_entity.filter(F.array_contains(chips, "AF")).select("entity_id")
-
-
-@query(
-    "F10_evidence",
-    "with s as (select distinct entity_id from v_source where type in ('review', 'social')) select r.review_id, case when rating is not null and entity_id in (select entity_id from s) then rating end as shown from v_review r",
-)
-def f10(v):
-    """a rating is shown only with a review or social source."""
-    proof = v.v_source.filter(F.col("type").isin("review", "social")).select("entity_id").distinct().withColumn("proof", F.lit(True))
-    j = v.v_review.join(proof, "entity_id", "left")
-    return j.select("review_id", F.when(F.col("proof") & F.col("rating").isNotNull(), F.col("rating")).alias("shown"))
-
-
-@query(
-    "F18_rating_choice",
-    "select e.entity_id, coalesce(r.rating, e.reliability_score) as rating from v_entity e left join (select * from v_review where status = 'active') r using (entity_id)",
-)
-def f18(v):
-    r = v.v_review.filter("status = 'active'").select("entity_id", "rating")
-    return v.v_entity.join(r, "entity_id", "left").select("entity_id", F.coalesce("rating", "reliability_score").alias("rating"))
-
-
-@query("F13_needs_enrichment", f"select entity_id from v_entity where name = '5-LOW' or (len(tags) = 0 and len(numeric_facts) = 0)")
-def f13(v):
-    return v.v_entity.filter((F.col("name") == "5-LOW") | ((F.size("tags") == 0) & (F.size("numeric_facts") == 0))).select("entity_id")
+    e = v.v_entity.join(v.v_region.select("region_id", "label"), "region_id")
+    return e.filter(browse.found(" Urgent", "name", "label", "slug")).select("entity_id")
 
 
 @query("F14_thin_reviews", "select review_id from v_review where n_sections <= 2 or n_faqs <= 1 or n_sources <= 1")
 def f14(v):
-    few = lambda c, n: F.coalesce(c, F.lit(0)) <= n
-    return v.v_review.filter(few(F.col("n_sections"), 2) | few(F.col("n_faqs"), 1) | few(F.col("n_sources"), 1)).select("review_id")
+    return v.v_review.filter(browse.thin(F.col("n_sections"), F.col("n_faqs"), F.col("n_sources"))).select("review_id")
 
 
 @query("F16_new_flag", "select ord, ts > timestamp '2024-01-30 12:00:00' - interval 26 hours as is_new from v_fetch")
@@ -92,19 +48,6 @@ def w1(v):
     return v.v_entity.select("region_id", "entity_id", F.row_number().over(Window.partitionBy("region_id").orderBy(*order)).alias("place"))
 
 
-@query("W4_recommend_score", "select e.entity_id, coalesce(r.rating, case when e.reliability_score >= 50 then e.reliability_score end, -1) as score from v_entity e left join v_review r using (entity_id)")
-def w4(v):
-    own = F.when(F.col("reliability_score") >= 50, F.col("reliability_score"))
-    return v.v_entity.join(v.v_review.select("entity_id", "rating"), "entity_id", "left").select("entity_id", F.coalesce("rating", own, F.lit(-1)).alias("score"))
-
-
-@query("W6_review_list", "select review_id, row_number() over (order by published_at desc, ord) as place from v_review order by place limit 50")
-def w6(v):
-    top = v.v_review.orderBy(F.desc("published_at"), "ord").limit(50).select("review_id", "published_at", "ord")
-    # fifty rows
-    return top.select("review_id", F.row_number().over(Window.orderBy(F.desc("published_at"), "ord")).alias("place"))
-
-
 @query("W7_pages", "select review_id, row_number() over (order by published_at desc, ord) as place, ceil(row_number() over (order by published_at desc, ord) / 24)::bigint as page, count(*) over () as total from v_review")
 def w7(v):
     return lifecycle.pages_of(v.v_review.select("review_id", "published_at", "ord"), [F.desc("published_at"), F.col("ord")], 24).select("review_id", "place", "page", "total")
@@ -137,19 +80,6 @@ def w12(v):
     return lifecycle.research_queue(e, AS_OF, 30, 40).select("entity_id")
 
 
-@query(
-    "W13_review_queue",
-    f"""with q as (select entity_id, date_s, ord, len(tags) as material from v_entity where {PUB} and entity_id not in (select entity_id from v_review)),
-    g as (select *, max(material) over () >= 2 as enough from q)
-    select entity_id from g where not enough or material >= 2 order by case when date_s >= '{AS_OF}' then 0 else 1 end, date_s, ord limit 23""",
-)
-def w13(v):
-    """Unreviewed, those with material if there are any, upcoming by date and then the rest, limit and three more."""
-    e = v.v_entity.filter(published()).join(v.v_review.select("entity_id"), "entity_id", "left_anti").withColumn("material", F.size("tags"))
-    some = not e.filter("material >= 2").isEmpty()
-    return (e.filter("material >= 2") if some else e).orderBy(F.when(F.col("date_s") >= AS_OF, 0).otherwise(1), "date_s", "ord").limit(20 + 3).select("entity_id")
-
-
 @query("W14_targets", "select * from (values (1, 'e3', true), (2, 'none-such', false), (3, 'e1', true)) t(place, entity_id, known)")
 def w14(v):
     """An explicit list keeps its order; unknown ids are reported."""

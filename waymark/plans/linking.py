@@ -156,27 +156,6 @@ def v12(v):
     return linking.uncited(v.v_review)
 
 
-@query(
-    "J18_referential_checks",
-    "select review_id as key, 'review.entity' as rule, entity_id as detail from v_review where entity_id not in (select entity_id from v_entity)"
-    " union all select entity_id, 'source.entity', entity_id from v_source where entity_id not in (select entity_id from v_entity)"
-    " union all select region_id, 'region.parent', parent_region_id from v_region where parent_region_id is not null and parent_region_id not in (select region_id from v_region where region_id <> 'r2')",
-)
-def j18(v):
-    known = v.v_entity
-    return (
-        linking.dangling(v.v_review, "review_id", "entity_id", known, "entity_id", "review.entity")
-        .union(linking.dangling(v.v_source, "entity_id", "entity_id", known, "entity_id", "source.entity"))
-        .union(linking.dangling(v.v_region, "region_id", "parent_region_id", v.v_region.filter("region_id <> 'r2'"), "region_id", "region.parent"))
-    )
-
-
-@query("J19_past_editions", "select region_id, entity_id from v_entity where status = 'archived' and entity_id in (select entity_id from v_review where status = 'active') qualify row_number() over (partition by region_id order by date_s desc, ord) <= 5")
-def j19(v):
-    past = v.v_entity.filter(~published()).join(v.v_review.filter("status = 'active'"), "entity_id", "left_semi")
-    return linking._best(past, ["region_id"], [F.desc("date_s"), F.col("ord")], 5).select("region_id", "entity_id")
-
-
 @query(
     "J20_related_articles",
     """with t as (select doc_id, lang from documents), a as (select * from t qualify row_number() over (partition by lang order by doc_id desc) <= 7),

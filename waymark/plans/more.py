@@ -34,36 +34,6 @@ def a10(v):
     return months.join(named, "guide_id").select("guide_id", "first_month", "last_month", "n_cities", phrase.alias("cities"))
 
 
-@query("A11_guide_months", f"with {_LISTED} select guide_id, substr(date_s, 1, 7) as month, count(*) as n from listed join v_entity using (entity_id) group by all")
-def a11(v):
-    j = guide_ranking(v).join(v.v_entity.select("entity_id", F.substring("date_s", 1, 7).alias("month")), "entity_id")
-    return j.groupBy("guide_id", "month").agg(F.count("*").alias("n"))
-
-
-@query(
-    "A17_guide_tallies",
-    f"""with {_LISTED}, s as (select distinct entity_id from v_source where type in ('review', 'social'))
-    select guide_id, count_if(r.review_id is not null)::bigint as n_reviewed, coalesce(bool_or(r.rating is not null and s.entity_id is not null), false) as any_score
-    from listed left join v_review r using (entity_id) left join s using (entity_id) group by guide_id""",
-)
-def a17(v):
-    proof = v.v_source.filter(F.col("type").isin("review", "social")).select("entity_id").distinct().withColumn("proof", F.lit(True))
-    j = guide_ranking(v).join(v.v_review.select("entity_id", "review_id", "rating"), "entity_id", "left").join(proof, "entity_id", "left")
-    return j.groupBy("guide_id").agg(
-        F.count_if(F.col("review_id").isNotNull()).alias("n_reviewed"), F.coalesce(F.bool_or(F.col("rating").isNotNull() & F.coalesce("proof", F.lit(False))), F.lit(False)).alias("any_score")
-    )
-
-
-@query("S6_review_json", "select review_id, e.name as item, case when s.entity_id is not null then r.rating end as shown from v_review r join v_entity e using (entity_id) left join (select distinct entity_id from v_source where type in ('review', 'social')) s using (entity_id)")
-def s6(v):
-    """Read back from the exported JSON; a rating only where there is evidence for it."""
-    proof = v.v_source.filter(F.col("type").isin("review", "social")).select("entity_id").distinct().withColumn("proof", F.lit(True))
-    j = v.v_review.join(v.v_entity.select("entity_id", "name"), "entity_id").join(proof, "entity_id", "left")
-    rating = F.when(F.col("proof") & F.col("rating").isNotNull(), F.struct(F.col("rating").alias("ratingValue"), F.lit(100).alias("bestRating")))
-    doc = F.to_json(F.struct(F.lit("Review").alias("@type"), F.struct("name").alias("itemReviewed"), rating.alias("reviewRating")))
-    return j.select("review_id", F.get_json_object(doc, "$.itemReviewed.name").alias("item"), F.get_json_object(doc, "$.reviewRating.ratingValue").cast("int").alias("shown"))
-
-
 @query("X9_value_labels", "select l_orderkey, l_linenumber, l_partkey, case when l_quantity <= 10 then concat('Small ', printf('%.1f', l_quantity)) when l_quantity <= 25 then concat('Middle ', printf('%.1f', l_quantity)) when l_quantity <= 45 then concat('Large ', printf('%.1f', l_quantity)) else concat('Extra ', printf('%.1f', l_quantity)) end as label from lineitem")
 def x9(v):
     """The label of the first range, with the value unless the label already holds its digits."""
@@ -101,27 +71,6 @@ def x15(v):
     return merged.select("entity_id", "date_s", (F.col("date_s").rlike(r"^\d{4}-\d{2}-\d{2}") & F.col("score").between(0, 100)).alias("accepted"))
 
 
-@query(
-    "V3_V8_V9_references",
-    "select 'entity' as collection, 'V3.region' as rule, count(*) as n from v_entity where region_id not in (select region_id from v_region where region_id <> 'n4')"
-    " union all select 'region', 'V8.parent', count(*) from v_region where parent_region_id is not null and parent_region_id not in (select region_id from v_region where region_id <> 'r1')"
-    " union all select 'guide', 'V9.pin', count(*) from (select unnest(['e1', 'e2', 'e3', 'e5']) as p) where p not in (select entity_id from v_entity)"
-    " union all select 'guide', 'V9.category', 1",
-)
-def v3(v):
-    """Dangling references, counted by rule; one guide names a category that doesn't exist."""
-    pins = v.spark.createDataFrame([(p,) for g in GUIDES for p in g.get("pins", [])], "entity_id string").distinct()
-    cats = v.spark.createDataFrame([(g["category_id"],) for g in GUIDES if "category_id" in g], "category_id string").distinct()
-    n = lambda df, c, r: df.agg(F.lit(c).alias("collection"), F.lit(r).alias("rule"), F.count("*").alias("n"))
-    some, fewer = v.v_region.filter("region_id <> 'n4'"), v.v_region.filter("region_id <> 'r1'").select(F.col("region_id").alias("parent_region_id"))
-    return (
-        n(v.v_entity.join(F.broadcast(some.select("region_id")), "region_id", "left_anti"), "entity", "V3.region")
-        .union(n(v.v_region.filter("parent_region_id is not null").join(fewer, "parent_region_id", "left_anti"), "region", "V8.parent"))
-        .union(n(pins.join(v.v_entity.select("entity_id"), "entity_id", "left_anti"), "guide", "V9.pin"))
-        .union(n(cats.join(v.v_category.select("category_id"), "category_id", "left_anti"), "guide", "V9.category"))
-    )
-
-
 @query("U5_same_questions")
 def u5(v):
     return quality.same_questions(v.v_faq)
@@ -134,15 +83,6 @@ def x5(v):
     return lists.select("owner_id", F.size("faqs").alias("n"), F.size(text.drop_status_faqs(F.col("faqs"))).alias("n_kept"))
 
 
-@query("I9_stale_guides", f"with {_LISTED} select guide_id, any_value(entity_id) filter (rank = 1) as pick from listed group by guide_id having count(*) <> 10 order by guide_id limit 5")
-def i9(v):
-    """The first stale guides that list anything, with the pick that names a listed entity."""
-    listed = guide_ranking(v)
-    now = guides.fingerprints(listed).withColumn("stored", F.when(F.col("n") == 10, F.col("fingerprint")))
-    todo = now.filter(guides.stale(F.col("stored"), F.col("fingerprint"))).orderBy("guide_id").limit(5).select("guide_id")
-    return listed.filter("rank = 1").join(todo, "guide_id").select("guide_id", F.col("entity_id").alias("pick"))
-
-
 @query("J3_root_of_region", f"with {_CLOSURE}, q as ({_ROOT}) select region_id, root, region_id <> root as nested from q")
 def j3(v):
     return hierarchy.roots(v.v_region).select("region_id", "root", (F.col("region_id") != F.col("root")).alias("nested"))

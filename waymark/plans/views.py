@@ -66,9 +66,9 @@ VIEWS = {
           ',"sections":[{"heading":"H1 [1-2]","paragraphs":["First [1]."," ","<cite>x</cite>"]},{"heading":" ","paragraphs":["lost"]},{"heading":"H2","paragraphs":[" ",""]},{"heading":"H3"}',
           concat(',{"heading":"H4","paragraphs":["Cites [', cast(k % 5 as string), '] and [1, 9]."]}]'),
           case when k % 17 = 0 then '' else concat(',"sources":[{"n":1,"label":" A ","url":"https://a.org/x","type":"official","publisher":" P "},{"n":0,"label":"Z","url":"https://z.org/","type":"news"},',
-            '{"n":2,"label":"B","url":"nowhere","type":"zine"},{"n":3,"label":"C","url":"https://c.org","type":"zine"},{"n":4,"label":"D","url":"https://d.org/', ks, '"}]') end,
-          concat(',"pull_quotes":[{"quote":"Run ', repeat('far ', case when k % 3 = 0 then 30 else 3 end), '","attribution":"Ann","source_url":"https://a.org/q"},{"quote":"Two","attribution":" ","source_url":"https://a.org/q"},'),
-          '{"quote":" Three ","attribution":" Bob ","source_url":"https://b.org/q"},{"quote":"Four","attribution":"Cy","source_url":"https://c.org/q"},{"quote":"Five","attribution":"Di","source_url":"https://d.org/q"}]',
+            '{"n":2,"label":"B","url":"nowhere","type":"zine"},{"n":3,"label":"C","url":"https://c.org","type":"zine"},{"n":4,"label":"D","url":"https://d.org/', ks, '","type":"', case when k % 7 = 0 then 'social' else 'news' end, '"}]') end,
+          case when k % 3 = 1 then '' else concat(',"pull_quotes":[{"quote":"Run ', repeat('far ', case when k % 3 = 0 then 30 else 3 end), '","attribution":"Ann","source_url":"https://a.org/q"},{"quote":"Two","attribution":" ","source_url":"https://a.org/q"},',
+          '{"quote":" Three ","attribution":" Bob ","source_url":"https://b.org/q"},{"quote":"Four","attribution":"Cy","source_url":"https://c.org/q"},{"quote":"Five","attribution":"Di","source_url":"https://d.org/q"}]') end,
           concat(',"faqs":[{"question":" How far is it? ","answer":"', repeat('word ', cast(k % 90 as int)), '"},{"question":"What now?","answer":"Go."},{"question":"","answer":"None."}]'),
           concat(',"excerpt_quotes":[{"quote":"', repeat('so ', 150), '","attribution":" Eve ","source_url":"', case when k % 2 = 0 then 'https://e.org/' else 'bad' end, '"},{"quote":" ","attribution":"Flo","source_url":"https://f.org/"}]'),
           case when k % 7 = 0 then ',"highlights":[" "],"watchouts":null' else ',"highlights":["a"," b ","","c","d","e","f"],"watchouts":["1","2","3","4","5"]' end,
@@ -89,6 +89,13 @@ VIEWS = {
         r.label as country, case when ord % 3 = 0 then cast(null as string) else n.label end as city, case when ord % 2 = 0 then concat('Org ', entity_id) end as organizer,
         case when ord % 6 = 0 then 'THB 800' end as price_range
       from v_entity join (select region_id, label, parent_region_id from v_region) as n using (region_id) join (select region_id as rid, label from v_region) as r on rid = n.parent_region_id""",
+    "v_question": """
+      select concat('o', race) as owner_id, cast(p_partkey % 4 as int) as pos,
+        case p_partkey % 4 when 0 then concat('What is the entry fee for race ', race, '?')
+          when 1 then concat(case when p_partkey % 3 = 0 then 'What is the time limit for race ' else 'What is the fee for the entry at race ' end, race, '?')
+          when 2 then concat('How much is ', p_type, ' ', p_name, '?') else concat('What is the weather for ', p_type, ' of race ', race, '?') end as question,
+        concat('Answer ', cast(p_partkey as string)) as answer
+      from (select *, cast(cast(floor(p_partkey / 4) as bigint) as string) as race from part) as p""",
     "v_response": """
       select event_id as ord, concat('h', cast(user_id % 20 as string)) as source,
         case event_id % 4 when 0 then concat('Here it is: ```json', chr(10), props, chr(10), '``` done')
