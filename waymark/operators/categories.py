@@ -15,11 +15,18 @@ def first_match(values: DataFrame, categories: DataFrame, value: str) -> DataFra
     return values.join(F.broadcast(cats)).withColumn("matched", F.get(fits, F.lit(0))["category_id"]).drop("cats")
 
 
+def with_categories(entities: DataFrame, categories: DataFrame) -> DataFrame:
+    """entities with `cats`: their own category and those of every numeric fact. Computed inside the row."""
+    cats = categories.select(F.struct("ord", "category_id", "min_v", "max_v").alias("c")).agg(F.sort_array(F.collect_list("c")).alias("_cats"))
+    fits = lambda v: F.get(F.filter("_cats", lambda c: (v >= c["min_v"]) & (c["max_v"].isNull() | (v <= c["max_v"]))), F.lit(0))["category_id"]
+    own, ranged = F.array("category_id"), F.coalesce(F.transform("numeric_facts", fits), F.array().cast("array<string>"))
+    # one row; every value is compared with every range
+    return entities.join(F.broadcast(cats)).withColumn("cats", F.array_compact(F.array_union(own, ranged))).drop("_cats")
+
+
 def memberships(entities: DataFrame, categories: DataFrame) -> DataFrame:
     """(entity_id, category_id): the entity's own category and those of every numeric fact."""
-    facts = entities.select("entity_id", F.explode(F.array_distinct("numeric_facts")).alias("v"))
-    ranged = first_match(facts, categories, "v").filter("matched is not null").select("entity_id", F.col("matched").alias("category_id"))
-    return entities.select("entity_id", "category_id").union(ranged).distinct()
+    return with_categories(entities, categories).select("entity_id", F.explode("cats").alias("category_id"))
 
 
 def narrowed(entities: DataFrame, low: float, high: float | None) -> DataFrame:

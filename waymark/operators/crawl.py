@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ranking import placed
+
 
 def robots_rules(files: DataFrame) -> DataFrame:
     """(host, grp, agents, kind, prefix) from (host, robots): consecutive User-agent lines open a group; comments and
@@ -34,3 +36,10 @@ def gate(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     hits = F.filter("rules", lambda r: F.startswith(F.col("_path"), r["prefix"]))
     ranked = F.array_sort(F.transform(hits, lambda r: F.struct((-F.length(r["prefix"])).alias("n"), r["grp"].alias("g"), (r["kind"] == "allow").cast("int").alias("allow"))))
     return joined.withColumn("allowed", F.coalesce(F.get(ranked, F.lit(0))["allow"] == 1, F.lit(True))).drop("rules", "_path", "host")
+
+
+def fetch_times(pages: DataFrame, gap_ms: int) -> DataFrame:
+    """pages with at_ms, when each is to be fetched: requests to one host lie gap_ms apart. A host of most pages is planned by
+    many tasks."""
+    hosts = pages.withColumn("host", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
+    return placed(hosts, ["host"], [F.asc("page_id")]).withColumn("at_ms", ((F.col("place") - 1) * gap_ms).cast("long")).drop("place", "total")

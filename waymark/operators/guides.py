@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.categories import memberships
+from waymark.operators.categories import with_categories
 from waymark.operators.hierarchy import closure
 
 PUBLISHED = ("active", "needs_review")
@@ -45,8 +46,7 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
 
     All guides share one scan: each is a Column, and an entity carries the list of guides it matches."""
     rolled = closure(regions).groupBy("region_id").agg(F.collect_set("anc").alias("ancestors"))
-    cats = memberships(entities, categories).groupBy("entity_id").agg(F.collect_set("category_id").alias("cats"))
-    wide = entities.join(F.broadcast(rolled), "region_id", "left").join(cats, "entity_id", "left")
+    wide = with_categories(entities, categories).join(rolled, "region_id", "left")
     arrays = {f.name for f in entities.schema if f.dataType.typeName() == "array"}
     hits = []
     for g in guides:
@@ -68,8 +68,13 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
         hits.append(F.when(c | (pin > 0), place))
     each = wide.select("entity_id", "ord", F.explode(F.array_compact(F.array(*hits))).alias("g")).select("entity_id", "ord", "g.*")
     order = Window.partitionBy("guide_id").orderBy(F.col("key").asc_nulls_last(), "pinned", F.when(F.col("pinned"), F.col("pin")), "ord")
-    ranked = each.withColumn("rank", F.row_number().over(order))
-    return ranked.filter("limit = 0 or rank <= limit").select("guide_id", "rank", "entity_id")
+    rank = F.row_number().over(order)
+    # a bound that is known beforehand lets tasks drop all rows behind it before the shuffle
+    bound = max((g.get("limit") or 0 for g in guides), default=0)
+    top = each.filter("limit > 0").withColumn("rank", rank).filter(F.col("rank") <= bound).filter("rank <= limit")
+    whole = each.filter("limit = 0").withColumn("rank", rank)
+    parts = [x for x, there in ((top, bound > 0), (whole, any(not g.get("limit") for g in guides))) if there]
+    return reduce(DataFrame.unionByName, parts).select("guide_id", "rank", "entity_id")
 
 
 def fnv1a(text: Column) -> Column:
@@ -112,10 +117,22 @@ def refreshed(stored: DataFrame, rewritten: DataFrame, named: DataFrame) -> Data
 def grid(entities: DataFrame, regions: DataFrame, categories: DataFrame) -> DataFrame:
     """(category_id, root, n): published entities of each category, over all (root null) and for each top region."""
     country = closure(regions).join(regions.filter("granularity = 'country'").select(F.col("region_id").alias("anc")), "anc", "left_semi")
-    named = memberships(entities, categories).join(entities.filter(published()).select("entity_id", "region_id"), "entity_id")
-    rolled = named.join(F.broadcast(country.select("region_id", F.col("anc").alias("root"))), "region_id")
-    found = rolled.rollup("category_id", "root").agg(F.count_distinct("entity_id").alias("n")).filter("category_id is not null")
+    # an entity has one region and counts once in each of its categories, so sums of counts by region are exact
+    each = with_categories(entities.filter(published()), categories).select("region_id", F.explode("cats").alias("category_id"))
+    own = each.groupBy("region_id", "category_id").agg(F.count("*").alias("k"))
+    rolled = own.join(country.select("region_id", F.col("anc").alias("root")), "region_id")
+    found = rolled.rollup("category_id", "root").agg(F.sum("k").alias("n")).filter("category_id is not null")
     tops = regions.filter("granularity = 'country'").select(F.col("region_id").alias("root")).union(regions.limit(1).select(F.lit(None).cast("string")))
     dims = categories.select("category_id").join(tops)  # two lists of a few configured rows
     same = (dims["category_id"] == found["category_id"]) & dims["root"].eqNullSafe(found["root"])
     return dims.join(found, same, "left").select(dims["category_id"], dims["root"], F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def hub_stats(entities: DataFrame, regions: DataFrame, categories: DataFrame) -> DataFrame:
+    """(region_id, n_entities, n_categories, n_regions) of each region and all below it. Entities are counted by region and
+    category first; what meets the closure is one row for each."""
+    up, own = closure(regions), entities.groupBy("region_id").agg(F.count("*").alias("k"))
+    each = with_categories(entities, categories).select("region_id", F.explode("cats").alias("category_id")).distinct()
+    sized = own.join(up, "region_id").groupBy("anc").agg(F.sum("k").alias("n_entities"), F.count("*").alias("n_regions"))
+    named = each.join(up, "region_id").groupBy("anc").agg(F.count_distinct("category_id").alias("n_categories"))
+    return sized.join(named, "anc").select(F.col("anc").alias("region_id"), "n_entities", "n_categories", "n_regions")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ranking import placed
+
 #: Priority of source types; a type not listed comes before all of them.
 SOURCE_PRIORITY = ["official", "news", "review", "social", "other"]
 
@@ -116,14 +118,5 @@ def source_health(fetches: DataFrame) -> DataFrame:
 
 
 def pages_of(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """rows with place, page and total in one order over all of them, without a single-task window: rows are ranked in
-    range partitions, whose sizes are then summed."""
-    placed = rows.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    w = Window.partitionBy("_part").orderBy("_at")
-    inside = placed.withColumn("_in", F.row_number().over(w))
-    sizes = inside.groupBy("_part").agg(F.max("_in").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each partition
-    offset = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
-    out = inside.join(F.broadcast(offset), "_part").withColumn("place", F.col("_before") + F.col("_in"))
-    return out.withColumn("page", F.ceil(F.col("place") / size)).drop("_part", "_at", "_in", "_before")
+    """rows with place, page and total in one order over all of them, without a task that holds all."""
+    return placed(rows, [], order).withColumn("page", F.ceil(F.col("place") / size))

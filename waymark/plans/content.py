@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import pages, text
@@ -58,8 +57,7 @@ def t7(v):
 
 @query("T8_fetch_plan", "select page_id, (row_number() over (partition by regexp_extract(url, '^https?://([^/?#]+)', 1) order by page_id) - 1) * 300 as at_ms from pages")
 def t8(v):
-    w = Window.partitionBy(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).orderBy("page_id")
-    return v.pages.select("page_id", ((F.row_number().over(w) - 1) * 300).cast("long").alias("at_ms"))
+    return crawl.fetch_times(v.pages.select("page_id", "url"), 300).select("page_id", "at_ms")
 
 
 @query("T9_source_urls", "select page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) as host from pages")

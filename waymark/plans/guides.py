@@ -118,11 +118,7 @@ def a3(v):
 
 @query("A4_hub_stats", f"with {_CLOSURE}, {_MEMBER} select anc as region_id, count(distinct entity_id) as n_entities, count(distinct mem.category_id) as n_categories, count(distinct cl.region_id) as n_regions from v_entity join cl using (region_id) join mem using (entity_id) group by anc")
 def a4(v):
-    rolled = v.v_entity.select("entity_id", "region_id").join(F.broadcast(hierarchy.closure(v.v_region)), "region_id")
-    named = rolled.join(categories.memberships(v.v_entity, v.v_category), "entity_id")
-    return named.groupBy(F.col("anc").alias("region_id")).agg(
-        F.count_distinct("entity_id").alias("n_entities"), F.count_distinct("category_id").alias("n_categories"), F.count_distinct("region_id").alias("n_regions")
-    )
+    return guides.hub_stats(v.v_entity, v.v_region, v.v_category)
 
 
 @query("A6_facet_values", "select category_id, label from v_category where category_id in (select category_id from v_entity where region_id = 'n7')")

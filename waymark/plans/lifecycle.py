@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.operators import browse, lifecycle
+from waymark.operators import browse, lifecycle, ranking
 from waymark.operators.guides import published
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
@@ -44,13 +44,14 @@ _PAST = f"case when date_s is null then 2 when date_s < '{AS_OF}' then 1 else 0
 def w1(v):
     d = F.col("date_s")
     past = F.when(d.isNull(), 2).when(d < AS_OF, 1).otherwise(0)
-    order = [past, F.when(d >= AS_OF, d), F.desc_nulls_last(F.when(d < AS_OF, d)), F.col("name"), F.col("ord")]
-    return v.v_entity.select("region_id", "entity_id", F.row_number().over(Window.partitionBy("region_id").orderBy(*order)).alias("place"))
+    rows = v.v_entity.select("region_id", "entity_id", "ord", "name", past.alias("k"), F.when(d >= AS_OF, d).alias("ahead"), F.when(d < AS_OF, d).alias("behind"))
+    order = [F.asc("k"), F.asc("ahead"), F.desc_nulls_last("behind"), F.collate("name", "UNICODE").asc(), F.asc("ord")]
+    return ranking.placed(rows, ["region_id"], order).select("region_id", "entity_id", "place")
 
 
 @query("W7_pages", "select review_id, row_number() over (order by published_at desc, ord) as place, ceil(row_number() over (order by published_at desc, ord) / 24)::bigint as page, count(*) over () as total from v_review")
 def w7(v):
-    return lifecycle.pages_of(v.v_review.select("review_id", "published_at", "ord"), [F.desc("published_at"), F.col("ord")], 24).select("review_id", "place", "page", "total")
+    return lifecycle.pages_of(v.v_review.select("review_id", "published_at", "ord"), [F.desc("published_at"), F.asc("ord")], 24).select("review_id", "place", "page", "total")
 
 
 @query("W9_topic_groups", "with n as (select topic, min((published_at, -ord)) as x, max(published_at) as newest, max_by(ord, (published_at, -ord)) as first_ord from v_review group by topic) select coalesce(topic, 'general') as topic, row_number() over (order by newest desc, first_ord) as place from n")

@@ -167,7 +167,7 @@ def v12(v):
 def j20(v):
     docs = v.documents.select("doc_id", "lang")
     near = linking._best(docs, ["lang"], [F.desc("doc_id")], 7).select("lang", F.col("doc_id").alias("other"))
-    same = docs.join(F.broadcast(near), "lang").select("doc_id", "other", F.lit(0).alias("tier"))
+    same = docs.join(near, "lang").select("doc_id", "other", F.lit(0).alias("tier"))
     newest = docs.orderBy(F.desc("doc_id")).limit(7).agg(F.collect_list("doc_id").alias("others"))  # seven rows
     rest = docs.join(F.broadcast(newest)).select("doc_id", F.explode("others").alias("other"), F.lit(1).alias("tier"))
     once = same.union(rest).filter("doc_id <> other").groupBy("doc_id", "other").agg(F.min("tier").alias("tier"))

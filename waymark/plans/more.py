@@ -40,7 +40,7 @@ def x9(v):
     from waymark.operators.categories import first_match
 
     rows = first_match(v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), v.v_category, "l_quantity")
-    named = rows.join(F.broadcast(v.v_category.select(F.col("category_id").alias("matched"), "label")), "matched", "left")
+    named = rows.join(v.v_category.select(F.col("category_id").alias("matched"), "label"), "matched", "left")
     value = F.format_string("%.1f", "l_quantity")
     has = F.contains(F.regexp_replace("label", "[^0-9]", ""), F.format_string("%.0f", "l_quantity"))
     return named.select("l_orderkey", "l_linenumber", "l_partkey", F.when(has, F.col("label")).otherwise(F.concat_ws(" ", "label", value)).alias("label"))
