@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import pages, text
-from waymark.operators import categories, crawl, guides, hierarchy, lifecycle, linking, quality, results
+from waymark.operators import browse, categories, crawl, discovery, guides, hierarchy, lifecycle, linking, normalise, quality, ranking, results, schema
 from waymark.plans import content, more
 from waymark.plans import lifecycle as lifecycle_plans
 from waymark.sources import collections, exports
@@ -110,6 +110,7 @@ def test_small_text_functions(spark):
     assert one(spark, text.strip_score(F.lit("Great (85/100)  run"))) == "Great run"
     assert one(spark, text.strip_artifacts(F.lit('a <cite index="1">b</cite> [16-8] c'))) == "a b c"
     assert one(spark, text.slugify(F.lit("  Crème Brûlée -- 2026! "))) == "creme-brulee-2026"
+    assert one(spark, text.slugify(F.col("v")), "Łódź Žižkov ﬁn Ⅳ") == "odz-zizkov-fin-iv" and one(spark, text.slugify(F.col("v")), None) is None
 
 
 def test_html(spark):
@@ -119,6 +120,14 @@ def test_html(spark):
     assert [tuple(a) for a in found] == [("/p?q", "yes")]
     made = lambda h: one(spark, pages.absolute(F.lit(h), F.lit("https://h.org/a/b?c")))
     assert (made("/x"), made("y"), made("http://z/")) == ("https://h.org/x", "https://h.org/a/y", "http://z/")
+    assert (made("../x?y=../z"), made("./y/../z/"), made("?q"), made("//k.org")) == ("https://h.org/x?y=../z", "https://h.org/a/z/", "https://h.org/a/b?q", "https://k.org/")
+    assert made("mailto:a@b.c") == "mailto:a@b.c" and one(spark, pages.absolute(F.lit("x"), F.lit("nowhere"))) is None
+
+
+def test_odd_entities_don_t_end_a_job(spark):
+    made = lambda h: one(spark, pages.html_to_text(F.col("v")), h)
+    assert made("a&#1114112;b&#55296;c&#0000065;&#99999999999999999999;") == "a\ufffdb\ufffdcA\ufffd"
+    assert made("&#38;#60; &amp;#60;") == "&#60; &#60;" and made("&#128512;") == "\U0001f600" and made(None) is None
 
 
 def test_chunks_cover_the_text(spark):
@@ -136,6 +145,7 @@ def test_answers(spark):
     read = lambda t: one(spark, pages.answer_json(F.col("v")), t)
     assert read('so: ```json\n{"a": [1]}\n``` ok') == '{"a": [1]}' and read('it is {"a": "}"} then') == '{"a": "}"}'
     assert read('{"a": 1') is None and read("nothing") is None and read('{"a": "x\ty"}') == '{"a": "x\\ty"}'
+    assert read('{"a\n": "x\r\ny\x01 \\" z",\n"b": 2}') == '{"a\\n": "x\\r\\ny\\u0001 \\" z",\n"b": 2}'
 
 
 def test_robots(spark):
@@ -249,10 +259,6 @@ def test_queries_cover_their_whole_tables_and_texts(spark):
     assert _run(spark, content.t12, documents=([(1, "ab " * 50)], "doc_id int, text string")) == [(1, "-".join(["ab"] * 50))]
     sources = [("e", 1, "2024-05-01"), ("e", 3, "2023-01-01")]
     assert _run(spark, lifecycle_plans.a12, v_entity=([("e", "2000-01-01")], "entity_id string, date_s string"), v_source=(sources, "entity_id string, pos int, last_checked string")) == [("e", "2024-05-01")]
-    body = '{"k": "' + "x" * 300 + '"}'
-    answers = [(0, f"Here: ```json\n{body}\n``` done"), (1, 'It is {"k": 1}.'), (2, '{"k": 2}'), (3, '{"k": 3')]
-    got = {r[0]: r[3:] for r in _run(spark, more.x16, v_response=(answers, "ord long, answer string"))}
-    assert got == {"d0": (body[:220], True), "d1": ('{"k": 1}', False), "d2": ('{"k": 2}', False)}
 
 
 def test_same_questions_meet_by_containment(spark):
@@ -289,3 +295,140 @@ def test_compound_references_are_reported_and_stripped(spark):
     assert got == [("list", "V11.facets", "warning"), ("ref", "V11.ref", "error")]
     had = {r[0]: r[2:] for r in _run(spark, content.x7, v_review=(reviews, "review_id string, body string"))}
     assert had["ref"] == (True, False) and had["none"] == (False, False)
+
+
+def test_closure_of_any_depth(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(16)]
+    regions = spark.createDataFrame(rows, "region_id string, parent_region_id string")
+    assert hierarchy.closure(regions).filter("region_id = 'n15'").count() == 16
+    assert {r["region_id"]: r["root"] for r in hierarchy.roots(regions).collect()} == {f"n{i}": "n0" for i in range(16)}
+
+
+def test_related_rows_beside_an_entity_with_many(spark):
+    pool = [(f"r{i}", "big" if i < 20 else f"e{i}", "c", "n", i, 100 - i) for i in range(26)]
+    schema_ = "review_id string, entity_id string, category_id string, region_id string, ord int, score int"
+    targets = spark.createDataFrame([("big", "c", "n"), ("e20", "c", "n")], "entity_id string, category_id string, region_id string")
+    got = linking.related(targets, spark.createDataFrame(pool, schema_), [F.desc("score"), F.col("ord")], 4, key="review_id").collect()
+    found = {e: [r["other"] for r in sorted(got, key=lambda r: r["place"]) if r["entity_id"] == e] for e in ("big", "e20")}
+    assert found == {"big": ["r20", "r21", "r22", "r23"], "e20": ["r0", "r1", "r2", "r3"]}
+
+
+@pytest.mark.parametrize(
+    ("name", "known"),
+    [("Run (KLSCM)", {"Run (KLSCM)", "KLSCM", "Run"}), ("Run (24th ed.) City", {"Run (24th ed.) City", "Run City"}), ("Run (Air)", {"Run (Air)", "Run"}), ("Go (B2) x", {"Go (B2) x"})],
+)
+def test_aliases(spark, name, known):
+    assert set(one(spark, linking.aliases(F.col("v")), name)) == known
+
+
+def test_places_in_large_groups_and_ties(spark):
+    rows = [("a" if i % 10 else None, i // 3, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, k int, i int").repartition(4)
+    got = ranking.placed(df, ["g"], [F.desc("k"), F.asc("i")]).collect()
+    for g in ("a", None):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == list(range(1, len(mine) + 1)) and {r["total"] for r in mine} == {len(mine)}
+        assert [(-r["k"], r["i"]) for r in mine] == sorted((-r["k"], r["i"]) for r in mine)
+    assert ranking.placed(df.limit(0), ["g"], [F.asc("i")]).count() == 0
+    urls = spark.createDataFrame([(2, "http://h/b"), (1, "http://h/a"), (3, "http://k/")], "page_id int, url string")
+    assert {r["page_id"]: r["at_ms"] for r in crawl.fetch_times(urls, 300).collect()} == {1: 0, 2: 300, 3: 0}
+
+
+def test_schema_issues_by_field_and_item(spark):
+    fields = (schema.text("id", pattern="^[a-z]+$"), schema.Field("n", "number", low=0, high=9), schema.Field("to", "list", least=1, items=(schema.text("label"), schema.Field("url", url=True))),
+              schema.texts("tags"), schema.Field("score", "record", required=False, items=schema.SCORES), schema.optional("note", most=3), schema.text("gone"))
+    rows = [
+        ("ok", 5.0, [("a", "http://x.org")], ["t"], (50.0, [("l", 1.0)]), None, 1), ("Bad", 11.0, [], ["", "u"], (101.0, [("", -1.0), (None, None)]), "long one", 2),
+        (None, None, None, None, None, "", 3), ("ok", -1.0, [("a", "b"), (None, None)], None, (None, None), None, 4),
+    ]
+    kind = "id string, n double, to array<struct<label:string,url:string>>, tags array<string>, score struct<overall:double,breakdown:array<struct<label:string,score:double>>>, note string, key int"
+    found = schema.quarantined(spark.createDataFrame(rows, kind), fields, "key").collect()
+    by = {k: {(r["path"], r["problem"]) for r in found if r["key"] == k} - {("gone", "required")} for k in (1, 2, 3, 4)}
+    assert all((k, "gone", "required") in {tuple(r) for r in found} for k in (1, 2, 3, 4)) and by[1] == set()
+    assert by[2] == {("id", "pattern"), ("n", "high"), ("to", "few"), ("tags.0", "empty"), ("score.overall", "high"), ("score.breakdown.0.label", "empty"), ("score.breakdown.0.score", "low"),
+                     ("score.breakdown.1.label", "required"), ("score.breakdown.1.score", "required"), ("note", "long")}
+    assert by[3] == {("id", "required"), ("n", "required"), ("to", "required"), ("note", "empty")} or by[3] == {("id", "required"), ("n", "required"), ("note", "empty")}
+    assert by[4] == {("n", "low"), ("to.0.url", "url"), ("to.1.label", "required"), ("to.1.url", "required"), ("score.overall", "required")}
+    kept = schema.accepted(spark.createDataFrame(rows, kind), fields[:-1])
+    assert [r["id"] for r in kept.collect()] == ["ok"] and "key" not in kept.columns
+
+
+def test_answers_become_records(spark):
+    answers = [
+        ("a", "a", "Run", "About", '{"title":" T ","verdict":"V","sections":[{"heading":"H","paragraphs":["Good [1]."]}],"sources":[{"n":1,"label":"L","url":"https://x.org"}],"rating":{"overall":50}}'),
+        ("b", "b", "Run", "About", '{"verdict":"V","sections":[{"heading":"H","paragraphs":["Bad [2]."]}],"sources":[{"n":1,"label":"L","url":"https://x.org"}]}'),
+        ("c", "c", "Run", "About", "nothing"), ("d", "d", "Run", "About", '{"sections":"none","highlights":["x"]}'),
+        ("e", "e", "Run", "About", '{"verdict":"V","sections":[{"heading":"H","paragraphs":["Ok."]}],"sources":[{"n":1,"label":"L","url":"https://x.org"}],"rating":{"overall":500}}'),
+    ]
+    rows = normalise.parsed(spark.createDataFrame(answers, "entity_id string, slug string, name string, short_description string, json string"))
+    got = {r["entity_id"]: (r["outcome"], r["title"]) for r in normalise.gate(normalise.review(rows, "2024-01-01")).collect()}
+    assert got == {"a": ("written", "T"), "b": ("uncited", "Run review"), "c": ("no substance", "Run review"), "d": ("no substance", "Run review"), "e": ("invalid", "Run review")}
+    assert {r["entity_id"]: r["outcome"] for r in normalise.research(rows, "2024-01-01").collect()} == {"a": "stamped", "b": "stamped", "c": "stamped", "d": "researched", "e": "stamped"}
+    assert {r["entity_id"]: r["problems"] for r in normalise.summary_problems(rows).collect()}["c"] == ["response was not a JSON object"]
+
+
+def test_window_bounds_roll_over():
+    assert discovery.window_bounds("2024-01-31", 1) == ("2024-01-31", "2024-03-02") and discovery.window_bounds("2023-01-31", 1)[1] == "2023-03-03"
+    assert discovery.window_bounds("2024-11-15", 14)[1] == "2026-01-15"
+
+
+def test_first_failing_gate(spark):
+    base = {"name": "New Run", "category_label": "Full", "region_label": "Town", "date": "2024-05-01", "distance_km": [42.0], "country": "X", "page_url": "https://x.org", "short_description": "d"}
+    change = [{}, {"name": " "}, {"name": "Old run"}, {"category_label": "?"}, {"region_label": "?"}, {"country": None}, {"date": "2030-01-01"}, {"distance_km": [5.0]}, {"name": "Other", "date": "2024-06-02"},
+              {"name": "Late", "page_url": "none"}, {"name": "new run"}, {"name": "Name", "category_label": "?", "region_label": "?"}]
+    names = ["New Run", "x1", "x2", "x3", "x4", "x5", "x6", "x7", "x8", "x9", "x10", "x11"]
+    rows = []
+    for i, c in enumerate(change):
+        r = base | {"name": names[i]} | c
+        rows.append((names[i], i, r["name"], r["category_label"], r["region_label"], r["date"], r["distance_km"], r["country"], r["short_description"], None, r["page_url"], "x.org", ["t"]))
+    kind = "key string, ord int, name string, category_label string, region_label string, date string, distance_km array<double>, country string, short_description string, source_url string, page_url string, domain string, tags array<string>"
+    c = spark.createDataFrame(rows, kind).withColumns({"start": F.to_date("date"), "end": F.to_date("date")})
+    old = spark.createDataFrame([("e1", 1, "old-run", "z", "z", "2020-01-01"), ("e2", 2, "fest", "z", "t", "2024-06-01")], "entity_id string, ord int, slug string, category_id string, region_id string, date string")
+    old = old.withColumns({"start": F.to_date("date"), "end": F.date_add(F.to_date("date"), 2)})
+    cats, regs = spark.createDataFrame([("f", "full ")], "category_id string, label string"), spark.createDataFrame([("t", "TOWN")], "region_id string, label string")
+    got = {r["ord"]: r["reason"] for r in discovery.ledger(c, old, cats, regs, ("2024-01-01", "2025-01-01"), [(40.0, None)], "2024-01-01").collect()}
+    assert got == {0: None, 1: "name", 2: "slug", 3: "category", 4: "region", 5: "facts", 6: "window", 7: "scope", 8: "duplicate", 9: "schema", 10: "slug", 11: "category"}
+
+
+def test_evidence_queues_and_lists(spark):
+    rows = spark.createDataFrame([(1, ["news"], 0, 0), (2, ["social"], 0, 0), (3, None, 1, None), (4, None, None, None), (5, [], 0, 2)], "i int, t array<string>, q int, e int")
+    assert {r["i"]: r["s"] for r in rows.select("i", browse.has_evidence(F.col("t"), F.col("q"), F.col("e")).alias("s")).collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
+    pool = spark.createDataFrame([("a", "2020-01-01", 1, 0, "n"), ("b", "2025-02-01", 2, 0, "n"), ("c", "2025-01-01", 3, 2, "m"), ("d", None, 4, 0, "k")], "entity_id string, date_s string, ord int, material int, region_id string")
+    ids = lambda **k: [r["entity_id"] for r in browse.review_queue(pool, "2024-01-01", 3, **k).collect()]
+    regions = spark.createDataFrame([("m", "top"), ("n", "top"), ("k", None), ("top", None)], "region_id string, parent_region_id string")
+    assert ids() == ["c", "b", "a"] and ids(prefer=True) == ["c"] and ids(region="k", regions=regions) == ["d"] and ids(region="top", regions=regions) == ["c", "b", "a"]
+    reviews = spark.createDataFrame([("x", "2024-01-01", None, 7.9, 1), ("y", None, "2024-03-01", None, 2), ("z", "2024-02-01", None, 7.1, 3)], "review_id string, published_at string, last_updated string, rating double, ord int")
+    order = lambda s: [r["review_id"] for r in browse.listed_reviews(reviews, s, 9).orderBy("place").collect()]
+    assert order("newest") == ["y", "z", "x"] and order("rating-desc") == ["z", "x", "y"] and order("rating-asc") == ["y", "z", "x"]
+
+
+def test_deadlines(spark):
+    rows = [("a", "2024-05-01", "2024-02-01", "open"), ("b", "2024-05-01", "2024-06-01", None), ("c", "2020-05-01", None, "now OPEN"), ("d", "2020-05-01", "soon", "open"), ("e", "2030-01-01", "2029-01-01", "open"), ("f", "2020-05-01", None, "closed")]
+    got = {tuple(r) for r in quality.deadlines(spark.createDataFrame(rows, "entity_id string, date string, deadline string, availability string"), "2024-03-01").collect()}
+    assert got == {("a", "V4.passed"), ("b", "V4.order"), ("c", "V4.past"), ("d", "V4.past")}
+
+
+def test_records_without_claims(spark):
+    said = "Registration is open now."
+    rows = spark.createDataFrame([(f"A hilly run. {said}", ["Fast", said], [("Is registration still open?", "Yes."), ("How far?", f"Ten. {said}"), ("What?", said)], "open")], "ai_summary string, pros array<string>, faqs array<struct<question:string,answer:string>>, registration_status string")
+    got = text.without_claims(rows).first().asDict(recursive=True)
+    assert got == {"ai_summary": "A hilly run.", "pros": ["Fast"], "faqs": [{"question": "How far?", "answer": "Ten."}]}
+    reviews = spark.createDataFrame([(said, [("H", [said]), ("K", [f"Ok. {said}", said])], None)], "dek string, sections array<struct<heading:string,paragraphs:array<string>>>, faqs array<struct<question:string,answer:string>>")
+    got = text.without_claims_in_reviews(reviews).first().asDict(recursive=True)
+    assert got == {"dek": said, "sections": [{"heading": "K", "paragraphs": ["Ok."]}], "faqs": None}
+
+
+def test_exports_leave_out_what_is_unknown(spark):
+    import json
+
+    kind = "entity_id string, slug string, name string, short_description string, date string, venue string, city string, country string, organizer string, price_range string"
+    rows = spark.createDataFrame([("a", "a", "A", "d", "2024-05-01", None, "Town", "Land", "Org", "5"), ("b", "b", "B", "d", None, None, None, "", None, None)], kind)
+    docs = {r["entity_id"]: json.loads(r["json"]) for r in exports.entity_json(rows, "https://s.org").collect()}
+    assert docs["a"]["location"] == {"@type": "Place", "name": "Town, Land", "address": {"@type": "PostalAddress", "addressLocality": "Town", "addressCountry": "Land"}}
+    assert docs["a"]["offers"]["url"] == "https://s.org/e/a" and docs["a"]["startDate"] == "2024-05-01" and docs["a"]["eventAttendanceMode"].endswith("OfflineEventAttendanceMode")
+    assert set(docs["b"]) == {"@context", "@type", "name", "description", "url", "eventStatus"}
+    assert "eventStatus" not in json.loads(exports.entity_json(rows, "https://s.org", "Hotel").first()["json"])
+    trail = spark.createDataFrame([("k", 2, "Leaf", None), ("k", 1, "Top", "/t")], "k string, pos int, label string, href string")
+    assert json.loads(exports.breadcrumb_json(trail, "k", "https://s.org").first()["json"])["itemListElement"] == [
+        {"@type": "ListItem", "position": 1, "name": "Top", "item": "https://s.org/t"}, {"@type": "ListItem", "position": 2, "name": "Leaf"},
+    ]

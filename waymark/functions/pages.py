@@ -52,7 +52,7 @@ def links(html: Column) -> Column:
 def _dots_removed(path: Column) -> Column:
     """A path from the root without `.` and `..` segments."""
     parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")), F.lit(1)))
-    last = F.element_at(parts, -1)
+    last = F.coalesce(F.get(parts, F.size(parts) - 1), F.lit(""))
     step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
     kept = F.aggregate(parts, F.array().cast("array<string>"), step)
     # a path that ends in a dot segment means the folder

@@ -125,7 +125,7 @@ def _value_issues(value: Column, path: Column, f: Field) -> Column:
         if f.choice:
             rules.append((~value.isin(*f.choice), "choice"))
         if f.url:
-            rules.append((~is_url(value), "url"))
+            rules.append((there & ~is_url(value), "url"))
     elif f.kind == "number":
         rules += [(value < f.low, "low")] if f.low is not None else []
         rules += [(value > f.high, "high")] if f.high is not None else []
