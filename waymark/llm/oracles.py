@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from waymark.llm.url_reputation import SUFFIXES
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP1 = rf"""
@@ -66,9 +68,10 @@ with u as (
   from pages),
 lab as (select doc_id, max(coalesce((quality = 0 or toxic = 1)::int, 0)) as bad from labels group by doc_id),
 host_c as (
-  select host, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain,
+  select host, array_to_string(string_split(host, '.')[-k:], '.') as suffix, array_to_string(string_split(host, '.')[-k - 1:], '.') as domain,
     count(bad) as n, coalesce(sum(bad), 0) as bad
-  from u left join lab on page_id = doc_id group by host),
+  from (select *, case when array_to_string(string_split(host, '.')[-2:], '.') in ({", ".join(f"'{x}'" for x in SUFFIXES)}) then 2 else 1 end as k from u)
+    left join lab on page_id = doc_id group by host, k),
 domain_c as (select suffix, domain, sum(n) as n, sum(bad) as bad from host_c group by all),
 suffix_c as (select suffix, sum(n) as n, sum(bad) as bad from host_c group by all),
 {_strength("host")}, {_strength("domain")}, {_strength("suffix")},

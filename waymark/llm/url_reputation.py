@@ -6,8 +6,11 @@ below, and the prior's strength is estimated from the spread between the groups
 moments). A page whose url no rule decides is blocked if the lower bound of its host's posterior bad rate
 exceeds `limit`.
 
+A suffix is a host's last label, or its last two where SUFFIXES has them; a registered domain is one label more.
+
 Only aggregates leave the scan: counts by host are summed before the shuffle, so a host with a third of all
-pages costs one row a task; pages then meet their host's row in a left join whose page side Spark can split.
+pages costs one row a task, and are written once; pages then meet their host's row in a left join whose page side Spark
+can split.
 
 Defined results: a null url, or one without `://`, has empty host and path and shares the reputation of the
 empty host; pages without label count for nothing; repeated pages are judged alike, and each labelled repeat
@@ -21,8 +24,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.staging import Stage
 from waymark.llm.text import LOWER, UPPER
 
+# Suffixes of two labels under which hosts are registered by the public, of the larger registries. A suffix
+# that is not listed counts by its last label; pass a fuller list where the corpus needs one.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.bd", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe",
+    "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "edu.in",
+    "edu.tw", "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "gov.za", "ne.jp", "net.au", "net.br", "net.cn",
+    "net.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "sch.uk",
+)
+
 #: (verdict, host, path); the longest that fits a url wins.
 RULES = (
     ("allow", "com", "/"),
@@ -41,18 +55,19 @@ def split_url(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.translate(part(1), UPPER, LOWER).alias("host"), part(2).alias("path"))
 
 
-def _levels(hosts: DataFrame) -> DataFrame:
-    """The last label is the suffix, the last two are the registered domain."""
-    return hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+def _levels(hosts: DataFrame, suffixes: Sequence[str]) -> DataFrame:
+    last = lambda n: F.substring_index("host", ".", -n)
+    two = last(2).isin(list(suffixes)) if suffixes else F.lit(False)
+    return hosts.withColumns({"domain": F.when(two, last(3)).otherwise(last(2)), "suffix": F.when(two, last(2)).otherwise(last(1))})
 
 
-def host_counts(urls: DataFrame, labels: DataFrame) -> DataFrame:
+def host_counts(urls: DataFrame, labels: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """suffix, domain, host, n labelled pages and those that are bad, for every host."""
     outcome = labels.groupBy(F.col("doc_id").alias("page_id")).agg(
         F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False)).cast("int")).alias("bad")
     )
     joined = urls.select("page_id", "host").join(outcome, "page_id", "left")
-    return _levels(joined.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")))
+    return _levels(joined.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), suffixes)
 
 
 def _strength(groups: DataFrame) -> tuple[float, float]:
@@ -101,7 +116,9 @@ def rule_of(rules: Sequence[tuple[str, str, str]] = RULES):
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT) -> DataFrame:
     """Verdict for every page, with the reputation behind it."""
     urls = split_url(pages)
-    table = reputation(host_counts(urls, labels))
+    stage = Stage(pages.sparkSession, "hosts")
+    table = stage.write(reputation(stage.write(host_counts(urls, labels), "counts")), "reputation")
+    stage.drop("counts")
     rule, verdict = rule_of(rules)
     by_host = F.when(F.col("bound") > limit, "block").otherwise("allow")
     return urls.join(table, "host", "left").select(
