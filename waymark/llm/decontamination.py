@@ -51,11 +51,12 @@ def document_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> Data
     return words.join(side, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def prefix_index(wins: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
+def prefix_index(wins: DataFrame, docs: DataFrame, small: bool, stage: Stage) -> DataFrame:
     """word -> (offset, w, items): each window under its rarest word, ties by the word."""
     listed = wins.select("w", "items", F.posexplode("w").alias("offset", "word"))
     vocabulary = listed.select("word").distinct()
-    counts = document_counts(docs, vocabulary, small)
+    # written, so that the join is one of two plain shuffles, which Spark can split
+    counts = stage.write(document_counts(docs, vocabulary, small), "counts")
     rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")
     best = listed.join(counts, "word", "left").groupBy("w").agg(F.min(rarity).alias("r"), F.first("items").alias("items"))
     # a window with a word that no document has can't occur
@@ -86,10 +87,12 @@ def _covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and version (of the text) for every document."""
-    wins = windows(benchmark, width)
+    stage = Stage(docs.sparkSession, "benchmark")
+    wins = stage.write(windows(benchmark, width), "windows")
     small = wins.count() <= WINDOWS_BROADCAST
     # written once: its rarity counts take a pass over all documents
-    index = Stage(docs.sparkSession, "benchmark").write(prefix_index(wins, docs, small), "index")
+    index = stage.write(prefix_index(wins, docs, small, stage), "index")
+    stage.drop("counts", "windows")
     prefixes = None
     if small:
         found = [r[0] for r in index.select("word").distinct().collect()]
