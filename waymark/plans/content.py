@@ -11,18 +11,52 @@ from waymark.plans.views import AS_OF
 from waymark.sources import exports
 
 
-@query("T1_html_text")
+def _html_sql(html: str) -> str:
+    """html_to_text in SQL; the hidden elements one by one, as RE2 has no back-references."""
+    t = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "noscript", "head"):
+        t = f"regexp_replace({t}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    t = rf"regexp_replace(regexp_replace({t}, '(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    t = rf"(select array_to_string(list_transform(range(1, len(b) + 1), lambda i: concat(b[i], coalesce(chr(c[i]::int), ''))), '') from (select regexp_split_to_array(t, '&#\d+;') as b, regexp_extract_all(t, '&#(\d+);', 1) as c from (select {t} as t)))"
+    for entity, char in pages.ENTITIES:
+        t = f"replace({t}, '{entity.replace(chr(39), chr(39) * 2)}', '{char.replace(chr(39), chr(39) * 2)}')"
+    line = r"regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+    return f"array_to_string(list_filter(list_transform(string_split({t}, chr(10)), lambda x: {line}), lambda x: x <> ''), chr(10))"
+
+
+@query("T1_html_text", f"select page_id, {_html_sql('html')} as text from pages")
 def t1(v):
     return v.pages.select("page_id", pages.html_to_text(F.col("html")).alias("text"))
 
 
-@query("T2_links")
+_HREF = r"""(?is)<a\s+[^>]*href=["'']([^"''#][^"'']*)["''][^>]*>(.*?)</a>"""
+
+
+@query(
+    "T2_links",
+    rf"""with a as (select page_id, url, regexp_extract_all(html, '{_HREF}', 1) as h, regexp_extract_all(html, '{_HREF}', 2) as t from pages),
+    l as (select page_id, url as base, unnest(h) as href, unnest(t) as inner_html, generate_subscripts(h, 1) as n from a),
+    x as (select page_id, n, case when starts_with(href, '/') then concat(regexp_extract(base, '^(https?://[^/?#]+)', 1), href) else href end as url, trim(regexp_replace({_html_sql('inner_html')}, '\s+', ' ', 'g')) as text from l)
+    select page_id, (row_number() over (partition by page_id order by n) - 1)::int as pos, url, text from x where text <> ''""",
+)
 def t2(v):
     found = v.pages.select("page_id", "url", F.posexplode(pages.links(F.col("html"))).alias("pos", "a"))
     return found.select("page_id", "pos", pages.absolute(F.col("a.href"), F.col("url")).alias("url"), "a.text")
 
 
-@query("T3_chunks")
+def _cut(start: str) -> str:
+    window = f"substr(text, {start} + 1, 6000)"
+    back = f"strpos(reverse({window}), ' ')"
+    return f"case when {start} + 6000 < length(text) and {back} > 0 and length({window}) - {back} > 5400 then {start} + length({window}) - {back} else least({start} + 6000, length(text)) end"
+
+
+@query(
+    "T3_chunks",
+    f"""with recursive c as (
+      select doc_id, text, 0 as chunk, 0 as start, {_cut("0")} as cut from documents where length(text) > 6000
+      union all select doc_id, text, chunk + 1, s, {_cut("s")} from (select *, greatest(cut - 200, start + 1) as s from c where cut < length(text) and chunk < 7))
+    select doc_id, chunk, substr(text, start + 1, cut - start) as text from c union all select doc_id, 0, text from documents where length(text) between 1 and 6000""",
+)
 def t3(v):
     return v.documents.select("doc_id", F.posexplode(pages.chunks(F.col("text"))).alias("chunk", "text"))
 

@@ -174,7 +174,12 @@ def guide_ranking(v):
     return guides.resolve(v.v_entity, v.v_region, v.v_category, GUIDES)
 
 
-@query("A8_fingerprints")
+@query(
+    "A8_fingerprints",
+    f"""with {_LISTED}, i as (select guide_id, count(*) as n, array_to_string(list_sort(list(entity_id)), '|') as s from listed group by guide_id),
+    h as (select guide_id, n, list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) as h from i)
+    select guide_id, n, concat(n, '-', lpad(lower(to_hex(h)), 8, '0')) as fingerprint from h""",
+)
 def a8(v):
     return guides.fingerprints(guide_ranking(v))
 

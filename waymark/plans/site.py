@@ -447,6 +447,26 @@ def v10b(v):
     return quality.repeated_questions(asked, q.filter("pos < 1"))
 
 
+_MATCH = "q.lead = k.lead and least(len(q.content), len(k.content)) >= 2 and len(list_intersect(q.content, k.content)) = least(len(q.content), len(k.content))"
+
+
+@query(
+    "U4_merged_questions",
+    f"""with recursive k as (select owner_id, pos, lead, content from {_keyed('v_question', 'a')}),
+    f as (select owner_id, pos, [{{'p': pos, 'lead': lead, 'content': content}}] as kept from k where pos = 0
+      union all select k.owner_id, k.pos, case when len(list_filter(f.kept, lambda q: {_MATCH})) > 0 then f.kept else list_append(f.kept, {{'p': k.pos, 'lead': k.lead, 'content': k.content}}) end
+      from f join k on k.owner_id = f.owner_id and k.pos = f.pos + 1)
+    select owner_id, array_to_string(list_transform(arg_max(kept, pos), lambda q: q.p), ',') as kept from f group by owner_id""",
+)
+def u4b(v):
+    """An entity's questions, then its review's, without those that ask what one before them does."""
+    item = F.struct("pos", "question", "answer")
+    part = lambda own: F.sort_array(F.collect_list(F.when(own, item)))
+    merged = v.v_question.groupBy("owner_id").agg(part(F.col("pos") < 1).alias("e"), part(F.col("pos") >= 1).alias("r"))
+    kept = text.dedupe_faqs(F.concat("e", "r"))
+    return merged.select("owner_id", F.array_join(F.transform(kept, lambda f: f["pos"].cast("string")), ",").alias("kept"))
+
+
 @query("V13_unstated_years", "select review_id from v_review join v_entity using (entity_id) where not contains(body, substr(date_s, 1, 4))")
 def v13b(v):
     """Reviews that never state the year of their own event."""
