@@ -29,11 +29,13 @@ def exact_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return candidates.join(first, keys).select("entity_id", "duplicate_of")
 
 
-def interval_duplicates(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+def interval_duplicates(candidates: DataFrame, existing: DataFrame, exact: DataFrame | None = None) -> DataFrame:
     """(entity_id, duplicate_of): the first existing entity of the region whose days overlap, if either of the two
-    lasts several days. An interval of any length lies in at most two blocks of 2^level days, level being that of its
+    lasts several days. Candidates that have an exact duplicate, if these are given, need no other. An interval of any length lies in at most two blocks of 2^level days, level being that of its
     own length or a higher one; two intervals meet on the blocks of the longer one's level, so that a region's entities
     don't all meet."""
+    if exact is not None:
+        candidates = candidates.join(exact.select("entity_id"), "entity_id", "left_anti")
     a = _levelled(candidates.select("entity_id", "region_id", "start", "end"))
     b = _levelled(existing.select(F.col("entity_id").alias("other"), "region_id", "ord", F.col("start").alias("b_start"), F.col("end").alias("b_end")), "b_start", "b_end")
     keys = ["region_id", "level", "block"]

@@ -123,7 +123,12 @@ _STATUS = "['open', 'not_yet_announced', 'Sold Out', 'opens 1 Jul 2026', 'opens
 
 @query(
     "X3_availability",
-    f"select entity_id, case (ord % 9) when 0 then 'open' when 2 then 'closed' when 3 then 'not_yet_open' when 5 then 'closed' when 1 then 'not_yet_open' when 8 then 'not_yet_open' end as state, (ord % 9) in (1, 6, 7) as unknown from v_entity",
+    rf"""with a as (select entity_id, ({_STATUS})[(ord % 9)::int + 1] as said from v_entity),
+    d as (select *, lower(said) as s, coalesce(try_strptime(regexp_extract(said, '\d{{1,2}} [A-Z][a-z]{{2}} \d{{4}}'), '%d %b %Y'), try_strptime(regexp_extract(said, '[A-Z][a-z]{{2}} \d{{1,2}}, \d{{4}}'), '%b %d, %Y')) as day from a)
+    select entity_id, case when trim(said) = '' then null when regexp_matches(s, 'closed|sold out|fully booked|ended|full house') then 'closed'
+        when not regexp_matches(s, 'not yet|not_yet|tba|to be announced|closed|pending') and regexp_matches(s, '\bopen\b') then 'open'
+        when regexp_matches(regexp_replace(s, '[_-]+', ' ', 'g'), 'not yet (open|announced|confirmed|available|live)|\bopening soon\b|\bcoming soon\b|\bopens\b|\bwill open\b') and not coalesce(day < '{AS_OF}'::timestamp, false) then 'not_yet_open' end as state,
+      trim(said) = '' or regexp_matches(trim(s), '^(not[\s_-]*yet[\s_-]*announced|to[\s_-]*be[\s_-]*announced|tba|tbc|tbd|unknown|unconfirmed|none|n/?a)$') as unknown from d""",
 )
 def x3(v):
     """X2 and X3 over nine phrasings."""

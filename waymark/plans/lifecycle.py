@@ -81,7 +81,7 @@ def w12(v):
     return lifecycle.research_queue(e, AS_OF, 30, 40).select("entity_id")
 
 
-@query("W14_targets", "select * from (values (1, 'e3', true), (2, 'none-such', false), (3, 'e1', true)) t(place, entity_id, known)")
+@query("W14_targets", "select place, entity_id, entity_id in (select entity_id from v_entity) as known from (values (1, 'e3'), (2, 'none-such'), (3, 'e1')) t(place, entity_id)")
 def w14(v):
     """An explicit list keeps its order; unknown ids are reported."""
     wanted = v.spark.createDataFrame([(1, "e3"), (2, "none-such"), (3, "e1")], "place int, entity_id string")

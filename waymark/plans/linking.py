@@ -40,11 +40,12 @@ def j8(v):
     "J9_interval_duplicates",
     "with d as (select *, date_s::date as s, date_s::date + (ord % 3)::int as t from v_entity)"
     " select c.entity_id, arg_min(x.entity_id, x.ord) as duplicate_of from d c join d x on c.region_id = x.region_id and c.s <= x.t and x.s <= c.t and (c.t > c.s or x.t > x.s)"
-    " where c.status = 'archived' and x.status <> 'archived' group by c.entity_id",
+    " where c.status = 'archived' and x.status <> 'archived' and not exists (select 1 from d y where y.status <> 'archived' and y.region_id = c.region_id and y.category_id = c.category_id and y.date_s = c.date_s) group by c.entity_id",
 )
 def j9(v):
+    """Only where there is no exact duplicate."""
     dated = lambda df: df.withColumn("start", F.to_date("date_s")).withColumn("end", F.date_add(F.to_date("date_s"), (F.col("ord") % 3).cast("int")))
-    return linking.interval_duplicates(*map(dated, _split(v)))
+    return linking.interval_duplicates(*map(dated, _split(v)), linking.exact_duplicates(*_split(v)))
 
 
 _PINS = "pins as (select entity_id, unnest(['e1', 'e4', 'e2']) as other from v_entity where ord % 50 = 0)"
