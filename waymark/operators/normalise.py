@@ -13,6 +13,8 @@ SOURCE_TYPES = ("official", "registration_platform", "aggregator", "review", "so
 QUOTE_WORDS, QUOTES, QUOTE_CHARS, SEO_CHARS, META_CHARS = 28, 3, 400, 70, 200
 HIGHLIGHTS, WATCHOUTS, DESCRIPTION, DRAFT_SCORE = 5, 4, 220, 50
 FAQ_WORDS = (30, 80)
+NO_OBJECT, NO_SUMMARY, NO_DESCRIPTION, LONG_DESCRIPTION = "response was not a JSON object", "ai_summary is missing or empty", "short_description is missing or empty", "short_description is too long"
+NO_PROS, NO_CONS, NO_FAQS, HALF_FAQ = "pros must be a non-empty array", "cons must be an array", "faqs must be a non-empty array", "a faq entry is missing question/answer"
 
 #: What an answer may hold; what has another shape is null.
 ANSWER = """title string, seo_title string, meta_description string, dek string, verdict string,
@@ -104,16 +106,16 @@ def summary_problems(answers: DataFrame) -> DataFrame:
     """answers with `problems` (V15), the list of what is wrong with a summary."""
     a, words = F.col("a"), lambda f: word_count(f["answer"])
     low, high = FAQ_WORDS
-    entry = lambda f: F.when(~(F.coalesce(f["question"] != "", F.lit(False)) & F.coalesce(f["answer"] != "", F.lit(False))), "a faq entry is missing question/answer").when(
+    entry = lambda f: F.when(~(F.coalesce(f["question"] != "", F.lit(False)) & F.coalesce(f["answer"] != "", F.lit(False))), HALF_FAQ).when(
         ~words(f).between(low, high), F.concat(F.lit("faq answer is "), words(f).cast("string"), F.lit(" words"))
     )
     fixed = F.array(
-        F.when(~said(a["ai_summary"]), "ai_summary is missing or empty"),
-        F.when(~said(a["short_description"]), "short_description is missing or empty").when(F.length(a["short_description"]) > DESCRIPTION, "short_description is too long"),
-        F.when(F.coalesce(F.size(a["pros"]), F.lit(0)) <= 0, "pros must be a non-empty array"),
-        F.when(a["cons"].isNull(), "cons must be an array"),
-        F.when(F.coalesce(F.size(a["faqs"]), F.lit(0)) <= 0, "faqs must be a non-empty array"),
+        F.when(~said(a["ai_summary"]), NO_SUMMARY),
+        F.when(~said(a["short_description"]), NO_DESCRIPTION).when(F.length(a["short_description"]) > DESCRIPTION, LONG_DESCRIPTION),
+        F.when(F.coalesce(F.size(a["pros"]), F.lit(0)) <= 0, NO_PROS),
+        F.when(a["cons"].isNull(), NO_CONS),
+        F.when(F.coalesce(F.size(a["faqs"]), F.lit(0)) <= 0, NO_FAQS),
     )
     some = F.coalesce(F.transform(a["faqs"], entry), F.array().cast("array<string>"))
-    whole = F.array(F.lit("response was not a JSON object"))
+    whole = F.array(F.lit(NO_OBJECT))
     return answers.withColumn("problems", F.when(a.isNull(), whole).otherwise(F.array_compact(F.concat(fixed, some))))

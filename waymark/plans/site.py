@@ -16,7 +16,8 @@ from waymark.plans.guides import _CLOSURE, _LISTED, _MEMBER, GUIDES, guide_ranki
 from waymark.plans.records import _REVIEW, _URL, reviews
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
-from waymark.sources import exports
+from waymark.sources import collections, exports
+from waymark.sources.staged import shared_path
 
 SITE, OWNER = "https://example.org", "Example"
 _FACETS = {
@@ -298,6 +299,15 @@ def i9(v):
     return guides.refreshed(stored, rewritten, listed.select("guide_id", F.col("entity_id").alias("named"))).select("guide_id", "intro", "pick", "slug")
 
 
+@query("S1_S2_collection", "select s_suppkey, s_name, s_nationkey from supplier")
+def s1(v):
+    """Suppliers as a folder of one JSON record a file, read back without what the load adds."""
+    path = shared_path(v.spark, "collection")
+    v.supplier.select("*", F.col("s_suppkey").alias("file")).write.partitionBy("file").json(path)
+    good, _ = collections.read_json_collection(v.spark, path, v.supplier.select("s_suppkey", "s_name", "s_nationkey").schema)
+    return collections.strip_meta(good)
+
+
 @query(
     "S5_entity_json",
     """select entity_id, name, short_description as description, date as start, concat_ws(', ', city, country) as place, city, organizer, price_range as offer,
