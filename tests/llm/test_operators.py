@@ -2,6 +2,8 @@
 and columns with clashing names, and on empty tables."""
 
 import hashlib
+import math
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +15,8 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures as fx
-from waymark.llm import decontamination, near_duplicates, packing, quality_model, quality_rules, substring_dedup, token_counts, token_store, url_reputation, warc
+from waymark.llm import decontamination, near_duplicates, packing, pieces, quality_model, quality_rules, substring_dedup, token_counts, token_store, url_reputation, warc
+from waymark.llm.pieces import Encoder
 from waymark.llm.staging import Stage, shared_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -63,7 +66,12 @@ def test_quality_rules(docs, rows, empty):
     kept = quality_rules.keep(docs)
     assert kept.columns == docs.columns and kept.count() == out.filter("kept").count()
     table = quality_rules.ablation(quality_rules.ledger(docs)).collect()
-    assert {r["rule"] for r in table} == set(quality_rules.BIT) and all(r["n_only"] <= r["n_failed"] for r in table)
+    masks = [r["failed"] for r in quality_rules.ledger(docs).collect()]
+    for r in table:
+        bit = quality_rules.BIT[r["rule"]]
+        assert (r["n_docs"], r["n_kept"]) == (len(masks), sum(m == 0 for m in masks))
+        assert (r["n_failed"], r["n_only"], r["n_kept_without"]) == (sum(bool(m & bit) for m in masks), masks.count(bit), sum(m & ~bit == 0 for m in masks))
+    assert {r["rule"] for r in table} == set(quality_rules.BIT)
 
 
 def test_token_counts(docs, rows, empty):
@@ -79,10 +87,35 @@ def test_chunk_maps_compose(rows):
         t = (t or "")[:3000]
         chunks = [t[i : i + 7] for i in range(0, len(t), 7)] or [""]
         total = token_counts.state_maps(counter, chunks)
-        one = total[0]
-        for m in total[1:]:
-            one = token_counts.compose(counter, one, m)
-        assert token_counts.finish(counter, one) == counter.counts([t])[0]
+        while len(total) > 1:  # in pairs, as the rounds of a scan do
+            total = [token_counts.compose(counter, *total[i : i + 2]) if i + 1 < len(total) else total[i] for i in range(0, len(total), 2)]
+        assert token_counts.finish(counter, total[0]) == counter.counts([t])[0]
+
+
+def test_long_texts_are_scanned_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK_CHARS", 50)
+    library = Tokenizer.from_file(BYTES)
+    texts = ["don't " * 900, "x" * 3000, "'" * 400 + "s" * 300, "<|endoftext|>" * 40 + "a b<|endoftext|>", " \n" * 500, "日本語。" * 300, "\u1c89 \U00010d50x" * 60, "a'll 12,3" * 200]
+    got = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTES).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoder_equals_the_library_on_every_code_point(path):
+    library, own = Tokenizer.from_file(path), Encoder(path)
+    # all code points that Python knows, and a share of the others, which go to the library anyway
+    known = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co") or ord(c) % 97 == 0 and not "\ud800" <= c <= "\udfff"]
+    texts = [f"a{c}b {c}{c}1{c}!" for c in known]
+    want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+
+
+def test_encoder_beyond_what_it_remembers(monkeypatch, rows):
+    monkeypatch.setattr(pieces, "MAX_PIECES", 40)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 200)
+    library, own = Tokenizer.from_file(WORDS), Encoder(WORDS)
+    texts = [t or "" for _, t, *_ in rows] * 2
+    assert own.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
 
 
 def crc(ids):
@@ -154,9 +187,22 @@ def test_substring_dedup(docs, rows, empty):
     want = [(d, len(fx.words(t)), len(fx.words(t)) - len(k), " ".join(k)) for (d, t, *_), k in zip(rows, kept, strict=True)]
     same(got, want)
     assert substring_dedup.remove_repeats(empty).count() == 0
-    rewritten = substring_dedup.rewrite(docs.drop("dedup"))
-    assert rewritten.columns == docs.drop("dedup").columns
-    assert rewritten.filter("n_chars <> length(text)").count() == 0
+    rewritten = substring_dedup.rewrite(docs)
+    assert rewritten.columns == docs.columns
+    assert rewritten.filter("n_chars <> length(text) or dedup <> 'clash'").count() == 0
+
+
+def test_substrings_of_rows_without_id_long_chains_and_circles(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared, long, circle = text(60), text(1500), text(50)
+    rows = [(None, f"{text(20)} {shared} {text(9)}"), (1, f"{shared} {text(30)}"), (2, f"{text(5)} {long}"), (3, f"{long} {text(6)}"), (4, long[: len(long) // 2]),
+            (5, " ".join([circle] * 6)), (6, " ".join([circle] * 3)), (7, shared), (7, shared), (7, shared + " x")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "dedup.kept_text").collect()
+    same(got, [(d, " ".join(k)) for (d, _), k in zip(rows, fx.kept_words([t for _, t in rows]), strict=True)])
 
 
 @pytest.mark.parametrize("width", [4, 5])
@@ -175,6 +221,38 @@ def test_one_near_duplicate_stays(docs, rows, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_links_beside_crowds_are_found(spark, percent):
+    """Two crowds of near copies, strangers that are near one member only, and chains of small steps."""
+    import random
+
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    base = [r.choice(vocab) for _ in range(150)]
+
+    def changed(words, k):
+        out = list(words)
+        for i in r.sample(range(len(out)), k):
+            out[i] = r.choice(vocab)
+        return out
+
+    rows = [changed(base, 2) for _ in range(60)] + [changed(base[:75] + [r.choice(vocab) for _ in range(75)], 2) for _ in range(5)]
+    for k in (1, 2, 3, 4, 5, 6):
+        rows += [changed(rows[r.randrange(60)], k) for _ in range(4)]
+    step = [r.choice(vocab) for _ in range(100)]
+    for _ in range(15):
+        step = changed(step, 1)
+        rows.append(step)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == fx.classes(rows, 5, percent)
+
+
+def test_similarities_that_the_trees_are_not_made_for_are_refused(docs):
+    with pytest.raises(ValueError, match="80"):
+        near_duplicates.near_duplicates(docs, 5, 45)
+
+
 def test_decontamination(docs, rows, items, empty):
     got = decontamination.contamination(docs, items).drop("version").collect()
     want = []
@@ -205,6 +283,56 @@ def test_quality_model(spark, docs, rows, empty):
     assert quality_model.learn_and_score(empty, table).count() == 0
 
 
+def brute_features(t):
+    """The features of a text, by plain Python."""
+    t = t or ""
+    w, lines = fx.words(t), [x for x in t.split("\n") if x.strip(" ")]
+    per = lambda x, d: x / d if d > 0 else 0.0
+    return (
+        math.log1p(len(w)), per(len(t), len(w)), per(sum(len(x) <= 3 for x in w), len(w)), float(max(map(len, w), default=0)), per(len(set(w)), len(w)),
+        per(sum(c in "#*$%&|<>" for c in t), len(w)), per(sum("A" <= c <= "Z" for c in t), len(t)), per(sum("0" <= c <= "9" for c in t), len(t)),
+        per(t.count("!"), len(w)), per(sum(c in ".,;:?" for c in t), len(w)), per(len(t.encode()) - len(t), len(t)),
+        per(len(lines) - len(set(lines)), len(lines)), per(len(w), len(lines)),
+    )
+
+
+def test_quality_features_and_scores_against_plain_python(docs, rows):
+    got = Counter((r["doc_id"], *(round(r[n], 9) for n in quality_model.NAMES)) for r in quality_model.features(docs).collect())
+    assert got == Counter((d, *(round(x, 9) for x in brute_features(t))) for d, t, *_ in rows)
+    r = np.random.default_rng(5)
+    x = r.random((500, 4)).round(1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float)
+    model = quality_model.fit(x, y)
+    for row, score in zip(x[:60], model.score(x[:60]), strict=True):  # one bin of each table, added up
+        z = model.intercept + sum(t[sum(v >= e for e in edges)] for v, edges, t in zip(row, model.edges, model.tables, strict=True))
+        z += sum(t[sum(row[i] >= e for e in model.pair_edges[i]), sum(row[j] >= e for e in model.pair_edges[j])] for i, j, t in model.pairs)
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_a_shallow_tree_is_the_best_of_all_cuts():
+    r = np.random.default_rng(8)
+    g, h = r.normal(size=9), r.random(9) + 0.1
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + quality_model.LAMBDA)
+    best = max(range(1, 9), key=lambda k: gain(0, k) + gain(k, 9))
+    step = quality_model._shallow_tree(g, h)
+    edges = [0]
+    for a, b in ((0, best), (best, 9)):
+        cut = max(range(a + 1, b), key=lambda k: gain(a, k) + gain(k, b), default=b)
+        edges += [cut, b] if cut < b and gain(a, cut) + gain(cut, b) > gain(a, b) else [b]
+    for a, b in zip(edges, edges[1:], strict=False):
+        assert np.allclose(step[a:b], g[a:b].sum() / (h[a:b].sum() + quality_model.LAMBDA))
+
+
+def test_quality_is_learned_from_unheld_rows_only(spark):
+    rows = [(i, ("good words stand here in plain order " if i % 2 else "## !! $$ 77 ") * (5 + i % 7)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2, 0) for i in range(400)]
+    wrong = [(i, q if zlib.crc32(str(i).encode()) % 5 else 1 - q, t) for i, q, t in labels]  # held-out labels change nothing
+    one, two = (quality_model.learn_and_score(docs, spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect() for x in (labels, wrong))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    assert all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in one)
+
+
 def test_additive_model_learns_a_pair():
     r = np.random.default_rng(3)
     x = r.random((4000, 3))
@@ -215,7 +343,7 @@ def test_additive_model_learns_a_pair():
 
 PAGES = [
     (1, "http://A.Example.com/en/1", "same"), (2, "https://b.example.com/fr/2?x#y", "same"), (3, "nothing", None), (4, None, ""), (5, "http://www.example.com/en/", "é\r\n\r\nWARC/1.1\r\n"),
-    (6, "x://net/es/3", "one"), (7, "http://h.net?q=/fr/", "two"), (2, "https://b.example.com/fr/2?x#y", "same"), (None, "http://n.org/", "same"), (8, "http://a b\r\n.com/", "x" * 200_000),
+    (6, "x://net/es/3", "one"), (7, "http://h.net?q=/fr/", "two"), (9, "http://r.org/", "first of two"), (9, "http://r.org/", "another text"), (3, "http://r.org/3", "first of two"), (1, "http://r.org/1", "another text"), (2, "https://b.example.com/fr/2?x#y", "same"), (None, "http://n.org/", "same"), (8, "http://a b\r\n.com/", "x" * 200_000),
 ]
 
 
@@ -224,9 +352,15 @@ def pages(spark):
     return spark.createDataFrame([(*p, "clash", "clash") for p in PAGES], "page_id long, url string, html string, digest string, host string")
 
 
-def test_warc_round_trip(spark, pages):
+def write_nothing(spark, pages):
+    path = shared_path(spark, "warc-empty")
+    warc.archive(pages.limit(0), path)
+    return path
+
+
+def test_warc_round_trip(spark, pages, monkeypatch):
     path = shared_path(spark, "warc-test")
-    warc.write(warc.resolve(pages), path)
+    warc.archive(pages, path)
     got = warc.read_resolved(spark, path)
     assert got.filter("payload_digest <> header_digest").count() == 0
     import base64
@@ -238,6 +372,13 @@ def test_warc_round_trip(spark, pages):
         response = top is None or p == top
         want.append((p, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else top))
     same(got.drop("header_digest").collect(), want)
+    # small archives, and one for each record that is longer than the last class
+    monkeypatch.setattr(warc, "SIZE_CLASSES", (10, 100))
+    monkeypatch.setattr(warc, "FILE_BYTES", 20)
+    path = shared_path(spark, "warc-test")
+    warc.archive(pages, path)
+    same(warc.read_resolved(spark, path).drop("header_digest").collect(), want)
+    assert warc.read_resolved(spark, write_nothing(spark, pages)).count() == 0
     sized = warc.resolve(pages, min_bytes=10)
     assert sized.filter("payload_bytes < 10 and record_type = 'revisit'").count() == 0
 
@@ -248,7 +389,7 @@ def test_url_rules_and_reputation(spark, pages):
     assert got == {
         (1, "a.example.com", "/en/1", "example.com/en/", "block"), (2, "b.example.com", "/fr/2", "com/", "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow"),
         (5, "www.example.com", "/en/", "www.example.com/en/", "allow"), (6, "net", "/es/3", "net/es/", "block"), (7, "h.net", "", None, "allow"),
-        (None, "n.org", "/", None, "allow"), (8, "a b\r\n.com", "/", "com/", "allow"),
+        (None, "n.org", "/", None, "allow"), (9, "r.org", "/", None, "block"), (3, "r.org", "/3", None, "block"), (1, "r.org", "/1", None, "block"), (8, "a b\r\n.com", "/", "com/", "allow"),
     }
     bad = spark.range(200).select(F.col("id").alias("page_id"), F.lit("http://bad.org/x").alias("url"))
     all_bad = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
@@ -259,6 +400,13 @@ def test_url_rules_and_reputation(spark, pages):
     assert url_reputation.judge(pages.limit(0), labels).count() == 0
 
 
+def test_registered_domains_below_public_suffixes(spark):
+    urls = spark.createDataFrame([(1, h, "") for h in ("x.a.co.uk", "b.co.uk", "co.uk", "uk", "y.b.com", "")], "page_id long, host string, path string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in url_reputation.host_counts(urls, labels).collect()}
+    assert got == {"x.a.co.uk": ("co.uk", "a.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "y.b.com": ("com", "b.com"), "": ("", "")}
+
+
 def test_schema_of_empty_tables(empty):
     assert isinstance(quality_rules.judge(empty).schema["n_words"].dataType, T.LongType)
 

@@ -2,15 +2,21 @@
 
 Equal sets are one class first, so a group of exact copies is one node however large it is. Each class has TREES
 labels of DEPTH minima; sorting by a label orders texts by longest common prefix, and the prefix tree over it is
-walked from the leaves up: the least member of each node is a candidate for the least member of the node above.
-How deep a region goes thus follows from how dense it is, and a crowd of m near copies gives m candidates and not
-m * m. Nodes are aggregates, summed before the shuffle.
-
-Candidates are confirmed on whole sets. Links so found are contracted to components; then every bucket at the least
-depth that still holds several components gives all its pairs across components whose sketches allow the
-similarity, and these are confirmed too. A link is lost only if its two texts meet in no tree at the least depth:
-at similarity 0.8 that is (1 - 0.8^4)^24 = 5e-10 ... 3e-6 for each link without another path, or if the sketch is
-5.5 standard deviations off.
+walked from the leaves up in all trees: the least member of each node is a candidate for the least member of the node above.
+How deep a region goes thus follows from how dense it is: texts that share long prefixes meet deep down, a lone pair at the
+least depth, and a crowd of m near copies gives m candidates and not m * m. Nodes are aggregates, summed before the shuffle.
+
+Candidates are confirmed on whole sets, and links so found are contracted to components. What a tree's representatives
+can't show, links between other members of two components, is then found exactly among the texts that share a node of
+any tree with another component: with shingles ordered by rarity, two sets that are similar enough share one of
+their first few (prefix filter), and behind the first that they share both have enough left (positional filter), so
+texts of different components that share such a shingle are candidates. Members of one component are never compared, as
+rows of a shingle meet by pairs of components, which pass the same filters first; sketches of the signatures drop most of
+the others before texts are read.
+
+A link is lost only if its two texts meet in no tree at the least depth: at similarity 0.8 that is
+(1 - 0.8^4)^24 = 3e-6 for each link without another path, or if the sketch is 6 standard deviations off. Lower similarities would
+need other trees, so percent is 80 or more.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a text of fewer words than a
 shingle is one shingle; rows that share a doc_id are one node; a row without doc_id is kept and has no component;
@@ -28,15 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.components import components
-from waymark.llm.staging import Stage, release, without
+from waymark.llm.staging import ROWS_BROADCAST, Stage, release, short, without
 from waymark.llm.text import lower_ascii, words
 
-TREES, DEPTH, LEAST_DEPTH, FIRST_TREES = 24, 8, 4, 4
+TREES, DEPTH, LEAST_DEPTH, LEAST_PERCENT = 24, 8, 4, 80
 #: Four bits of each of the 192 minima, sixteen to a long: texts of similarity 0.8 differ in 36 on average with a
-#: deviation of 5.4, those of 0.67 in 61.
-SKETCH_WORDS, SKETCH_DISTANCE, NIBBLES = 12, 61, 0x1111111111111111
-#: Ids of candidates that are broadcast to thin out the texts before they are shuffled; more go without.
-IDS_BROADCAST = 1_000_000
+#: deviation of 5.4, those of 0.63 in 69.
+SKETCH_WORDS, SKETCH_DISTANCE, NIBBLES = 12, 69, 0x1111111111111111
 BLOCK = 1 << 15
 
 
@@ -127,6 +131,8 @@ class NearDuplicates:
     """One run over a table of documents."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int):
+        if percent < LEAST_PERCENT:
+            raise ValueError(f"trees are laid out for a similarity of {LEAST_PERCENT} % or more")
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.width, self.percent = width, percent
         self.stage = Stage(docs.sparkSession, "near")
@@ -138,10 +144,11 @@ class NearDuplicates:
             hashed.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, keys array<long>, rests array<long>, sketch array<long>"), "signed"
         )
         least = signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-        joined = signed.join(least, "digest", "left")
+        # written, so that the join is one of two plain shuffles, which Spark can split
+        joined = signed.join(self.stage.write(least, "least"), "digest", "left")
         members = self.stage.write(joined.select("doc_id", "n_shingles", "rep"), "members")
         reps = self.stage.write(joined.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "keys", "rests", "sketch"), "reps")
-        self.stage.drop("signed")
+        self.stage.drop("signed", "least")
         return members, reps
 
     def buckets(self, reps: DataFrame) -> DataFrame:
@@ -150,6 +157,7 @@ class NearDuplicates:
             F.col("x.keys").alias("key"), F.col("x.rests").alias("rest"), "tree", "rep"
         )
         shared = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("key")
+        shared = self.stage.write(shared, "shared")
         return self.stage.write(rows.join(shared, "key", "left_semi"), "buckets")
 
     @staticmethod
@@ -170,10 +178,10 @@ class NearDuplicates:
     def confirm(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Of distinct pairs those whose full sets are similar enough."""
         pairs = self.stage.write(pairs, f"{tag}-pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        small = ids.count() <= IDS_BROADCAST
-        texts = self.docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+        ids = self.stage.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{tag}-ids")
+        texts = self.docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= ROWS_BROADCAST else self.docs
         side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
+        # one text a pair is shuffled: that of the member; its hub's comes once
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         hashed = both.select("a", "b", word_hashes(F.col("ta")).alias("ha"), word_hashes(F.col("tb")).alias("hb"))
         sets = hashed.select("a", "b", shingle_set("ha", self.width).alias("sa"), shingle_set("hb", self.width).alias("sb"))
@@ -182,38 +190,35 @@ class NearDuplicates:
         # not a filter: Catalyst would push it below the columns of hashes and compute them anew for each element
         similar = sized.select(F.explode(F.when(enough, F.array(F.struct("a", "b")))).alias("p"))
         links = self.stage.write(similar.select("p.*").distinct(), f"{tag}-links")
-        release(self.docs.sparkSession)
+        self.stage.drop(f"{tag}-pairs", f"{tag}-ids")
         return links
 
-    def _mixed(self, rows: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold several components, with component and sketch."""
-        known = rows.join(comp, rows["rep"] == comp["node"], "left").select("key", "tree", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        ids = F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-        return known.join(mixed, "key", "left_semi").join(reps.select("rep", "n", "sketch", ids.alias("ids")), "rep")
-
-    def prefixes(self, ids: DataFrame) -> DataFrame:
-        """(rep, index, probe) of the documents ids. With shingles ordered by rarity among them, two sets that are similar
-        enough have a shingle in common among the first few of both: among the `index` ones of the smaller set and the
-        `probe` ones of the larger. An id with several texts has none, and is compared without this filter."""
-        few = F.broadcast(ids) if ids.count() <= IDS_BROADCAST else ids
-        hashed = self.docs.join(few, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("v"), word_hashes(F.col("text")).alias("h"))
-        each = hashed.select(F.col("doc_id").alias("rep"), "v", F.explode(shingle_set("h", self.width)).alias("g")).distinct()
+    def mixed(self, rows: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
+        """(rep, comp) of the classes that share a node of a tree with another component."""
+        named = reps.select("rep").join(comp, reps["rep"] == comp["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+        named = self.stage.write(named, "named")
+        known = rows.select("key", "rep").join(named, "rep")
+        several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        several = self.stage.write(several, "several")
+        return self.stage.write(known.join(several, "key", "left_semi").select("rep", "comp").distinct(), "mixed")
+
+    def rare(self, mixed: DataFrame) -> DataFrame:
+        """(g, rep, comp, n, rest): of each class the first few shingles by rarity, the size of its set, and how many of its
+        shingles stand at g or behind. Shingles of one component only, which join nothing, are left out."""
+        ids = short(mixed.select(F.col("rep").alias("doc_id")))
+        hashed = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("v"), word_hashes(F.col("text")).alias("h"))
+        each = hashed.select(F.col("doc_id").alias("rep"), "v", F.explode(shingle_set("h", self.width)).alias("g"))
         each = self.stage.write(each, "shingles")
-        rarity = each.groupBy("g").agg(F.count("*").alias("k"))
+        rarity = self.stage.write(each.groupBy("g").agg(F.count("*").alias("k")), "rarity")
         lists = each.join(rarity, "g").groupBy("rep", "v").agg(F.sort_array(F.collect_list(F.struct("k", "g"))).alias("s"))
-        p, n = self.percent, F.size("s")
-        long = n - F.expr(f"({p} * size(s) + 99) div 100").cast("int") + 1
-        short = n - F.expr(f"({2 * p} * size(s) + {99 + p}) div {100 + p}").cast("int") + 1
-        first = lambda k: F.transform(F.slice("s", F.lit(1), k), lambda x: x["g"])
-        cut = lists.select("rep", first(long).alias("probe"), first(short).alias("index"))
-        alone = cut.groupBy("rep").agg(F.count("*").alias("texts"), F.first("probe").alias("probe"), F.first("index").alias("index"))
-        return alone.select("rep", *(F.when(F.col("texts") == 1, F.col(c)).alias(c) for c in ("index", "probe")))
-
-    @staticmethod
-    def _may_share() -> Column:
-        smaller = F.when(F.col("n") <= F.col("n2"), F.arrays_overlap("index", "probe2")).otherwise(F.arrays_overlap("probe", "index2"))
-        return F.coalesce(smaller, F.lit(True))
+        few = F.size("s") - F.expr(f"({self.percent} * size(s) + 99) div 100").cast("int") + 1
+        first = F.transform(F.slice("s", F.lit(1), few), lambda x, i: F.struct(x["g"].alias("g"), F.size("s").alias("n"), (F.size("s") - i).alias("rest")))
+        # rows that share a doc_id are one node with the shingles of all its texts
+        probes = self.stage.write(lists.select("rep", F.inline(first)).join(mixed, "rep"), "probes")
+        several = probes.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("g")
+        out = self.stage.write(probes.join(self.stage.write(several, "several-g"), "g", "left_semi"), "rare")
+        self.stage.drop("shingles", "rarity", "probes", "several-g")
+        return out
 
     @staticmethod
     def _distance() -> Column:
@@ -226,43 +231,36 @@ class NearDuplicates:
             out = out + F.bit_count(x.bitwiseAND(F.lit(NIBBLES)))
         return out
 
-    @staticmethod
-    def _met_before() -> Column:
-        """Whether a pair shares the bucket of an earlier tree, which then gives it."""
-        out = F.lit(False)
-        for t in range(TREES):
-            out = out | ((F.col("tree") > t) & (F.get("ids", F.lit(t)) == F.get("ids2", F.lit(t))))
-        return out
-
-    def across(self, mixed: DataFrame, pivots_only: bool) -> DataFrame:
-        """Pairs across components of a bucket that their sketches allow: of all members, each pair once, or of each
-        with the bucket's least component's least member."""
-        near = (F.col("comp2") < F.col("comp")) & (self._distance() <= SKETCH_DISTANCE)
-        if pivots_only:
-            other = mixed.groupBy("key").agg(F.min(F.struct("comp", "rep", "sketch")).alias("p"))
-            other = other.select("key", F.col("p.comp").alias("comp2"), F.col("p.rep").alias("rep2"), F.col("p.sketch").alias("sketch2"))
-        else:
-            near &= ~self._met_before() & self._may_share()
-            first = self.prefixes(mixed.select(F.col("rep").alias("doc_id")).distinct())
-            mixed = mixed.join(first, "rep")
-            other = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("comp", "rep", "n", "index", "probe", "sketch", "ids")))
-        pairs = mixed.join(other, "key").filter(near)
-        return pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    def across(self, rare: DataFrame, reps: DataFrame) -> DataFrame:
+        """Pairs of different components that share a rare shingle, whose sizes and places of it allow the similarity, and whose
+        sketches do."""
+        p = self.percent
+        enough = lambda n, rest, m, left: (100 + p) * F.least(rest, left) >= p * (n + m)
+        second = lambda df: df.select("g", *(F.col(c).alias(f"{c}2") for c in df.columns if c != "g"))
+        # pairs of components first: members of one component, however many, never meet
+        each = rare.groupBy("g", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+        each = self.stage.write(each, "each")
+        fits = (100 * F.col("high") >= p * F.col("low2")) & (100 * F.col("high2") >= p * F.col("low")) & enough(F.col("low"), F.col("rest"), F.col("low2"), F.col("rest2"))
+        kinds = each.join(second(each), "g").filter((F.col("comp2") < F.col("comp")) & fits).select("g", "comp", "comp2")
+        kinds = self.stage.write(kinds, "kinds")
+        here = self.stage.write(rare.join(reps.select("rep", "sketch"), "rep"), "here")
+        alike = (100 * F.least("n", "n2") >= p * F.greatest("n", "n2")) & enough(F.col("n"), F.col("rest"), F.col("n2"), F.col("rest2"))
+        left = self.stage.write(here.join(kinds, ["g", "comp"]), "left")
+        met = left.join(second(here), ["g", "comp2"]).filter(alike & (self._distance() <= SKETCH_DISTANCE))
+        return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         members, reps = self.classes()
         rows = self.buckets(reps)
-        tried = self.tree_candidates(rows.filter(f"tree < {FIRST_TREES}"))
-        links = self.confirm(tried, "first")
+        links = self.confirm(self.tree_candidates(rows), "tree")
         comp = components(links, self.stage, "c1")
-        for tag, pivots in (("second", True), ("third", False)):
-            mixed = self.stage.write(self._mixed(rows, reps, comp), f"{tag}-mixed")
-            found = self.confirm(self.across(mixed, pivots), tag)
-            old = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            comp = components(old.union(found), self.stage, f"c-{tag}")
-        named = members.join(comp, members["rep"] == comp["node"], "left")
+        found = self.confirm(self.across(self.rare(self.mixed(rows, reps, comp)), reps), "across")
+        old = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        named = self.stage.write(components(old.union(found), self.stage, "c2"), "component")
+        self.stage.drop_others("members", "component")
+        joined = members.join(named, members["rep"] == named["node"], "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-        return named.select(
+        return joined.select(
             "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
         )
 

@@ -2,58 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
-import tempfile
-import uuid
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Folders of local sessions that name none, by application.
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which every executor can read. On a local master, where driver and executors are one
-    process, a folder of its own is set if there is none; a cluster has to name one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
-    if base is None:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        base = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="waymark-")
-    return base.rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; what is left there goes when the driver's Python ends."""
-    path = f"{shared_folder(spark)}/waymark-{tag}-{uuid.uuid4().hex}"
-    if not _LEFT:
-        atexit.register(_remove_left, spark)
-    _LEFT.add(path)
-    return path
-
-
-#: Tables that a returned DataFrame may still read.
-_LEFT: set[str] = set()
-
-
-def _remove_left(spark: SparkSession) -> None:
-    with suppress(Exception):  # the session may have ended before
-        remove(spark, *list(_LEFT))
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes staged tables that nothing will read again."""
-    for path in paths:
-        _LEFT.discard(path)
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+from waymark.sources.staged import remove, shared_path
 
 
 def release(spark: SparkSession) -> None:
