@@ -39,7 +39,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
-    warc.write(warc.resolve(_table(spark, sf_dir, "pages")), path)
+    warc.archive(_table(spark, sf_dir, "pages"), path)
     return warc.read_resolved(spark, path).drop("header_digest")
 
 

@@ -3,12 +3,13 @@
 Headers are shuffled by payload digest; of equal payloads the record with the largest id stays a response and
 the others become revisit records that refer to it, with fresh headers. Archives are written by Spark's text
 sink, whose line separator is the blank lines that end a WARC record: any file system Spark can reach will do,
-and a lost task is simply written again by the commit protocol. Reading parses records by Content-Length, and
-joins revisits to their responses by record id.
+and a lost task is simply written again by the commit protocol. Records of different size go to archives of different
+lengths, so that no archive is longer than FILE_BYTES or than one record. Reading parses records by Content-Length, and
+joins revisits to their responses by record id, which is made from a page's id and its payload's digest.
 
 Defined results: a null payload is empty; a null page_id is never chosen over another, and such rows stay
-responses if all of a digest are so; repeated rows of the chosen page are all responses; null and odd urls are
-written percent-encoded.
+responses if all of a digest are so; repeated rows of the chosen page are all responses; a page_id with several payloads
+is one record for each, with its own id; null and odd urls are written percent-encoded.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 #: Bounds what one read task holds: a file is read whole.
-RECORDS_PER_FILE = 1000
+FILE_BYTES = 1 << 26
+#: Size classes of payloads by their upper bounds in bytes; an archive of a class holds as many as fit FILE_BYTES.
+SIZE_CLASSES = (1 << 16, 1 << 20, 1 << 23)
 
 
 def sha1_base32(binary: Column) -> Column:
@@ -52,9 +55,9 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     )
 
 
-def record_id(page_id: Column) -> Column:
-    """A urn:uuid made from the page's id."""
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def record_id(page_id: Column, digest: Column) -> Column:
+    """A urn:uuid made from the page's id and its payload's digest."""
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest))
     cut = lambda a, n: F.substring(h, a, n)
     return F.concat_ws("-", F.concat(F.lit("urn:uuid:"), cut(1, 8)), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
 
@@ -72,14 +75,14 @@ def to_record(date: str) -> Column:
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("page_id")), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("page_id"), F.col("digest")), F.lit(">"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(F.col("page_id").isNull(), F.lit("")).otherwise(line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit("")))),
         F.when(revisit, F.concat(
             line("WARC-Profile", F.lit(PROFILE)),
-            line("WARC-Refers-To", F.concat(F.lit("<"), record_id(F.col("refers_to")), F.lit(">"))),
+            line("WARC-Refers-To", F.concat(F.lit("<"), record_id(F.col("refers_to"), F.col("digest")), F.lit(">"))),
         )).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
@@ -88,10 +91,28 @@ def to_record(date: str) -> Column:
     return F.concat(head, block)
 
 
-def write(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes the records of resolve() as gzipped archives."""
-    out = records.select(to_record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def _size_class(size: Column) -> Column:
+    return sum(((size > bound).cast("int") for bound in SIZE_CLASSES), F.lit(0))
+
+
+def size_classes(pages: DataFrame) -> list[int]:
+    """The size classes that the payloads of pages fall into; a few integers."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    return sorted(r[0] for r in pages.select(_size_class(size).alias("k")).distinct().collect()) or [0]
+
+
+def write(records: DataFrame, path: str, classes: list[int], date: str = "2024-01-01T00:00:00Z") -> None:
+    """Writes the records of resolve() as gzipped archives, each size class that occurs in a folder of its own."""
+    for k in classes:
+        own = records.filter(_size_class(F.col("payload_bytes")) == k)
+        out = own.select(to_record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip")
+        fit = FILE_BYTES // SIZE_CLASSES[k] if k < len(SIZE_CLASSES) else 1
+        out.option("maxRecordsPerFile", fit).text(f"{path}/class={k}")
+
+
+def archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+    """Writes pages without repeated payloads."""
+    write(resolve(pages, min_bytes), path, size_classes(pages))
 
 
 READ = "page_id long, record_type string, record_id string, refers_to_id string, header_digest string, declared_bytes long, payload_bytes long, payload_digest string"
@@ -128,13 +149,15 @@ def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of archives, one row each, with size and digest as found in responses."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_parse_files, READ)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true")
+    return files.load(path).select("content").mapInArrow(_parse_files, READ)
 
 
 def read_resolved(spark: SparkSession, path: str) -> DataFrame:
     """Archived pages with their whole payload's size and digest; a revisit has those of its response."""
     rows = read(spark, path)
     responses = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(
+        # repeated rows write one record several times
         F.max("page_id").alias("original"), F.max("payload_bytes").alias("original_bytes"), F.max("payload_digest").alias("original_digest")
     )
     # a response meets itself, so that no null key gathers them in one task
