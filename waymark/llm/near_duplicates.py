@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.components import components
+from waymark.llm.pieces import trim
 from waymark.llm.staging import ROWS_BROADCAST, Stage, release, short, without
 from waymark.llm.text import lower_ascii, words
 
@@ -125,6 +126,7 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), _lists(key, some, n), _lists(rest, some, n), _lists(sketch, some, n)],
             names=["doc_id", "n_shingles", "digest", "keys", "rests", "sketch"],
         )
+    trim()
 
 
 class NearDuplicates:

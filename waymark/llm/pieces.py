@@ -28,7 +28,7 @@ APOSTROPHE, BLANK = 0x27, 0x20
 #: A place where every piece ends: white space after a character that is none.
 BOUNDARY = "(?<=[^{0}])(?=[{0}])".format("".join(map(re.escape, map(chr, WHITE_SPACE))))
 #: Bounds of what a Python worker remembers, and of the characters that arrays are made for at once.
-MAX_PIECES, MAX_PIECE_CHARS, BATCH_CHARS = 500_000, 1 << 23, 1 << 19
+MAX_PIECES, MAX_PIECE_CHARS, BATCH_CHARS = 300_000, 1 << 22, 1 << 18
 
 
 def character_classes() -> np.ndarray:
@@ -175,7 +175,7 @@ class Rows:
 
     def add(self, x: np.ndarray) -> None:
         if self.n + len(x) > len(self.room):
-            grown = np.zeros(max(2 * len(self.room), self.n + len(x)), self.room.dtype)
+            grown = np.zeros(max(5 * len(self.room) // 4, self.n + len(x)), self.room.dtype)
             grown[: self.n] = self.room[: self.n]
             self.room = grown
         self.room[self.n : self.n + len(x)] = x

@@ -150,6 +150,7 @@ def _find_paths(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array((begin - own[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
                 names=["kmer", "words", "before", "after", "doc_id", "version", "first", "n"],
             )
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     trim()
 
 
@@ -178,6 +179,7 @@ def _read_source(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
                 names=["kmer", "digest", "doc_id", "version", "first", "n"],
             )
+    trim()
 
 
 @F.arrow_udf(T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]))
@@ -193,7 +195,9 @@ def _remove(text: pa.Array, firsts: pa.Array, sizes: pa.Array) -> pa.Array:
         stays = np.cumsum(edge[:-1]) == 0
         removed.append(int(len(parts) - stays.sum()))
         kept.append(b" ".join([p for p, s in zip(parts, stays.tolist(), strict=True) if s]).decode("utf-8", "replace"))
-    return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_removed", "kept_text"])
+    out = pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["n_removed", "kept_text"])
+    trim()
+    return out
 
 
 def _same_text(a: str, b: str):
