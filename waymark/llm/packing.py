@@ -278,7 +278,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     stage = Stage(spark, "packing")
-    encoded = stage.write(rows.mapInArrow(_encode(path, end_id), _ENCODED), "ids")
+    # small batches: a worker holds a batch's texts, their ids and its rows beside the encoder
+    encoded = stage.write(rows.mapInArrow(_encode(path, end_id), _ENCODED), "ids", batch="2m")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # full windows have lex 0 and no ids; row and start break ties, so equal documents spread over partitions
     dealt = encoded.repartitionByRange(n, "lex", "row", "start").sortWithinPartitions("lex", "row", "start")

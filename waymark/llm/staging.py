@@ -47,9 +47,9 @@ class Stage:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag, self.paths = spark, tag, {}
 
-    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None, batch: str = "8m") -> DataFrame:
         path = shared_path(self.spark, f"{self.tag}-{name}")
-        with small_batches(self.spark):
+        with small_batches(self.spark, batch):
             self._save(df, path, partition_by)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
