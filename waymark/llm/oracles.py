@@ -144,7 +144,73 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(lo,
 from d left join n using (doc_id) left join m using (doc_id)
 """
 
+_TERMS = f"list_filter(regexp_split_to_array({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP11 = f"""
+with d as (select row_number() over () as k, doc_id, {_TERMS} as ws from documents),
+size as (select k, doc_id, len(ws)::bigint as n from d where len(ws) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as terms from size),
+t as (select k, term, count(*)::bigint as tf from (select k, unnest(ws) as term from d) group by all),
+i as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+w as (select term, floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1)))::bigint as w from t, total group by term, docs),
+s as (
+  select item_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::bigint as score
+  from i join w using (term) join t using (term) join size using (k), total group by all),
+r as (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank
+  from s join size using (k) where score > 0)
+select item_id, rank::int as rank, doc_id, score from r where rank <= 50
+"""
+
+OP12 = """
+with q as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+    list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0)))::bigint as score
+  from q a join q b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, id as positive_id, score as positive_score from s
+  where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (
+  select anchor_id, positive_id, positive_score, id as negative_id, score as negative_score,
+    row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank
+  from p join s using (anchor_id)
+  where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+#: CRC-32 a byte at a time, the table of its 256 steps made by its rule.
+OP13 = """
+with recursive step as (
+  select i as n, 0 as k, i::bigint as c from range(256) r(i)
+  union all select n, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from step where k < 8),
+crc as (select list(c order by n) as t from step where k = 8),
+d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, '')))::bigint + 8 as size,
+    ('0x' || md5(coalesce(text, ''))[:15])::bigint as g from documents),
+h as (
+  select r, hex(encode(text)) as x from d),
+b as (
+  select r, list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::bigint) as bytes from h),
+e as (
+  select r, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) as text_crc32 from b, crc),
+total as (select sum(size)::bigint as bytes, sum(size)::bigint // least(65536, greatest(96, sum(size)::bigint // 33554432)) as range_bytes from d),
+o as (
+  select *, sum(size) over w - size as start, row_number() over w as nth,
+    sum(size) over (partition by g) as group_size from d window w as (order by g, doc_id nulls first, r)),
+m as (
+  select *, case when group_size <= least(bytes // 4800, range_bytes // 16) then 2 * min(start) over (partition by g) + group_size else 2 * start + size end as middle
+  from o, total),
+s as (select *, least(23, (middle * 24) // (2 * bytes))::int as shard from m)
+select doc_id, size, text_crc32, 'bytes' as law, shard, (nth - min(nth) over (partition by shard))::bigint as slot, null::int as grown_shard
+from s join e using (r)
+"""
+
 ORACLE = {
     "op1_quality_rules": OP1, "op4_substring_dedup": OP4, "op5_near_duplicates": OP5, "op6_warc_revisits": OP6, "op8_url_reputation": OP8,
-    "op10_decontamination": OP10,
+    "op10_decontamination": OP10, "op11_ranked_search": OP11, "op12_hard_negatives": OP12, "op13_sharding": OP13,
 }

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontamination, near_duplicates, packing, quality_model, quality_rules, substring_dedup, token_counts, token_store, url_reputation, warc
+from waymark.llm import (
+    decontamination, hard_negatives, near_duplicates, packing, quality_model, quality_rules, ranked_search, sharding, substring_dedup, token_counts, token_store,
+    url_reputation, warc,
+)
 from waymark.llm.staging import package_on_workers, shared_path
 
 
@@ -60,7 +63,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("version")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("is_anchor"))
+    return hard_negatives.mine(rows, positives=5, negatives=5, low=80, high=100)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(_table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_lexical_packing, op3_quality_model, op4_substring_dedup, op5_near_duplicates, op6_warc_revisits, op7_token_counts, op8_url_reputation, op9_token_store, op10_decontamination)
-}
+    for f in (
+        op1_quality_rules, op2_lexical_packing, op3_quality_model, op4_substring_dedup, op5_near_duplicates, op6_warc_revisits, op7_token_counts, op8_url_reputation,
+        op9_token_store, op10_decontamination, op11_ranked_search, op12_hard_negatives, op13_sharding,
+    )
+}
