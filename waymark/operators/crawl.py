@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.ranking import placed
+from waymark.operators.scan import max_plus
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
@@ -39,7 +39,12 @@ def gate(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
 
 
 def fetch_times(pages: DataFrame, gap_ms: int) -> DataFrame:
-    """pages with at_ms, when each is to be fetched: requests to one host lie gap_ms apart. A host of most pages is planned by
-    many tasks."""
+    """pages with at_ms, when each is to be fetched if all are wanted at once: requests to one host lie gap_ms apart."""
     hosts = pages.withColumn("host", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
-    return placed(hosts, ["host"], [F.asc("page_id")]).withColumn("at_ms", ((F.col("place") - 1) * gap_ms).cast("long")).drop("place", "total")
+    return throttled(hosts, ["host"], [F.asc("page_id")], F.lit(0), gap_ms, "at_ms").drop("host")
+
+
+def throttled(requests: DataFrame, host: list[str], order: list[Column], arrival: Column, gap: int, name: str) -> DataFrame:
+    """requests with the time at which each is let through: when it arrives, or gap after the one before it of its host if that is
+    later. A request waits only when it must. Times are longs of one unit; a host of most requests is planned by many tasks."""
+    return max_plus(requests, host, order, arrival, F.lit(gap), name)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.operators.ranking import placed
+from waymark.operators.scan import max_plus
 
 #: Priority of source types; a type not listed comes before all of them.
 SOURCE_PRIORITY = ["official", "news", "review", "social", "other"]
@@ -120,3 +121,10 @@ def source_health(fetches: DataFrame) -> DataFrame:
 def pages_of(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
     """rows with place, page and total in one order over all of them, without a task that holds all."""
     return placed(rows, [], order).withColumn("page", F.ceil(F.col("place") / size))
+
+
+def releases(items: DataFrame, gap: int) -> DataFrame:
+    """(host, item, arrival, released): an item goes when it has arrived and gap has passed since the latest release of its host; of one
+    time the smaller item goes first, and a repeated item counts once. Times are longs of one unit."""
+    once = items.select("host", "item", "arrival").distinct()
+    return max_plus(once, ["host"], [F.asc("arrival"), F.asc("item")], F.col("arrival"), F.lit(gap), "released")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.automata import mentions
 from waymark.operators.guides import published, reviewable
 from waymark.operators.hierarchy import closure
 
@@ -112,39 +111,16 @@ def aliases(name: Column) -> Column:
     return F.filter(F.array_distinct(F.array(name, code, plain, bare)), lambda a: F.length(a) >= 3)
 
 
-#: Parts of a text between its letters and digits.
-BETWEEN = r"[^\p{L}\p{N}]+"
-#: Length of the pieces on which aliases without an inner word meet their texts.
-GRAM = 3
-
-
-def _grams(text: Column, n: int) -> Column:
-    """The distinct pieces of n characters."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(n))))
-
-
 def first_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, url, paragraph, alias): per document and target the earliest paragraph that names it, the longest
     alias there. Of the targets of one alias the last by ord is meant; a text's own_url, if there is that column, is no
-    target in it. Candidates meet on the longest word that an alias bounds on both sides, as such a word is whole in
-    every text that contains the alias; aliases without one meet on their first characters. All are then verified."""
+    target in it. Names are found where they stand, inside longer words as well; the texts are read once by automata over all
+    aliases, which give one row for each alias and text."""
     own = F.col("own_url") if "own_url" in texts.columns else F.lit(None).cast("string")
-    paragraphs = texts.select("doc_id", own.alias("_own"), F.posexplode(F.split("text", "\n")).alias("paragraph", "p"))
-    words = F.split("alias", BETWEEN)
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    word = F.aggregate(inner, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc))
-    keyed = names.filter("alias <> ''").select("url", "alias", "ord", word.alias("word"))
-    tokens = paragraphs.select("*", F.explode(F.array_distinct(F.split("p", BETWEEN))).alias("word"))
-    met = [tokens.join(keyed.filter("word <> ''"), "word").drop("word")]
-    for n in range(1, GRAM + 1):
-        rest = keyed.filter((F.col("word") == "") & (F.length("alias") >= n if n == GRAM else F.length("alias") == n))
-        rest = rest.select("url", "alias", "ord", F.substring("alias", 1, n).alias("gram"))
-        # most often there are no such aliases, or no short ones; their texts are cut only where some exist
-        if not rest.isEmpty():
-            met.append(paragraphs.select("*", F.explode(_grams(F.col("p"), n)).alias("gram")).join(rest, "gram").drop("gram"))
-    found = reduce(DataFrame.unionByName, met).filter(F.contains("p", "alias")).filter("_own is null or url <> _own")
-    meant = found.groupBy("doc_id", "alias").agg(F.max(F.struct("ord", "url"))["url"].alias("url"), F.min("paragraph").alias("paragraph"))
+    wanted = names.filter("alias <> ''").select("url", "alias", "ord")
+    found = mentions(texts.select("doc_id", own.alias("own"), "text"), wanted.select("alias"))
+    known = found.join(wanted, "alias").filter("own is null or url <> own")
+    meant = known.groupBy("doc_id", "alias").agg(F.max(F.struct("ord", "url"))["url"].alias("url"), F.min("paragraph").alias("paragraph"))
     best = F.min(F.struct("paragraph", (-F.length("alias")).alias("n"), "alias")).alias("b")
     return meant.groupBy("doc_id", "url").agg(best).select("doc_id", "url", "b.paragraph", "b.alias")
 

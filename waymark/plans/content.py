@@ -94,6 +94,24 @@ def t8(v):
     return crawl.fetch_times(v.pages.select("page_id", "url"), 300).select("page_id", "at_ms")
 
 
+#: Requests of which a third name one host besides its own, against a gap of twenty minutes.
+_HOST = "case when ord % 3 = 0 then 'h0' else host end"
+
+
+@query(
+    "T8_throttled_requests",
+    f"""with recursive q as (
+      select ord, {_HOST} as host, epoch_us(ts)::bigint as arrival, row_number() over (partition by {_HOST} order by ts, ord) as k from v_fetch),
+    r as (
+      select ord, host, k, arrival, arrival as at_us from q where k = 1
+      union all select q.ord, q.host, q.k, q.arrival, greatest(q.arrival, r.at_us + 1200000000) from r join q on q.host = r.host and q.k = r.k + 1)
+    select ord, host, arrival, at_us from r""",
+)
+def t8_throttled(v):
+    requests = v.v_fetch.select("ord", F.expr(_HOST).alias("host"), "ts", F.expr("unix_micros(cast(ts as timestamp))").alias("arrival"))
+    return crawl.throttled(requests, ["host"], [F.asc("ts"), F.asc("ord")], F.col("arrival"), 1_200_000_000, "at_us").select("ord", "host", "arrival", "at_us")
+
+
 @query("T9_source_urls", "select page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) as host from pages")
 def t9(v):
     bare = v.pages.select("page_id", F.regexp_replace("url", "^https?://", "").alias("url"))

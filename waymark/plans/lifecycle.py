@@ -176,6 +176,21 @@ def i6(v):
     return v.v_fetch.filter("ok").groupBy("host").agg(F.max("ts").alias("latest"), F.coalesce(gate, F.lit(True)).alias("may_act"))
 
 
+@query(
+    "I6_paced_releases",
+    """with recursive q as (
+      select ord as item, host, epoch_us(ts)::bigint as arrival, row_number() over (partition by host order by ts, ord) as k from v_fetch where ok),
+    r as (
+      select item, host, k, arrival, arrival as released from q where k = 1
+      union all select q.item, q.host, q.k, q.arrival, greatest(q.arrival, r.released + 39600000000) from r join q on q.host = r.host and q.k = r.k + 1)
+    select item, host, arrival, released from r""",
+)
+def i6_releases(v):
+    """When each publication of a host may go, eleven hours after the one before; the stream form is streaming.pacing.releases."""
+    items = v.v_fetch.filter("ok").select("host", F.col("ord").alias("item"), F.expr("unix_micros(cast(ts as timestamp))").alias("arrival"))
+    return lifecycle.releases(items, 11 * 3_600_000_000)
+
+
 @query("I7_daily_health", "select host, date_trunc('day', ts)::timestamp as day, count_if(ok)::bigint as n_ok, count(*) as n from v_fetch group by 1, 2")
 def i7(v):
     return v.v_fetch.groupBy("host", F.window("ts", "1 day").alias("w")).agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n")).select("host", F.col("w.start").alias("day"), "n_ok", "n")
