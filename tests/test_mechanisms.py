@@ -4,8 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from waymark.operators import automata, crawl, lifecycle, linking, scan
+from waymark.operators import automata, crawl, lifecycle, linking, scan, schema
+from waymark.sources import records
 from waymark.streaming import pacing
 
 
@@ -90,3 +92,98 @@ def test_paced_stream_equals_its_batch_form_over_restarts(spark, tmp_path):
     want = sorted(tuple(r) for r in lifecycle.releases(batch, 11 * hour).select("host", "item", "arrival", "released").collect())
     assert [r for r in got if r[0] != "z"] == [r for r in want if r[0] != "z"]
     assert len(got) == len(set(got))
+
+
+def put(folder, **files):
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, content in files.items():
+        (folder / f"{name}.json").write_text(content, encoding="utf-8")
+
+
+FIELDS = "__file string, a long, at struct<b: array<double>>, _error string"
+
+
+def test_record_source_modes(spark, tmp_path):
+    put(tmp_path / "in", one='{"a": 1, "at": {"b": [1, 2.5]}, "more": true}', two='{"a": 2.0, "__file": "mine"}', three="[1]", four='{"a": null}')
+    put(tmp_path / "in" / "nested", deep='{"a": 9}')
+    (tmp_path / "in" / "notes.txt").write_text("no record")
+    good = records.read_records(spark, str(tmp_path / "in"), FIELDS, filesPerPartition=2)
+    assert sorted(map(tuple, good.collect()), key=str) == sorted(
+        [("four.json", None, None, None), ("mine", 2, None, None), ("one.json", 1, ([1.0, 2.5],), None), ("three.json", None, None, None)], key=str
+    )
+    assert good.rdd.getNumPartitions() == 2
+    put(tmp_path / "in", bad='{"a": ', odd='{"a": "x"}', part='{"a": 1.5}', flag='{"a": true}')
+    kept = records.read_records(spark, f"file:{tmp_path}/in", FIELDS, mode="quarantine").collect()
+    assert sorted(r["__file"] for r in kept if r["_error"]) == ["bad.json", "flag.json", "odd.json", "part.json"] and len(kept) == 8
+    with pytest.raises(Exception, match="Invalid record in bad.json"):
+        records.read_records(spark, str(tmp_path / "in"), FIELDS).collect()
+    with pytest.raises(Exception, match="needs a column _error"):
+        records.read_records(spark, str(tmp_path / "in"), "a long", mode="quarantine").collect()
+    assert records.read_records(spark, str(tmp_path / "nowhere"), FIELDS).count() == 0
+
+
+SMALL = (schema.text("slug", least=1), schema.Field("n", "number", required=False, low=0))
+
+
+def rows_of(spark, path):
+    return sorted((r["slug"], r["n"]) for r in records.read_records(spark, path, "slug string, n double").collect())
+
+
+def test_record_sink_creates_once(spark, tmp_path):
+    path, refused = str(tmp_path / "out"), str(tmp_path / "refused")
+    send = lambda data, batch: records.write_records(
+        spark.createDataFrame(data, "slug string, n double, ord int, extra string").repartition(3), path, SMALL, "slug", [F.col("ord")], batch, refused
+    )
+    send([("a", 1.0, 2, "x"), ("a", 0.5, 1, "x"), ("b", -1.0, 3, "x"), ("", 1.0, 4, "x"), ("é\n", None, 5, "x")], "first")
+    assert rows_of(spark, path) == [("a", 0.5), ("é\n", None)]
+    send([("a", 9.0, 1, "x"), ("c", 3.0, 2, "x")], "second")
+    for _ in range(2):
+        send([("d", 9.0, 1, "x")], "second")  # a batch of that name is there
+    assert rows_of(spark, path) == [("a", 0.5), ("c", 3.0), ("é\n", None)]
+    assert sorted((r["slug"], r["problem"]) for r in records.read_records(spark, refused, "slug string, problem string").collect()) == [("", "empty"), ("b", "low")]
+    lines = [line for f in (tmp_path / "out" / "_staged").iterdir() for line in f.read_text(encoding="utf-8").splitlines()]
+    assert not any("extra" in x or "ord" in x for x in lines)
+
+
+def test_record_sink_under_failed_and_repeated_tasks(spark, tmp_path):
+    spark.dataSource.register(records.Records)
+    path, flag = str(tmp_path / "out"), str(tmp_path / "failed")
+
+    def fail_late(it):
+        import os
+
+        for batch in it:
+            yield batch
+        if not os.path.exists(flag):  # the first attempt dies when all its rows are out
+            open(flag, "w").close()
+            os._exit(1)
+
+    frame = spark.range(40, numPartitions=1).selectExpr("concat('s', id) as slug", "cast(id as double) as n")
+    options = {"path": path, "batch": "b"}
+    broken = frame.mapInArrow(fail_late, frame.schema)
+    with pytest.raises(Exception, match=r"."):  # local mode has no second attempts
+        broken.write.format("records").mode("append").options(**options).save()
+    assert rows_of(spark, path) == []
+    broken.write.format("records").mode("append").options(**options).save()
+    broken.write.format("records").mode("append").options(**options).save()
+    assert rows_of(spark, path) == sorted((f"s{i}", float(i)) for i in range(40))
+    records.vacuum(path)
+    assert rows_of(spark, path) == sorted((f"s{i}", float(i)) for i in range(40))
+    # two attempts of one task: the commit lists one of them
+    writer = records.RecordWriter(frame.schema, {"path": str(tmp_path / "twice"), "batch": "x"})
+    staged = tmp_path / "twice" / "_staged"
+    staged.mkdir(parents=True)
+    for name in ("0-1", "0-2"):
+        (staged / f"{name}.jsonl").write_text('{"slug": "s", "n": 1}\n')
+    writer.commit([records.Staged("_staged/0-2.jsonl", 1)])
+    assert rows_of(spark, str(tmp_path / "twice")) == [("s", 1.0)] and records.vacuum(str(tmp_path / "twice")) == 1
+
+
+def test_record_sink_conflicts(spark, tmp_path):
+    writer = lambda batch, at: records.RecordWriter(T.StructType([]), {"path": str(tmp_path / "log"), "batch": batch, "expected": str(at)})
+    writer("a", 0).commit([])
+    with pytest.raises(records.Conflict):
+        writer("b", 0).commit([])
+    writer("b", 1).commit([])
+    writer("a", 0).commit([])  # known
+    assert [e["batch"] for e in records.log_entries(str(tmp_path / "log"))] == ["a", "b"]

@@ -9,6 +9,8 @@ from waymark.functions.text import availability
 from waymark.operators import discovery, normalise, quality, schema
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
+from waymark.sources.records import read_records, write_records
+from waymark.sources.staged import shared_path
 
 BOUNDS, RANGES = discovery.window_bounds("1993-01-31", 61), [(11.0, 25.0), (26.0, 45.0)]
 
@@ -51,6 +53,21 @@ def s3(v):
     return kept.select("entity_id", "slug", F.lit(len(extra)).alias("n_undeclared"))
 
 
+@query(
+    "S3_S4_record_sink",
+    f"""with {_ISSUES} select entity_id, slug, ord % 2 as wave from v_listing where entity_id not in (select entity_id from issues)
+    qualify row_number() over (partition by slug order by ord % 2, ord) = 1""",
+)
+def s3_sink(v):
+    """Listings sent to a record sink in two batches, the second of them twice and with the first in it: valid records only, created
+    once and never overwritten. Read back from the sink."""
+    path, rows = shared_path(v.spark, "sink"), listing(v).withColumn("pros", F.array(F.concat(F.lit("wave "), (F.col("ord") % 2).cast("string"))))
+    for batch, part in (("even", rows.filter("ord % 2 = 0")), ("all", rows), ("all", rows)):
+        write_records(part, f"{path}/records", schema.ENTITY, "slug", [F.col("ord")], batch, f"{path}/refused")
+    back = read_records(v.spark, f"{path}/records", "entity_id string, slug string, pros array<string>")
+    return back.select("entity_id", "slug", F.substring(F.get("pros", F.lit(0)), 6, 9).cast("bigint").alias("wave"))
+
+
 @query("V2_valid_duplicates", f"with {_ISSUES} select 'entity' as collection, entity_id as key, 'V2.slug' as rule, 'error' as severity from v_listing where entity_id not in (select entity_id from issues) qualify row_number() over (partition by slug order by ord) > 1")
 def v2(v):
     """Slugs that an earlier valid record has."""

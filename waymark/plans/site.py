@@ -17,6 +17,7 @@ from waymark.plans.records import _REVIEW, _URL, reviews
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
 from waymark.sources import collections, exports
+from waymark.sources.records import read_records
 from waymark.sources.staged import shared_path
 
 SITE, OWNER = "https://example.org", "Example"
@@ -299,13 +300,26 @@ def i9(v):
     return guides.refreshed(stored, rewritten, listed.select("guide_id", F.col("entity_id").alias("named"))).select("guide_id", "intro", "pick", "slug")
 
 
-@query("S1_S2_collection", "select s_suppkey, s_name, s_nationkey from supplier")
+@query(
+    "S1_S2_collection",
+    """select case when s_suppkey % 17 not in (3, 5) then s_suppkey end as s_suppkey, case when s_suppkey % 17 not in (3, 5, 7) then s_name end as s_name,
+      case when s_suppkey % 17 in (3, 5) then null when s_suppkey % 17 = 9 then s_nationkey end as nation, s_suppkey % 17 = 11 as own_file, s_suppkey % 17 in (3, 5) as refused
+    from supplier where s_suppkey % 17 <> 13
+    union all select null, null, null, false, false from supplier where s_suppkey % 17 = 13""",
+)
 def s1(v):
-    """Suppliers as a folder of one JSON record a file, read back without what the load adds."""
-    path = shared_path(v.spark, "collection")
-    v.supplier.select("*", F.col("s_suppkey").alias("file")).write.partitionBy("file").json(path)
-    good, _ = collections.read_json_collection(v.spark, path, v.supplier.select("s_suppkey", "s_name", "s_nationkey").schema)
-    return collections.strip_meta(good)
+    """Suppliers as lines of JSON files, some cut short, of another type, nested, without a field, with a file name of their own or no records at
+    all, read in quarantine mode; a missing folder adds nothing."""
+    path, k = shared_path(v.spark, "collection"), F.col("s_suppkey") % 17
+    at = F.when(k == 9, F.struct(F.col("s_nationkey").alias("nation")))
+    whole = F.to_json(F.struct("s_suppkey", F.when(k != 7, F.col("s_name")).alias("s_name"), at.alias("at"), F.when(k == 11, "own").alias("__file")))
+    odd = F.when(k == 3, F.expr("substr(s_name, 2)")).when(k == 5, F.concat(F.lit('{"s_suppkey": "'), "s_name", F.lit('"}'))).when(k == 13, F.lit("[1, 2]"))
+    v.supplier.select(F.coalesce(odd, whole)).write.text(path)
+    schema = "__file string, s_suppkey bigint, s_name string, at struct<nation: int>, _error string"
+    read = read_records(v.spark, path, schema, lines=True, glob="part-*", mode="quarantine")
+    both = read.union(read_records(v.spark, f"{path}-missing", schema, mode="quarantine"))
+    kept = both.select("s_suppkey", "s_name", F.col("at.nation").alias("nation"), (F.col("__file") == "own").alias("own_file"), F.col("_error").isNotNull().alias("refused"))
+    return collections.strip_meta(kept)
 
 
 @query(
