@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.functions import pages, text
+from waymark.functions import facts, pages, text
 from waymark.operators import browse, categories, crawl, discovery, guides, hierarchy, lifecycle, linking, normalise, quality, ranking, results, schema
 from waymark.plans import content, more
 from waymark.plans import lifecycle as lifecycle_plans
@@ -46,11 +46,11 @@ def test_first_of_overlapping_ranges(spark):
 
 def test_fact_predicates_on_missing_values(spark):
     df = spark.createDataFrame([(None, None), (5, [1, 2])], "f int, a array<int>")
-    holds = lambda op, v: [r["r"] for r in df.select(guides.predicate("f", op, v).alias("r")).collect()]
+    holds = lambda op, v: [r["r"] for r in df.select(facts.holds(facts.value_of(df, "f"), op, v).alias("r")).collect()]
     assert holds("eq", 5) == [False, True] and holds("neq", 5) == [True, False] and holds("neq", 6) == [True, True]
     assert holds("gt", 4) == [False, True] and holds("lte", 4) == [False, False] and holds("in", [5]) == [False, True]
     assert holds("contains", "5") == [False, True] and holds("no-such", 1) == [True, True]
-    assert [r["r"] for r in df.select(guides.predicate("a", "contains", 2, True).alias("r")).collect()] == [False, True]
+    assert [r["r"] for r in df.select(facts.holds(facts.value_of(df, "a"), "contains", 2).alias("r")).collect()] == [False, True]
 
 
 def test_pins_are_listed_whatever_the_filters_say(spark, regions):

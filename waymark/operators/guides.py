@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.facts import holds, sort_keys, value_of
 from waymark.operators.categories import with_categories
 from waymark.operators.hierarchy import closure
+from waymark.operators.ranking import placed
 
 PUBLISHED = ("active", "needs_review")
 
@@ -23,20 +25,8 @@ def reviewable(status: str = "status") -> Column:
     return ~F.col(status).eqNullSafe(F.lit("draft"))
 
 
-def predicate(field: str, op: str, value, is_array: bool = False) -> Column:
-    """A fact predicate. A missing value differs from every value and satisfies no comparison; an unknown operator
-    is no restriction."""
-    c = F.col(field)
-    false = lambda x: F.coalesce(x, F.lit(False))
-    made = {
-        "eq": lambda: c.eqNullSafe(F.lit(value)),
-        "neq": lambda: ~c.eqNullSafe(F.lit(value)),
-        "gt": lambda: false(c > value), "gte": lambda: false(c >= value),
-        "lt": lambda: false(c < value), "lte": lambda: false(c <= value),
-        "in": lambda: false(c.isin(list(value))),
-        "contains": lambda: false(F.array_contains(c, value)) if is_array else F.coalesce(c.cast("string"), F.lit("")).contains(value),
-    }
-    return made.get(op, lambda: F.lit(True))()
+#: Rows that a task may hold for each guide; guides with a higher limit, or none, are ranked over range partitions.
+TOP = 10_000
 
 
 def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guides: Sequence[dict]) -> DataFrame:
@@ -44,10 +34,12 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
     region_id, category_id, tags_any, facts [(field, op, value)], pins, sort_by, descending and limit. Pins are
     listed whatever the filters say and however often they match, after the matches where the sort ties.
 
+    Facts are paths into the open facts, if entities have that VARIANT, or columns; an order is by a column, or by a path. Values keep their
+    own types: numbers, texts and dates sort as such, mixed ones by type first, missing ones last.
+
     All guides share one scan: each is a Column, and an entity carries the list of guides it matches."""
     rolled = closure(regions).groupBy("region_id").agg(F.collect_set("anc").alias("ancestors"))
     wide = with_categories(entities, categories).join(rolled, "region_id", "left")
-    arrays = {f.name for f in entities.schema if f.dataType.typeName() == "array"}
     hits = []
     for g in guides:
         c = published()
@@ -58,23 +50,26 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
         if g.get("tags_any"):
             c &= F.arrays_overlap("tags", F.lit(list(g["tags_any"])))
         for field, op, value in g.get("facts", ()):
-            c &= predicate(field, op, value, field in arrays)
+            c &= holds(value_of(wide, field), op, value)
         pins = list(g.get("pins", ()))
         pin = F.array_position(F.lit(pins), F.col("entity_id")) if pins else F.lit(0)
-        sort = F.col(g["sort_by"]).cast("double") if g.get("sort_by") else F.lit(None).cast("double")
-        key = -sort if g.get("descending", True) else sort
-        limit = g.get("limit") or 0
-        place = F.struct(F.lit(g["id"]).alias("guide_id"), key.alias("key"), (~c).alias("pinned"), pin.alias("pin"), F.lit(limit).alias("limit"))
+        sort = sort_keys(value_of(wide, g["sort_by"] or "", column_first=True), g.get("descending", True)) if g.get("sort_by") else dict.fromkeys(("kind", "number", "up", "down"), F.lit(None))
+        keys = (k.cast(t).alias(n) for (n, k), t in zip(sort.items(), ("int", "double", "string", "string"), strict=True))
+        place = F.struct(F.lit(g["id"]).alias("guide_id"), *keys, (~c).alias("pinned"), pin.alias("pin"), F.lit(g.get("limit") or 0).alias("limit"))
         hits.append(F.when(c | (pin > 0), place))
     each = wide.select("entity_id", "ord", F.explode(F.array_compact(F.array(*hits))).alias("g")).select("entity_id", "ord", "g.*")
-    order = Window.partitionBy("guide_id").orderBy(F.col("key").asc_nulls_last(), "pinned", F.when(F.col("pinned"), F.col("pin")), "ord")
-    rank = F.row_number().over(order)
+    each = each.withColumn("pin", F.when(F.col("pinned"), F.col("pin")))
+    order = [*(F.col(k).asc_nulls_last() for k in ("kind", "number", "up")), F.col("down").desc_nulls_last(), F.asc("pinned"), F.asc("pin"), F.asc("ord")]
     # a bound that is known beforehand lets tasks drop all rows behind it before the shuffle
-    bound = max((g.get("limit") or 0 for g in guides), default=0)
-    top = each.filter("limit > 0").withColumn("rank", rank).filter(F.col("rank") <= bound).filter("rank <= limit")
-    whole = each.filter("limit = 0").withColumn("rank", rank)
-    parts = [x for x, there in ((top, bound > 0), (whole, any(not g.get("limit") for g in guides))) if there]
-    return reduce(DataFrame.unionByName, parts).select("guide_id", "rank", "entity_id")
+    limits = [g.get("limit") or 0 for g in guides]
+    few, parts = [x for x in limits if 0 < x <= TOP], []
+    if few:
+        top = each.filter(F.col("limit").between(1, TOP)).withColumn("rank", F.row_number().over(Window.partitionBy("guide_id").orderBy(*order)))
+        parts.append(top.filter(F.col("rank") <= max(few)))
+    if len(few) < len(limits):
+        parts.append(placed(each.filter(~F.col("limit").between(1, TOP)), ["guide_id"], order).withColumn("rank", F.col("place").cast("int")))
+    listed = [x.filter("limit = 0 or rank <= limit").select("guide_id", "rank", "entity_id") for x in parts]
+    return reduce(DataFrame.unionByName, listed) if listed else entities.sparkSession.createDataFrame([], "guide_id string, rank int, entity_id string")
 
 
 def fnv1a(text: Column) -> Column:

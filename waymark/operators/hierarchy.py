@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def closure(regions: DataFrame) -> DataFrame:
-    """(region_id, anc, depth): each region with itself and its ancestors, nearest first. A parent that is no region
-    is kept and ends the walk; a cycle ends where it meets itself. Each step is one join on the parent, and steps are
-    taken until no path grows: as many as the hierarchy is deep, not as it is large."""
-    up = regions.select(F.col("region_id").alias("_id"), F.col("parent_region_id").alias("_up"))
-    step = regions.select("region_id", F.array("region_id").alias("path"), F.lit(True).alias("_open"))
-    while not step.filter("_open").isEmpty():
-        at = F.element_at("path", -1)
-        more = F.col("_open") & F.col("_up").isNotNull() & ~F.array_contains("path", F.col("_up"))
-        step = step.join(up, at == F.col("_id"), "left").select(
-            "region_id", F.when(more, F.concat("path", F.array("_up"))).otherwise(F.col("path")).alias("path"), F.coalesce(more, F.lit(False)).alias("_open")
-        )
-    return step.select("region_id", F.posexplode("path").alias("depth", "anc"))
+    """(region_id, depth, anc): each region with itself and its ancestors. A parent that is no region is kept and ends the
+    walk; a cycle ends where it meets itself. One recursive query, whose steps are joins on the parent: as many as the
+    hierarchy is deep, not as it is large. The session's bound on the rows of a recursion is lifted."""
+    spark = regions.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(
+        """with recursive walk (region_id, path) max recursion level 1000000 as (
+          select region_id, array(region_id) from {regions}
+          union all
+          select walk.region_id, concat(path, array(parent_region_id)) from walk join {regions} as up on up.region_id = element_at(path, -1)
+          where parent_region_id is not null and not array_contains(path, parent_region_id))
+        select region_id, size(path) - 1 as depth, element_at(path, -1) as anc from walk""",
+        regions=regions.select("region_id", "parent_region_id"),
+    )
 
 
 def roots(regions: DataFrame) -> DataFrame:

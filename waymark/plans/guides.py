@@ -174,6 +174,56 @@ def guide_ranking(v):
     return guides.resolve(v.v_entity, v.v_region, v.v_category, GUIDES)
 
 
+#: Orders by a date, a name, a path and mixed types; facts on paths, absent fields, lists, truth values and null.
+FACT_GUIDES = (
+    {"id": "f01", "sort_by": "date_s", "descending": False, "limit": 20},
+    {"id": "f02", "facts": [("course.gain", "gt", 300)], "sort_by": "name"},
+    {"id": "f03", "sort_by": "course.gain"},
+    {"id": "f04", "facts": [("nothing.at.all", "neq", 5), ("night", "eq", True)], "sort_by": "date", "descending": False, "limit": 15},
+    {"id": "f05", "facts": [("distance_km", "contains", 5)], "limit": 30},
+    {"id": "f06", "facts": [("course.gain", "in", [10, "g3", None])]},
+    {"id": "f07", "facts": [("distance_km.0", "lte", 3)], "sort_by": "reliability_score", "limit": 40},
+    {"id": "f08", "facts": [("course.gain", "contains", "12")], "sort_by": "course.gain", "descending": False},
+    {"id": "f09", "facts": [("course.gain", "lt", "g5")], "sort_by": "no.such.path", "limit": 25},
+    {"id": "f10", "facts": [("date", "gte", "1997-01-01"), ("nothing", "lt", 7)], "pins": ["e7", "e1"]},
+)
+#: The kind of course.gain is that of ord % 5: number, text, absent, text that is a number, null.
+_FACTS = """concat('{"date":"', date_s, '","distance_km":[', array_join(transform(numeric_facts, x -> cast(x as string)), ','), '],"night":',
+  case when ord % 2 = 0 then 'true' else 'false' end, case ord % 5 when 0 then concat(',"course":{"gain":', cast(ord % 500 as string), '}')
+    when 1 then concat(',"course":{"gain":"g', cast(ord % 7 as string), '"}') when 3 then concat(',"course":{"gain":"', cast(ord % 400 as string), '"}')
+    when 4 then ',"course":{"gain":null}' else '' end, '}')"""
+
+
+PUBLISHED = "status in ('active', 'needs_review')"
+
+
+def _fact_sql() -> str:
+    hits = {
+        "f01": ("true", "date_s, ord", 20), "f02": ("ord % 5 = 0 and ord % 500 > 300 or ord % 5 = 3 and ord % 400 > 300", "name desc, ord", None),
+        "f03": ("true", "case when gain_text is not null then 0 when gain_number is not null then 1 else 2 end, gain_text desc, gain_number desc, ord", None),
+        "f04": ("ord % 2 = 0", "date_s, ord", 15), "f05": ("list_contains(numeric_facts, 5)", "ord", 30),
+        "f06": ("gain_number = 10 or gain_text = 'g3' or ord % 5 = 4", "ord", None), "f07": ("numeric_facts[1] <= 3", "reliability_score desc, ord", 40),
+        "f08": ("contains(gain_number::varchar, '12') or contains(gain_text, '12')", "gain_number nulls last, gain_text, ord", None),
+        "f09": ("gain_text < 'g5'", "ord", 25),
+    }
+    parts = [
+        f"select '{g}' as guide_id, entity_id, row_number() over (order by {order}) as rank, {limit or 'null'} as lim from f where {PUBLISHED} and coalesce({hit}, false)"
+        for g, (hit, order, limit) in hits.items()
+    ]
+    pins = "select 'f10', entity_id, list_position(['e7', 'e1'], entity_id), null from f where entity_id in ('e7', 'e1')"
+    return f"""with f as (select *, case when ord % 5 = 0 then ord % 500 end as gain_number,
+      case ord % 5 when 1 then concat('g', ord % 7) when 3 then (ord % 400)::varchar end as gain_text from v_entity),
+      r as ({' union all '.join(parts)} union all {pins})
+    select guide_id, rank::int as rank, entity_id from r where lim is null or rank <= lim"""
+
+
+@query("F4_W3_open_facts", _fact_sql())
+def fact_guides(v):
+    """Guides over entities whose facts are an open record."""
+    entities = v.v_entity.withColumn("core_facts", F.expr(f"parse_json({_FACTS})"))
+    return guides.resolve(entities, v.v_region, v.v_category, FACT_GUIDES)
+
+
 @query(
     "A8_fingerprints",
     f"""with {_LISTED}, i as (select guide_id, count(*) as n, array_to_string(list_sort(list(entity_id)), '|') as s from listed group by guide_id),
