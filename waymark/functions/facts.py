@@ -133,7 +133,7 @@ def holds(v: Value, op: str, x) -> Column:
         "gt": lambda: false(_ordered(v, x, lambda a, b: a > b)), "gte": lambda: false(_ordered(v, x, lambda a, b: a >= b)),
         "lt": lambda: false(_ordered(v, x, lambda a, b: a < b)), "lte": lambda: false(_ordered(v, x, lambda a, b: a <= b)),
         "in": lambda: F.lit(False) if isinstance(x, str) or not hasattr(x, "__iter__") else F.coalesce(*(F.when(same(y), True) for y in x), F.lit(False)),
-        "contains": lambda: F.when(v.kind == "list", false(inside)).otherwise(F.contains(v.shown, F.lit(_shown(x)))),
+        "contains": lambda: F.when(v.kind == "list", false(inside)).otherwise(F.contains(F.coalesce(v.shown, F.lit("")), F.lit(_shown(x)))),
     }
     return made.get(op, lambda: F.lit(True))()
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import availability
-from waymark.operators import discovery, normalise, quality, schema
+from waymark.operators import discovery, normalise, prose, quality, schema
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
 from waymark.sources.records import read_records, write_records
@@ -250,3 +250,60 @@ def a15(v):
         "discover": _ledger(v).select(F.when(F.col("reason").isNull(), "written").otherwise("skipped").alias("outcome")), "refresh": lapse(v.v_entity, AS_OF), "research": normalise.research(answers, AS_OF),
         "summaries": normalise.summary_problems(answers).select(F.when(F.size("problems") > 0, "rejected").otherwise("written").alias("outcome")), "reviews": normalise.gate(normalise.review(answers, AS_OF)),
     })
+
+
+def _faqs(v, prefix: str) -> DataFrame:
+    """(id, faqs): questions and answers of one conversation, in order."""
+    item = F.struct("pos", "question", "answer")
+    lists = v.v_faq.groupBy("owner_id").agg(F.sort_array(F.collect_list(item)).alias("f"))
+    renamed = F.transform("f", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer")))
+    return lists.select(F.concat(F.lit(prefix), F.substring("owner_id", 2, 30)).alias("id"), renamed.alias("faqs"))
+
+
+def prose_records(v) -> dict[str, tuple[DataFrame, str]]:
+    """Records with prose from whole tables: entities, reviews from documents, articles from pages, gear articles from
+    conversations. FAQs are those of the conversation of the same number."""
+    entities = listing(v).join(_faqs(v, "e"), F.col("entity_id") == F.col("id"), "left").drop("id")
+    entities = entities.withColumns({"pros": F.array("short_description", F.concat(F.lit("Verified as of "), "date")), "cons": F.array(F.lit("fine"), "price_range")})
+    section = lambda text: F.array(F.struct(F.lit("H").alias("heading"), F.split(text, "\n").alias("paragraphs")))
+    sources = lambda n: F.transform(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))), lambda i: F.struct(i.alias("n"), F.lit("S").alias("label")))
+    reviews = v.v_review.select("review_id", section(F.col("body")).alias("sections"), sources(F.col("n_sources")).alias("sources"))
+    reviews = reviews.join(_faqs(v, "r"), F.col("review_id") == F.col("id"), "left")
+    articles = v.pages.select("page_id", section(F.concat("html", F.lit(" [1], [2 , 7]"))).alias("sections"), sources(F.col("page_id") % 3).alias("sources"))
+    turns = v.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("t"))
+    gear = turns.select("conv_id", section(F.col("t")).alias("sections")).join(_faqs(v, ""), F.col("conv_id").cast("string") == F.col("id"), "left")
+    return {"entity": (entities, "entity_id"), "review": (reviews, "review_id"), "article": (articles, "page_id"), "gear": (gear, "conv_id")}
+
+
+_OWN = r"(?i)(as of the last verification[^.]*|(last )?verified (as of|on|against[^.]*?as of)[^.]*?\d{4}|confidence (score|rating) (of )?\(?\d+\)?)"
+_PROSE = rf"""with f as (select substr(owner_id, 2) as id, concat('faqs[', row_number() over (partition by owner_id order by pos, question, answer) - 1, '].answer') as path, answer from v_faq),
+  prose as (
+    select entity_id, 'ai_summary' as path, ai_summary as t from v_listing union all select entity_id, 'short_description', short_description from v_listing
+    union all select entity_id, 'pros[0]', short_description from v_listing union all select entity_id, 'pros[1]', concat('Verified as of ', date) from v_listing
+    union all select entity_id, 'cons[0]', 'fine' from v_listing union all select entity_id, 'cons[1]', price_range from v_listing
+    union all select entity_id, path, answer from v_listing join f on concat('e', id) = entity_id),
+  body as (
+    select 'review' as collection, review_id as key, body as t, n_sources as n from v_review
+    union all select 'article', page_id::varchar, concat(html, ' [1], [2 , 7]'), page_id % 3 from pages
+    union all select 'gear', conv_id::varchar, string_agg(text, chr(10) order by turn, text), null from conversations group by conv_id),
+  par as (select collection, key, n, unnest(string_split(t, chr(10))) as t, concat('sections[0].paragraphs[', unnest(range(0, len(string_split(t, chr(10))))), ']') as path from body),
+  cite as (select collection, key, n, path, trim(unnest(string_split(g, ',')))::bigint as c
+    from (select *, unnest(regexp_extract_all(t, '\[(\d+(?:\s*,\s*\d+)*)\]', 1)) as g from par where n is not null)),
+  ask as (
+    select 'entity' as collection, entity_id as key, path, answer from v_listing join f on concat('e', id) = entity_id
+    union all select 'review', review_id, path, answer from v_review join f on concat('r', id) = review_id
+    union all select 'gear', conv_id::varchar, path, answer from (select distinct conv_id from conversations) join f on id = conv_id::varchar)
+select 'entity' as collection, entity_id as key, path, 'V5.check' as rule, 'warning' as severity, null as detail from prose where regexp_matches(t, '{_OWN}')
+union all select collection, key, path, 'V7.answer', 'warning', null from ask where len(list_filter(regexp_split_to_array(trim(answer), '\s+'), lambda x: x <> '')) not between 30 and 80
+union all select collection, key, path, 'V11.cite', 'error', null from par where regexp_matches(t, '(?i)</?cite')
+union all select collection, key, path, 'V11.ref', 'error', null from par where regexp_matches(t, '\[\d+-[^\]]*\]')
+union all select collection, key, path, 'V11.facets', 'warning', null from par where collection = 'review' and len(string_split(t, ' · ')) > 3
+union all select collection, key, path, 'V12.unresolved', 'error', c::varchar from cite where c < 1 or c > n
+union all select collection, key, concat('sources[', i - 1, ']'), 'V12.uncited', 'warning', i::varchar from (select collection, key, unnest(range(1, n + 1)) as i from body where n is not null) x
+  where not exists (select 1 from cite where cite.collection = x.collection and cite.key = x.key and cite.c = x.i)"""
+
+
+@query("V5_V7_V11_V12_prose", _PROSE)
+def prose_checks(v):
+    """Every prose rule over entities, reviews, articles and gear articles."""
+    return prose.all_violations(prose_records(v))
