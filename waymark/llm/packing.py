@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.pieces import trim
-from waymark.llm.staging import Stage
+from waymark.llm.staging import Stage, shrink
 from waymark.llm.token_store import encoder, forget
 
 WINDOW = 2048
@@ -276,6 +276,7 @@ def _pack_partition(stats: Stats):
 def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
+    shrink(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     stage = Stage(spark, "packing")
     # small batches: a worker holds a batch's texts, their ids and its rows beside the encoder

@@ -28,7 +28,7 @@ APOSTROPHE, BLANK = 0x27, 0x20
 #: A place where every piece ends: white space after a character that is none.
 BOUNDARY = "(?<=[^{0}])(?=[{0}])".format("".join(map(re.escape, map(chr, WHITE_SPACE))))
 #: Bounds of what a Python worker remembers, and of the characters that arrays are made for at once.
-MAX_PIECES, MAX_PIECE_CHARS, BATCH_CHARS = 300_000, 1 << 22, 1 << 18
+MAX_PIECES, MAX_PIECE_CHARS, BATCH_CHARS = 300_000, 1 << 22, 1 << 17
 
 
 def character_classes() -> np.ndarray:

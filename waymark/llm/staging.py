@@ -20,6 +20,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def shrink(spark: SparkSession) -> None:
+    """Asks the executors to give back heap that earlier stages have grown and no longer use, before a stage whose memory is that of
+    Python workers beside it. A hint: an executor that gets no task of this job keeps its heap."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, 2 * n, 1, 2 * n).selectExpr("java_method('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
+
+
 def package_on_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package where it is not installed but lies in a folder they can read."""
     root = str(Path(__file__).resolve().parents[2])
