@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.operators import automata, crawl, lifecycle, linking, scan, schema
+from waymark.operators import automata, crawl, fingerprint, guides, lifecycle, linking, scan, schema
 from waymark.sources import records
 from waymark.streaming import pacing
 
@@ -187,3 +187,27 @@ def test_record_sink_conflicts(spark, tmp_path):
     writer("b", 1).commit([])
     writer("a", 0).commit([])  # known
     assert [e["batch"] for e in records.log_entries(str(tmp_path / "log"))] == ["a", "b"]
+
+
+def test_composed_hashes_equal_one_fold(spark, monkeypatch):
+    def fnv(text):
+        h = fingerprint.BASIS
+        for c in text.encode():
+            h = (h ^ c) * fingerprint.PRIME & fingerprint.MASK
+        return h
+
+    rng = random.Random(2)
+    for n in (0, 1, 2, 50):
+        text = "".join(rng.choice("abcé|xyz019") for _ in range(n))
+        raw, cut = text.encode(), rng.randrange(n + 1)
+        factor, added = fingerprint.compose([fingerprint.chunk_map(x) for x in (raw[:cut], raw[cut:])])
+        lo = fingerprint.BASIS & 255
+        assert (factor * (fingerprint.BASIS - lo) + int(added[lo])) & fingerprint.MASK == fnv(text)
+    monkeypatch.setattr(fingerprint, "MEMBERS", 7)
+    monkeypatch.setattr(fingerprint, "CHUNKS", 3)
+    monkeypatch.setattr(guides, "FEW", 5)
+    rows = [("big", f"e{i}") for i in range(333)] + [("mid", f"x{i}") for i in range(8)] + [("few", f"y{i}") for i in range(5)]
+    got = {r["guide_id"]: (r["n"], r["fingerprint"]) for r in guides.fingerprints(spark.createDataFrame(rows, "guide_id string, entity_id string").repartition(4)).collect()}
+    for g in ("big", "mid", "few"):
+        ids = sorted(e for x, e in rows if x == g)
+        assert got[g] == (len(ids), f"{len(ids)}-{fnv('|'.join(ids)):08x}")

@@ -61,13 +61,13 @@ def _dots_removed(path: Column) -> Column:
 
 def absolute(href: Column, base: Column) -> Column:
     """A link resolved on its page's url, as RFC 3986 says: whole urls, those without a scheme, from the root, of a query
-    only, and beside the page, dot segments removed. Null where neither is a web address."""
-    href, site = F.trim(href), F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    path = F.regexp_extract(base, r"^https?://[^/?#]+([^?#]*)", 1)
+    only, and beside the page, dot segments removed; schemes in any case. Null where neither is a web address."""
+    href, site = F.trim(href), F.regexp_extract(base, r"^(?i)(https?://[^/?#]+)", 1)
+    path = F.regexp_extract(base, r"^(?i)https?://[^/?#]+([^?#]*)", 1)
     folder = F.regexp_extract(path, "^(.*/)", 1)
     joined = (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), href))
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), href))
         .when(site == "", None)
         .when(href.startswith("/"), F.concat(site, href))
         .when(href.startswith("?"), F.concat(site, F.when(path == "", "/").otherwise(path), href))
@@ -86,7 +86,7 @@ def focus(text: Column, needle: Column, limit: int) -> Column:
     """A window of limit characters around the first mention, a third of it before; without one, the beginning."""
     at = F.instr(F.lower(text), F.lower(F.trim(needle)))
     start = F.greatest(at - 1 - limit // 3, F.lit(0))
-    head = F.when(start > 0, "...[omitted]\n").otherwise("")
+    head = F.when(start > 0, "...[earlier content omitted]\n").otherwise("")
     tail = F.when(start + limit < F.length(text), MARK).otherwise("")
     around = F.concat(head, F.substring(text, start + 1, F.lit(limit)), tail)
     return F.when(F.length(text) <= limit, text).when(at > 0, around).otherwise(truncate(text, limit))

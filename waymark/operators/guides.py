@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from waymark.functions.facts import holds, sort_keys, value_of
 from waymark.operators.categories import with_categories
+from waymark.operators.fingerprint import long_fingerprints
 from waymark.operators.hierarchy import closure
 from waymark.operators.ranking import placed
+from waymark.sources.staged import written
 
 PUBLISHED = ("active", "needs_review")
 
@@ -25,6 +27,8 @@ def reviewable(status: str = "status") -> Column:
     return ~F.col(status).eqNullSafe(F.lit("draft"))
 
 
+#: Entities of a guide that are hashed in one row.
+FEW = 1000
 #: Rows that a task may hold for each guide; guides with a higher limit, or none, are ranked over range partitions.
 TOP = 10_000
 
@@ -80,10 +84,17 @@ def fnv1a(text: Column) -> Column:
 
 
 def fingerprints(listed: DataFrame) -> DataFrame:
-    """(guide_id, n, fingerprint) of each guide's set of entities. A guide lists what its limit allows."""
-    ids = F.array_sort(F.collect_list("entity_id"))
-    sets = listed.groupBy("guide_id").agg(F.count("*").alias("n"), F.array_join(ids, "|").alias("ids"))
-    return sets.select("guide_id", "n", F.concat(F.col("n").cast("string"), F.lit("-"), fnv1a(F.col("ids"))).alias("fingerprint"))
+    """(guide_id, n, fingerprint) of each guide's set of entities. Guides of up to FEW entities are hashed inside a row, larger ones in
+    chunks that are composed."""
+    listed = written(listed.select("guide_id", "entity_id"), "listed")
+    sized = listed.groupBy("guide_id").agg(F.count("*").alias("n"))
+    small = listed.join(sized.filter(F.col("n") <= FEW), "guide_id")
+    ids = F.array_join(F.array_sort(F.collect_list("entity_id")), "|")
+    hashed = small.groupBy("guide_id").agg(F.count("*").alias("n"), fnv1a(ids).alias("hash"))
+    large = sized.filter(F.col("n") > FEW)
+    if not large.isEmpty():
+        hashed = hashed.unionByName(long_fingerprints(listed.join(large.select("guide_id"), "guide_id")))
+    return hashed.select("guide_id", "n", F.concat(F.col("n").cast("string"), F.lit("-"), "hash").alias("fingerprint"))
 
 
 def stale(stored: Column, current: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from waymark.operators import schema
+from waymark.operators.guides import uncovered
 from waymark.operators.ranking import placed
 from waymark.operators.scan import max_plus
+from waymark.sources.staged import written
 
 #: Priority of source types; a type not listed comes before all of them.
 SOURCE_PRIORITY = ["official", "news", "review", "social", "other"]
@@ -45,7 +49,7 @@ def verify(entities: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, watched: list[str], listed: int = 60) -> DataFrame:
     """(change, key, place) of each difference of two snapshots, the first `listed` of each kind; place 0 holds the number
-    of those not listed."""
+    of those not listed. Ranks are cut before the shuffle, so a change that most records share is a few rows a task."""
     a = before.select(F.col(key).alias("k"), F.struct("status", *watched).alias("old"))
     b = after.select(F.col(key).alias("k"), F.struct("status", *watched).alias("new"))
     change = (
@@ -56,10 +60,22 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, watched: list[s
         .when(~F.col("old").eqNullSafe(F.col("new")), "edited")
     )
     rows = a.join(b, "k", "full").select(change.alias("change"), F.col("k").alias(key)).filter("change is not null")
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("change").orderBy(key)))
+    return first_listed(rows, key, listed)
+
+
+def first_listed(rows: DataFrame, key: str, listed: int) -> DataFrame:
+    """(change, key, place): the first `listed` of each change, and at place 0 how many more there are."""
+    rows = written(rows, "changes")
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("change").orderBy(key))).filter(F.col("place") <= listed)
     rest = rows.groupBy("change").agg((F.count("*") - listed).cast("int").alias("place")).filter("place > 0")
     more = rest.select("change", F.concat(F.col("place").cast("string"), F.lit(" more")).alias(key), F.lit(0).alias("place"))
-    return ranked.filter(F.col("place") <= listed).unionByName(more)
+    return ranked.unionByName(more)
+
+
+def new_guides(before: DataFrame, after: DataFrame, listed: int = 60) -> DataFrame:
+    """The guides (slug) that a snapshot before didn't hold, as changes of their own class."""
+    new = after.select("slug").join(before.select("slug"), "slug", "left_anti").distinct()
+    return first_listed(new.select(F.lit("new guide").alias("change"), "slug"), "slug", listed)
 
 
 def preferred_source(sources: DataFrame) -> DataFrame:
@@ -101,12 +117,42 @@ def first_reason(gates: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*(F.when(fails, name) for name, fails in gates))
 
 
+def merged_facts(rows: DataFrame, fields: Sequence[schema.Field]) -> DataFrame:
+    """rows (facts, a struct, and changes, a VARIANT of an object) with the changed facts over the old ones where the whole still keeps every
+    rule of its schema, else with the old ones; `accepted` is null where nothing was to be changed, `changed` says whether a fact is another one.
+    Names that the facts don't have are left out; a value of another type, or null, is no valid change."""
+    kinds = {f.name: f.dataType for f in rows.schema["facts"].dataType}
+    given = {n: F.try_variant_get("changes", f"$['{n}']", "variant") for n in kinds}
+    typed = {n: F.try_variant_get("changes", f"$['{n}']", k.simpleString()) for n, k in kinds.items()}
+    # a text is what JSON has in quotes, and a number what it has not
+    is_text = {n: F.schema_of_variant(given[n]) == "STRING" for n in kinds}
+    fits = [given[n].isNull() | (typed[n].isNotNull() & (is_text[n] if k.typeName() == "string" else ~is_text[n])) for n, k in kinds.items()]
+    merged = F.struct(*(F.when(given[n].isNotNull(), typed[n]).otherwise(F.col(f"facts.{n}")).alias(n) for n in kinds))
+    asked = F.size(F.coalesce(F.json_object_keys(F.to_json("changes")), F.array().cast("array<string>"))) > 0
+    tried = rows.withColumns({"_merged": merged, "_fits": reduce(lambda a, b: a & b, fits)})
+    valid = F.col("_fits") & (F.size(schema.record_issues(F.col("_merged"), fields, kinds)) == 0)
+    judged = tried.withColumn("accepted", F.when(asked, valid))
+    left = F.when(F.col("accepted"), F.col("_merged")).otherwise(F.col("facts"))
+    return judged.withColumns({"facts": left, "changed": ~left.eqNullSafe(F.col("facts"))}).drop("_merged", "_fits")
+
+
 def counters(runs: dict[str, DataFrame]) -> DataFrame:
     """(run, outcome, n): records of each run by their `outcome`."""
     counted = [rows.groupBy("outcome").agg(F.count("*").alias("n")).select(F.lit(run).alias("run"), "outcome", "n") for run, rows in runs.items()]
     return reduce(DataFrame.unionByName, counted)
 
 
+def observed(rows: DataFrame, run: str, outcomes: Sequence[str], tag: str) -> tuple[DataFrame, DataFrame]:
+    """rows as a written table, and their counters (run, outcome, n) by `outcome`, counted while the table was written: the rows are computed once.
+    Only outcomes that occur have a row; an outcome that is not in outcomes is counted as other."""
+    seen, names = Observation(), {f"n{i}": o for i, o in enumerate(outcomes)}
+    of = F.col("outcome")
+    metrics = [F.count_if(of.eqNullSafe(F.lit(o))).alias(n) for n, o in names.items()] + [F.count_if(~F.coalesce(of.isin(*outcomes), F.lit(False))).alias("rest")]
+    table = written(rows.observe(seen, *metrics), tag)
+    got = {names.get(k, "other"): n for k, n in seen.get.items() if n}
+    return table, rows.sparkSession.createDataFrame([(run, o, n) for o, n in got.items()], "run string, outcome string, n bigint")
+
+
 def source_health(fetches: DataFrame) -> DataFrame:
     """Per host: fetches that went well, were unreachable or failed in extraction, and the first failure's reason."""
     bad = ~F.col("ok")
@@ -123,6 +169,36 @@ def pages_of(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
     return placed(rows, [], order).withColumn("page", F.ceil(F.col("place") / size))
 
 
+def page_view(pages: DataFrame, wanted: DataFrame, group: str, size: int) -> DataFrame:
+    """(group, wanted, page, line): what a list of pages_of, cut into groups, shows for each wanted page: the page next to it that there is, and
+    the line above it. wanted: group, wanted; pages: group, total (rows of the group)."""
+    sized = pages.groupBy(group).agg(F.max("total").alias("total"))
+    at = wanted.join(sized, group, "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    last = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
+    page = F.greatest(F.lit(1), F.least(F.col("wanted"), last)).cast("long")
+    first, text = (page - 1) * size + 1, lambda c: c.cast("string")
+    ranged = F.concat(F.lit("Showing "), text(first), F.lit("-"), text(F.least(page * size, F.col("total"))), F.lit(" of "), text(F.col("total")), F.lit(" reviews"))
+    short = F.concat(text(F.col("total")), F.when(F.col("total") == 1, " review").otherwise(" reviews"))
+    line = F.when(F.col("total") == 0, "").when(F.col("total") <= size, short).otherwise(ranged)
+    return at.select(group, "wanted", page.alias("page"), line.alias("line"))
+
+
+def targets(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """wanted (place, key) in its order, each with whether there is such a record."""
+    there = known.select(F.col(key).alias("_key")).distinct()
+    return wanted.join(there, F.col(key) == F.col("_key"), "left").withColumn("known", F.col("_key").isNotNull()).drop("_key")
+
+
+def material(*lists: str) -> Column:
+    """How much is known of a record: the sizes of its lists of quotes, highlights and watch-outs; what is missing counts nothing."""
+    return reduce(lambda a, b: a + b, (F.coalesce(F.size(c), F.lit(0)) for c in lists)).cast("long")
+
+
+def eligible(sized: DataFrame, taken: DataFrame, covered: DataFrame, least: int, most: int) -> DataFrame:
+    """The largest pairs of at least `least` members that no guide covers, by filter_key, and whose slug is free; at most `most`."""
+    return uncovered(sized.filter(F.col("n") >= least), taken, covered).orderBy(F.desc("n"), "slug").limit(most)
+
+
 def releases(items: DataFrame, gap: int) -> DataFrame:
     """(host, item, arrival, released): an item goes when it has arrived and gap has passed since the latest release of its host; of one
     time the smaller item goes first, and a repeated item counts once. Times are longs of one unit."""

@@ -38,7 +38,8 @@ def interval_duplicates(candidates: DataFrame, existing: DataFrame, exact: DataF
     a = _levelled(candidates.select("entity_id", "region_id", "start", "end"))
     b = _levelled(existing.select(F.col("entity_id").alias("other"), "region_id", "ord", F.col("start").alias("b_start"), F.col("end").alias("b_end")), "b_start", "b_end")
     keys = ["region_id", "level", "block"]
-    longer = _blocks(a, b.select(F.col("own").alias("level")).distinct(), "level >= own").join(_blocks(b, None), keys)
+    # two single days are no duplicates, so they never meet
+    longer = _blocks(a, b.select(F.col("own").alias("level")).distinct(), "level >= own and level + own > 0").join(_blocks(b, None), keys)
     shorter = _blocks(a, None).join(_blocks(b, a.select(F.col("own").alias("level")).distinct(), "level > own"), keys)
     hit = longer.unionByName(shorter).filter("start <= b_end and b_start <= end and (end > start or b_end > b_start)")
     return hit.groupBy("entity_id").agg(F.min_by("other", "ord").alias("duplicate_of"))

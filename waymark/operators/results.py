@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 POWER = 1.06
 
+# fixed values: yearly loss by age above and by years below the peak, classes by per cent
+AFTER_PEAK = [(35.0, 50.0, 0.006), (50.0, 60.0, 0.009), (60.0, 70.0, 0.013), (70.0, 80.0, 0.018), (80.0, 120.0, 0.023)]
+BEFORE_PEAK = [(0.0, 7.0, 0.003), (7.0, None, 0.01)]
+AGE_CLASSES = [(80.0, "world"), (70.0, "national"), (60.0, "regional"), (50.0, "recreational")]
+
 
 def standard(rows: DataFrame, knots: DataFrame) -> DataFrame:
     """rows with the reference time at their distance: between knots along straight lines of logarithms, outside them by
@@ -58,6 +63,20 @@ def splits(rows: DataFrame, key: str, every: int, most: int) -> DataFrame:
     return plan.select(key, "i", (running - (F.col("i") - 1) * every).alias("part"), running.alias("running"))
 
 
+def age_factor(age: Column) -> Column:
+    """The part of an open-class result that an age lets expect: 1 from 25 to 35, falling by bands on both sides down to a floor."""
+    older, younger = F.greatest(1 - banded(age, AFTER_PEAK), F.lit(0.15)), F.greatest(1 - banded(25 - age, BEFORE_PEAK), F.lit(0.1))
+    return F.when(age > 35, older).when(age < 25, younger).otherwise(F.lit(1.0))
+
+
+def tier(value: Column, classes: list[tuple[float, str]], rest: str) -> Column:
+    """The class of the first threshold, from the highest down, that a value reaches."""
+    out = F.lit(rest)
+    for least, name in sorted(classes):
+        out = F.when(value >= least, name).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
 def banded(x: Column, bands: list[tuple[float, float | None, float]]) -> Column:
     """Sum over bands of overlap times rate."""
     total = F.lit(0.0)

@@ -161,6 +161,33 @@ def issues(rows: DataFrame, fields: Sequence[Field]) -> DataFrame:
     return rows.withColumns(missing).withColumn("issues", _issues(None, known, None)).drop(*absent)
 
 
+def record_issues(record: Column, fields: Sequence[Field], names) -> Column:
+    """The issues of a struct that has the fields of these names; a required field that it lacks is missing."""
+    there = _issues(record, [f for f in fields if f.name in names], None)
+    lost = [_issue(F.lit(f.name), "required") for f in fields if f.name not in names and f.required]
+    return F.concat(there, F.array(*lost)) if lost else there
+
+
+def describe(fields: Sequence[Field]) -> list[tuple[str, str, bool, str]]:
+    """(field, type, required, note) of a declared schema, nested fields by dotted names; the note states the rules that a value keeps."""
+    out = []
+    for f in fields:
+        inner = f.items[0] if f.items and f.items[0].name == "" else None
+        kind = {"text": "string", "record": "object", "list": f"array of {'object' if f.items and not inner else 'number' if inner else 'string'}"}.get(f.kind, f.kind)
+        if f.choice:
+            kind = f"one of [{', '.join(f'"{c}"' for c in f.choice)}]"
+        unit = "items" if f.kind == "list" else "characters"
+        notes = [f"at least {f.least} {unit}"] if f.least else []
+        notes += [f"at most {f.most} {unit}"] if f.most is not None else []
+        notes += [f"matches {f.pattern}"] if f.pattern else []
+        notes += ["a whole url"] if f.url else []
+        notes += [f"from {f.low:g}"] if f.low is not None else []
+        notes += [f"up to {f.high:g}"] if f.high is not None else []
+        out.append((f.name, kind, f.required, "; ".join(notes)))
+        out += [(f"{f.name}.{n}", *rest) for n, *rest in describe(() if inner else f.items)]
+    return out
+
+
 def accepted(rows: DataFrame, fields: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
     """Records without an issue, cut down to the declared fields and those to keep."""
     names = [f.name for f in fields if f.name in rows.columns]

@@ -37,11 +37,13 @@ _HREF = r"""(?is)<a\s+[^>]*href=["'']([^"''#][^"'']*)["''][^>]*>(.*?)</a>"""
     rf"""with a as (select page_id, url, regexp_extract_all(html, '{_HREF}', 1) as h, regexp_extract_all(html, '{_HREF}', 2) as t from pages),
     l as (select page_id, url as base, unnest(h) as href, unnest(t) as inner_html, generate_subscripts(h, 1) as n from a),
     x as (select page_id, n, case when starts_with(href, '/') then concat(regexp_extract(base, '^(https?://[^/?#]+)', 1), href) else href end as url, trim(regexp_replace({_html_sql('inner_html')}, '\s+', ' ', 'g')) as text from l)
-    select page_id, (row_number() over (partition by page_id order by n) - 1)::int as pos, url, text from x where text <> ''""",
+    select page_id, (row_number() over (partition by page_id order by n) - 1)::int as pos, url, text from x where text <> ''
+    qualify regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:')""",
 )
 def t2(v):
     found = v.pages.select("page_id", "url", F.posexplode(pages.links(F.col("html"))).alias("pos", "a"))
-    return found.select("page_id", "pos", pages.absolute(F.col("a.href"), F.col("url")).alias("url"), "a.text")
+    # links that neither are whole nor stand on a page with an address are left out
+    return found.select("page_id", "pos", pages.absolute(F.col("a.href"), F.col("url")).alias("url"), "a.text").filter("url is not null")
 
 
 def _cut(start: str) -> str:
@@ -70,7 +72,7 @@ def t4(v):
     "T5_focus",
     """with p as (select doc_id, text, strpos(lower(text), 'idiot') as hit, greatest(strpos(lower(text), 'idiot') - 1 - 100, 0) as s from documents)
     select doc_id, case when length(text) <= 300 then text
-      when hit > 0 then concat(case when s > 0 then concat('...[omitted]', chr(10)) else '' end, substr(text, s + 1, 300), case when s + 300 < length(text) then concat(chr(10), '...[truncated]') else '' end)
+      when hit > 0 then concat(case when s > 0 then concat('...[earlier content omitted]', chr(10)) else '' end, substr(text, s + 1, 300), case when s + 300 < length(text) then concat(chr(10), '...[truncated]') else '' end)
       else concat(substr(text, 1, 300), chr(10), '...[truncated]') end as text from p""",
 )
 def t5(v):
@@ -202,7 +204,7 @@ def u4(v):
 
 
 V_SQL = r"""select * from (
-      select 'review' as collection, review_id as key, 'V11.cite' as rule, 'error' as severity from v_review where regexp_matches(body, '(?i)</?cite[^>]*>')
+      select 'review' as collection, review_id as key, 'V11.cite' as rule, 'error' as severity from v_review where regexp_matches(body, '(?i)</?cite')
       union all select 'review', review_id, 'V11.ref', 'error' from v_review where regexp_matches(body, '\[\d+-\d+\]')
       union all select 'review', review_id, 'V10.entity', 'error' from v_review where entity_id not in (select entity_id from v_entity)
       union all select 'review', review_id, 'V13.year', 'warning' from v_review where not contains(body, '2024')
@@ -251,6 +253,25 @@ def c4(v):
     return v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", results.banded(F.col("l_quantity"), bands).alias("load"))
 
 
+_AGED = """case when a > 35 then greatest(1 - (case when a <= 50 then (a - 35) * 0.006 when a <= 60 then 0.09 + (a - 50) * 0.009 when a <= 70 then 0.18 + (a - 60) * 0.013
+    when a <= 80 then 0.31 + (a - 70) * 0.018 else 0.49 + (least(a, 120) - 80) * 0.023 end), 0.15)
+  when a < 25 then greatest(1 - least(25 - a, 7) * 0.003 - case when a < 18 then (18 - a) * 0.01 else 0 end, 0.1) else 1 end"""
+
+
+@query(
+    "C4_age_classes",
+    f"""with r as (select l_orderkey, l_linenumber, l_partkey, (l_quantity * 2 + 3)::double as a, (l_orderkey % 1000) / 10.0::double as pct from lineitem),
+    g as (select *, ({_AGED})::double as f from r)
+    select l_orderkey, l_linenumber, l_partkey, round(f, 6) as factor, case when pct / f >= 80 then 'world' when pct / f >= 70 then 'national' when pct / f >= 60 then 'regional'
+      when pct / f >= 50 then 'recreational' else 'developing' end as class from g""",
+)
+def c4_classes(v):
+    """Factor by age, and class by the graded percentage, of every line."""
+    rows = v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 2 + 3).cast("double").alias("age"), ((F.col("l_orderkey") % 1000) / 10.0).alias("pct"))
+    factor = results.age_factor(F.col("age"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(factor, 6).alias("factor"), results.tier(F.col("pct") / factor, results.AGE_CLASSES, "developing").alias("class"))
+
+
 @query("S7_faq_json", "select owner_id, count(*) as n, arg_min(question, pos) as first_question from v_faq group by owner_id")
 def s7(v):
     doc = exports.faq_json(v.v_faq)

@@ -234,6 +234,17 @@ def a8(v):
     return guides.fingerprints(guide_ranking(v))
 
 
+@query(
+    "A8_unlimited_fingerprints",
+    """with i as (select category_id as guide_id, count(*) as n, array_to_string(list_sort(list(entity_id)), '|') as s from v_entity group by category_id),
+    h as (select guide_id, n, list_reduce(list_prepend(2166136261::bigint, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::bigint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) as h from i)
+    select guide_id, n, concat(n, '-', lpad(lower(to_hex(h)), 8, '0')) as fingerprint from h""",
+)
+def a8_unlimited(v):
+    """The fingerprints of guides without limit, one for each category."""
+    return guides.fingerprints(v.v_entity.select(F.col("category_id").alias("guide_id"), "entity_id"))
+
+
 @query("A9_stale_copy", f"with {_LISTED} select guide_id, count(*) as n from listed group by guide_id having count(*) <> 10")
 def a9(v):
     """Guides whose stored fingerprint (of ten entities) is another one; the hash is tested on known values."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.operators import browse, lifecycle, ranking
-from waymark.operators.guides import published
+from waymark.operators.guides import filter_key, published
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
 
@@ -54,6 +54,20 @@ def w7(v):
     return lifecycle.pages_of(v.v_review.select("review_id", "published_at", "ord"), [F.desc("published_at"), F.asc("ord")], 24).select("review_id", "place", "page", "total")
 
 
+@query(
+    "W7_page_view",
+    """with t as (select topic, count(*) as total from v_review group by topic), w as (select distinct topic, unnest([-3, 1, 2, 1000000])::int as wanted from v_review union all select 'none-such', 1),
+    p as (select w.topic, wanted, coalesce(total, 0) as total, greatest(1, least(wanted, greatest(1, ceil(coalesce(total, 0) / 24)))) as page from w left join t using (topic))
+    select topic, wanted, page::bigint as page, case when total = 0 then '' when total = 1 then '1 review' when total <= 24 then concat(total, ' reviews')
+      else concat('Showing ', ((page - 1) * 24 + 1)::bigint, '-', least(page * 24, total)::bigint, ' of ', total, ' reviews') end as line from p""",
+)
+def w7_view(v):
+    """Wanted pages of every topic, some before the first and behind the last."""
+    pages = ranking.placed(v.v_review.select("topic", "review_id", "published_at", "ord"), ["topic"], [F.desc("published_at"), F.asc("ord")])
+    wanted = v.v_review.select("topic").distinct().withColumn("wanted", F.explode(F.lit([-3, 1, 2, 1_000_000])))
+    return lifecycle.page_view(pages, wanted.union(v.spark.createDataFrame([("none-such", 1)], "topic string, wanted int")), "topic", 24)
+
+
 @query("W9_topic_groups", "with n as (select topic, min((published_at, -ord)) as x, max(published_at) as newest, max_by(ord, (published_at, -ord)) as first_ord from v_review group by topic) select coalesce(topic, 'general') as topic, row_number() over (order by newest desc, first_ord) as place from n")
 def w9(v):
     """Topics in the order in which a newest-first list first shows them."""
@@ -81,18 +95,27 @@ def w12(v):
     return lifecycle.research_queue(e, AS_OF, 30, 40).select("entity_id")
 
 
-@query("W14_targets", "select place, entity_id, entity_id in (select entity_id from v_entity) as known from (values (1, 'e3'), (2, 'none-such'), (3, 'e1')) t(place, entity_id)")
+@query("W14_targets", "select turn as place, conv_id, concat('e', conv_id * 3) as entity_id, exists (select 1 from v_entity e where e.entity_id = concat('e', conv_id * 3)) as known from conversations")
 def w14(v):
-    """An explicit list keeps its order; unknown ids are reported."""
-    wanted = v.spark.createDataFrame([(1, "e3"), (2, "none-such"), (3, "e1")], "place int, entity_id string")
-    known = v.v_entity.select("entity_id").join(F.broadcast(wanted.select("entity_id")), "entity_id", "left_semi").withColumn("k", F.lit(True))
-    return wanted.join(known, "entity_id", "left").select("place", "entity_id", F.coalesce("k", F.lit(False)).alias("known"))
+    """An explicit list, here one for each conversation, keeps its order; unknown ids are reported."""
+    wanted = v.conversations.select(F.col("turn").alias("place"), "conv_id", F.concat(F.lit("e"), (F.col("conv_id") * 3).cast("string")).alias("entity_id"))
+    return lifecycle.targets(wanted, v.v_entity, "entity_id")
 
 
-@query("W15_eligible_guides", "select category_id, region_id, count(*) as n from v_entity where category_id <> 'small' group by all having count(*) >= 5 order by n desc, category_id, region_id limit 12")
+@query(
+    "W15_eligible_guides",
+    """with k as (select category_id, region_id, concat('best-', category_id, '-', region_id) as slug, count_if(status <> 'archived')::bigint as n, count_if(status = 'archived') as old from v_entity group by all)
+    select slug, category_id, region_id, n from k where n >= 5 and old < 20 and not (category_id = 'xl' and region_id in ('n1', 'n2')) order by n desc, slug limit 12""",
+)
 def w15(v):
-    sized = v.v_entity.filter("category_id <> 'small'").groupBy("category_id", "region_id").agg(F.count("*").alias("n"))
-    return sized.filter("n >= 5").orderBy(F.desc("n"), "category_id", "region_id").limit(12)
+    """Guides to be: pairs of five entities or more whose slug is free and whose coverage is new. Pairs with twenty archived entities have a guide."""
+    none = F.array().cast("array<string>")
+    shown = F.count_if(F.col("status") != "archived").alias("n")
+    pairs = v.v_entity.groupBy("category_id", "region_id").agg(shown, F.count_if(F.col("status") == "archived").alias("old"))
+    keyed = pairs.withColumns({"slug": F.concat_ws("-", F.lit("best"), "category_id", "region_id"), "filter_key": filter_key(F.col("category_id"), F.col("region_id"), none)})
+    taken = v.v_region.filter("region_id in ('n1', 'n2')").select(F.concat(F.lit("best-xl-"), "region_id").alias("slug"))
+    found = lifecycle.eligible(keyed.drop("old"), taken, keyed.filter("old >= 20").select("filter_key"), 5, 12)
+    return found.select("slug", "category_id", "region_id", "n")
 
 
 @query("A5_month_calendar", f"with m as (select substr(date_s, 1, 7) as month, count(*) as n from v_entity group by 1) select month, n, row_number() over (order by month < '{AS_OF[:7]}', month) as place from m")
@@ -107,12 +130,6 @@ def a12(v):
     return lifecycle.freshness(v.v_entity, v.v_source, "date_s")
 
 
-@query("A13_material_score", "select entity_id, len(tags) + len(numeric_facts) as score from v_entity")
-def a13(v):
-    n = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return v.v_entity.select("entity_id", (n("tags") + n("numeric_facts")).cast("long").alias("score"))
-
-
 @query(
     "A14_source_health",
     "select host, count_if(ok)::bigint as n_ok, count_if(kind = 'source')::bigint as n_unreachable, count_if(kind = 'pipeline')::bigint as n_extraction, arg_min(reason, ord) filter (not ok) as first_reason from v_fetch group by host",
@@ -170,6 +187,18 @@ def i5(v):
     return lifecycle.snapshot_diff(before, after, "entity_id", ["s"])
 
 
+@query(
+    "I5_new_guides",
+    """with g as (select distinct concat('best-', category_id, '-', region_id) as slug from v_entity where category_id <> 'mid'),
+    r as (select slug, row_number() over (order by slug)::int as place from g)
+    select 'new guide' as change, slug, place from r where place <= 60 union all select 'new guide', concat(count(*) - 60, ' more'), 0 from r having count(*) > 60""",
+)
+def i5_guides(v):
+    """The report's class of new guides: those of a snapshot whose slug the one before doesn't hold."""
+    slugs = v.v_entity.select("category_id", F.concat_ws("-", F.lit("best"), "category_id", "region_id").alias("slug")).distinct()
+    return lifecycle.new_guides(slugs.filter("category_id = 'mid'"), slugs)
+
+
 @query("I6_pacing_gate", "select host, max(ts) as latest, coalesce(max(ts) <= timestamp '2024-01-31 00:00:00' - interval 11 hours, true) as may_act from v_fetch where ok group by host")
 def i6(v):
     gate = F.expr("max(ts) <= timestamp_ntz'2024-01-31 00:00:00' - interval 11 hours")

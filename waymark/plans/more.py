@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import pages, text
-from waymark.operators import guides, hierarchy, lifecycle, quality
+from waymark.operators import guides, hierarchy, lifecycle, quality, schema
 from waymark.plans.guides import _CLOSURE, _LISTED, _ROOT, GUIDES, guide_ranking
 from waymark.plans.registry import query
 
@@ -62,13 +62,30 @@ def x13(v):
     return v.v_source.filter(formed).select("entity_id", "pos", known.alias("type"), "url")
 
 
-@query("X15_merged_facts", "select entity_id, coalesce(case when ord % 3 = 0 then '2001-01-01' end, date_s) as date_s, case when ord % 3 = 0 then ord % 6 = 0 else true end as accepted from v_entity")
+#: Answers by ord % 10: a valid date; a distance below 0; a deadline in words; an empty date; valid distances and an unknown name; a null; nothing;
+#: a text for a number; the same date; a number for a text.
+_CHANGES = """case ord % 10 when 0 then '{"date":"2001-01-01"}' when 1 then '{"distance_km":[5,-5]}' when 2 then '{"registration_deadline":"soon","date":"2002-02-02"}'
+  when 3 then '{"date":""}' when 4 then '{"distance_km":[10,21.1],"unknown":1}' when 5 then '{"country":null}' when 6 then '{}' when 7 then '{"elevation_gain_m":"high"}'
+  when 8 then concat('{"date":"', date_s, '"}') else '{"date":20010101}' end"""
+
+
+@query(
+    "X15_merged_facts",
+    """select entity_id, case when ord % 10 = 0 then '2001-01-01' else date_s end as date,
+      case when ord % 10 = 4 then '10.0, 21.1' else array_to_string(list_transform(numeric_facts, lambda x: x::decimal(18, 1)::varchar), ', ') end as distances, null::varchar as deadline,
+      case when ord % 10 <> 6 then ord % 10 in (0, 4, 8) end as accepted, ord % 10 = 0 and date_s <> '2001-01-01' or ord % 10 = 4 as changed from v_entity""",
+)
 def x15(v):
-    """Changed fields override facts; a merged record that fails its checks is not accepted."""
-    k = F.col("ord")
-    changed = v.v_entity.select("entity_id", F.when(k % 3 == 0, "2001-01-01").alias("new_date"), F.when((k % 3 == 0) & (k % 6 != 0), -1).alias("new_score"))
-    merged = v.v_entity.join(changed, "entity_id").select("entity_id", F.coalesce("new_date", "date_s").alias("date_s"), F.coalesce("new_score", "reliability_score").alias("score"))
-    return merged.select("entity_id", "date_s", (F.col("date_s").rlike(r"^\d{4}-\d{2}-\d{2}") & F.col("score").between(0, 100)).alias("accepted"))
+    """Changed facts override the old ones where the whole keeps the declared schema; a rejected change leaves all as it was."""
+    none = F.lit(None)
+    facts = F.struct(
+        F.col("date_s").alias("date"), F.col("numeric_facts").cast("array<double>").alias("distance_km"), none.cast("double").alias("elevation_gain_m"), none.cast("string").alias("registration_status"),
+        none.cast("string").alias("registration_deadline"), none.cast("string").alias("city"), F.col("region_id").alias("country"),
+    )
+    rows = v.v_entity.select("entity_id", facts.alias("facts"), F.expr(f"parse_json({_CHANGES})").alias("changes"))
+    out = lifecycle.merged_facts(rows, schema.FACTS["races"])
+    distances = F.array_join(F.transform("facts.distance_km", lambda x: F.format_string("%.1f", x)), ", ")
+    return out.select("entity_id", "facts.date", distances.alias("distances"), F.col("facts.registration_deadline").alias("deadline"), "accepted", "changed")
 
 
 @query("U5_same_questions")

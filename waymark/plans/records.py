@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import availability
-from waymark.operators import discovery, normalise, prose, quality, schema
+from waymark.operators import discovery, lifecycle, normalise, prose, quality, schema
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
 from waymark.sources.records import read_records, write_records
@@ -228,6 +230,33 @@ def f11(v):
     return v.v_listing.filter(discovery.in_window(F.col("date"), BOUNDS)).select("entity_id")
 
 
+_FOUND = f"""rs as (select ord, entity_id, coalesce(len(list_filter(a.excerpt_quotes, lambda q: trim(q.quote) <> '' and q.attribution is not null and {_URL.format("q.source_url")})), 0) as q,
+    coalesce(len(list_filter(a.highlights, lambda x: trim(x) <> '')), 0) as h, coalesce(len(list_filter(a.watchouts, lambda x: trim(x) <> '')), 0) as w from n)"""
+
+
+@query("A13_material_score", f"with {_REVIEW}, {_FOUND} select entity_id, (q + least(h, 5) + least(w, 4))::bigint as score from rs")
+def a13(v):
+    """How much research an entity has: quotes, highlights and watch-outs."""
+    found = normalise.research(normalise.parsed(v.v_reply), AS_OF)
+    return found.select("entity_id", lifecycle.material("new_quotes", "highlights", "watchouts").alias("score"))
+
+
+@query(
+    "T11_field_rules",
+    f"""with {_ISSUES}, c as (select regexp_replace(path, '\.\d+', '', 'g') as field, count(*) as n from issues group by 1)
+    select field, type, required, note, n from c join (values
+      ('slug', 'string', true, 'matches ^[a-z0-9]+(?:-[a-z0-9]+)*$'), ('name', 'string', true, 'at least 1 characters'), ('short_description', 'string', true, 'at least 1 characters; at most 220 characters'),
+      ('ai_summary', 'string', true, 'at least 1 characters'), ('reliability_score', 'number', true, 'from 0; up to 100'), ('status', 'one of ["active", "draft", "needs_review", "archived"]', true, ''),
+      ('last_updated', 'string', true, 'at least 1 characters'), ('cta_links.label', 'string', true, 'at least 1 characters'), ('cta_links.url', 'string', true, 'a whole url'),
+      ('source_mix.type', 'one of ["official", "registration_platform", "aggregator", "review", "social", "other"]', true, '')) as t(field, type, required, note) using (field)""",
+)
+def t11(v):
+    """The declared rules of the fields that records break, as a prompt states them, with how often they do."""
+    said = v.spark.createDataFrame(schema.describe(schema.ENTITY), "field string, type string, required boolean, note string")
+    broken = schema.quarantined(listing(v), schema.ENTITY, "entity_id").groupBy(F.regexp_replace("path", r"\.\d+", "").alias("field")).agg(F.count("*").alias("n"))
+    return said.join(broken, "field").select("field", "type", "required", "note", "n")
+
+
 _RUNS = f"""{_GATED}, {_PROBLEMS.removeprefix(_REVIEW)[2:]}, {_LEDGER}"""
 
 
@@ -242,14 +271,16 @@ _RUNS = f"""{_GATED}, {_PROBLEMS.removeprefix(_REVIEW)[2:]}, {_LEDGER}"""
     union all select 'reviews', outcome, count(*) from g group by all""",
 )
 def a15(v):
-    """Records of each run by what became of them."""
-    from waymark.operators.lifecycle import counters, lapse
-
+    """Records of each run by what became of them, counted while each run's table is written."""
     answers = normalise.parsed(v.v_reply)
-    return counters({
-        "discover": _ledger(v).select(F.when(F.col("reason").isNull(), "written").otherwise("skipped").alias("outcome")), "refresh": lapse(v.v_entity, AS_OF), "research": normalise.research(answers, AS_OF),
-        "summaries": normalise.summary_problems(answers).select(F.when(F.size("problems") > 0, "rejected").otherwise("written").alias("outcome")), "reviews": normalise.gate(normalise.review(answers, AS_OF)),
-    })
+    ledger = _ledger(v).withColumn("outcome", F.when(F.col("reason").isNull(), "written").otherwise("skipped"))
+    summaries = normalise.summary_problems(answers).withColumn("outcome", F.when(F.size("problems") > 0, "rejected").otherwise("written"))
+    runs = {
+        "discover": (ledger.select("key", "outcome"), ["written", "skipped"]), "refresh": (lifecycle.lapse(v.v_entity, AS_OF), ["archived", "kept"]),
+        "research": (normalise.research(answers, AS_OF).select("entity_id", "outcome"), ["stamped", "researched"]), "summaries": (summaries.select("entity_id", "outcome"), ["rejected", "written"]),
+        "reviews": (normalise.gate(normalise.review(answers, AS_OF)).select("entity_id", "outcome"), ["no substance", "uncited", "invalid", "written"]),
+    }
+    return reduce(DataFrame.union, (lifecycle.observed(rows, run, outcomes, run)[1] for run, (rows, outcomes) in runs.items()))
 
 
 def _faqs(v, prefix: str) -> DataFrame:

@@ -102,16 +102,23 @@ STATIC = ("/", "/categories", "/regions", "/tools", "/about", "/privacy", "/term
 FEATURE_PAGES = {"guides": "/guides", "reviews": "/reviews", "gear": "/gear", "articles": "/articles", "travel": "/travel"}
 
 
-def sitemap(entities: DataFrame, regions: DataFrame, reviews: DataFrame, categories: DataFrame, guides: DataFrame, articles: DataFrame, features: set[str]) -> DataFrame:
-    """(path): static pages; published categories, entities and regions that hold any; and for each feature that is on its index
-    and its published pages. With merged reviews only those without an entity page are listed, the others redirect to it.
-    entities: entity_id, slug, region_id, status; regions may be nested; the others: slug, status (reviews: entity_id too)."""
+#: Calculators that the site has.
+TOOLS = ("pace-calculator", "race-time-predictor", "race-splits-calculator", "race-countdown-timer", "calories-burned-calculator", "heat-humidity-pace-calculator", "age-graded-calculator", "race-fueling-calculator")
+
+
+def sitemap(
+    entities: DataFrame, regions: DataFrame, reviews: DataFrame, categories: DataFrame, guides: DataFrame, articles: DataFrame, gear: DataFrame, features: set[str], tools: tuple[str, ...] = TOOLS
+) -> DataFrame:
+    """(path): static pages and tools; published categories, entities, and published regions that hold any below published ones; and for
+    each feature that is on its index and its published pages. With merged reviews only those without an entity page are listed, the
+    others redirect to it. entities: entity_id, slug, region_id, status; regions: region_id, parent_region_id, status; the others: slug,
+    status (reviews: entity_id too)."""
     spark = entities.sparkSession
     path = lambda df, prefix, key="slug": df.select(F.concat(F.lit(prefix), F.col(key)).alias("path"))
     shown = entities.filter(published())
-    fixed = [p for p in STATIC] + [p for f, p in FEATURE_PAGES.items() if f in features]
+    fixed = [*STATIC, *(f"/tools/{t}" for t in tools), *(p for f, p in FEATURE_PAGES.items() if f in features)]
     parts = [spark.createDataFrame([(p,) for p in fixed], "path string"), path(categories.filter(published()), "/categories/"), path(shown, "/e/")]
-    parts.append(path(counts(shown, regions).filter("n > 0"), "/regions/", "region_id"))
+    parts.append(path(counts(shown, regions.filter(published())).filter("n > 0"), "/regions/", "region_id"))
     if "guides" in features:
         parts.append(path(guides.filter(published()), "/guides/"))
     if "reviews" in features:
@@ -119,6 +126,7 @@ def sitemap(entities: DataFrame, regions: DataFrame, reviews: DataFrame, categor
         known = entities.filter(reviewable()).select("entity_id")
         alone = good.join(shown.select("entity_id"), "entity_id", "left_anti").join(known, "entity_id", "left_semi")
         parts.append(path(alone if "merged" in features else good.join(shown.select("entity_id"), "entity_id", "left_semi"), "/reviews/"))
-    if "articles" in features:
-        parts.append(path(articles.filter(published()), "/articles/"))
+    for name, pages in (("articles", articles), ("gear", gear)):
+        if name in features:
+            parts.append(path(pages.filter(published()), f"/{name}/"))
     return reduce(DataFrame.unionByName, parts)
