@@ -420,12 +420,17 @@ def test_packing_weighs_by_the_whole_corpus_and_looks_at_all_neighbours(spark):
 
     rng = np.random.default_rng(5)
     docs = [(rng.zipf(1.3, rng.integers(1, 200)) % 400).astype("<u2") for _ in range(60)]
-    rows = [(d.tobytes(),) for d in docs] + [(None,)]
-    stats = packing.corpus_stats(spark.createDataFrame(rows, "ids binary").repartition(3))
+    rows = [(7, 5, None, None), (None, None, None, None)]  # a full window, and what three tasks counted
+    for part in (docs[:1], docs[1:20], docs[20:]):
+        counted = packing.describe(part).df
+        terms = np.flatnonzero(counted)
+        rows.append((len(part), sum(map(len, part)), terms.astype("<u2").tobytes(), counted[terms].astype("<i8").tobytes()))
+    schema = "start long, length long, ids binary, counts binary"
+    stats = packing.corpus_stats(spark.createDataFrame(rows, schema).repartition(3))
     n, mean = len(docs), sum(map(len, docs)) / len(docs)
     df = {t: sum(t in d for d in docs) for t in range(400)}
     assert stats.n == n and stats.mean == mean and all(stats.df[t] == df[t] for t in df)
-    assert packing.corpus_stats(spark.createDataFrame([], "ids binary")).n == 0
+    assert packing.corpus_stats(spark.createDataFrame([], schema)).n == 0
 
     block = docs[:40]
     shard = packing.Shard(block, stats)

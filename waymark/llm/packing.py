@@ -37,7 +37,7 @@ SHARD_DOCS = 1024
 NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
-_ENCODED = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, lex long, ids binary"
+_ENCODED = "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, lex long, ids binary, counts binary"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -46,45 +46,71 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _min_hash(ids: np.ndarray) -> int:
-    """Least hash of the neighbouring pairs of ids."""
-    h = ids.astype(np.uint32) * np.uint32(2654435761)
-    if len(h) > 1:
-        h = (h[:-1] * np.uint32(31) + h[1:]) * np.uint32(0x85EBCA6B)
-    return int((h ^ (h >> np.uint32(15))).min())
-
-
 #: Rarity that an id's rank in the vocabulary lets expect.
 _RARITY = np.log1p(np.arange(1 << 16))
 
 
-def _subject(ids: np.ndarray) -> int:
-    """The id that characterises a text most."""
-    s = np.sort(ids)
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    tf = np.diff(np.append(first, len(s)))
-    return int(s[first[np.argmax(_RARITY[s[first]] * tf / (tf + K1))]])
+class Described(NamedTuple):
+    """Of each rest the id that characterises it most and the least hash of its neighbouring pairs of ids; of all together how many hold
+    each id."""
+
+    subject: np.ndarray
+    min_hash: np.ndarray
+    df: np.ndarray
+
+
+def describe(rests: list[np.ndarray]) -> Described:
+    """All rests, none of them empty, at once."""
+    lengths = np.fromiter(map(len, rests), np.int64, len(rests))
+    flat, starts = np.concatenate(rests), np.cumsum(lengths) - lengths
+    key = np.repeat(np.arange(len(rests), dtype=np.int64), lengths) << 16 | flat
+    key.sort()
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    doc, term, tf = key[first] >> 16, key[first] & 0xFFFF, np.diff(np.append(first, len(key)))
+    weight = _RARITY[term] * tf / (tf + K1)
+    most = np.maximum.reduceat(weight, np.searchsorted(doc, np.arange(len(rests))))
+    hit = np.flatnonzero(weight == most[doc])
+    subject = term[hit[np.unique(doc[hit], return_index=True)[1]]]
+    h = flat.astype(np.uint32) * np.uint32(2654435761)
+    mixed = h.copy()
+    mixed[:-1] = (h[:-1] * np.uint32(31) + h[1:]) * np.uint32(0x85EBCA6B)
+    ends = starts + lengths - 1
+    mixed[ends] = h[ends]
+    mixed ^= mixed >> np.uint32(15)
+    mixed[ends[lengths > 1]] = np.uint32(0xFFFFFFFF)  # the last id begins no pair
+    return Described(subject, np.minimum.reduceat(mixed, starts), np.bincount(term, minlength=1 << 16))
 
 
 def _encode(path: str, end_id: int):
+    names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "lex", "ids", "counts"]
+    kinds = [pa.int64()] * 7 + [pa.binary()] * 2
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = encoder(path).encode, np.array([end_id], "<u2").tobytes()
+        df, n_rests, n_ids = np.zeros(1 << 16, np.int64), 0, 0
         for batch in it:
-            rows = []
+            full, left, rests = [], [], []
             ids_of = encode(batch.column("text").to_pylist())
             for doc, row, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), ids_of, strict=True):
                 ids = np.frombuffer(raw + tail, "<u2")
                 n = len(ids)
                 for at in range(0, n - WINDOW + 1, WINDOW):
-                    rows.append((doc, row, at, WINDOW, crc_of(ids[at : at + WINDOW]), n, 0, None))
+                    full.append((doc, row, at, WINDOW, crc_of(ids[at : at + WINDOW]), n, 0, None, None))
                 at = n - n % WINDOW
                 if at < n:
-                    rest = ids[at:]
-                    rows.append((doc, row, at, n - at, None, n, _subject(rest) << 32 | _min_hash(rest), rest.tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "lex", "ids"]
+                    left.append((doc, row, at, n - at, None, n))
+                    rests.append(ids[at:])
+            if rests:
+                found = describe(rests)
+                lex = found.subject << 32 | found.min_hash.astype(np.int64)
+                full += [(*x, y, ids.tobytes(), None) for x, y, ids in zip(left, lex.tolist(), rests, strict=True)]
+                df, n_rests, n_ids = df + found.df, n_rests + len(rests), n_ids + sum(map(len, rests))
+            columns = list(zip(*full, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        terms = np.flatnonzero(df)
+        if n_rests:  # what the task has counted
+            counted = [None, None, n_rests, n_ids, None, None, -1, terms.astype("<u2").tobytes(), df[terms].astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(counted, kinds, strict=True)], names=names)
         trim()
 
     return run
@@ -99,22 +125,19 @@ class Stats(NamedTuple):
 
 
 def _count_partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n): documents by id, and at -1 and -2 all documents and their length."""
+    """(term, n): documents by id, and at -1 and -2 all documents and their length; one row of counts for each task that encoded."""
     df, n, total = np.zeros(1 << 16, np.int64), 0, 0
     for batch in it:
-        docs = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
-        if docs:
-            lengths = np.array([len(d) for d in docs])
-            key = np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 16 | np.concatenate(docs)
-            df += np.bincount(np.unique(key) & 0xFFFF, minlength=1 << 16)
-            n, total = n + len(docs), total + int(lengths.sum())
+        for terms, counts, docs, ids in zip(*(batch.column(c).to_pylist() for c in ("ids", "counts", "start", "length")), strict=True):
+            df[np.frombuffer(terms, "<u2")] += np.frombuffer(counts, "<i8")
+            n, total = n + docs, total + ids
     terms = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((terms, [-1, -2]))), pa.array(np.concatenate((df[terms], [n, total])))], names=["term", "n"])
 
 
 def corpus_stats(encoded: DataFrame) -> Stats:
     """Stats of all rests; ids are of 16 bits, so at most 65,538 rows reach the driver."""
-    counted = encoded.filter("ids is not null").select("ids").mapInArrow(_count_partition, "term long, n long")
+    counted = encoded.filter("counts is not null").select("ids", "counts", "start", "length").mapInArrow(_count_partition, "term long, n long")
     found = dict(counted.groupBy("term").agg(F.sum("n")).collect())
     n, total, df = found.pop(-1, 0), found.pop(-2, 0), np.zeros(1 << 16, np.int64)
     df[list(found)] = list(found.values())
@@ -279,9 +302,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     shrink(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     stage = Stage(spark, "packing")
-    # small batches: a worker holds a batch's texts, their ids and its rows beside the encoder
+    # small batches: a worker holds a batch's texts, their ids and its rows beside the encoder; each task adds a row of what it has counted
     encoded = stage.write(rows.mapInArrow(_encode(path, end_id), _ENCODED), "ids", batch="2m")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # full windows have lex 0 and no ids; row and start break ties, so equal documents spread over partitions
-    dealt = encoded.repartitionByRange(n, "lex", "row", "start").sortWithinPartitions("lex", "row", "start")
+    dealt = encoded.filter("counts is null").drop("counts").repartitionByRange(n, "lex", "row", "start").sortWithinPartitions("lex", "row", "start")
     return dealt.mapInArrow(_pack_partition(corpus_stats(encoded)), _PACKED)
