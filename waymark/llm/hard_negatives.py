@@ -15,7 +15,7 @@ Of equal vectors with one label only the smallest ids, as many as are asked for
 of any anchor, so a vector that holds a third of all rows is a few candidates. Where vectors have no direction in common the bounds
 are loose and lists are walked to their end: results stay exact, the work is then anchors times rows.
 
-Centres are fitted on FIT_ROWS anchors; every anchor and candidate is used. On the driver: at most CLUSTERS centres, radii and
+Centres are fitted on FIT_ROWS anchors and bins on FIT_ROWS candidates; every anchor and candidate is used. On the driver: at most CLUSTERS centres, radii and
 histograms.
 
 Defined results: rows with a null id, label or vector, or a component that is null, NaN or infinite, take no part; a shorter vector
@@ -118,28 +118,33 @@ class Lists:
 
     def __init__(self, centres: np.ndarray, radii: np.ndarray, sizes: np.ndarray, largest: float):
         self.centres, self.radii, self.largest = centres, radii, max(largest, 1.0)
-        self.blocks = np.maximum(1, -(-sizes // BLOCK))
+        self.blocks, self.n = np.maximum(1, -(-sizes // BLOCK)), BINS
 
     def bounds(self, rows: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """The most that a member of unit norm of each cluster can score with each row."""
         angle = np.maximum(0, _angles(rows, norms, self.centres) - self.radii - SLACK)
         return norms[:, None] * (np.cos(np.minimum(angle, np.pi)) + SLACK)
 
+    def cut(self, bounds: np.ndarray) -> None:
+        """Cuts of each cluster's bounds into bins that hold about as many candidates each, by those of a sample."""
+        share = np.arange(1, self.n) / self.n
+        self.cuts = np.quantile(bounds, share, axis=0).T if len(bounds) else np.zeros((len(self.centres), self.n - 1))
+
     def bins(self, bounds: np.ndarray) -> np.ndarray:
         """0 for the highest bounds."""
-        at = np.floor((bounds / (self.largest * (1 + SLACK)) + 1) * (BINS / 2)).astype(np.int64)
-        return BINS - 1 - np.clip(at, 0, BINS - 1)
+        return np.stack([self.n - 1 - np.searchsorted(c, b, "right") for c, b in zip(self.cuts, bounds.T, strict=True)], axis=1)
 
-    def edge(self, bin_: np.ndarray) -> np.ndarray:
-        """No bound from this bin on is larger."""
-        return self.largest * (1 + 2 * SLACK) * (2 * (BINS - bin_) / BINS - 1) + SLACK
+    def edge(self, bins: np.ndarray) -> np.ndarray:
+        """For a bin of each cluster: no bound from this bin on is larger."""
+        upper = self.cuts[np.arange(len(bins)), np.clip(self.n - 1 - bins, 0, self.n - 2)]
+        return np.where(bins == 0, self.largest * (1 + 2 * SLACK), upper) + SLACK
 
     def lay_out(self, counts: np.ndarray) -> None:
         """Bands as first bins of each cluster (rows: bands); counts by cluster and bin."""
         upto, bands, size = np.cumsum(counts, axis=1), [np.zeros(len(counts), np.int64)], FIRST
-        while (bands[-1] < BINS).any():
+        while (bands[-1] < self.n).any():
             start = np.where(bands[-1] > 0, np.take_along_axis(upto, np.maximum(bands[-1] - 1, 0)[:, None], axis=1)[:, 0], 0)
-            bands.append(np.minimum(BINS, np.maximum(bands[-1] + 1, (upto < (start + size)[:, None]).sum(axis=1) + 1)))
+            bands.append(np.minimum(self.n, np.maximum(bands[-1] + 1, (upto < (start + size)[:, None]).sum(axis=1) + 1)))
             size *= GROWTH
         self.bands = np.array(bands)
         held = [np.where(b > 0, np.take_along_axis(upto, np.maximum(b - 1, 0)[:, None], axis=1)[:, 0], 0) for b in self.bands]
@@ -224,17 +229,19 @@ class Mining:
             radii[r["cluster"]], sizes[r["cluster"]] = r["a"], r["n"]
         largest = self.candidates.agg(F.max("norm")).first()[0] or 0.0
         self.lists = lists = Lists(centres, radii, sizes, largest)
+        some = self.candidates.orderBy(F.xxhash64("id", "q")).select("q", "norm").limit(FIT_ROWS).collect()
+        lists.cut(lists.bounds(_matrix(pa.array([r["q"] for r in some], pa.binary())), np.array([r["norm"] for r in some])))
 
         def histogram(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros((len(centres), BINS), np.int64)
+            counts = np.zeros((len(centres), lists.n), np.int64)
             for b in it:
                 at = lists.bins(lists.bounds(_matrix(b.column("q")), b.column("norm").to_numpy()))
                 for c in range(len(centres)):
-                    counts[c] += np.bincount(at[:, c], minlength=BINS)
+                    counts[c] += np.bincount(at[:, c], minlength=lists.n)
             c, n = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (c, n, counts[c, n])], names=["c", "b", "n"])
 
-        counts = np.zeros((len(centres), BINS), np.int64)
+        counts = np.zeros((len(centres), lists.n), np.int64)
         for r in self.candidates.mapInArrow(histogram, "c long, b long, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).collect():
             counts[r["c"], r["b"]] = r["n"]
         lists.lay_out(counts)
