@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.operators import automata, crawl, fingerprint, guides, lifecycle, linking, scan, schema
+from waymark.functions import facts
+from waymark.functions import pages as pages_of
+from waymark.operators import automata, crawl, fingerprint, guides, lifecycle, linking, prose, results, scan, schema
 from waymark.sources import records
 from waymark.streaming import pacing
 
@@ -211,3 +213,113 @@ def test_composed_hashes_equal_one_fold(spark, monkeypatch):
     for g in ("big", "mid", "few"):
         ids = sorted(e for x, e in rows if x == g)
         assert got[g] == (len(ids), f"{len(ids)}-{fnv('|'.join(ids)):08x}")
+
+
+NOTES = (
+    schema.text("title"), schema.texts("tags"), schema.Field("body", "list", items=(schema.text("head"), schema.Field("lines", "list"))),
+    schema.Field("score", "number", required=False), schema.Field("by", "record", items=(schema.text("name"),)),
+)
+
+
+def test_pieces_of_nested_records(spark):
+    kind = "id int, title string, tags array<string>, body array<struct<head:string,lines:array<string>,more:int>>, score double, by struct<name:string>, undeclared string"
+    rows = [
+        (1, "T", ["a", None, "b"], [("h", ["x", "y"], 1), (None, [], 2), ("i", None, 3)], 1.0, ("Ann",), "z"),
+        (2, None, None, None, None, None, None), (3, "U", [], [], None, (None,), None),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = {(r["key"], r["path"], r["place"], r["text"]) for r in prose.texts(df, NOTES, "id").collect()}
+    want = {
+        ("1", "title", "title", "T"), ("1", "tags[0]", "tags[]", "a"), ("1", "tags[2]", "tags[]", "b"), ("1", "body[0].head", "body[].head", "h"),
+        ("1", "body[0].lines[0]", "body[].lines[]", "x"), ("1", "body[0].lines[1]", "body[].lines[]", "y"), ("1", "body[2].head", "body[].head", "i"),
+        ("1", "by.name", "by.name", "Ann"), ("3", "title", "title", "U"),
+    }
+    assert got == want
+    assert prose.texts(spark.createDataFrame([(1,)], "id int"), NOTES, "id").count() == 0
+
+
+def test_prose_rules(spark):
+    paragraphs = ["Fine [1].", "A <cite index=1", "See [16-8] and [11-3,11-4].", "a · b · c · d", "Cites [2, 9] and [9]."]
+    kind = "review_id string, sections array<struct<heading:string,paragraphs:array<string>>>, sources array<struct<n:int,label:string>>, faqs array<struct<question:string,answer:string>>"
+    faqs = [("Q", "word " * 30), ("Q", "word " * 81), ("Q", " short\n one ")]
+    df = spark.createDataFrame([("r", [("h", paragraphs), ("i", None)], [(1, "a"), (2, "b"), (3, "c")], faqs), ("none", None, None, None)], kind)
+    got = list((r["key"], r["path"], r["rule"], r["severity"], r["detail"]) for r in prose.violations(df, "review", "review_id").collect())
+    at = lambda i: f"sections[0].paragraphs[{i}]"
+    assert sorted(got, key=str) == sorted([
+        ("r", at(1), "V11.cite", "error", None), ("r", at(2), "V11.ref", "error", None), ("r", at(3), "V11.facets", "warning", None), ("r", at(4), "V12.unresolved", "error", "9"),
+        ("r", at(4), "V12.unresolved", "error", "9"), ("r", "sources[2]", "V12.uncited", "warning", "3"), ("r", "faqs[1].answer", "V7.answer", "warning", None), ("r", "faqs[2].answer", "V7.answer", "warning", None),
+    ], key=str)
+    entity = spark.createDataFrame([("e", "Verified as of 2 May 2024.", ["fine", "a confidence score of 92"])], "entity_id string, ai_summary string, cons array<string>")
+    assert sorted(r["path"] for r in prose.violations(entity, "entity", "entity_id").collect()) == ["ai_summary", "cons[1]"]
+
+
+def test_open_facts_keep_their_types(spark):
+    texts = ['{"a":{"b":5}}', '{"a":{"b":"5"}}', '{"a":{"b":null}}', "{}", '{"a":{"b":[5,"x"]}}', '{"a":{"b":true}}', '{"a":{"b":"z"}}', '{"a":[{"b":7}]}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.expr("parse_json(t)").alias("core_facts"))
+    hold = lambda op, x, field="a.b": [r["i"] for r in df.filter(facts.holds(facts.value_of(df, field), op, x)).orderBy("i").collect()]
+    assert hold("eq", 5) == [0] and hold("eq", "5") == [1] and hold("eq", None) == [2] and hold("eq", True) == [5] and hold("eq", 1) == []
+    assert hold("neq", 5) == [1, 2, 3, 4, 5, 6, 7, 8] and hold("in", [5, "z", None]) == [0, 2, 6] and hold("in", "5") == []
+    assert hold("gte", 5) == [0, 1] and hold("lt", 2) == [2, 5] and hold("gt", "4") == [0, 1, 6] and hold("lt", "y") == [1]
+    assert hold("contains", 5) == [0, 1, 4] and hold("contains", "x") == [4] and hold("contains", "") == [0, 1, 2, 3, 5, 6, 7, 8]
+    assert hold("eq", 7, "a.0.b") == [7] and hold("neq", 1, "it's") == list(range(9)) and hold("no-such", 1) == list(range(9))
+
+
+@pytest.mark.parametrize("top", [10_000, 2])
+def test_guides_sort_mixed_types(spark, monkeypatch, top):
+    monkeypatch.setattr(guides, "TOP", top)
+    values = ["3", '"b"', '"a"', "null", "10", None, "true", '"B"']
+    rows = [(f"e{i}", "r", "c", "active", [1.0], ["t"], i, "{}" if v is None else f'{{"v":{v}}}') for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "entity_id string, region_id string, category_id string, status string, numeric_facts array<double>, tags array<string>, ord int, f string")
+    entities = df.withColumn("core_facts", F.expr("parse_json(f)")).withColumn("day", F.expr("date'2024-01-01' + ord % 3"))
+    regions = spark.createDataFrame([("r", None, "country")], "region_id string, parent_region_id string, granularity string")
+    cats = spark.createDataFrame([("c", 1.0, None, 1)], "category_id string, min_v double, max_v double, ord int")
+    specs = [{"id": "up", "sort_by": "v", "descending": False}, {"id": "down", "sort_by": "v"}, {"id": "five", "sort_by": "v", "limit": 5}, {"id": "day", "sort_by": "day", "limit": 4}]
+    got = {}
+    for r in sorted(guides.resolve(entities, regions, cats, specs).collect(), key=lambda r: (r["guide_id"], r["rank"])):
+        got.setdefault(r["guide_id"], []).append(int(r["entity_id"][1:]))
+    assert got["up"] == [6, 0, 4, 7, 2, 1, 3, 5] and got["down"] == [1, 2, 7, 4, 0, 6, 3, 5]
+    assert got["five"] == got["down"][:5] and got["day"] == [2, 5, 1, 4]
+    assert guides.resolve(entities, regions, cats, []).count() == 0
+
+
+def test_rejected_changes_leave_all_facts(spark):
+    changes = ['{"date":"2025-02-02"}', '{"distance_km":[-1]}', '{"date":null}', '{"nothing":1}', "{}", '{"distance_km":"far"}', '{"date":"2024-01-01"}', '{"date":7}', None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(changes)], "i int, c string").select(
+        "i", F.struct(F.lit("2024-01-01").alias("date"), F.array(F.lit(5.0)).alias("distance_km"), F.lit("X").alias("country")).alias("facts"), F.expr("parse_json(c)").alias("changes")
+    )
+    got = {r["i"]: (r["facts"]["date"], r["facts"]["distance_km"], r["accepted"], r["changed"]) for r in lifecycle.merged_facts(df, schema.FACTS["races"]).collect()}
+    old = ("2024-01-01", [5.0])
+    assert got[0] == ("2025-02-02", [5.0], True, True) and got[6] == (*old, True, False) and got[3] == (*old, True, False)
+    assert all(got[i] == (*old, False, False) for i in (1, 2, 5, 7)) and got[4] == got[8] == (*old, None, False)
+    lacking = df.withColumn("facts", F.col("facts").dropFields("country"))
+    assert not any(r["accepted"] for r in lifecycle.merged_facts(lacking, schema.FACTS["races"]).collect())
+
+
+def test_observed_counters_equal_a_recount(spark):
+    rows = spark.range(100).selectExpr("id", "case id % 4 when 0 then 'a' when 1 then 'b' when 2 then 'c' end as outcome")
+    table, counted = lifecycle.observed(rows, "run", ["a", "b"], "observed")
+    assert {(r["run"], r["outcome"], r["n"]) for r in counted.collect()} == {("run", "a", 25), ("run", "b", 25), ("run", "other", 50)} and table.count() == 100
+
+
+def test_pages_are_clamped(spark):
+    pages = spark.createDataFrame([("a", 50)] * 50 + [("b", 1), ("c", 24)], "g string, total int")
+    wanted = spark.createDataFrame([("a", 0), ("a", 2), ("a", 3), ("a", 9), ("b", 5), ("c", 1), ("d", 2)], "g string, wanted int")
+    got = {(r["g"], r["wanted"]): (r["page"], r["line"]) for r in lifecycle.page_view(pages, wanted, "g", 24).collect()}
+    assert got["a", 0] == (1, "Showing 1-24 of 50 reviews") and got["a", 2][1] == "Showing 25-48 of 50 reviews" and got["a", 3] == got["a", 9] == (3, "Showing 49-50 of 50 reviews")
+    assert got["b", 5] == (1, "1 review") and got["c", 1] == (1, "24 reviews") and got["d", 2] == (1, "")
+
+
+def test_links_of_pages_without_an_address(spark):
+    rows = [("/a", "HTTPS://Ex.org/x"), ("b", None), ("b", "nowhere"), ("//h/c", "http://e.org"), ("mailto:x@y.z", None), ("?q", "https://e.org/p")]
+    df = spark.createDataFrame(rows, "h string, b string")
+    got = [r["u"] for r in df.select(pages_of.absolute(F.col("h"), F.col("b")).alias("u")).collect()]
+    assert got == ["HTTPS://Ex.org/a", None, None, "http://h/c", "mailto:x@y.z", "https://e.org/p?q"]
+
+
+def test_age_factors_and_tiers(spark):
+    ages = [5, 18, 20, 25, 35, 45, 55, 65, 75, 110]
+    df = spark.createDataFrame([(float(a),) for a in ages], "a double")
+    got = [round(r["f"], 6) for r in df.select(results.age_factor(F.col("a")).alias("f")).collect()]
+    assert got == [0.849, 0.979, 0.985, 1.0, 1.0, 0.94, 0.865, 0.755, 0.6, 0.15]
+    classes = [r["c"] for r in df.select(results.tier(F.col("a"), results.AGE_CLASSES, "rest").alias("c")).collect()]
+    assert classes == ["rest"] * 6 + ["recreational", "regional", "national", "world"]

@@ -42,6 +42,8 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
     own types: numbers, texts and dates sort as such, mixed ones by type first, missing ones last.
 
     All guides share one scan: each is a Column, and an entity carries the list of guides it matches."""
+    if not guides:
+        return entities.sparkSession.createDataFrame([], "guide_id string, rank int, entity_id string")
     rolled = closure(regions).groupBy("region_id").agg(F.collect_set("anc").alias("ancestors"))
     wide = with_categories(entities, categories).join(rolled, "region_id", "left")
     hits = []
@@ -73,7 +75,7 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
     if len(few) < len(limits):
         parts.append(placed(each.filter(~F.col("limit").between(1, TOP)), ["guide_id"], order).withColumn("rank", F.col("place").cast("int")))
     listed = [x.filter("limit = 0 or rank <= limit").select("guide_id", "rank", "entity_id") for x in parts]
-    return reduce(DataFrame.unionByName, listed) if listed else entities.sparkSession.createDataFrame([], "guide_id string, rank int, entity_id string")
+    return reduce(DataFrame.unionByName, listed)
 
 
 def fnv1a(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.operators import categories, guides, hierarchy
+from waymark.operators import categories, guides, hierarchy, listing
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
 
@@ -261,7 +261,7 @@ def w2(v):
 
 @query("W5_featured", "select entity_id, reliability_score from v_entity where status in ('active', 'needs_review') order by reliability_score desc, ord limit 6")
 def w5(v):
-    return v.v_entity.filter(guides.published()).orderBy(F.desc("reliability_score"), "ord").limit(6).select("entity_id", "reliability_score")
+    return listing.featured(v.v_entity, 6).select("entity_id", "reliability_score")
 
 
 @query("W8_sibling_regions", f"with {_CLOSURE}, n as (select anc as region_id, count(*) as n from cl join v_entity using (region_id) group by anc) select region_id, n from n join v_region using (region_id) where granularity = 'country' and region_id <> 'r0' order by n desc, region_id limit 6")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.operators import browse, lifecycle, ranking
-from waymark.operators.guides import filter_key, published
+from waymark.operators import browse, lifecycle, listing, ranking
+from waymark.operators.guides import filter_key
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
 
@@ -26,12 +25,12 @@ def f14(v):
 
 @query("F16_new_flag", "select ord, ts > timestamp '2024-01-30 12:00:00' - interval 26 hours as is_new from v_fetch")
 def f16(v):
-    return v.v_fetch.select("ord", (F.col("ts") > F.expr("timestamp_ntz'2024-01-30 12:00:00' - interval 26 hours")).alias("is_new"))
+    return v.v_fetch.select("ord", listing.is_new(F.col("ts"), F.expr("timestamp_ntz'2024-01-30 12:00:00'"), 26).alias("is_new"))
 
 
 @query("F17_date_driven", "select region_id, count(*) > 0 and bool_and(date_s is not null) as date_driven from v_entity group by region_id")
 def f17(v):
-    return v.v_entity.groupBy("region_id").agg((F.count("*") > 0).alias("some"), F.bool_and(F.col("date_s").isNotNull()).alias("all")).select("region_id", (F.col("some") & F.col("all")).alias("date_driven"))
+    return listing.date_driven(v.v_entity, "region_id", "date_s")
 
 
 _PAST = f"case when date_s is null then 2 when date_s < '{AS_OF}' then 1 else 0 end"
@@ -70,17 +69,12 @@ def w7_view(v):
 
 @query("W9_topic_groups", "with n as (select topic, min((published_at, -ord)) as x, max(published_at) as newest, max_by(ord, (published_at, -ord)) as first_ord from v_review group by topic) select coalesce(topic, 'general') as topic, row_number() over (order by newest desc, first_ord) as place from n")
 def w9(v):
-    """Topics in the order in which a newest-first list first shows them."""
-    first = v.v_review.groupBy(F.coalesce("topic", F.lit("general")).alias("topic")).agg(F.max(F.struct("published_at", (-F.col("ord")).alias("o"))).alias("m"))
-    # one row for each topic
-    return first.select("topic", F.row_number().over(Window.orderBy(F.desc("m.published_at"), F.desc("m.o"))).alias("place"))
+    return listing.topic_order(v.v_review)
 
 
 @query("W10_configured_order", "select region_id, row_number() over (order by case label when 'EUROPE' then 1 when 'ASIA' then 2 else 99 end, label) as place from v_region where granularity = 'country'")
 def w10(v):
-    first = F.nullif(F.array_position(F.lit(["EUROPE", "ASIA"]), F.col("label")), F.lit(0))
-    order = Window.orderBy(F.coalesce(first, F.lit(99)), "label")
-    return v.v_region.filter("granularity = 'country'").select("region_id", F.row_number().over(order).alias("place"))
+    return listing.configured_order(v.v_region.filter("granularity = 'country'"), "label", ["EUROPE", "ASIA"]).select("region_id", "place")
 
 
 @query("W11_preferred_source", "select entity_id, pos, url, type from v_source qualify row_number() over (partition by entity_id order by coalesce(list_position(['official', 'news', 'review', 'social', 'other'], type), 0), pos, url) = 1")
@@ -120,9 +114,7 @@ def w15(v):
 
 @query("A5_month_calendar", f"with m as (select substr(date_s, 1, 7) as month, count(*) as n from v_entity group by 1) select month, n, row_number() over (order by month < '{AS_OF[:7]}', month) as place from m")
 def a5(v):
-    months = v.v_entity.groupBy(F.substring("date_s", 1, 7).alias("month")).agg(F.count("*").alias("n"))
-    # one row for each month
-    return months.select("month", "n", F.row_number().over(Window.orderBy(F.col("month") < AS_OF[:7], "month")).alias("place"))
+    return listing.month_calendar(v.v_entity, "date_s", AS_OF)
 
 
 @query("A12_freshness", "select e.entity_id, coalesce(max(last_checked), any_value(date_s)) as checked from v_entity e left join v_source s on s.entity_id = e.entity_id group by e.entity_id")
@@ -165,8 +157,7 @@ def i2(v):
 
 @query("I4_graduation", "select review_id, case when status = 'draft' then case when n_sources > 2 then 'active' else 'needs_review' end else status end as status from v_review")
 def i4(v):
-    new = F.when(F.col("status") == "draft", F.when(F.col("n_sources") > 2, "active").otherwise("needs_review")).otherwise(F.col("status"))
-    return v.v_review.select("review_id", new.alias("status"))
+    return v.v_review.select("review_id", listing.graduated(F.col("status"), F.col("n_sources")).alias("status"))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.operators import linking
+from waymark.operators import linking, listing
 from waymark.operators.guides import published
 from waymark.plans.guides import GUIDES
 from waymark.plans.registry import query
@@ -90,9 +90,7 @@ def j11(v):
 )
 def j12(v):
     spec = v.spark.createDataFrame([(g["id"], g.get("category_id"), g.get("pins", [])) for g in GUIDES], "guide_id string, category_id string, pins array<string>")
-    by_category = v.v_entity.join(F.broadcast(spec), "category_id").select("entity_id", "guide_id")
-    by_pin = v.v_entity.join(F.broadcast(spec.select("guide_id", F.explode("pins").alias("entity_id"))), "entity_id").select("entity_id", "guide_id")
-    return by_category.union(by_pin).distinct()
+    return listing.related_guides(v.v_entity, spec)
 
 
 @query(
@@ -108,10 +106,7 @@ def j13(v):
 
 @query("J14_review_entities", "select review_id, e.entity_id, case when e.status in ('active', 'needs_review') then concat('/e/', e.slug) else concat('/reviews/', review_id) end as href from v_review r join v_entity e using (entity_id) where r.status = 'active'")
 def j14(v):
-    e = v.v_entity.select("entity_id", "slug", F.col("status").alias("e_status"))
-    joined = v.v_review.filter("status = 'active'").join(e, "entity_id")
-    href = F.when(published("e_status"), F.concat(F.lit("/e/"), "slug")).otherwise(F.concat(F.lit("/reviews/"), "review_id"))
-    return joined.select("review_id", "entity_id", href.alias("href"))
+    return listing.review_links(v.v_review, v.v_entity)
 
 
 _NAMES = """concat('Race ', cast(ord as string), case ord % 4 when 0 then concat(' (RC', cast(ord % 7 as string), ')') when 1 then ' (24th ed.) City'
@@ -166,30 +161,19 @@ def v12(v):
     select doc_id, other from o qualify row_number() over (partition by doc_id order by tier, other desc) <= 6""",
 )
 def j20(v):
-    docs = v.documents.select("doc_id", "lang")
-    near = linking._best(docs, ["lang"], [F.desc("doc_id")], 7).select("lang", F.col("doc_id").alias("other"))
-    same = docs.join(near, "lang").select("doc_id", "other", F.lit(0).alias("tier"))
-    newest = docs.orderBy(F.desc("doc_id")).limit(7).agg(F.collect_list("doc_id").alias("others"))  # seven rows
-    rest = docs.join(F.broadcast(newest)).select("doc_id", F.explode("others").alias("other"), F.lit(1).alias("tier"))
-    once = same.union(rest).filter("doc_id <> other").groupBy("doc_id", "other").agg(F.min("tier").alias("tier"))
-    return linking._best(once, ["doc_id"], [F.col("tier"), F.desc("other")], 6).select("doc_id", "other")
+    return listing.related_articles(v.documents.select("doc_id", "lang"), "doc_id", "lang", 6)
 
 
 @query("U3_first_names", "select ord from (select ord, row_number() over (partition by host, lower(event_type) order by ord) as rn, event_type from (select event_id as ord, concat('h', user_id % 20) as host, nullif(event_type, 'error') as event_type from events)) where rn = 1 or event_type is null")
 def u3(v):
     """The first of each name within a source; nameless rows stay."""
-    from pyspark.sql import Window
-
     rows = v.events.select(F.col("event_id").alias("ord"), F.concat(F.lit("h"), (F.col("user_id") % 20).cast("string")).alias("host"), F.nullif("event_type", F.lit("error")).alias("name"))
-    named = rows.filter("name is not null").groupBy("host", F.lower("name").alias("k")).agg(F.min("ord").alias("ord")).select("ord")
-    return named.union(rows.filter("name is null").select("ord"))
+    return listing.first_of_name(rows, "host", "name", "ord")
 
 
 @query("U6_redirected_reviews", "select review_id, entity_id in (select entity_id from v_entity where status <> 'archived') as redirected from v_review")
 def u6(v):
-    known = v.v_entity.filter(published()).select("entity_id")
-    yes = v.v_review.join(known, "entity_id", "left_semi").select("review_id", F.lit(True).alias("redirected"))
-    return yes.union(v.v_review.join(known, "entity_id", "left_anti").select("review_id", F.lit(False).alias("redirected")))
+    return listing.redirected(v.v_review, v.v_entity)
 
 
 @query("I8_first_slugs", "select entity_id, slug from v_entity qualify row_number() over (partition by slug order by ord) = 1")

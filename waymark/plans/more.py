@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.functions import pages, text
-from waymark.operators import guides, hierarchy, lifecycle, quality, schema
-from waymark.plans.guides import _CLOSURE, _LISTED, _ROOT, GUIDES, guide_ranking
+from waymark.functions import text
+from waymark.operators import categories, hierarchy, lifecycle, listing, quality, schema
+from waymark.plans.guides import _CLOSURE, _LISTED, _ROOT, guide_ranking
 from waymark.plans.registry import query
 
 #: Characters of a draft's description.
@@ -23,35 +22,23 @@ DESCRIPTION = 220
     from j join p using (guide_id) group by guide_id""",
 )
 def a10(v):
-    """Months and cities of each guide; a guide lists what its limit allows."""
-    j = guide_ranking(v).join(v.v_entity.select("entity_id", "region_id", F.substring("date_s", 1, 7).alias("month")), "entity_id")
-    cities = j.groupBy("guide_id", "region_id").agg(F.min("rank").alias("r"))
-    placed = cities.withColumn("rn", F.row_number().over(Window.partitionBy("guide_id").orderBy("r")))
-    named = placed.groupBy("guide_id").agg(F.count("*").alias("n_cities"), F.sort_array(F.collect_list(F.when(F.col("rn") <= 3, F.struct("r", "region_id")))).alias("f"))
-    firsts = F.array_join("f.region_id", ", ")
-    phrase = F.when(F.col("n_cities") > 3, F.concat(firsts, F.lit(" and "), (F.col("n_cities") - 3).cast("string"), F.lit(" other"))).otherwise(firsts)
-    months = j.groupBy("guide_id").agg(F.min("month").alias("first_month"), F.max("month").alias("last_month"))
-    return months.join(named, "guide_id").select("guide_id", "first_month", "last_month", "n_cities", phrase.alias("cities"))
+    """Months and cities of each guide."""
+    months = v.v_entity.select("entity_id", "region_id", F.substring("date_s", 1, 7).alias("month"))
+    return listing.guide_spans(guide_ranking(v).join(months, "entity_id"))
 
 
 @query("X9_value_labels", "select l_orderkey, l_linenumber, l_partkey, case when l_quantity <= 10 then concat('Small ', printf('%.1f', l_quantity)) when l_quantity <= 25 then concat('Middle ', printf('%.1f', l_quantity)) when l_quantity <= 45 then concat('Large ', printf('%.1f', l_quantity)) else concat('Extra ', printf('%.1f', l_quantity)) end as label from lineitem")
 def x9(v):
-    """The label of the first range, with the value unless the label already holds its digits."""
-    from waymark.operators.categories import first_match
-
-    rows = first_match(v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), v.v_category, "l_quantity")
+    """The label of the first range that holds a value, with the value."""
+    rows = categories.first_match(v.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), v.v_category, "l_quantity")
     named = rows.join(v.v_category.select(F.col("category_id").alias("matched"), "label"), "matched", "left")
-    value = F.format_string("%.1f", "l_quantity")
-    has = F.contains(F.regexp_replace("label", "[^0-9]", ""), F.format_string("%.0f", "l_quantity"))
-    return named.select("l_orderkey", "l_linenumber", "l_partkey", F.when(has, F.col("label")).otherwise(F.concat_ws(" ", "label", value)).alias("label"))
+    return named.select("l_orderkey", "l_linenumber", "l_partkey", listing.value_label(F.col("label"), F.col("l_quantity")).alias("label"))
 
 
 @query("X11_why_listed", "select entity_id, coalesce(list_filter(tags, lambda t: not starts_with(t, 'N'))[1], split_part(concat(name, '. And more.'), '. ', 1), tags[1]) as why from v_entity")
 def x11(v):
-    """The first pro that says something, else the first sentence of the summary, else the first pro."""
-    good = F.get(F.filter("tags", lambda t: ~t.startswith("N")), F.lit(0))
-    sentence = F.element_at(F.split(F.concat("name", F.lit(". And more.")), r"(?<=[.!?])\s+"), 1)
-    return v.v_entity.select("entity_id", F.coalesce(good, F.regexp_replace(sentence, r"\.$", ""), F.get("tags", F.lit(0))).alias("why"))
+    says = F.filter("tags", lambda t: ~t.startswith("N"))
+    return v.v_entity.select("entity_id", listing.why_listed(F.col("tags"), says, F.col("name")).alias("why"))
 
 
 @query("X13_normalised_sources", "select entity_id, pos, case when type in ('official', 'news', 'review', 'social') then type else 'other' end as type, url from v_source where pos > 0 and regexp_matches(url, '^[a-z]+://[^/]+')")

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.text import availability
 from waymark.operators import discovery, lifecycle, normalise, prose, quality, schema
 from waymark.plans.registry import query
 from waymark.plans.views import AS_OF
@@ -243,7 +242,7 @@ def a13(v):
 
 @query(
     "T11_field_rules",
-    f"""with {_ISSUES}, c as (select regexp_replace(path, '\.\d+', '', 'g') as field, count(*) as n from issues group by 1)
+    rf"""with {_ISSUES}, c as (select regexp_replace(path, '\.\d+', '', 'g') as field, count(*) as n from issues group by 1)
     select field, type, required, note, n from c join (values
       ('slug', 'string', true, 'matches ^[a-z0-9]+(?:-[a-z0-9]+)*$'), ('name', 'string', true, 'at least 1 characters'), ('short_description', 'string', true, 'at least 1 characters; at most 220 characters'),
       ('ai_summary', 'string', true, 'at least 1 characters'), ('reliability_score', 'number', true, 'from 0; up to 100'), ('status', 'one of ["active", "draft", "needs_review", "archived"]', true, ''),
