@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures as fx
-from waymark.llm import decontamination, near_duplicates, packing, pieces, quality_model, quality_rules, substring_dedup, token_counts, token_store, url_reputation, warc
+from waymark.llm import decontamination, near_duplicates, packing, pieces, quality_model, quality_rules, staging, substring_dedup, token_counts, token_store, url_reputation, warc
 from waymark.llm.pieces import Encoder
 from waymark.llm.staging import Stage, shared_path
 
@@ -266,12 +266,23 @@ def test_decontamination(docs, rows, items, empty):
     assert decontamination.contamination(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
-def test_large_benchmarks_take_the_other_way(docs, items, monkeypatch):
+@pytest.mark.parametrize("bounds", [("WINDOWS_BROADCAST",), ("PREFIXES_INLINE",), ("WINDOWS_BROADCAST", "PREFIXES_INLINE")])
+def test_large_benchmarks_take_the_other_way(docs, items, monkeypatch, bounds):
     want = decontamination.contamination(docs, items).collect()
-    monkeypatch.setattr(decontamination, "WINDOWS_BROADCAST", 0)
+    for bound in bounds:
+        monkeypatch.setattr(decontamination, bound, 0)
     same(decontamination.contamination(docs, items).collect(), want)
 
 
+def test_long_lists_of_ids_are_shuffled(docs, monkeypatch):
+    near = near_duplicates.near_duplicates(docs, 4, 80).collect()
+    cut = substring_dedup.rewrite(docs).select("doc_id", "text").collect()
+    for module in (near_duplicates, substring_dedup, staging):
+        monkeypatch.setattr(module, "ROWS_BROADCAST", 0)
+    same(near_duplicates.near_duplicates(docs, 4, 80).collect(), near)
+    same(substring_dedup.rewrite(docs).select("doc_id", "text").collect(), cut)
+
+
 def test_quality_model(spark, docs, rows, empty):
     labels = [(d, int(len(fx.words(t)) > 30), 0) for d, t, *_ in rows if d is not None] + [(2, None, None), (1, 0, 0)]
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -383,6 +394,12 @@ def test_warc_round_trip(spark, pages, monkeypatch):
     assert sized.filter("payload_bytes < 10 and record_type = 'revisit'").count() == 0
 
 
+def test_urls_are_percent_encoded(spark):
+    urls = ["http://a.org/b c", "x\ny\tz\x7f", "", "é😀 ü", "http://a.org/%20"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r["e"] for r in df.select(warc.percent_encoded(F.col("u")).alias("e")).collect()] == ["http://a.org/b%20c", "x%0Ay%09z%7F", "", "é😀%20ü", "http://a.org/%20"]
+
+
 def test_url_rules_and_reputation(spark, pages):
     labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 1), (6, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_reputation.judge(pages, labels).collect()}
@@ -404,6 +421,12 @@ def test_registered_domains_below_public_suffixes(spark):
     urls = spark.createDataFrame([(1, h, "") for h in ("x.a.co.uk", "b.co.uk", "co.uk", "uk", "y.b.com", "")], "page_id long, host string, path string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = {r["host"]: (r["suffix"], r["domain"]) for r in url_reputation.host_counts(urls, labels).collect()}
+    more = ("a.com:8080", "u:p@z.b.com:", "c.com.", "10.0.0.7", "10.0.0.7:81", "[::1]:8", "d.co.uk.:1", "...")
+    odd = spark.createDataFrame([(1, h, "") for h in more], "page_id long, host string, path string")
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in url_reputation.host_counts(odd, labels).collect()} == {
+        "a.com:8080": ("com", "a.com"), "u:p@z.b.com:": ("com", "b.com"), "c.com.": ("com", "c.com"), "10.0.0.7": ("#address", "10.0.0.7"), "10.0.0.7:81": ("#address", "10.0.0.7"),
+        "[::1]:8": ("#address", "[::1]"), "d.co.uk.:1": ("co.uk", "d.co.uk"), "...": ("", ""),
+    }
     assert got == {"x.a.co.uk": ("co.uk", "a.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "y.b.com": ("com", "b.com"), "": ("", "")}
 
 

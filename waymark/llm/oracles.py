@@ -68,10 +68,12 @@ with u as (
   from pages),
 lab as (select doc_id, max(coalesce((quality = 0 or toxic = 1)::int, 0)) as bad from labels group by doc_id),
 host_c as (
-  select host, array_to_string(string_split(host, '.')[-k:], '.') as suffix, array_to_string(string_split(host, '.')[-k - 1:], '.') as domain,
-    count(bad) as n, coalesce(sum(bad), 0) as bad
-  from (select *, case when array_to_string(string_split(host, '.')[-2:], '.') in ({", ".join(f"'{x}'" for x in SUFFIXES)}) then 2 else 1 end as k from u)
-    left join lab on page_id = doc_id group by host, k),
+  select host, case when ip then '#address' else array_to_string(string_split(name, '.')[-k:], '.') end as suffix,
+    case when ip then name else array_to_string(string_split(name, '.')[-k - 1:], '.') end as domain, count(bad) as n, coalesce(sum(bad), 0) as bad
+  from (select *, case when array_to_string(string_split(name, '.')[-2:], '.') in ({", ".join(f"'{x}'" for x in SUFFIXES)}) then 2 else 1 end as k,
+      regexp_matches(name, '^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$') as ip
+    from (select *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') as name from u))
+    left join lab on page_id = doc_id group by host, name, ip, k),
 domain_c as (select suffix, domain, sum(n) as n, sum(bad) as bad from host_c group by all),
 suffix_c as (select suffix, sum(n) as n, sum(bad) as bad from host_c group by all),
 {_strength("host")}, {_strength("domain")}, {_strength("suffix")},

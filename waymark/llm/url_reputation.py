@@ -6,7 +6,8 @@ below, and the prior's strength is estimated from the spread between the groups
 moments). A page whose url no rule decides is blocked if the lower bound of its host's posterior bad rate
 exceeds `limit`.
 
-A suffix is a host's last label, or its last two where SUFFIXES has them; a registered domain is one label more.
+A suffix is a host's last label, or its last two where SUFFIXES has them; a registered domain is one label more. A user, a port and
+final dots don't count; addresses are domains of their own.
 
 Only aggregates leave the scan: counts by host are summed before the shuffle, so a host with a third of all
 pages costs one row a task, and are written once; pages then meet their host's row in a left join whose page side Spark
@@ -46,6 +47,8 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 LEVELS = ("suffix", "domain", "host")
+#: Hosts that are addresses, which share a prior of their own.
+ADDRESS, NO_SUFFIX = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$", "#address"
 MIN_STRENGTH, MAX_STRENGTH, Z, LIMIT = 2.0, 1000.0, 1.645, 0.5
 
 
@@ -56,9 +59,15 @@ def split_url(pages: DataFrame) -> DataFrame:
 
 
 def _levels(hosts: DataFrame, suffixes: Sequence[str]) -> DataFrame:
-    last = lambda n: F.substring_index("host", ".", -n)
+    """hosts with the domain and suffix of their names: user, port and final dots are no part of a name, and an address is a domain of its own."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+    last = lambda n: F.substring_index("_name", ".", -n)
     two = last(2).isin(list(suffixes)) if suffixes else F.lit(False)
-    return hosts.withColumns({"domain": F.when(two, last(3)).otherwise(last(2)), "suffix": F.when(two, last(2)).otherwise(last(1))})
+    address = F.col("_name").rlike(ADDRESS)
+    named = {
+        "domain": F.when(address, F.col("_name")).when(two, last(3)).otherwise(last(2)), "suffix": F.when(address, NO_SUFFIX).when(two, last(2)).otherwise(last(1)),
+    }
+    return hosts.withColumn("_name", name).withColumns(named).drop("_name")
 
 
 def host_counts(urls: DataFrame, labels: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:

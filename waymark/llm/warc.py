@@ -62,9 +62,16 @@ def record_id(page_id: Column, digest: Column) -> Column:
     return F.concat_ws("-", F.concat(F.lit("urn:uuid:"), cut(1, 8)), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
 
 
+def percent_encoded(url: Column) -> Column:
+    """A url whose blanks and control characters are written as their codes; most urls have none and stay as they are."""
+    odd, each = r"[\x00-\x20\x7F]", F.split(url, "")
+    code = lambda c: F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c).cast("long")), 2, "0"))
+    return F.when(url.rlike(odd), F.array_join(F.transform(each, lambda c: F.when(c.rlike(odd), code(c)).otherwise(c)), "")).otherwise(url)
+
+
 def to_record(date: str) -> Column:
     """One WARC record over the columns of resolve(), without its end."""
-    uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")
+    uri = percent_encoded(F.coalesce("url", F.lit("")))
     revisit = F.col("record_type") == "revisit"
     line = lambda k, v: F.concat(F.lit(k + ": "), v, F.lit("\r\n"))
     http = F.concat(
