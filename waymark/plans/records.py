@@ -337,3 +337,17 @@ union all select collection, key, concat('sources[', i - 1, ']'), 'V12.uncited',
 def prose_checks(v):
     """Every prose rule over entities, reviews, articles and gear articles."""
     return prose.all_violations(prose_records(v))
+
+
+@query(
+    "V5_baked_checks",
+    rf"""with par as (select review_id as key, unnest(string_split(body, chr(10))) as t, concat('sections[0].paragraphs[', unnest(range(0, len(string_split(body, chr(10))))), ']') as field from v_review),
+      f as (select substr(owner_id, 2) as id, concat('faqs[', row_number() over (partition by owner_id order by pos, question, answer) - 1, ']') as slot, question, answer from v_faq),
+      all_texts as (select * from par union all select review_id, question, concat(slot, '.question') from v_review join f on concat('r', id) = review_id
+        union all select review_id, answer, concat(slot, '.answer') from v_review join f on concat('r', id) = review_id)
+    select key, field, regexp_extract(t, '{_OWN}', 0) as said from all_texts where regexp_matches(t, '{_OWN}')""",
+)
+def v5_baked(v):
+    """What every text of every review says of its own verification, questions and headings included."""
+    rows, key = prose_records(v)["review"]
+    return quality.baked_checks(prose.texts(rows, schema.REVIEW, key).withColumnRenamed("path", "field"))

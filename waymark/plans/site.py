@@ -502,18 +502,3 @@ def v13b(v):
     """Reviews that never state the year of their own event."""
     rows = v.v_review.join(v.v_entity.select("entity_id", "date_s"), "entity_id").select("review_id", F.col("date_s").alias("date"), F.col("body").alias("prose"))
     return quality.unstated_years(rows)
-
-
-@query(
-    "V5_baked_checks",
-    r"""with p as (select review_id as key, 'body' as field, body as text from v_review union all select concat('d', doc_id), 'summary', concat('Runs yearly. Confidence score of (', doc_id % 100, ') applies.') from documents where doc_id % 3 = 0
-      union all select concat('d', doc_id), 'faqs[0].answer', 'As of the last verification it was open. More.' from documents where doc_id % 3 = 1)
-    select key, field, regexp_extract(text, '(?i)(as of the last verification[^.]*|(last )?verified (as of|on|against[^.]*?as of)[^.]*?\d{4}|confidence (score|rating) (of )?\(?\d+\)?)') as said from p where said <> ''""",
-)
-def v5b(v):
-    """All prose pieces that state their own date of verification or confidence score."""
-    key = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key")
-    score = F.concat(F.lit("Runs yearly. Confidence score of ("), (F.col("doc_id") % 100).cast("string"), F.lit(") applies."))
-    one = v.documents.filter("doc_id % 3 = 0").select(key, F.lit("summary").alias("field"), score.alias("text"))
-    two = v.documents.filter("doc_id % 3 = 1").select(key, F.lit("faqs[0].answer").alias("field"), F.lit("As of the last verification it was open. More.").alias("text"))
-    return quality.baked_checks(v.v_review.select(F.col("review_id").alias("key"), F.lit("body").alias("field"), F.col("body").alias("text")).unionByName(one).unionByName(two))
