@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.sources.staged import package_on_workers
+
 AS_OF = "2000-01-01"
 SPARK = {"set": "array_sort(collect_set({}))", "lpad": "lpad(cast({} as string), 2, '0')", "mod": "{}"}
 DUCK = {"set": "list_sort(list(distinct {}))", "lpad": "lpad(cast({} as string), 2, '0')", "mod": "{}"}
@@ -113,6 +115,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        package_on_workers(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
