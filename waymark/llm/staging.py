@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import gc
-import os
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.sources.staged import remove, shared_path
+from waymark.sources.staged import package_on_workers, remove, shared_path  # noqa: F401
 
 
 def release(spark: SparkSession) -> None:
@@ -27,14 +25,6 @@ def shrink(spark: SparkSession) -> None:
     spark.range(0, 2 * n, 1, 2 * n).selectExpr("java_method('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
 
 
-def package_on_workers(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed but lies in a folder they can read."""
-    root = str(Path(__file__).resolve().parents[2])
-    known = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (known, root)))
-
-
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "8m"):
     """Bounds the batches that tasks exchange with Python while a job is planned and run."""
