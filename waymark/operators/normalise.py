@@ -27,16 +27,20 @@ ANSWER = """title string, seo_title string, meta_description string, dek string,
   highlights array<string>, watchouts array<string>, sentiment_scores struct<overall: double>, research_confidence string,
   ai_summary string, short_description string, pros array<string>, cons array<string>"""
 
+#: What a summary's rules look at.
+SUMMARY = "ai_summary string, short_description string, pros array<string>, cons array<string>, faqs array<struct<question: string, answer: string>>"
+
 
 def said(x: Column) -> Column:
     """Whether a text says anything."""
     return F.coalesce(F.trim(x) != "", F.lit(False))
 
 
-def parsed(answers: DataFrame, column: str = "json") -> DataFrame:
-    """answers with `a`, their JSON object as a record; null where there is none."""
+def parsed(answers: DataFrame, column: str = "json", fields: str = ANSWER) -> DataFrame:
+    """answers with `a`, their JSON object as a record; null where there is none. A text is read once for each row, however many columns
+    are made of it: as an exploded list of one, as the optimizer would write the reading into every place that names `a`."""
     found = F.try_parse_json(column).isNotNull() & F.col(column).rlike(r"^\s*\{")
-    return answers.withColumn("a", F.when(found, F.from_json(column, ANSWER)))
+    return answers.withColumn("a", F.explode(F.array(F.when(found, F.from_json(column, fields)))))
 
 
 def _kept(items: Column, fits, shape) -> Column:
@@ -104,11 +108,12 @@ def research(answers: DataFrame, as_of: str) -> DataFrame:
 
 def summary_problems(answers: DataFrame) -> DataFrame:
     """answers with `problems` (V15), the list of what is wrong with a summary."""
-    a, words = F.col("a"), lambda f: word_count(f["answer"])
+    a = F.col("a")
     low, high = FAQ_WORDS
-    entry = lambda f: F.when(~(F.coalesce(f["question"] != "", F.lit(False)) & F.coalesce(f["answer"] != "", F.lit(False))), HALF_FAQ).when(
-        ~words(f).between(low, high), F.concat(F.lit("faq answer is "), words(f).cast("string"), F.lit(" words"))
-    )
+    filled = lambda f: F.coalesce(f["question"] != "", F.lit(False)) & F.coalesce(f["answer"] != "", F.lit(False))
+    # of an entry that isn't whole the number of words is null
+    words = F.transform(a["faqs"], lambda f: F.when(filled(f), word_count(f["answer"])))
+    entry = lambda n: F.when(n.isNull(), HALF_FAQ).when(~n.between(low, high), F.concat(F.lit("faq answer is "), n.cast("string"), F.lit(" words")))
     fixed = F.array(
         F.when(~said(a["ai_summary"]), NO_SUMMARY),
         F.when(~said(a["short_description"]), NO_DESCRIPTION).when(F.length(a["short_description"]) > DESCRIPTION, LONG_DESCRIPTION),
@@ -116,6 +121,12 @@ def summary_problems(answers: DataFrame) -> DataFrame:
         F.when(a["cons"].isNull(), NO_CONS),
         F.when(F.coalesce(F.size(a["faqs"]), F.lit(0)) <= 0, NO_FAQS),
     )
-    some = F.coalesce(F.transform(a["faqs"], entry), F.array().cast("array<string>"))
+    some = F.coalesce(F.transform(words, entry), F.array().cast("array<string>"))
     whole = F.array(F.lit(NO_OBJECT))
     return answers.withColumn("problems", F.when(a.isNull(), whole).otherwise(F.array_compact(F.concat(fixed, some))))
+
+
+def problem_rows(answers: DataFrame) -> DataFrame:
+    """(ord, problem): what is wrong with each summary, one row for each problem."""
+    # the outer form, as an inner one filters by the list first, which is then made several times
+    return summary_problems(answers).select("ord", F.explode_outer("problems").alias("problem")).filter("problem is not null")
