@@ -1,7 +1,9 @@
 """Work that must not be repeated or grow faster than the input: plans and sizes on hand-made records."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
-from waymark.operators import normalise
+from waymark.operators import linking, normalise
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,3 +28,28 @@ def test_answers_are_dealt_out_before_they_are_read(spark):
 def test_the_sitemap_holds_every_region_with_entities(spark):
     paths = {r["path"] for r in __spark_entry__.queries()["S8_sitemap"](spark, SMALL).filter("path like '/regions/%'").collect()}
     assert {"/regions/root", *(f"/regions/r{i}" for i in range(5))} <= paths
+
+
+def test_copies_of_an_interval_meet_once(spark):
+    rows = lambda n, at: spark.createDataFrame([(f"{at}{i}", i, "r", "2024-01-01", "2024-01-02") for i in range(n)], "entity_id string, ord int, region_id string, start string, end string")
+    days = lambda df: df.withColumns({c: F.to_date(c) for c in ("start", "end")})
+    found = linking.interval_duplicates(days(rows(300, "c")), days(rows(300, "x")))
+    assert {tuple(r) for r in found.collect()} == {(f"c{i}", "x0") for i in range(300)}
+    joins = [j for j in rows_of_joins(found) if j > 0]
+    assert joins and max(joins) <= 300
+
+
+def rows_of_joins(df):
+    """Rows that each join of a plan that has run gave."""
+    def walk(p):
+        if p.nodeName() == "AdaptiveSparkPlan":
+            p = p.executedPlan()
+        if p.nodeName().endswith("QueryStage") or "QueryStage" in p.nodeName():
+            p = p.plan()
+        if "Join" in p.nodeName():
+            yield int(p.metrics().apply("numOutputRows").value())
+        children = p.children()
+        for i in range(children.size()):
+            yield from walk(children.apply(i))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))

@@ -12,6 +12,7 @@ from waymark.functions.text import slugify
 from waymark.operators import linking, schema
 from waymark.operators.lifecycle import first_reason
 from waymark.operators.normalise import DESCRIPTION, DRAFT_SCORE, said
+from waymark.sources.staged import written
 
 #: Stands for a summary that is still to be written.
 PENDING = "Summary pending."
@@ -74,7 +75,9 @@ def ledger(candidates: DataFrame, existing: DataFrame, categories: DataFrame, re
         ("scope", ~in_ranges(F.col("distance_km"), ranges)), ("duplicate", F.col("exact").isNotNull() | F.col("met").isNotNull()), ("schema", F.size("issues") > 0),
     ])
     judged = checked.withColumn("reason", reason).withColumn("duplicate_of", F.coalesce("exact", "met"))
+    # read twice below, so it is computed and written once
+    judged = written(judged.drop("taken", "fact_issues", "issues", "exact", "met"), "ledger")
     first = judged.filter("reason is null").groupBy("slug").agg(F.min("ord").alias("first_ord"))
     later = (F.col("ord") > F.col("first_ord")) & (F.coalesce("reason", F.lit("")) != "name")
     out = judged.join(first, "slug", "left").withColumn("reason", F.when(F.coalesce(later, F.lit(False)), "slug").otherwise(F.col("reason")))
-    return out.drop("taken", "fact_issues", "issues", "exact", "met", "first_ord")
+    return out.drop("first_ord")
