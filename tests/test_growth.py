@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from waymark.operators import linking, normalise
+from waymark.operators import guides, linking, normalise
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -53,3 +53,13 @@ def rows_of_joins(df):
             yield from walk(children.apply(i))
 
     return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_a_guides_values_and_matches_are_made_once(spark):
+    rows = spark.createDataFrame([(f"e{i}", i, "r", "c", "active", ["t"], [1.0], f'{{"a": {i}}}') for i in range(5)], "entity_id string, ord int, region_id string, category_id string, status string, tags array<string>, numeric_facts array<double>, j string")
+    rows = rows.withColumn("core_facts", F.parse_json("j")).drop("j")
+    regions = spark.createDataFrame([("r", None, "city")], "region_id string, parent_region_id string, granularity string")
+    categories = spark.createDataFrame([("c", "C", 0.0, None, 1)], "category_id string, label string, min_v double, max_v double, ord int")
+    found = guides.resolve(rows, regions, categories, [{"id": "g", "facts": [("a", "gt", 1), ("a", "lt", 9)], "sort_by": "a", "limit": 2}, {"id": "h", "facts": [("a", "eq", 3)], "limit": 2}])
+    assert plan(found).count("try_variant_get(core_facts") + plan(found).count("variantGet(core_facts") <= 1 and plan(found).count("'g'") + plan(found).count(" g AS guide_id") <= 1
+    assert sorted(map(tuple, found.collect())) == [("g", 1, "e4"), ("g", 2, "e3"), ("h", 1, "e3")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import product
 
@@ -72,13 +73,13 @@ def _path(field: str) -> list[str]:
     return ["$" + "".join(p) for p in product(*steps)]
 
 
-def value_of(rows: DataFrame, field: str, column_first: bool = False) -> Value:
+def value_of(rows: DataFrame, field: str, column_first: bool = False, found: dict[str, str] | None = None) -> Value:
     """The value of a field of rows: a path into the open facts if rows have them, else the column of that name; what is in neither
-    is missing. column_first prefers a column, as orders do."""
+    is missing. column_first prefers a column, as orders do. found names columns that hold what lies on paths."""
     typed = {f.name: f.dataType for f in rows.schema}
     if FACTS in typed and not (column_first and field in typed and field != FACTS):
-        found = [F.try_variant_get(F.col(FACTS), p, "variant") for p in _path(field)]
-        x = F.coalesce(*found) if found else F.lit(None).cast("variant")
+        at = [F.col(found[p]) if found else F.try_variant_get(F.col(FACTS), p, "variant") for p in _path(field)]
+        x = F.coalesce(*at) if at else F.lit(None).cast("variant")
         kind, number, text = _of_variant(x)
         shown = F.when(kind.isin("missing", "null"), "").otherwise(F.try_variant_get(x, "$", "string"))
         items = F.when(kind == "list", F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y: _item(_of_variant(y))))
@@ -94,6 +95,28 @@ def value_of(rows: DataFrame, field: str, column_first: bool = False) -> Value:
     return Value(kind, number, text, F.coalesce(F.to_json(x) if isinstance(of, (T.StructType, T.MapType)) else x.cast("string"), F.lit("")), F.lit(None).cast(NO_ITEMS))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once for each row, however many expressions and filters use them: an exploded list of one, which the
+    optimizer moves no expression across."""
+    if not columns:
+        return rows
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return rows.select("*", F.explode(F.array(made)).alias("_once")).select("*", *(F.col(f"_once.{n}").alias(n) for n in columns)).drop("_once")
+
+
+def values_of(rows: DataFrame, wanted: Iterable[tuple[str, bool]]) -> tuple[DataFrame, dict[tuple[str, bool], Value]]:
+    """rows with the values of fields, each computed once, and those values by (field, column_first)."""
+    wanted = list(wanted)
+    open_facts = any(f.name == FACTS for f in rows.schema)
+    paths = dict.fromkeys(p for f, _ in wanted for p in _path(f)) if open_facts else {}
+    found = {p: f"_x{i}" for i, p in enumerate(paths)}
+    rows = once(rows, **{n: F.try_variant_get(F.col(FACTS), p, "variant") for p, n in found.items()})
+    values = {w: value_of(rows, *w, found) for w in wanted}
+    parts = ("kind", "number", "text", "shown", "items")
+    rows = once(rows, **{f"_v{i}": F.struct(*(getattr(v, p).alias(p) for p in parts)) for i, v in enumerate(values.values())})
+    return rows.drop(*found.values()), {w: Value(*(F.col(f"_v{i}.{p}") for p in parts)) for i, w in enumerate(values)}
+
+
 def _same(kind: Column, number: Column, text: Column, x) -> Column:
     """Whether a value is x: of its type as well."""
     if x is None:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.facts import holds, sort_keys, value_of
+from waymark.functions.facts import holds, sort_keys, values_of
 from waymark.operators.categories import with_categories
 from waymark.operators.fingerprint import long_fingerprints
 from waymark.operators.hierarchy import closure
@@ -41,11 +41,13 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
     Facts are paths into the open facts, if entities have that VARIANT, or columns; an order is by a column, or by a path. Values keep their
     own types: numbers, texts and dates sort as such, mixed ones by type first, missing ones last.
 
-    All guides share one scan: each is a Column, and an entity carries the list of guides it matches."""
+    All guides share one scan: each is a Column, and an entity carries the list of guides it matches. Values that guides look at, and the
+    list, are made once for each entity; matches are written once if guides without a bound read them as well."""
     if not guides:
         return entities.sparkSession.createDataFrame([], "guide_id string, rank int, entity_id string")
     rolled = closure(regions).groupBy("region_id").agg(F.collect_set("anc").alias("ancestors"))
     wide = with_categories(entities, categories).join(rolled, "region_id", "left")
+    wide, values = values_of(wide, dict.fromkeys([*((f, False) for g in guides for f, _, _ in g.get("facts", ())), *((g["sort_by"], True) for g in guides if g.get("sort_by"))]))
     hits = []
     for g in guides:
         c = published()
@@ -56,19 +58,22 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
         if g.get("tags_any"):
             c &= F.arrays_overlap("tags", F.lit(list(g["tags_any"])))
         for field, op, value in g.get("facts", ()):
-            c &= holds(value_of(wide, field), op, value)
+            c &= holds(values[field, False], op, value)
         pins = list(g.get("pins", ()))
         pin = F.array_position(F.lit(pins), F.col("entity_id")) if pins else F.lit(0)
-        sort = sort_keys(value_of(wide, g["sort_by"] or "", column_first=True), g.get("descending", True)) if g.get("sort_by") else dict.fromkeys(("kind", "number", "up", "down"), F.lit(None))
+        sort = sort_keys(values[g["sort_by"], True], g.get("descending", True)) if g.get("sort_by") else dict.fromkeys(("kind", "number", "up", "down"), F.lit(None))
         keys = (k.cast(t).alias(n) for (n, k), t in zip(sort.items(), ("int", "double", "string", "string"), strict=True))
         place = F.struct(F.lit(g["id"]).alias("guide_id"), *keys, (~c).alias("pinned"), pin.alias("pin"), F.lit(g.get("limit") or 0).alias("limit"))
         hits.append(F.when(c | (pin > 0), place))
-    each = wide.select("entity_id", "ord", F.explode(F.array_compact(F.array(*hits))).alias("g")).select("entity_id", "ord", "g.*")
+    # the outer form, as an inner one filters by the list first, which is then made several times
+    each = wide.select("entity_id", "ord", F.explode_outer(F.array_compact(F.array(*hits))).alias("g")).filter("g is not null").select("entity_id", "ord", "g.*")
     each = each.withColumn("pin", F.when(F.col("pinned"), F.col("pin")))
     order = [*(F.col(k).asc_nulls_last() for k in ("kind", "number", "up")), F.col("down").desc_nulls_last(), F.asc("pinned"), F.asc("pin"), F.asc("ord")]
     # a bound that is known beforehand lets tasks drop all rows behind it before the shuffle
     limits = [g.get("limit") or 0 for g in guides]
     few, parts = [x for x in limits if 0 < x <= TOP], []
+    if len(few) < len(limits):
+        each = written(each, "matches")
     if few:
         top = each.filter(F.col("limit").between(1, TOP)).withColumn("rank", F.row_number().over(Window.partitionBy("guide_id").orderBy(*order)))
         parts.append(top.filter(F.col("rank") <= max(few)))

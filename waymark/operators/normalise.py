@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions.facts import once
 from waymark.functions.text import strip_artifacts, word_count
 from waymark.operators import schema
 
@@ -38,9 +39,9 @@ def said(x: Column) -> Column:
 
 def parsed(answers: DataFrame, column: str = "json", fields: str = ANSWER) -> DataFrame:
     """answers with `a`, their JSON object as a record; null where there is none. A text is read once for each row, however many columns
-    are made of it: as an exploded list of one, as the optimizer would write the reading into every place that names `a`."""
+    are made of it."""
     found = F.try_parse_json(column).isNotNull() & F.col(column).rlike(r"^\s*\{")
-    return answers.withColumn("a", F.explode(F.array(F.when(found, F.from_json(column, fields)))))
+    return once(answers, a=F.when(found, F.from_json(column, fields)))
 
 
 def _kept(items: Column, fits, shape) -> Column:
