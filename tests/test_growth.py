@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from waymark.operators import guides, linking, normalise
+from waymark.functions import text
+from waymark.operators import guides, linking, normalise, schema
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -63,3 +64,16 @@ def test_a_guides_values_and_matches_are_made_once(spark):
     found = guides.resolve(rows, regions, categories, [{"id": "g", "facts": [("a", "gt", 1), ("a", "lt", 9)], "sort_by": "a", "limit": 2}, {"id": "h", "facts": [("a", "eq", 3)], "limit": 2}])
     assert plan(found).count("try_variant_get(core_facts") + plan(found).count("variantGet(core_facts") <= 1 and plan(found).count("'g'") + plan(found).count(" g AS guide_id") <= 1
     assert sorted(map(tuple, found.collect())) == [("g", 1, "e4"), ("g", 2, "e3"), ("h", 1, "e3")]
+
+
+def test_scrubbing_splits_a_text_once(spark):
+    rows = spark.createDataFrame([("Entries are closed. They reopen in May. That is it. A race, and registration is open!",), ("Registration is open.",), ("",)], "t string")
+    out = rows.select(text.scrub(F.col("t")).alias("t"))
+    assert plan(out).count("split(") == 1
+    assert [r["t"] for r in out.collect()] == ["That is it. A race!", "Registration is open.", ""]
+
+
+def test_issues_are_made_once(spark):
+    found = schema.quarantined(spark.createDataFrame([("a", "x"), ("b", None)], "k string, label string"), (schema.text("label", pattern="^y$"),), "k")
+    assert plan(found).count("RLIKE") + plan(found).count("rlike") == 1
+    assert sorted(map(tuple, found.collect())) == [("a", "label", "pattern"), ("b", "label", "required")]

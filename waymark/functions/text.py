@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +88,11 @@ def availability(status: Column, as_of: str) -> Column:
     return F.when(F.trim(status) == "", None).when(s.rlike(CLOSED), "closed").when(is_open, "open").when(soon & ~late, "not_yet_open")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, where use names it several times or inside a list's function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_status_sentence(sentence: Column) -> Column:
     return F.trim(sentence).rlike(SENTENCE) & F.trim(sentence).rlike(STATUS)
 
@@ -94,26 +101,31 @@ def scrub(text: Column, allow_empty: bool = False) -> Column:
     """Text without claims about a registration's status: whole sentences that state one and no price, the follow-on
     sentence that only restates it, and a clause that ends a sentence. If nothing is left the text stays, unless it
     may be empty. A fold over the sentences carries whether the last one took the next with it."""
-    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
-    paired = F.transform(parts, lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get(parts, i + 1), F.lit("")).alias("next")))
+    cut_up = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
     def clause(s: Column) -> Column:
         body, tail = F.regexp_extract(s, r"^([\s\S]*?)([.!?]*)$", 1), F.regexp_extract(s, r"^([\s\S]*?)([.!?]*)$", 2)
-        claim = F.regexp_extract(body, f"({CLAUSE})", 1)
-        rest = F.trim(F.substring(body, F.lit(1), F.length(body) - F.length(claim)))
-        cut = (claim != "") & claim.rlike(STATUS) & ~claim.rlike(PRICE) & (rest != "")
-        return F.when(cut, F.concat(rest, F.when(tail == "", ".").otherwise(tail))).otherwise(s)
+        shorter = lambda b, claim, rest: F.when(
+            (claim != "") & claim.rlike(STATUS) & ~claim.rlike(PRICE) & (rest != ""), F.concat(rest, F.when(tail == "", ".").otherwise(tail))
+        ).otherwise(s)
+        rest = lambda b, claim: F.trim(F.substring(b, F.lit(1), F.length(b) - F.length(claim)))
+        return bound(body, lambda b: bound(F.regexp_extract(b, f"({CLAUSE})", 1), lambda claim: bound(rest(b, claim), lambda r: shorter(b, claim, r))))
+
+    def judged(s: Column, after: Column) -> Column:
+        """A sentence, whether it names what a claim is about, whether it goes, and whether it takes the next one with it."""
+        about = s.rlike(f"(?i){SUBJECT}")  # no claim is without it, and most sentences are
+        goes = lambda follows: about & is_status_sentence(s) & ~s.rlike(PRICE) & ~(follows & ~after.rlike(SIGN_UP))
+        return bound(after.rlike(BACK), lambda f: bound(goes(f), lambda g: F.struct(s.alias("s"), about.alias("about"), g.alias("goes"), (g & f).alias("takes"))))
 
     def step(acc: Column, x: Column) -> Column:
-        follows = x["next"].rlike(BACK)
-        dangles = follows & ~x["next"].rlike(SIGN_UP)
-        drop = ~acc["skip"] & is_status_sentence(x["s"]) & ~x["s"].rlike(PRICE) & ~dangles
-        keep = F.when(acc["skip"] | drop, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(clause(x["s"]))))
-        return F.struct(keep.alias("kept"), (drop & follows).alias("skip"))
+        keep = F.when(acc["skip"] | x["goes"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(F.when(x["about"], clause(x["s"])).otherwise(x["s"]))))
+        return F.struct(keep.alias("kept"), (~acc["skip"] & x["takes"]).alias("skip"))
 
+    # a sentence looks at the next one in a list that is made once, not once for each sentence
+    sentences = bound(cut_up, lambda parts: F.transform(parts, lambda s, i: judged(s, F.coalesce(F.get(parts, i + 1), F.lit("")))))
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("skip"))
-    out = F.trim(F.aggregate(paired, zero, step, lambda a: F.array_join(a["kept"], " ")))
-    out = out if allow_empty else F.when(out == "", text).otherwise(out)
+    out = F.trim(F.aggregate(sentences, zero, step, lambda a: F.array_join(a["kept"], " ")))
+    out = out if allow_empty else bound(out, lambda o: F.when(o == "", text).otherwise(o))
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", text).otherwise(out)
 
 
