@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.functions.facts import once
 from waymark.functions.text import CHUNK_REF, own_check, word_count
 from waymark.operators import schema
 from waymark.operators.linking import CITATION
@@ -85,7 +86,7 @@ def violations(rows: DataFrame, collection: str, key: str) -> DataFrame:
     broken = lambda p: F.array_compact(
         F.array(*(F.when(p["place"].isin(*seen) & bad(p["text"]), issue(p["path"], rule, severity, none)) for rule, severity, bad, seen in rules))
     )
-    held = rows.select(F.col(key).cast("string").alias("key"), pieces(rows, fields).alias("pieces"), *(["sources"] if "sources" in rows.columns else []))
+    held = once(rows, _pieces=pieces(rows, fields)).select(F.col(key).cast("string").alias("key"), F.col("_pieces").alias("pieces"), *(["sources"] if "sources" in rows.columns else []))
     found = [F.flatten(F.transform("pieces", broken))]
     if "sources" in rows.columns:
         numbers = F.coalesce(F.transform("sources", lambda s: s["n"].cast("long")), F.array().cast("array<bigint>"))
@@ -95,7 +96,8 @@ def violations(rows: DataFrame, collection: str, key: str) -> DataFrame:
         silent = F.filter(F.transform(numbers, lambda n, i: F.struct(n.alias("n"), i.alias("i"))), lambda s: ~F.array_contains(cited, s["n"]))
         at = lambda s: F.concat(F.lit("sources["), s["i"].cast("string"), F.lit("]"))
         found += [F.flatten(lost), F.transform(silent, lambda s: issue(at(s), "V12.uncited", "warning", s["n"]))]
-    return held.select(F.lit(collection).alias("collection"), "key", F.inline(F.concat(*found)))
+    # the outer form, as an inner one filters by the list first, which is then made several times
+    return held.select(F.lit(collection).alias("collection"), "key", F.inline_outer(F.concat(*found))).filter("rule is not null")
 
 
 def all_violations(collections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
