@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from waymark.functions import text
 from waymark.operators import guides, linking, normalise, schema
+from waymark.plans import records
+from waymark.plans.views import AS_OF, Views
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -77,3 +79,12 @@ def test_issues_are_made_once(spark):
     found = schema.quarantined(spark.createDataFrame([("a", "x"), ("b", None)], "k string, label string"), (schema.text("label", pattern="^y$"),), "k")
     assert plan(found).count("RLIKE") + plan(found).count("rlike") == 1
     assert sorted(map(tuple, found.collect())) == [("a", "label", "pattern"), ("b", "label", "required")]
+
+
+def test_run_counters_read_an_answer_once(spark):
+    v = Views(spark, SMALL)
+    found = records._answered(v)
+    assert plan(found).count("from_json") == 1
+    answers = normalise.parsed(v.v_reply)
+    apart = normalise.research(answers, AS_OF).groupBy("outcome").count().collect(), normalise.gate(normalise.review(answers, AS_OF)).groupBy("outcome").count().collect()
+    assert [sorted(map(tuple, found.groupBy(c).count().collect())) for c in ("research", "reviews")] == [sorted(map(tuple, x)) for x in apart]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -145,12 +145,22 @@ def counters(runs: dict[str, DataFrame]) -> DataFrame:
 def observed(rows: DataFrame, run: str, outcomes: Sequence[str], tag: str) -> tuple[DataFrame, DataFrame]:
     """rows as a written table, and their counters (run, outcome, n) by `outcome`, counted while the table was written: the rows are computed once.
     Only outcomes that occur have a row; an outcome that is not in outcomes is counted as other."""
-    seen, names = Observation(), {f"n{i}": o for i, o in enumerate(outcomes)}
-    of = F.col("outcome")
-    metrics = [F.count_if(of.eqNullSafe(F.lit(o))).alias(n) for n, o in names.items()] + [F.count_if(~F.coalesce(of.isin(*outcomes), F.lit(False))).alias("rest")]
+    return observed_runs(rows, {run: ("outcome", outcomes)}, tag)
+
+
+def observed_runs(rows: DataFrame, runs: Mapping[str, tuple[str, Sequence[str]]], tag: str) -> tuple[DataFrame, DataFrame]:
+    """The same for several runs over the same rows, each a column of outcomes and those it may have: one table holds what became of a
+    row in all of them."""
+    seen, names, metrics = Observation(), {}, []
+    for i, (run, (column, outcomes)) in enumerate(runs.items()):
+        of = F.col(column)
+        counts = [(o, F.count_if(of.eqNullSafe(F.lit(o)))) for o in outcomes] + [("other", F.count_if(~F.coalesce(of.isin(*outcomes), F.lit(False))))]
+        for j, (outcome, count) in enumerate(counts):
+            names[f"n{i}_{j}"] = (run, outcome)
+            metrics.append(count.alias(f"n{i}_{j}"))
     table = written(rows.observe(seen, *metrics), tag)
-    got = {names.get(k, "other"): n for k, n in seen.get.items() if n}
-    return table, rows.sparkSession.createDataFrame([(run, o, n) for o, n in got.items()], "run string, outcome string, n bigint")
+    got = [(*names[k], n) for k, n in seen.get.items() if n]
+    return table, rows.sparkSession.createDataFrame(got, "run string, outcome string, n bigint")
 
 
 def source_health(fetches: DataFrame) -> DataFrame:
