@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from waymark.functions import text
+from waymark.functions import facts, text
 from waymark.operators import guides, linking, normalise, schema
 from waymark.plans import records
 from waymark.plans.views import AS_OF, Views
@@ -88,3 +88,25 @@ def test_run_counters_read_an_answer_once(spark):
     answers = normalise.parsed(v.v_reply)
     apart = normalise.research(answers, AS_OF).groupBy("outcome").count().collect(), normalise.gate(normalise.review(answers, AS_OF)).groupBy("outcome").count().collect()
     assert [sorted(map(tuple, found.groupBy(c).count().collect())) for c in ("research", "reviews")] == [sorted(map(tuple, x)) for x in apart]
+
+
+def test_orders_are_dealt_out_before_entities_are_matched(spark):
+    assert "RepartitionByExpression" in plan(Views(spark, SMALL).v_entity)
+
+
+def test_kinds_of_open_facts_are_found_once(spark):
+    rows = spark.createDataFrame([(1, '{"a": [1, "x"], "b": 2}'), (2, '{"a": "x1", "b": "y"}'), (3, "{}")], "ord int, j string").select("ord", F.parse_json("j").alias("core_facts"))
+    made, values = facts.values_of(rows, [("a", False), ("b", False), ("b", True)], {"a"})
+    assert plan(made.select("ord", *(values[w].number for w in values), values["b", True].text.alias("t"), facts.holds(values["b", False], "gt", 1).alias("g"))).count("schema_of_variant") <= 2
+    hit = made.select("ord", facts.holds(values["a", False], "contains", "x").alias("a"), facts.holds(values["b", False], "eq", 2).alias("b"))
+    assert sorted(map(tuple, hit.collect())) == [(1, True, True), (2, True, False), (3, False, False)]
+
+
+def test_only_answers_about_listed_entities_are_read(spark):
+    found = plan(__spark_entry__.queries()["A17_guide_tallies"](spark, SMALL))
+    assert found.count("LeftSemi") == 1 and found.count("from_json") == 1
+
+
+def test_briefs_and_summaries_resolve_the_guides_once(spark):
+    for name in ("A10_guide_summaries", "A11_guide_briefs"):
+        assert "lineitem" not in plan(__spark_entry__.queries()[name](spark, SMALL)) and "l_orderkey" not in plan(__spark_entry__.queries()[name](spark, SMALL))

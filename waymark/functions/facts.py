@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass
 from itertools import product
 
@@ -33,15 +33,34 @@ def _as_number(kind: Column, number: Column, text: Column) -> Column:
     return F.when(kind.isin("number", "bool"), number).when(kind == "text", of_text).when(kind == "null", 0.0)
 
 
-def _of_variant(x: Column) -> tuple[Column, Column, Column]:
-    """(kind, number, text) of a VARIANT."""
+def _kind_of_variant(x: Column) -> Column:
     name = F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
-    kind = (
+    return (
         F.when(x.isNull(), "missing").when(F.is_variant_null(x), "null").when(name.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "number").when(name == "STRING", "text")
         .when(name == "BOOLEAN", "bool").when(name == "ARRAY", "list").otherwise("other")
     )
-    number = F.when(kind == "number", F.try_variant_get(x, "$", "double")).when(kind == "bool", F.try_variant_get(x, "$", "boolean").cast("double"))
-    return kind, number, F.when(kind == "text", F.try_variant_get(x, "$", "string"))
+
+
+def _number_of_variant(kind: Column, x: Column) -> Column:
+    return F.when(kind == "number", F.try_variant_get(x, "$", "double")).when(kind == "bool", F.try_variant_get(x, "$", "boolean").cast("double"))
+
+
+def _text_of_variant(kind: Column, x: Column) -> Column:
+    return F.when(kind == "text", F.try_variant_get(x, "$", "string"))
+
+
+def _shown_of_variant(kind: Column, x: Column) -> Column:
+    return F.when(kind.isin("missing", "null"), "").otherwise(F.try_variant_get(x, "$", "string"))
+
+
+def _items_of_variant(kind: Column, x: Column) -> Column:
+    return F.when(kind == "list", F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y: _item(_of_variant(y))))
+
+
+def _of_variant(x: Column) -> tuple[Column, Column, Column]:
+    """(kind, number, text) of a VARIANT."""
+    kind = _kind_of_variant(x)
+    return kind, _number_of_variant(kind, x), _text_of_variant(kind, x)
 
 
 def _of_column(x: Column, of: T.DataType) -> tuple[Column, Column, Column]:
@@ -81,9 +100,7 @@ def value_of(rows: DataFrame, field: str, column_first: bool = False, found: dic
         at = [F.col(found[p]) if found else F.try_variant_get(F.col(FACTS), p, "variant") for p in _path(field)]
         x = F.coalesce(*at) if at else F.lit(None).cast("variant")
         kind, number, text = _of_variant(x)
-        shown = F.when(kind.isin("missing", "null"), "").otherwise(F.try_variant_get(x, "$", "string"))
-        items = F.when(kind == "list", F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda y: _item(_of_variant(y))))
-        return Value(kind, number, text, shown, items)
+        return Value(kind, number, text, _shown_of_variant(kind, x), _items_of_variant(kind, x))
     if field not in typed:
         none = F.lit(None)
         return Value(F.lit("missing"), none.cast("double"), none.cast("string"), F.lit(""), none.cast(NO_ITEMS))
@@ -104,17 +121,31 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(made)).alias("_once")).select("*", *(F.col(f"_once.{n}").alias(n) for n in columns)).drop("_once")
 
 
-def values_of(rows: DataFrame, wanted: Iterable[tuple[str, bool]]) -> tuple[DataFrame, dict[tuple[str, bool], Value]]:
-    """rows with the values of fields, each computed once, and those values by (field, column_first)."""
+def values_of(rows: DataFrame, wanted: Iterable[tuple[str, bool]], looked_into: Collection[str] | None = None) -> tuple[DataFrame, dict[tuple[str, bool], Value]]:
+    """rows with the values of fields, each computed once, and those values by (field, column_first). Typed columns are values as they are. What lies
+    on a path is found once, then its kind, then the parts that rest on the kind; elements are made for the fields that are looked into, if these are given."""
     wanted = list(wanted)
-    open_facts = any(f.name == FACTS for f in rows.schema)
-    paths = dict.fromkeys(p for f, _ in wanted for p in _path(f)) if open_facts else {}
+    typed = {f.name for f in rows.schema}
+    is_open = lambda f, first: FACTS in typed and not (first and f in typed and f != FACTS)
+    paths = dict.fromkeys(p for f, first in wanted if is_open(f, first) for p in _path(f))
     found = {p: f"_x{i}" for i, p in enumerate(paths)}
     rows = once(rows, **{n: F.try_variant_get(F.col(FACTS), p, "variant") for p, n in found.items()})
-    values = {w: value_of(rows, *w, found) for w in wanted}
-    parts = ("kind", "number", "text", "shown", "items")
-    rows = once(rows, **{f"_v{i}": F.struct(*(getattr(v, p).alias(p) for p in parts)) for i, v in enumerate(values.values())})
-    return rows.drop(*found.values()), {w: Value(*(F.col(f"_v{i}.{p}") for p in parts)) for i, w in enumerate(values)}
+    values = {w: value_of(rows, *w, found) for w in wanted if not is_open(*w)}
+    # one field is one value, be it a fact or an order
+    names = {f: f"_v{i}" for i, f in enumerate(dict.fromkeys(f for f, first in wanted if is_open(f, first)))}
+    at = {n: [F.col(found[p]) for p in _path(f)] for f, n in names.items()}
+    rows = rows.withColumns({n: F.coalesce(*x) if x else F.lit(None).cast("variant") for n, x in at.items()})
+    rows = rows.withColumns({f"{n}_kind": _kind_of_variant(F.col(n)) for n in names.values()})
+    parts = {}
+    for f, n in names.items():
+        x, kind, number, text, shown, items = F.col(n), *(F.col(f"{n}_{p}") for p in ("kind", "number", "text", "shown", "items"))
+        parts |= {f"{n}_number": _number_of_variant(kind, x), f"{n}_text": _text_of_variant(kind, x), f"{n}_shown": _shown_of_variant(kind, x)}
+        if looked_into is None or f in looked_into:
+            parts[f"{n}_items"] = _items_of_variant(kind, x)
+        else:
+            items = F.lit(None).cast(NO_ITEMS)
+        values |= {w: Value(kind, number, text, shown, items) for w in wanted if w[0] == f and is_open(*w)}
+    return rows.withColumns(parts).drop(*found.values(), *names.values()), values
 
 
 def _same(kind: Column, number: Column, text: Column, x) -> Column:

@@ -41,15 +41,20 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
     Facts are paths into the open facts, if entities have that VARIANT, or columns; an order is by a column, or by a path. Values keep their
     own types: numbers, texts and dates sort as such, mixed ones by type first, missing ones last.
 
-    All guides share one scan: each is a Column, and an entity carries the list of guides it matches. Values that guides look at, and the
-    list, are made once for each entity; matches are written once if guides without a bound read them as well."""
+    All guides share one scan: each is a Column, and an entity carries the numbers of the guides it matches; what a row of a guide is ranked by comes
+    after that, from the keys of its order, which are made once for each entity and order. Matches are written once if guides without a bound read them as well."""
     if not guides:
         return entities.sparkSession.createDataFrame([], "guide_id string, rank int, entity_id string")
     rolled = closure(regions).groupBy("region_id").agg(F.collect_set("anc").alias("ancestors"))
     wide = with_categories(entities, categories).join(rolled, "region_id", "left")
-    wide, values = values_of(wide, dict.fromkeys([*((f, False) for g in guides for f, _, _ in g.get("facts", ())), *((g["sort_by"], True) for g in guides if g.get("sort_by"))]))
+    orders = dict.fromkeys((g["sort_by"], g.get("descending", True)) for g in guides if g.get("sort_by"))
+    asked = [(f, op) for g in guides for f, op, _ in g.get("facts", ())]
+    wide, values = values_of(wide, dict.fromkeys([*((f, False) for f, _ in asked), *((f, True) for f, _ in orders)]), {f for f, op in asked if op == "contains"})
+    kinds = {"kind": "int", "number": "double", "up": "string", "down": "string"}
+    keys = {o: {k: f"_s{i}_{k}" for k in kinds} for i, o in enumerate(orders)}
+    wide = wide.withColumns({keys[o][k]: c.cast(kinds[k]) for o in orders for k, c in sort_keys(values[o[0], True], o[1]).items()})
     hits = []
-    for g in guides:
+    for i, g in enumerate(guides):
         c = published()
         if g.get("region_id"):
             c &= F.coalesce(F.array_contains("ancestors", g["region_id"]), F.lit(False))
@@ -59,15 +64,19 @@ def resolve(entities: DataFrame, regions: DataFrame, categories: DataFrame, guid
             c &= F.arrays_overlap("tags", F.lit(list(g["tags_any"])))
         for field, op, value in g.get("facts", ()):
             c &= holds(values[field, False], op, value)
-        pins = list(g.get("pins", ()))
-        pin = F.array_position(F.lit(pins), F.col("entity_id")) if pins else F.lit(0)
-        sort = sort_keys(values[g["sort_by"], True], g.get("descending", True)) if g.get("sort_by") else dict.fromkeys(("kind", "number", "up", "down"), F.lit(None))
-        keys = (k.cast(t).alias(n) for (n, k), t in zip(sort.items(), ("int", "double", "string", "string"), strict=True))
-        place = F.struct(F.lit(g["id"]).alias("guide_id"), *keys, (~c).alias("pinned"), pin.alias("pin"), F.lit(g.get("limit") or 0).alias("limit"))
-        hits.append(F.when(c | (pin > 0), place))
+        # a pinned entity that doesn't match has the number below zero
+        hit = F.when(c, i)
+        hits.append(hit.when(F.col("entity_id").isin(list(g["pins"])), ~i) if g.get("pins") else hit)
     # the outer form, as an inner one filters by the list first, which is then made several times
-    each = wide.select("entity_id", "ord", F.explode_outer(F.array_compact(F.array(*hits))).alias("g")).filter("g is not null").select("entity_id", "ord", "g.*")
-    each = each.withColumn("pin", F.when(F.col("pinned"), F.col("pin")))
+    each = wide.select("entity_id", "ord", *(n for k in keys.values() for n in k.values()), F.explode_outer(F.array(*hits)).alias("_g")).filter("_g is not null")
+    each = each.withColumns({"pinned": F.col("_g") < 0, "_g": F.when(F.col("_g") < 0, -1 - F.col("_g")).otherwise(F.col("_g"))})
+    of = lambda made, kind: reduce(lambda w, x: w.when(F.col("_g").isin(x[0]), x[1]), made, F.when(F.lit(False), F.lit(None))).cast(kind)
+    those = {o: [i for i, g in enumerate(guides) if g.get("sort_by") and (g["sort_by"], g.get("descending", True)) == o] for o in orders}
+    pins = [([i], F.array_position(F.lit(list(g["pins"])), F.col("entity_id"))) for i, g in enumerate(guides) if g.get("pins")]
+    each = each.select(
+        F.get(F.lit([g["id"] for g in guides]), F.col("_g")).alias("guide_id"), "entity_id", "ord", "pinned", F.when(F.col("pinned"), of(pins, "bigint")).alias("pin"),
+        F.get(F.lit([g.get("limit") or 0 for g in guides]), F.col("_g")).alias("limit"), *(of([(those[o], F.col(keys[o][k])) for o in orders], t).alias(k) for k, t in kinds.items()),
+    )
     order = [*(F.col(k).asc_nulls_last() for k in ("kind", "number", "up")), F.col("down").desc_nulls_last(), F.asc("pinned"), F.asc("pin"), F.asc("ord")]
     # a bound that is known beforehand lets tasks drop all rows behind it before the shuffle
     limits = [g.get("limit") or 0 for g in guides]

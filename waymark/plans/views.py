@@ -107,7 +107,7 @@ VIEWS = {
 
 #: Views whose rows cost far more than those of the table they are made of: that is dealt out by its key first, so that a small file
 #: occupies all cores.
-DEALT = {"v_reply": {"orders": "o_orderkey"}}
+DEALT = {"v_reply": {"orders": "o_orderkey"}, "v_entity": {"orders": "o_orderkey"}}
 
 
 def _text(name: str, dialect: dict[str, str]) -> str:
