@@ -8,6 +8,7 @@ from waymark.functions import text
 from waymark.operators import categories, hierarchy, lifecycle, listing, quality, schema
 from waymark.plans.guides import _CLOSURE, _LISTED, _ROOT, guide_ranking
 from waymark.plans.registry import query
+from waymark.sources.staged import written
 
 #: Characters of a draft's description.
 DESCRIPTION = 220
@@ -24,7 +25,8 @@ DESCRIPTION = 220
 def a10(v):
     """Months and cities of each guide."""
     months = v.v_entity.select("entity_id", "region_id", F.substring("date_s", 1, 7).alias("month"))
-    return listing.guide_spans(guide_ranking(v).join(months, "entity_id"))
+    # the listed entries are read three times, so they are resolved and written once
+    return listing.guide_spans(written(guide_ranking(v).join(months, "entity_id"), "spans"))
 
 
 @query("X9_value_labels", "select l_orderkey, l_linenumber, l_partkey, case when l_quantity <= 10 then concat('Small ', printf('%.1f', l_quantity)) when l_quantity <= 25 then concat('Middle ', printf('%.1f', l_quantity)) when l_quantity <= 45 then concat('Large ', printf('%.1f', l_quantity)) else concat('Extra ', printf('%.1f', l_quantity)) end as label from lineitem")
