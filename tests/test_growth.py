@@ -110,3 +110,7 @@ def test_only_answers_about_listed_entities_are_read(spark):
 def test_briefs_and_summaries_resolve_the_guides_once(spark):
     for name in ("A10_guide_summaries", "A11_guide_briefs"):
         assert "lineitem" not in plan(__spark_entry__.queries()[name](spark, SMALL)) and "l_orderkey" not in plan(__spark_entry__.queries()[name](spark, SMALL))
+
+
+def test_related_entities_derive_their_pool_once(spark):
+    assert "l_orderkey" not in plan(__spark_entry__.queries()["J10_related_entities"](spark, SMALL))

@@ -8,6 +8,7 @@ from waymark.operators import linking, listing
 from waymark.operators.guides import published
 from waymark.plans.guides import GUIDES
 from waymark.plans.registry import query
+from waymark.sources.staged import written
 
 
 def _split(v):
@@ -68,7 +69,8 @@ select entity_id, other, place from ranked where place <= {k} or tier = 0"""
     + _TIERS.format(n=7, k=6, pins="union all select p.entity_id, b.other, b.score, b.ord, 0 from pins p join pool b using (other) where p.entity_id <> b.e and p.entity_id in (select entity_id from target)"),
 )
 def j10(v):
-    pool = v.v_entity.filter(published()).select("entity_id", "category_id", "region_id", "ord", F.col("reliability_score").alias("score"))
+    # read seven times below, so it is derived and written once
+    pool = written(v.v_entity.filter(published()).select("entity_id", "category_id", "region_id", "ord", F.col("reliability_score").alias("score")), "pool")
     pins = pool.filter("ord % 50 = 0").select("entity_id", F.explode(F.lit(["e1", "e4", "e2"])).alias("other"))
     return linking.related(pool, pool, [F.desc_nulls_last("score"), F.col("ord")], 6, pins=pins)
 
