@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from waymark.functions import facts, text
-from waymark.operators import guides, linking, normalise, schema
+from waymark.operators import browse, guides, linking, normalise, schema
 from waymark.plans import records
 from waymark.plans.views import AS_OF, Views
 
@@ -114,3 +114,10 @@ def test_briefs_and_summaries_resolve_the_guides_once(spark):
 
 def test_related_entities_derive_their_pool_once(spark):
     assert "l_orderkey" not in plan(__spark_entry__.queries()["J10_related_entities"](spark, SMALL))
+
+
+def test_chips_pass_over_the_entities_once(spark):
+    v = Views(spark, SMALL)
+    assert plan(browse.chips(v.v_entity, v.v_category)).count("l_linestatus) AS") <= 1 and "Union" not in plan(browse.chips(v.v_entity.select("entity_id", "tags", "category_id", "numeric_facts", "region_id"), v.v_category.limit(2)))
+    none = v.v_entity.limit(1).withColumns({"tags": F.lit(None).cast("array<string>"), "region_id": F.lit(None).cast("string")})
+    assert None in {r["chip"] for r in browse.chips(none, v.v_category).collect()}

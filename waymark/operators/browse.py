@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.categories import memberships
+from waymark.operators.categories import with_categories
 from waymark.operators.discovery import PENDING
 from waymark.operators.hierarchy import closure
 
@@ -31,8 +31,10 @@ def faceted(rows: DataFrame, text_columns: list[str], month: str = "", category:
 
 def chips(entities: DataFrame, categories: DataFrame) -> DataFrame:
     """(entity_id, chip): what an entity is found under, its tags, the categories that it matches, and its region."""
-    tags = entities.select("entity_id", F.explode("tags").alias("chip"))
-    return tags.union(memberships(entities, categories)).union(entities.select("entity_id", "region_id")).distinct()
+    # one pass; what an entity repeats goes in its row, before anything is shuffled
+    tags = F.coalesce("tags", F.array().cast("array<string>"))
+    each = with_categories(entities, categories).select("entity_id", F.explode(F.array_distinct(F.concat(tags, "cats", F.array("region_id")))).alias("chip"))
+    return each.distinct()
 
 
 def has_evidence(source_types: Column, n_quotes: Column, n_excerpts: Column) -> Column:
