@@ -1,5 +1,7 @@
 """Work that must not be repeated or grow faster than the input: plans and sizes on hand-made records."""
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -7,6 +9,7 @@ from waymark.functions import facts, text
 from waymark.operators import browse, guides, linking, normalise, schema
 from waymark.plans import records
 from waymark.plans.views import AS_OF, Views
+from waymark.sources import records as sources
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -121,3 +124,15 @@ def test_chips_pass_over_the_entities_once(spark):
     assert plan(browse.chips(v.v_entity, v.v_category)).count("l_linestatus) AS") <= 1 and "Union" not in plan(browse.chips(v.v_entity.select("entity_id", "tags", "category_id", "numeric_facts", "region_id"), v.v_category.limit(2)))
     none = v.v_entity.limit(1).withColumns({"tags": F.lit(None).cast("array<string>"), "region_id": F.lit(None).cast("string")})
     assert None in {r["chip"] for r in browse.chips(none, v.v_category).collect()}
+
+
+def test_the_sink_gets_texts_that_the_engine_made():
+    written_as = []
+    writer = sources.RecordWriter.__new__(sources.RecordWriter)
+    writer.names, writer.path = [sources.TEXT], tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    sources.TaskContext, kept = type("At", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 0})())}), sources.TaskContext
+    try:
+        written_as.append(writer.write(iter([('{"a":"é"}',)])))
+    finally:
+        sources.TaskContext = kept
+    assert open(f"{writer.path}/{written_as[0].name}", encoding="utf-8").read() == '{"a":"é"}\n'

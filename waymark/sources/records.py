@@ -28,8 +28,11 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from waymark.operators import schema as rules
+from waymark.sources.staged import written
 
 LOG, STAGED = "_log", "_staged"
+#: The one column of rows that are texts of records already.
+TEXT = "__json"
 #: Files and bytes of one partition; filesPerPartition sets another number.
 FILES, BYTES = 500, 64 << 20
 
@@ -153,7 +156,8 @@ class RecordWriter(DataSourceWriter):
         n = 0
         with disk.open_output_stream(f"{folder}/{name}") as out:
             for row in iterator:
-                out.write(json.dumps({k: v for k, v in row.asDict(recursive=True).items() if v is not None}, ensure_ascii=False).encode() + b"\n")
+                text = row[0] if self.names == [TEXT] else json.dumps({k: v for k, v in row.asDict(recursive=True).items() if v is not None}, ensure_ascii=False)
+                out.write(text.encode() + b"\n")
                 n += 1
         return Staged(name, n)
 
@@ -222,14 +226,16 @@ def write_records(rows: DataFrame, path: str, fields: tuple, key: str, order: li
     done = log_entries(path)
     if any(e["batch"] == batch for e in done):
         return
-    judged = rules.issues(rows, fields)
+    # read twice below, so rows are derived and judged once
+    judged = written(rules.issues(rows, fields), "judged")
     refused = judged.filter(F.size("issues") > 0).select(key, F.inline("issues"))
-    refused.write.format("records").mode("append").options(path=quarantine, batch=batch).save()
+    refused.select(F.to_json(F.struct(*refused.columns)).alias(TEXT)).write.format("records").mode("append").options(path=quarantine, batch=batch).save()
     valid = judged.filter(F.size("issues") == 0).withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_nth = 1")
     known = read_records(spark, path, T.StructType([rows.schema[key]])) if done else None
     new = valid if known is None else valid.join(known, key, "left_anti")
     names = [f.name for f in fields if f.name in rows.columns]
-    new.select(*names).write.format("records").mode("append").options(path=path, batch=batch, expected=str(len(done))).save()
+    # the engine makes the texts of the records; a task only writes them
+    new.select(F.to_json(F.struct(*names)).alias(TEXT)).write.format("records").mode("append").options(path=path, batch=batch, expected=str(len(done))).save()
 
 
 def vacuum(path: str) -> int:
