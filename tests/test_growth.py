@@ -1,12 +1,13 @@
 """Work that must not be repeated or grow faster than the input: plans and sizes on hand-made records."""
 
+import random
 import tempfile
 
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from waymark.functions import facts, text
-from waymark.operators import browse, guides, linking, normalise, schema
+from waymark.operators import browse, guides, linking, normalise, quality, schema
 from waymark.plans import records
 from waymark.plans.views import AS_OF, Views
 from waymark.sources import records as sources
@@ -18,6 +19,17 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def nodes(df):
+    root, i = df._jdf.queryExecution().optimizedPlan(), 0
+    while (node := root.apply(i)) is not None:
+        yield node
+        i += 1
+
+
+def columns(node):
+    return [node.output().apply(i).name() for i in range(node.output().size())]
+
+
 def test_an_answer_is_read_once(spark):
     rows = [(1, '{"ai_summary":"x","short_description":"y","pros":["a"],"cons":[],"faqs":[{"question":"q","answer":"one two"},{"question":"","answer":"z"}]}'), (2, "no"), (3, None)]
     answers = spark.createDataFrame(rows, "ord int, json string")
@@ -136,3 +148,25 @@ def test_the_sink_gets_texts_that_the_engine_made():
     finally:
         sources.TaskContext = kept
     assert open(f"{writer.path}/{written_as[0].name}", encoding="utf-8").read() == '{"a":"é"}\n'
+
+
+def test_words_of_questions_travel_without_them(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    asked = [" ".join(rng.choices(words, k=rng.choice([2, 3, 4, 9]))) for _ in range(150)] + [" ".join(f"x{i}" for i in range(n)) for n in (2, 90, 200)] + ["Is w1 w2 so?", "", None]
+    owners = [None if i % 11 == 0 else f"c{i % 40}" for i in range(len(asked))]
+    faqs = spark.createDataFrame(list(zip(owners, asked, strict=True)), "owner_id string, question string")
+    found = quality.same_questions(faqs)
+    spread = [node for node in nodes(found) if node.nodeName() == "Generate"]
+    assert spread and not any("content" in columns(node) for node in spread)
+    # the same by comparing every two groups
+    groups = {}
+    for owner, k in faqs.select("owner_id", text.question_key(F.col("question")).alias("k")).collect():
+        if len(k["content"]) >= 2:
+            groups.setdefault((k["lead"], tuple(sorted(k["content"]))), []).append(owner)
+    known = {g: (len(of), min(filter(None, of), default=None), max(filter(None, of), default=None)) for g, of in groups.items()}
+    other = lambda x, y: None not in (x, y) and x != y  # noqa: E731  as SQL has it: an unknown owner is no other one
+    differ = lambda a, b: other(*a[1:]) or other(*b[1:]) or other(a[1], b[1])
+    pairs = [(a, b) for a in known for b in known if a[0] == b[0] and set(a[1]) <= set(b[1]) and differ(known[a], known[b])]
+    want = [(a[0], " ".join(a[1]), *known[a][:2], " ".join(b[1]), *known[b][:2]) for a, b in pairs]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and len(want) > 100

@@ -7,8 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.facts import once
 from waymark.functions.text import CHUNK_REF, availability, is_page, near_duplicate, own_check, question_key, word_count
 from waymark.operators.schema import ISO_DAY
+from waymark.sources.staged import written
+
+#: A word is frequent if it lies in more than one of so many groups of questions.
+OFTEN = 100
 
 
 def issues(rows: DataFrame, collection: str, key: Column, rules: list[tuple[str, str, Column]]) -> DataFrame:
@@ -74,21 +79,42 @@ def totals(found: DataFrame) -> DataFrame:
     return found.groupBy("collection").agg(errors.alias("n_errors"), warnings.alias("n_warnings"), (errors == 0).alias("passed"))
 
 
+def _filters(content: Column) -> list[Column]:
+    """one and two: 64-bit filters of words, each word a bit of both. What one content lacks in either, it doesn't hold."""
+    bits = lambda seed: F.transform(content, lambda w: F.xxhash64(F.lit(seed), w).bitwiseAND(F.lit(63)).cast("int"))
+    either = lambda acc, at: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
+    return [F.aggregate(bits(seed), F.lit(0).cast("long"), either).alias(seed) for seed in ("one", "two")]
+
+
 def same_questions(faqs: DataFrame) -> DataFrame:
     """(lead, content, n, first_owner, other, other_n, other_owner): groups of equal questions, and the groups whose
     content lies in another's, where records differ; other is the larger content, or the same one for a group of
-    several records. Groups meet on the rarest word of the smaller content, and are then verified."""
-    keyed = faqs.select("owner_id", question_key(F.col("question")).alias("k")).filter("size(k.content) >= 2")
+    several records. Groups meet on the rarest word of the smaller content, and are then verified.
+
+    What moves once for each word is its hash with the number and the filters of its group, never a content: the smaller
+    content goes to its rarest word, and on to the larger ones that the filters let through. Joins are merges but for the
+    few words that many groups hold, as no other side has a bound that would let every executor hold it."""
+    keyed = once(faqs.select("owner_id", "question"), k=question_key(F.col("question"))).filter("size(k.content) >= 2")
     group = keyed.groupBy(F.col("k.lead").alias("lead"), F.array_sort("k.content").alias("content")).agg(
         F.count("*").alias("n"), F.min("owner_id").alias("first_owner"), F.max("owner_id").alias("last_owner")
     )
-    words = group.select("*", F.explode("content").alias("word"))
-    common = words.groupBy("lead", "word").agg(F.count("*").alias("df"))
-    rarest = words.join(common, ["lead", "word"]).groupBy("lead", "content", "n", "first_owner", "last_owner").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
-    larger = words.select("lead", "word", F.col("content").alias("other"), F.col("n").alias("other_n"), F.col("first_owner").alias("other_owner"), F.col("last_owner").alias("other_last"))
-    met = rarest.join(larger, ["lead", "word"]).filter(F.size(F.array_except("content", "other")) == 0)
-    differ = met.filter("not (first_owner = last_owner and other_owner = other_last and first_owner = other_owner)")
-    return differ.select("lead", F.array_join("content", " ").alias("content"), "n", "first_owner", F.array_join("other", " ").alias("other"), "other_n", "other_owner")
+    # written, as all that follows reads it and its numbers must not change
+    group = written(group.select("*", *_filters(F.col("content")), F.monotonically_increasing_id().alias("id")), "questions")
+    word = F.explode(F.transform("content", lambda w: F.xxhash64("lead", w))).alias("word")
+    words = group.select("id", word)
+    common = words.groupBy("word").agg(F.count("*").alias("df"))
+    # words of more than a hundredth of the groups are few, a hundred times the words of a group at most; their rows stay where they are
+    often = F.broadcast(common.filter(F.col("df") * OFTEN > group.count()))
+    counted = words.join(often, "word").unionByName(words.join(often, "word", "left_anti").join(common.hint("merge"), "word"))
+    rarest = counted.groupBy("id").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
+    smaller = group.join(rarest.hint("merge"), "id")
+    larger = group.select(F.col("id").alias("other_id"), F.col("one").alias("other_one"), F.col("two").alias("other_two"), word)
+    lies = lambda x: F.col(x).bitwiseAND(F.bitwise_not(f"other_{x}")) == 0
+    met = larger.join(smaller.hint("merge"), "word").filter(lies("one") & lies("two") & ((F.col("id") != F.col("other_id")) | (F.col("first_owner") != F.col("last_owner"))))
+    whole = group.select(*(F.col(c).alias(f"other_{c}") for c in ("id", "lead", "content", "n", "first_owner", "last_owner")))
+    found = met.drop("other_one", "other_two").join(whole.hint("merge"), "other_id").filter((F.col("lead") == F.col("other_lead")) & (F.size(F.array_except("content", "other_content")) == 0))
+    differ = found.filter("not (first_owner = last_owner and other_first_owner = other_last_owner and first_owner = other_first_owner)")
+    return differ.select("lead", F.array_join("content", " ").alias("content"), "n", "first_owner", F.array_join("other_content", " ").alias("other"), "other_n", F.col("other_first_owner").alias("other_owner"))
 
 
 def violations(v) -> DataFrame:
