@@ -2,8 +2,12 @@
 
 import random
 import tempfile
+from pathlib import Path
+from urllib.parse import urlparse
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__
 from waymark.functions import facts, text
@@ -11,6 +15,7 @@ from waymark.operators import browse, guides, linking, normalise, quality, schem
 from waymark.plans import records
 from waymark.plans.views import AS_OF, Views
 from waymark.sources import records as sources
+from waymark.sources.staged import remove, shared_folder
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -150,6 +155,68 @@ def test_the_sink_gets_texts_that_the_engine_made():
     assert open(f"{writer.path}/{written_as[0].name}", encoding="utf-8").read() == '{"a":"é"}\n'
 
 
+def test_sources_of_a_listing_travel_as_numbers(spark):
+    v = Views(spark, SMALL)
+    found = records.listing(v)
+    lists = [columns(node.children().apply(0)) for node in nodes(found) if node.nodeName() == "Aggregate" and "collect_list" in node.toString().splitlines()[0]]
+    assert lists and not any("url" in x or "entity_id" in x for x in lists)
+    joins = [node.toString().splitlines()[0] for node in nodes(found) if node.nodeName() == "Join"]
+    assert joins and not any("entity_id" in x for x in joins)
+    apart = v.v_source.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("pos", "url", "type", "last_checked"))).alias("s"))
+    got = found.select("entity_id", F.transform("source_mix", lambda x: F.struct(x["url"], x["type"], x["last_checked"])).alias("s"))
+    want = apart.join(v.v_listing, "entity_id").select("entity_id", F.transform("s", lambda x: F.struct(x["url"], x["type"], x["last_checked"])).alias("s"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect()))) and {r["label"] for r in found.select(F.inline("source_mix")).collect()} == {"page"}
+
+
+def files_of(folder):
+    return [p for p in Path(folder).rglob("*") if p.is_file()]
+
+
+def test_batches_of_the_sink_are_judged_once_and_leave_no_tables(spark, monkeypatch):
+    calls, made, issues = [], [], sources.rules.issues
+    monkeypatch.setattr(sources.rules, "issues", lambda *a: calls.append(a) or issues(*a))
+    shared = records.shared_path
+    monkeypatch.setattr(records, "shared_path", lambda *a: made.append(shared(*a)) or made[-1])
+    before = set(Path(urlparse(shared_folder(spark)).path).glob("waymark-judged-*"))
+    assert __spark_entry__.queries()["S3_S4_record_sink"](spark, SMALL).count() > 0
+    assert len(calls) == 1 and set(Path(urlparse(shared_folder(spark)).path).glob("waymark-judged-*")) == before
+    # every issue of both batches is in quarantine, compressed
+    path = urlparse(made[0]).path
+    refused = sources.read_records(spark, f"{path}/refused", "slug string, path string, problem string")
+    judged = issues(records.listing(Views(spark, SMALL)), schema.ENTITY).select("ord", "slug", F.inline("issues"))
+    want = judged.drop("ord").union(judged.filter("ord % 2 = 0").drop("ord"))
+    assert sorted(map(str, map(tuple, refused.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    held = sum(len(str(tuple(r))) for r in refused.collect())
+    assert sum(p.stat().st_size for p in files_of(f"{path}/refused/_staged")) < held / 3
+
+
+def test_a_judged_table_holds_no_fields_of_refused_records(spark, tmp_path):
+    fields = (schema.text("slug", least=1), schema.Field("n", "number", required=False, low=0))
+    rows = spark.createDataFrame([(f"s{i}", float(i % 2 - 1), i, "x" * 50) for i in range(20)] + [("s1", 5.0, 99, "y")], "slug string, n double, `or.d` int, more string")
+    at, table = sources.judged(rows, fields, ["slug"])
+    assert {(r["_record"] is None, len(r["issues"])) for r in table.collect()} == {(True, 1), (False, 0)}
+    remove(spark, at)
+    for codec in (None, "zstd", "gzip"):
+        path = str(tmp_path / f"out-{codec}")
+        for batch in ("a", "b", "a"):
+            sources.write_records(rows, path, fields, "slug", [F.desc("`or.d`")], batch, f"{path}-refused", codec)
+        assert sorted(map(tuple, sources.read_records(spark, path, "slug string, n double").collect())) == sorted([(f"s{i}", 0.0) for i in range(3, 20, 2)] + [("s1", 5.0)])
+        assert sources.read_records(spark, f"{path}-refused", "slug string").count() == 20
+        ends = {"".join(p.suffixes) for p in files_of(f"{path}/_staged") if not p.name.startswith(".")}
+        assert ends == {".jsonl" + sources.ENDS.get(codec, "")}
+    with pytest.raises(Exception, match="compression lz"):
+        sources.write_records(rows, str(tmp_path / "odd"), fields, "slug", [F.col("n")], "a", str(tmp_path / "odd-refused"), "lz")
+
+
+def test_partitions_of_compressed_files_are_of_what_they_hold(tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "BYTES", 100)
+    for i in range(4):
+        (tmp_path / f"{i}.jsonl.zst").write_bytes(b"x" * 9)
+        (tmp_path / f"{i}.jsonl").write_bytes(b"x" * 9)
+    parts = lambda glob: len(sources.RecordReader(T.StructType([]), {"path": str(tmp_path), "glob": glob}).partitions())
+    assert (parts("*.jsonl"), parts("*.zst")) == (1, 4)
+
+
 def test_words_of_questions_travel_without_them(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]

@@ -15,6 +15,12 @@ AS_OF = "2000-01-01"
 SPARK = {"set": "array_sort(collect_set({}))", "lpad": "lpad(cast({} as string), 2, '0')", "mod": "{}"}
 DUCK = {"set": "list_sort(list(distinct {}))", "lpad": "lpad(cast({} as string), 2, '0')", "mod": "{}"}
 
+#: What a line of an order says of a source.
+SOURCE = """l_linenumber as pos,
+        concat('https://s', cast(l_suppkey as string), '.example.org/p', cast(l_partkey as string)) as url,
+        case l_linenumber when 1 then 'official' when 2 then 'news' when 3 then 'review' when 4 then 'social' when 5 then 'other' else 'blog' end as type,
+        substr(cast(l_shipdate as string), 1, 10) as last_checked"""
+
 VIEWS = {
     "v_region": """
       select 'root' as region_id, cast(null as string) as parent_region_id, 'world' as granularity, 'World' as label, 0 as ord
@@ -34,11 +40,8 @@ VIEWS = {
       from orders join customer on o_custkey = c_custkey
       join (select l_orderkey, max(l_quantity) as mx, {set:l_quantity} as numeric_facts,
               {set:concat(l_returnflag, l_linestatus)} as tags from lineitem group by l_orderkey) as q on l_orderkey = o_orderkey""",
-    "v_source": """
-      select concat('e', cast(l_orderkey as string)) as entity_id, l_linenumber as pos,
-        concat('https://s', cast(l_suppkey as string), '.example.org/p', cast(l_partkey as string)) as url,
-        case l_linenumber when 1 then 'official' when 2 then 'news' when 3 then 'review' when 4 then 'social' when 5 then 'other' else 'blog' end as type,
-        substr(cast(l_shipdate as string), 1, 10) as last_checked
+    "v_source": f"""
+      select concat('e', cast(l_orderkey as string)) as entity_id, {SOURCE}
       from lineitem""",
     "v_review": """
       select concat('r', cast(d.doc_id as string)) as review_id, concat('e', cast(d.doc_id as string)) as entity_id, d.doc_id as ord,
